@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_pairs"]
+_MODULES = ["q_pairs", "q_report"]
 
 
 def _load():

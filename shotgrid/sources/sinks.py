@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotgrid.schemas import HISTORY, metrics_schema
+from shotgrid.schemas import HISTORY, TRAINING_METRICS, metrics_schema
 
 
 def log_name(method: str, kind: str = "metrics", exp_label: str | None = None) -> str:
@@ -27,7 +27,8 @@ def write_metrics(df: DataFrame, folder: str, method: str, exp_label: str | None
 
 def read_metrics(spark: SparkSession, path: str, method: str) -> DataFrame:
     """A metrics log read with its explicit schema (no inference)."""
-    return spark.read.schema(metrics_schema(method)).option("header", True).csv(path)
+    return spark.read.schema(metrics_schema(method)).option("header", True) \
+        .option("enforceSchema", False).csv(path)
 
 
 def write_history(df: DataFrame, folder: str, method: str, exp_label: str | None = None) -> str:
@@ -39,16 +40,24 @@ def write_history(df: DataFrame, folder: str, method: str, exp_label: str | None
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(HISTORY).option("header", True).csv(path)
+    return spark.read.schema(HISTORY).option("header", True).option("enforceSchema", False).csv(path)
+
+
+COMBINED = T.StructType(TRAINING_METRICS.fields + [T.StructField("finetuning_method", T.StringType())])
 
 
 def write_combined(df: DataFrame, folder: str, name: str = "combined_metrics") -> str:
-    """The combined log (union of all method logs) as one table."""
+    """The combined log (union of all method logs) in the fixed combined column order."""
     path = f"{folder}/{name}.csv"
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.select(*[F.col(f.name).cast(f.dataType) for f in COMBINED.fields]) \
+      .write.mode("overwrite").option("header", True).csv(path)
     return path
 
 
+def read_combined(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(COMBINED).option("header", True).option("enforceSchema", False).csv(path)
+
+
 PARAMS = T.StructType([
     T.StructField("model", T.StringType()), T.StructField("sample_size", T.IntegerType()),
     T.StructField("trial", T.IntegerType()), T.StructField("layer", T.StringType()),
