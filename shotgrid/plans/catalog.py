@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_pairs", "q_report"]
+_MODULES = ["q_pairs", "q_report", "q_signals"]
 
 
 def _load():

@@ -39,7 +39,7 @@ out_lo AS (SELECT id, premise, hypothesis, label, heuristic FROM nli_pairs
 
 _GRID_VALUES = ", ".join(f"({s}, {t})" for s, t in CELLS)
 _TRIALS = f"""trials AS (
-  SELECT sample_size, trial, rn, id FROM (
+  SELECT sample_size, trial, CAST(rn AS INTEGER) AS rn, id FROM (
     SELECT g.sample_size, g.trial, c.id,
            row_number() OVER (PARTITION BY g.sample_size, g.trial
                               ORDER BY {_md5(f"'{SEED}'", 'g.sample_size', 'g.trial', 'c.id')}, c.id) AS rn
@@ -223,7 +223,7 @@ _CTX = f"""contexts AS (
   SELECT t.sample_size, t.trial, count(*) AS n_demos,
          string_agg({_DEMO}, '' ORDER BY t.rn) AS context
   FROM trials t JOIN clean_train c ON t.id = c.id GROUP BY t.sample_size, t.trial)"""
-_DISTILL = f"""big AS (SELECT id, row_number() OVER (ORDER BY {_md5(f"'{SEED}'", "'large'", 'id')}, id) AS rn
+_DISTILL = f"""big AS (SELECT id, CAST(row_number() OVER (ORDER BY {_md5(f"'{SEED}'", "'large'", 'id')}, id) AS INTEGER) AS rn
                FROM clean_train ORDER BY {_md5(f"'{SEED}'", "'large'", 'id')}, id LIMIT {LARGE_SAMPLE}),
 distill AS (SELECT sample_size, rn, id FROM trials WHERE sample_size = 16 AND trial = 0
             UNION ALL SELECT {LARGE_SAMPLE} AS sample_size, rn, id FROM big)"""
@@ -252,7 +252,7 @@ SQL = {
         "SELECT t.sample_size, t.trial, t.rn, t.id, c.label, c.premise FROM trials t JOIN clean_train c ON t.id = c.id",
     "eval_sample": _pre(_EVAL) +
         "SELECT 'in' AS domain, id, label FROM eval_in UNION ALL SELECT 'out' AS domain, id, label FROM eval_out",
-    "sample_per_label": _pre() + f"""SELECT label, rn, id FROM (
+    "sample_per_label": _pre() + f"""SELECT label, CAST(rn AS INTEGER) AS rn, id FROM (
         SELECT label, id, row_number() OVER (PARTITION BY label
                ORDER BY {_md5(f"'{SEED}'", "'per_label'", 'label', 'id')}, id) AS rn FROM clean_train) WHERE rn <= 3""",
     "distill_sets": _pre(_TRIALS, _DISTILL) + "SELECT sample_size, rn, id FROM distill",

@@ -165,13 +165,13 @@ SQL = {
         SELECT 'model_name' AS key, CAST(model_name AS VARCHAR) AS value, min(trial) AS first_seen FROM trial_metrics_x GROUP BY 2
         UNION ALL SELECT 'sample_size', CAST(sample_size AS VARCHAR), min(trial) FROM trial_metrics_x GROUP BY 2
         UNION ALL SELECT 'finetuning_method', finetuning_method, min(trial) FROM trial_metrics_x GROUP BY 2)
-        SELECT key, value, first_seen, row_number() OVER (PARTITION BY key ORDER BY first_seen, value) AS ordinal FROM k""",
+        SELECT key, value, first_seen, CAST(row_number() OVER (PARTITION BY key ORDER BY first_seen, value) AS INTEGER) AS ordinal FROM k""",
     "axis_bounds": _V + f", {_MEANS}, p AS (" + " UNION ALL ".join(
         f"SELECT model_name, '{m}' AS metric, avg_in_{m} AS x, avg_out_{m} AS y FROM means" for m in REPORT_METRICS)
         + ") SELECT model_name, metric, round(least(min(x), min(y)), 6) AS axis_min, "
           "round(greatest(max(x), max(y)), 6) AS axis_max FROM p GROUP BY model_name, metric",
     "report_labels": _V + f", {_MEANS}, l AS (SELECT DISTINCT finetuning_method, sample_size, label FROM means), "
-        f"r AS (SELECT *, dense_rank() OVER (ORDER BY label) AS legend_rank FROM l) "
+        f"r AS (SELECT *, CAST(dense_rank() OVER (ORDER BY label) AS INTEGER) AS legend_rank FROM l) "
         f"SELECT finetuning_method, sample_size, label, legend_rank, metric, {_TITLE} AS title "
         f"FROM r, (VALUES {_METRIC_VALUES}) mt(metric)",
     "report_rows": _V + f", pv AS (SELECT model_name, finetuning_method, CAST(sample_size AS INTEGER) AS sample_size, "
