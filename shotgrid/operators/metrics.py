@@ -47,11 +47,13 @@ def domain_metrics(df: DataFrame, keys: Sequence[str], pred: str = "predicted",
     return df.groupBy(*keys).agg(*aggs)
 
 
-def accuracy_from_logits(df: DataFrame, logits: str, label: str = "label", keys: Sequence[str] = ()) -> DataFrame:
-    """G1 + E7: argmax prediction (lowest index on ties) against the label."""
-    pred = argmax(logits)
-    return df.groupBy(*keys).agg(F.avg((pred == F.col(label)).cast("double")).alias("accuracy"),
-                                 F.count(F.lit(1)).alias("n"))
+def accuracy_from_logits(df: DataFrame, logits: Mapping[str, str], label: str = "label",
+                         keys: Sequence[str] = ()) -> DataFrame:
+    """G1 + E7: argmax prediction (lowest index on ties) against the label, for one or
+    more logit columns in a single aggregation (``{output name: logits column}``)."""
+    return df.groupBy(*keys).agg(
+        *[F.avg((argmax(c) == F.col(label)).cast("double")).alias(name) for name, c in logits.items()],
+        F.count(F.lit(1)).alias("n"))
 
 
 def distillation_loss(df: DataFrame, teacher: str, student: str, batch_keys: Sequence[str],

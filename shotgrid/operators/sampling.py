@@ -124,7 +124,9 @@ def trial_grid(df: DataFrame, sizes: Sequence[int], num_trials: int, seed: int,
                for r in cand.groupBy("sample_size", "trial").agg(F.count(F.lit(1)).alias("n")).collect()}
         ok = [c for c in todo if got.get(c, 0) >= c[0]]
         todo = [c for c in todo if got.get(c, 0) < c[0]]
-        if ok:
+        if not todo:
+            parts.append(cand)
+        elif ok:
             okdf = df.sparkSession.createDataFrame(ok, "sample_size int, trial int")
             parts.append(cand.join(F.broadcast(okdf), ["sample_size", "trial"]))
         boost *= 4.0
@@ -137,10 +139,20 @@ def trial_grid(df: DataFrame, sizes: Sequence[int], num_trials: int, seed: int,
                .select("sample_size", "trial", "rn", "id")
 
 
-def attach_rows(sample: DataFrame, rows: DataFrame, id_col: str = "id") -> DataFrame:
-    """Late join of sampled ids to their full rows."""
-    return sample.join(rows, sample["id"] == rows[id_col]).drop(rows[id_col]) if id_col != "id" \
-        else sample.join(rows, "id")
+# Trial samples up to this many rows are broadcast to the row table (the bound is the
+# grid parameters: sum of sizes x trials, known before anything runs).
+MAX_BROADCAST_SAMPLE_ROWS = 2_000_000
+
+
+def attach_rows(sample: DataFrame, rows: DataFrame, bound: int | None = None) -> DataFrame:
+    """Late join of sampled ids to their full rows (J6); the sample side is broadcast
+    when its parameter bound is small enough, else a shuffled join."""
+    side = F.broadcast(sample) if bound is not None and bound <= MAX_BROADCAST_SAMPLE_ROWS else sample
+    return side.join(rows, "id")
+
+
+def grid_bound(sizes: Sequence[int], num_trials: int) -> int:
+    return int(sum(set(sizes)) * num_trials)
 
 
 def per_label(df: DataFrame, quantity: int, seed: int, *key_parts, label_col: str = "label",
@@ -171,11 +183,10 @@ def validation_subset(eval_df: DataFrame, seed: int, *key_parts, id_col: str = "
 def draw_positions(spark, n_draws: int, seed: int, sizes: dict[str, int]) -> DataFrame:
     """``n_draws`` positions drawn with replacement, the same draw numbers applied to each
     named dataset (paired positions, C8).  Returns ``(draw, dataset, position)``."""
-    rows = [(name, n) for name, n in sizes.items()]
-    sz = spark.createDataFrame(rows, "dataset string, n long")
-    draws = spark.range(n_draws).withColumnRenamed("id", "draw")
-    return draws.join(F.broadcast(sz)) \
-        .select("draw", "dataset", hash_index(seed, F.col("draw"), F.col("n")).alias("position"))
+    named = F.array(*[F.struct(F.lit(name).alias("dataset"), F.lit(int(n)).alias("n")) for name, n in sizes.items()])
+    draws = spark.range(n_draws).select(F.col("id").alias("draw"), F.explode(named).alias("d"))
+    return draws.select("draw", F.col("d.dataset").alias("dataset"),
+                        hash_index(seed, F.col("draw"), F.col("d.n")).alias("position"))
 
 
 def micro_batches(df: DataFrame, batch_size: int, order_by: str = "id") -> DataFrame:

@@ -56,15 +56,33 @@ def _models_array(models: Sequence[CountModel]) -> Column:
                               F.lit(float(m.lam)).alias("lam")) for m in models])
 
 
-def corpus_totals(corpus: DataFrame, seeds=SEED_WORDS, text: str = "text") -> tuple[DataFrame, dict]:
+# The token set of the evaluation prompts is broadcast below this many tokens.
+MAX_BROADCAST_TOKENS = 5_000_000
+
+
+def needed_tokens(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Distinct tokens of the evaluation prompts and their number."""
+    t = rows.select(F.explode(tokens(minimal_pattern("premise", "hypothesis"))).alias("token")).distinct()
+    return t, t.count()
+
+
+def corpus_totals(corpus: DataFrame, seeds=SEED_WORDS, text: str = "text",
+                  keep: tuple[DataFrame, int] | None = None) -> tuple[DataFrame, dict]:
     """Per-token document counts with each answer's seed words, plus the three corpus
-    totals (one bounded row brought to the driver)."""
+    totals (one bounded row brought to the driver).
+
+    ``keep`` = (token set, its size): the exploded corpus tokens are semi-joined to it
+    before aggregation, so only tokens that are scored are counted and shuffled (the
+    set is broadcast when its measured size is below ``MAX_BROADCAST_TOKENS``)."""
     d = corpus.select(F.array_distinct(tokens(text)).alias("toks"))
     d = d.select("toks", *[F.arrays_overlap("toks", F.array(*[F.lit(w) for w in seeds[c]])).cast("long")
                            .alias(f"h{c}") for c in (0, 1)])
     tot = d.agg(F.count(F.lit(1)).alias("N"), F.sum("h0").alias("n0"), F.sum("h1").alias("n1")).first().asDict()
-    cnt = d.select(F.explode("toks").alias("token"), "h0", "h1").groupBy("token") \
-           .agg(F.count(F.lit(1)).alias("n_w"), F.sum("h0").alias("n_w0"), F.sum("h1").alias("n_w1"))
+    ex = d.select(F.explode("toks").alias("token"), "h0", "h1")
+    if keep is not None:
+        kt, kn = keep
+        ex = ex.join(F.broadcast(kt) if kn <= MAX_BROADCAST_TOKENS else kt, "token", "left_semi")
+    cnt = ex.groupBy("token").agg(F.count(F.lit(1)).alias("n_w"), F.sum("h0").alias("n_w0"), F.sum("h1").alias("n_w1"))
     return cnt, {k: int(v or 0) for k, v in tot.items()}
 
 

@@ -21,23 +21,23 @@ _KEYS = ("domain", "id", "label")
 
 def quality_sets(spark, sf) -> tuple[DataFrame, DataFrame]:
     """(train pool, eval rows of both domains) of the quality task."""
-    q = V.quality_pairs(spark, sf)
-    pool = q.filter((F.col("domain") == "in") & (F.col("split") == "train")).select("id", "premise", "hypothesis", "label")
-    ein = S.sample_n(q.filter((F.col("domain") == "in") & (F.col("split") == "validation")), Q_EVAL_SIZE, SEED,
-                     "q_eval", "in")
-    eout = S.sample_n(q.filter(F.col("domain") == "out"), Q_EVAL_SIZE, SEED, "q_eval", "out")
+    qin = V.quality_pairs(spark, sf, "in")
+    pool = qin.filter(F.col("split") == "train").select("id", "premise", "hypothesis", "label")
+    ein = S.sample_n(qin.filter(F.col("split") == "validation"), Q_EVAL_SIZE, SEED, "q_eval", "in")
+    eout = S.sample_n(V.quality_pairs(spark, sf, "out"), Q_EVAL_SIZE, SEED, "q_eval", "out")
     ev = ein.unionByName(eout).select("domain", "id", "label", "premise", "hypothesis")
     return pool, ev
 
 
-def orientation_table(spark, sf, models=SC.COUNT_MODELS) -> DataFrame:
-    cnt, tot = SC.corpus_totals(V.corpus(spark, sf))
+def orientation_table(spark, sf, ev: DataFrame, models=SC.COUNT_MODELS) -> DataFrame:
+    """Token orientations, counted only for tokens that occur in the evaluation prompts."""
+    cnt, tot = SC.corpus_totals(V.corpus(spark, sf), keep=SC.needed_tokens(ev))
     return SC.orientation(cnt, tot, models)
 
 
 def zero_shot_choices(spark, sf, models=SC.COUNT_MODELS) -> DataFrame:
     _, ev = quality_sets(spark, sf)
-    zs = SC.zero_shot_scores(ev, orientation_table(spark, sf, models), _KEYS, models)
+    zs = SC.zero_shot_scores(ev, orientation_table(spark, sf, ev, models), _KEYS, models)
     return SC.choose(zs)
 
 
@@ -55,8 +55,8 @@ def icl_eval(spark, sf, models=SC.COUNT_MODELS, cells: Sequence[tuple[int, int]]
     pool, ev = quality_sets(spark, sf)
     sizes = sorted({s for s, _ in cells})
     trials = S.trial_grid(pool, sizes, max(t for _, t in cells) + 1, SEED)
-    demos = S.attach_rows(trials, pool)
-    orient = orientation_table(spark, sf, models)
+    demos = S.attach_rows(trials, pool, S.grid_bound(sizes, max(t for _, t in cells) + 1))
+    orient = orientation_table(spark, sf, ev, models)
     zs = SC.zero_shot_scores(ev, orient, _KEYS, models)
     sc = SC.choose(SC.icl_scores(ev, demos, zs, cells, _KEYS, models))
     m = M.domain_metrics(sc, ["model_name", "sample_size", "trial"])

@@ -57,7 +57,8 @@ def q_score_head(spark, sf):
 # ---------------------------------------------------------------------------- F5 / F6
 def _trials(spark, sf) -> DataFrame:
     pool, _ = vec_sets(spark, sf)
-    t = S.attach_rows(S.trial_grid(pool, SAMPLE_SIZES, NUM_TRIALS, SEED), pool)
+    t = S.attach_rows(S.trial_grid(pool, SAMPLE_SIZES, NUM_TRIALS, SEED), pool,
+                      S.grid_bound(SAMPLE_SIZES, NUM_TRIALS))
     models = F.array(*[F.lit(m) for m in HEAD_MODELS])
     return t.select(F.explode(models).alias("model_name"), "sample_size", "trial", "rn", "features", "y")
 

@@ -18,6 +18,7 @@ from shotgrid.sources.views import nli_pairs, with_views
 LARGE_SAMPLE = 256      # large distillation sample at the test scales (4096 needs more rows)
 N_DRAWS = 100           # positions drawn with replacement
 CELLS = [(s, t) for s in SAMPLE_SIZES for t in range(NUM_TRIALS)]
+BOUND = S.grid_bound(SAMPLE_SIZES, NUM_TRIALS)
 
 
 def _md5(*parts: str) -> str:
@@ -109,7 +110,7 @@ def q_sample_n(spark, sf):
 
 def q_trial_grid(spark, sf):
     train, _ = _clean(spark, sf)
-    return S.attach_rows(trials(spark, sf), train).select("sample_size", "trial", "rn", "id", "label", "premise")
+    return S.attach_rows(trials(spark, sf), train, BOUND).select("sample_size", "trial", "rn", "id", "label", "premise")
 
 
 def q_eval_sample(spark, sf):
@@ -171,7 +172,7 @@ def q_minimal_pattern(spark, sf):
 
 def contexts(spark, sf) -> DataFrame:
     train, _ = _clean(spark, sf)
-    return P.icl_context(S.attach_rows(trials(spark, sf), train))
+    return P.icl_context(S.attach_rows(trials(spark, sf), train, BOUND))
 
 
 def q_icl_context(spark, sf):

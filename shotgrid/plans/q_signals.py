@@ -95,9 +95,7 @@ def q_softmax_temp(spark, sf):
 
 def q_accuracy_from_logits(spark, sf):
     lg = V.logits(spark, sf)
-    t = M.accuracy_from_logits(lg, "teacher").withColumnRenamed("accuracy", "teacher_accuracy")
-    s = M.accuracy_from_logits(lg, "student").withColumnRenamed("accuracy", "student_accuracy").drop("n")
-    return round_doubles(t.crossJoin(s))  # two one-row aggregates
+    return round_doubles(M.accuracy_from_logits(lg, {"teacher_accuracy": "teacher", "student_accuracy": "student"}))
 
 
 def q_distill_loss(spark, sf):

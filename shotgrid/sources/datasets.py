@@ -38,7 +38,7 @@ def key_filter(**equals) -> Column:
 
 def in_domain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A1: cleaned in-domain (train, validation)."""
-    p = nli_pairs(spark, sf_dir).filter(F.col("domain") == "in")
+    p = nli_pairs(spark, sf_dir, "in")
     cols = ["id", "premise", "hypothesis", "label"]
     train = remove_neutral(p.filter(F.col("split") == "train")).select(*cols)
     val = remove_neutral(p.filter(F.col("split") == "validation")).select(*cols)
@@ -47,7 +47,7 @@ def in_domain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def out_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2: out-of-domain rows of one heuristic (all splits)."""
-    p = nli_pairs(spark, sf_dir).filter(F.col("domain") == "out")
+    p = nli_pairs(spark, sf_dir, "out")
     return isolate_heuristic(p).select("id", "premise", "hypothesis", "label", "heuristic")
 
 

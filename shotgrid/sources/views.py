@@ -23,9 +23,19 @@ def _lines(text: Column) -> Column:
 
 
 # --------------------------------------------------------------------------- nli_pairs
-def nli_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled text pairs: premise = first line, hypothesis = last line (whole lines)."""
-    d = table(spark, sf_dir, "documents")
+def _domain_filter(d: DataFrame, domain: str | None) -> DataFrame:
+    """Domain predicate on the raw ``lang`` column, so it reaches the Parquet scan."""
+    if domain == "in":
+        return d.filter(d.lang == "en")
+    if domain == "out":
+        return d.filter((d.lang != "en") | d.lang.isNull())
+    return d
+
+
+def nli_pairs(spark: SparkSession, sf_dir: str, domain: str | None = None) -> DataFrame:
+    """Labelled text pairs: premise = first line, hypothesis = last line (whole lines).
+    ``domain`` restricts to one domain with a predicate pushed into the scan."""
+    d = _domain_filter(table(spark, sf_dir, "documents"), domain)
     lines = _lines(d.text)
     is_in = d.lang == "en"
     return d.select(
@@ -53,9 +63,9 @@ NLI_PAIRS_SQL = """nli_pairs AS (
 
 
 # ----------------------------------------------------------------------- quality_pairs
-def quality_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quality_pairs(spark: SparkSession, sf_dir: str, domain: str | None = None) -> DataFrame:
     """Pairs with a real signal: label = 1 - quality (0 = 'Yes', good document)."""
-    d = table(spark, sf_dir, "documents")
+    d = _domain_filter(table(spark, sf_dir, "documents"), domain)
     lab = table(spark, sf_dir, "labels")
     lines = _lines(d.text)
     return lab.join(d, "doc_id").select(
