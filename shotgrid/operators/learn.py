@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from shotgrid.functions.math import hash_index
 
 LONG_SCHEMA = ("model_name string, sample_size int, trial int, record string, "
-               "i int, j int, value double")
+               "i int, j int, value double, flat array<double>")
 
 
 @dataclass(frozen=True)
@@ -186,17 +186,16 @@ def fit_group(net, X, y, Xv, yv, model_name, size, trial, cfg: FitConfig):
 
 
 def _long_rows(model_name, size, trial, net, params, hist):
-    rows = [(model_name, size, trial, rec, int(i), int(j), float(v)) for rec, i, j, v in hist]
-    for name, p in zip(net.names, params):
-        a = np.atleast_2d(p) if p.ndim == 1 else p
-        for i in range(a.shape[0]):
-            for j in range(a.shape[1]):
-                rows.append((model_name, size, trial, f"param:{name}", i, j, float(a[i, j])))
+    """History entries as (record, i, j, value); each parameter as one row with its shape
+    in (i, j) and its values flattened row-major."""
+    rows = [(model_name, size, trial, rec, int(i), int(j), float(v), None) for rec, i, j, v in hist]
+    named = list(zip(net.names, params))
     if isinstance(net, LoraNet):
-        m = net.merged_w1(params)
-        for i in range(m.shape[0]):
-            for j in range(m.shape[1]):
-                rows.append((model_name, size, trial, "param:W1_merged", i, j, float(m[i, j])))
+        named.append(("W1_merged", net.merged_w1(params)))
+    for name, p in named:
+        a = np.atleast_2d(p)
+        rows.append((model_name, size, trial, f"param:{name}", a.shape[0], a.shape[1], None,
+                     a.ravel().astype(float).tolist()))
     return rows
 
 
@@ -222,7 +221,7 @@ def fit_trials(trials: DataFrame, validation: tuple[np.ndarray, np.ndarray], kin
             net = LoraNet([np.asarray(p, dtype=float) for p in base], cfg.rank, cfg.alpha, cfg.dropout)
         params, hist = fit_group(net, X, y, Xv, yv, m, s, t, cfg)
         return pd.DataFrame(_long_rows(m, s, t, net, params, hist),
-                            columns=["model_name", "sample_size", "trial", "record", "i", "j", "value"])
+                            columns=["model_name", "sample_size", "trial", "record", "i", "j", "value", "flat"])
 
     return trials.groupBy("model_name", "sample_size", "trial").applyInPandas(run, LONG_SCHEMA)
 
@@ -235,11 +234,59 @@ def base_network(n_features: int, hidden: int, seed: int, n_classes: int = 2) ->
 
 
 def params_table(long: DataFrame) -> DataFrame:
-    """Parameter rows of a fit as the A9 table layout."""
+    """Parameter rows of a fit in the A9 table layout ``(model, ..., layer, i, j, value)``."""
     p = long.filter(F.col("record").startswith("param:"))
+    p = p.select("model_name", "sample_size", "trial", "record", F.col("j").alias("cols"),
+                 F.posexplode("flat").alias("pos", "value"))
     return p.select(F.col("model_name").alias("model"), "sample_size", "trial",
-                    F.regexp_replace("record", "^param:", "").alias("layer"), "i", "j", "value",
-                    (F.col("record") != "param:W1").alias("trainable"))
+                    F.regexp_replace("record", "^param:", "").alias("layer"),
+                    (F.col("pos") / F.col("cols")).cast("int").alias("i"), (F.col("pos") % F.col("cols")).cast("int").alias("j"),
+                    "value", (F.col("record") != "param:W1").alias("trainable"))
+
+
+def collect_weights(long: DataFrame, layers) -> dict:
+    """Weights of every trial as numpy arrays (bounded: grid cells x model size)."""
+    rows = long.filter(F.col("record").isin(*[f"param:{n}" for n in layers])) \
+               .select("model_name", "sample_size", "trial", "record", "i", "j", "flat").collect()
+    out: dict = {}
+    for r in rows:
+        key = (r["model_name"], int(r["sample_size"]), int(r["trial"]))
+        a = np.asarray(r["flat"], dtype=float).reshape(r["i"], r["j"])
+        out.setdefault(key, {})[r["record"][6:]] = a
+    return out
+
+
+TRIAL_SCORES = ("model_name string, sample_size int, trial int, domain string, id long, label int, "
+                "logit0 double, logit1 double")
+
+
+def score_trials(ev: DataFrame, weights: dict, kind: str) -> DataFrame:
+    """F1 for every trial's model at once: the weights of all trials are broadcast once
+    per executor and each Arrow batch of evaluation rows is scored by every trial with
+    numpy.  Output: one row per (trial, evaluation row)."""
+    bc = ev.sparkSession.sparkContext.broadcast(weights)
+
+    def logits(p, X):
+        if kind == "head":
+            return X @ p["W"].T + p["b"].ravel()
+        h = np.tanh(X @ p["W1_merged"].T + p["b1"].ravel())
+        return h @ p["W2"].T + p["b2"].ravel()
+
+    def run(batches):
+        W = bc.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            X = np.stack(pdf["features"].to_numpy()).astype(float)
+            parts = []
+            for (m, s, t), p in W.items():
+                lg = logits(p, X)
+                parts.append(pd.DataFrame({"model_name": m, "sample_size": s, "trial": t,
+                                           "domain": pdf["domain"].to_numpy(), "id": pdf["id"].to_numpy(),
+                                           "label": pdf["label"].to_numpy(), "logit0": lg[:, 0], "logit1": lg[:, 1]}))
+            yield pd.concat(parts, ignore_index=True)
+
+    return ev.select("domain", "id", "label", "features").mapInPandas(run, TRIAL_SCORES)
 
 
 def history_of(long: DataFrame) -> DataFrame:
@@ -250,20 +297,6 @@ def history_of(long: DataFrame) -> DataFrame:
         F.col("i").alias("pos"), F.col("j").alias("epoch"), F.col("value").alias("loss"))
 
 
-def head_arrays(long: DataFrame, w_layer: str = "W", b_layer: str = "b") -> DataFrame:
-    """One row per trial with the head as arrays: ``w`` (array of class rows), ``b``.
-    A head is bounded (classes x features), so the ordered collect is bounded."""
-    p = params_table(long)
-    w = p.filter(F.col("layer") == w_layer).groupBy("model", "sample_size", "trial", "i").agg(
-        F.array_sort(F.collect_list(F.struct("j", "value"))).alias("_r")) \
-        .select("model", "sample_size", "trial", "i", F.transform("_r", lambda r: r["value"]).alias("row"))
-    w = w.groupBy("model", "sample_size", "trial").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "row"))), lambda r: r["row"]).alias("w"))
-    b = p.filter(F.col("layer") == b_layer).groupBy("model", "sample_size", "trial").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("j", "value"))), lambda r: r["value"]).alias("b"))
-    return w.join(b, ["model", "sample_size", "trial"]).withColumnRenamed("model", "model_name")
-
-
 def dot(x: Column, w: Column) -> Column:
     return F.aggregate(F.zip_with(x, w, lambda a, c: a * c), F.lit(0.0), lambda acc, v: acc + v)
 
@@ -273,11 +306,6 @@ def head_logits(features: Column, w: Column, b: Column) -> Column:
     return F.transform(F.arrays_zip(w.alias("wr"), b.alias("bk")), lambda r: dot(features, r["wr"]) + r["bk"])
 
 
-def mlp_logits(features: Column, w1: Column, b1: Column, w2: Column, b2: Column) -> Column:
-    h = F.transform(head_logits(features, w1, b1), lambda z: F.tanh(z))
-    return head_logits(h, w2, b2)
-
-
 def ce_loss(logits: Column, label: Column) -> Column:
     """Cross-entropy of one row: logsumexp(logits) - logits[label]."""
     m = F.array_max(logits)
@@ -285,18 +313,6 @@ def ce_loss(logits: Column, label: Column) -> Column:
     return lse - F.element_at(logits, label + 1)
 
 
-def evaluate_heads(eval_rows: DataFrame, heads: DataFrame, cells: Sequence[tuple], logits_fn) -> DataFrame:
-    """Score every evaluation row with every trial's head (trial cells are a bounded
-    parameter list expanded in place, then an equi-join on the trial keys)."""
-    grid = F.array(*[F.struct(F.lit(m).alias("model_name"), F.lit(s).alias("sample_size"), F.lit(t).alias("trial"))
-                     for m, s, t in cells])
-    ex = eval_rows.select("*", F.explode(grid).alias("_g")).select("*", "_g.*").drop("_g")
-    j = ex.join(F.broadcast(heads), ["model_name", "sample_size", "trial"])
-    return j.withColumn("logits", logits_fn(j)).withColumn("pred", F.expr("array_position(logits, array_max(logits)) - 1")
-                                                          .cast("int"))
-
-
-# ----------------------------------------------------------------- context distillation
 def draw_context_examples(batches: DataFrame, pool: DataFrame, seed: int, batch_col: str = "batch_key") -> DataFrame:
     """One random pool example per class for every training batch (D3 for features):
     hash-drawn positions joined to a dense per-label index -- O(batches + pool)."""
@@ -340,6 +356,71 @@ def fit_student(soft: DataFrame, max_iter: int = 100):
     return W.tolist(), b.tolist()
 
 
+STUDENT_SCHEMA = ("model_name string, sample_size int, w array<array<double>>, b array<double>, "
+                  "n long, kl_start double, kl_end double")
+# A distillation set up to this many rows is fitted inside one group; larger sets go to
+# Spark ML's distributed L-BFGS (``fit_student``).
+MAX_GROUP_FIT_ROWS = 500_000
+
+
+def _kl_rows(q: np.ndarray, logits: np.ndarray) -> np.ndarray:
+    z = logits - logits.max(axis=1, keepdims=True)
+    lq = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.where(q > 0, q * (np.log(np.where(q > 0, q, 1.0)) - lq), 0.0)
+    return t.sum(axis=1)
+
+
+def fit_soft_binary(X: np.ndarray, t: np.ndarray, max_iter: int = 50, ridge: float = 1e-8):
+    """Minimise the mean cross-entropy of soft targets ``t`` (probability of class 1) under
+    a logistic model by damped Newton steps; returns (theta, bias)."""
+    n, d = X.shape
+    Xa = np.hstack([X, np.ones((n, 1))])
+    theta = np.zeros(d + 1)
+
+    def loss(th):
+        z = Xa @ th
+        return float(np.mean(np.logaddexp(0.0, z) - t * z))
+
+    cur = loss(theta)
+    for _ in range(max_iter):
+        p = 1.0 / (1.0 + np.exp(-(Xa @ theta)))
+        g = Xa.T @ (p - t) / n
+        if np.max(np.abs(g)) < 1e-10:
+            break
+        H = (Xa * (p * (1 - p))[:, None]).T @ Xa / n + ridge * np.eye(d + 1)
+        step = np.linalg.solve(H, g)
+        a = 1.0
+        while a > 1e-6:
+            cand = theta - a * step
+            lc = loss(cand)
+            if lc <= cur:
+                theta, cur = cand, lc
+                break
+            a *= 0.5
+        else:
+            break
+    return theta[:d], float(theta[d])
+
+
+def fit_students(soft: DataFrame, keys=("model_name", "sample_size"), max_iter: int = 50) -> DataFrame:
+    """F7/F8 student fits for every distillation group in one job.  ``soft`` rows carry
+    ``features``, teacher probabilities ``q`` and the previous student's logits ``s_prev``.
+    The 2-class softmax student is fitted as logistic regression on the soft target
+    (class-0 row fixed at zero); KL(teacher || student) before and after is reported."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        X = np.stack(pdf["features"].to_numpy()).astype(float)
+        q = np.stack(pdf["q"].to_numpy()).astype(float)
+        prev = np.stack(pdf["s_prev"].to_numpy()).astype(float)
+        theta, bias = fit_soft_binary(X, q[:, 1], max_iter)
+        logits = np.column_stack([np.zeros(len(X)), X @ theta + bias])
+        W = [[0.0] * X.shape[1], theta.tolist()]
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "w": W, "b": [0.0, bias], "n": len(X),
+                              "kl_start": float(_kl_rows(q, prev).mean()),
+                              "kl_end": float(_kl_rows(q, logits).mean())}])
+    return soft.select(*keys, "features", "q", "s_prev").groupBy(*keys).applyInPandas(run, STUDENT_SCHEMA)
+
+
 def kl_mean(df: DataFrame, q: str, logits: Column) -> Column:
     """Mean KL(q || softmax(logits)) over rows; 0 * log 0 = 0."""
     m = F.array_max(logits)

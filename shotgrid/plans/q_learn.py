@@ -72,12 +72,15 @@ def _validation(ev: DataFrame, domain: str) -> tuple[np.ndarray, np.ndarray]:
 CELLS = [(m, s, t) for m in HEAD_MODELS for s in SAMPLE_SIZES for t in range(NUM_TRIALS)]
 
 
-def _fit_metrics(long: DataFrame, ev: DataFrame, logits_fn, arrays: DataFrame) -> DataFrame:
-    scored = L.evaluate_heads(ev, arrays, CELLS, logits_fn)
-    scored = scored.withColumn("ce", L.ce_loss(F.col("logits"), F.col("label"))) \
-                   .withColumn("ok", (F.col("pred") == F.col("label")).cast("double"))
+def _fit_metrics(long: DataFrame, ev: DataFrame, kind: str, layers) -> DataFrame:
+    """Evaluation of every trial (F1 -> G1): scores in one mapInPandas pass, metrics as
+    one aggregation per trial; plus the mean training loss of the trial's steps."""
+    sc = L.score_trials(ev, L.collect_weights(long, layers), kind)
+    lg = F.array("logit0", "logit1")
+    sc = sc.withColumn("ce", L.ce_loss(lg, F.col("label"))) \
+           .withColumn("ok", ((F.col("logit1") > F.col("logit0")).cast("int") == F.col("label")).cast("double"))
     keys = ["model_name", "sample_size", "trial"]
-    evm = scored.groupBy(*keys).agg(*[
+    evm = sc.groupBy(*keys).agg(*[
         F.avg(F.when(F.col("domain") == d, F.col(c))).alias(f"eval_{d}_{n}")
         for d in ("in", "out") for c, n in (("ce", "loss"), ("ok", "accuracy"))])
     tr = long.filter(F.col("record") == "train_step").groupBy(*keys).agg(
@@ -88,9 +91,7 @@ def _fit_metrics(long: DataFrame, ev: DataFrame, logits_fn, arrays: DataFrame) -
 def fewshot_fit(spark, sf) -> tuple[DataFrame, DataFrame]:
     _, ev = vec_sets(spark, sf)
     long = cut_lineage(L.fit_trials(_trials(spark, sf), _validation(ev, "in"), "head", CFG))
-    arrays = L.head_arrays(long)
-    m = _fit_metrics(long, ev, lambda j: L.head_logits(F.col("features"), F.col("w"), F.col("b")), arrays)
-    return long, m
+    return long, _fit_metrics(long, ev, "head", ["W", "b"])
 
 
 def q_fewshot_fit(spark, sf):
@@ -103,12 +104,7 @@ def lora_fit(spark, sf) -> tuple[DataFrame, DataFrame]:
     base = L.base_network(n_f, CFG.hidden, SEED)
     # validation drawn out-of-domain, as the adapter experiment does
     long = cut_lineage(L.fit_trials(_trials(spark, sf), _validation(ev, "out"), "lora", CFG, base))
-    w1 = L.head_arrays(long, "W1_merged", "b1").withColumnRenamed("w", "w1").withColumnRenamed("b", "b1")
-    w2 = L.head_arrays(long, "W2", "b2").withColumnRenamed("w", "w2").withColumnRenamed("b", "b2")
-    arrays = w1.join(w2, ["model_name", "sample_size", "trial"])
-    m = _fit_metrics(long, ev, lambda j: L.mlp_logits(F.col("features"), F.col("w1"), F.col("b1"),
-                                                      F.col("w2"), F.col("b2")), arrays)
-    return long, m
+    return long, _fit_metrics(long, ev, "lora", ["W1_merged", "b1", "W2", "b2"])
 
 
 def q_lora_fit(spark, sf):
@@ -141,49 +137,50 @@ def _distill_rows(spark, sf) -> DataFrame:
     return cut_lineage(rows.join(ctx, "batch_key"))
 
 
-def _eval_student(ev: DataFrame, W, b) -> DataFrame:
-    """Constrained evaluation with no context: hard prediction, G2 loss and accuracy."""
-    head = LinearHead(W, b)
-    s = head.score(ev)
-    return s.groupBy().agg(*[
+def evaluate_students(ev: DataFrame, students: DataFrame, groups) -> DataFrame:
+    """Constrained evaluation with no context for every student at once: hard
+    prediction, G2 loss and accuracy per domain.  Groups are a bounded list (models x
+    sizes), expanded in place and joined to the (broadcast) student weights."""
+    keys = ["model_name", "sample_size"]
+    grid = F.array(*[F.struct(F.lit(m).alias("model_name"), F.lit(int(s)).alias("sample_size")) for m, s in groups])
+    ex = ev.select("*", F.explode(grid).alias("_g")).select("*", "_g.*").drop("_g")
+    j = ex.join(F.broadcast(students.select(*keys, "w", "b")), keys)
+    lg = L.head_logits(F.col("features"), F.col("w"), F.col("b"))
+    pred = (F.element_at(lg, 2) > F.element_at(lg, 1)).cast("int")
+    j = j.withColumn("predicted", pred)
+    return j.groupBy(*keys).agg(*[
         F.avg(F.when(F.col("domain") == d, c)).alias(f"eval_{d}_{n}") for d in ("in", "out")
         for c, n in ((bce_with_logit("predicted", "label"), "loss"),
-                     ((F.col("predicted") == F.col("label")).cast("double"), "accuracy"))]).first().asDict()
+                     ((F.col("predicted") == F.col("label")).cast("double"), "accuracy"))])
 
 
 def context_distill(spark, sf, recursive: bool = False) -> DataFrame:
+    """F7 / F8.  Round r: teacher = context evidence (+ the current student, recursive),
+    soft labels in one pass, all students fitted in one grouped job, weights written to
+    the shared folder (the next round starts from the written copy), all students
+    evaluated in one job."""
     _, ev = vec_sets(spark, sf)
     rows = _distill_rows(spark, sf)
+    keys = ["model_name", "sample_size"]
+    groups = [(r["model_name"], r["sample_size"]) for r in rows.select(*keys).distinct().collect()]
     ctx = L.context_logits(F.col("features"), F.col("ctx0"), F.col("ctx1"), DCFG.tau)
-    out = []
-    keys = [(r["model_name"], r["sample_size"]) for r in
-            rows.select("model_name", "sample_size").distinct().orderBy("model_name", "sample_size").collect()]
     state_dir = fresh_path(spark, "distill_state")
-    for model, size in keys:
-        grp = rows.filter((F.col("model_name") == model) & (F.col("sample_size") == size))
-        n_f = len(grp.select("features").first()["features"])
-        W, b = [[0.0] * n_f, [0.0] * n_f], [0.0, 0.0]
-        rounds = DCFG.rounds if recursive else 1
-        for r in range(1, rounds + 1):
-            student = LinearHead(W, b).logits("features")
-            t_logits = F.zip_with(student, ctx, lambda a, c: a + c) if recursive else ctx
-            soft = grp.withColumn("q", softmax(t_logits))
-            kl_start = soft.agg(L.kl_mean(soft, "q", student).alias("k")).first()["k"]
-            W, b = L.fit_student(soft, DCFG.max_iter)
-            # round state to the shared folder: the next round starts from it
-            st = spark.createDataFrame([(model, size, r, W, b)],
-                                       "model_name string, sample_size int, round int, w array<array<double>>, b array<double>")
-            st.write.mode("overwrite").parquet(f"{state_dir}/{model}/{size}/{r}")
-            saved = spark.read.parquet(f"{state_dir}/{model}/{size}/{r}").first()
-            W, b = [list(x) for x in saved["w"]], list(saved["b"])
-            fitted = LinearHead(W, b).logits("features")
-            kl_end = soft.agg(L.kl_mean(soft, "q", fitted).alias("k")).first()["k"]
-            metrics = _eval_student(ev, W, b)
-            out.append((model, int(size), r, float(kl_start), float(kl_end), *[float(metrics[f"eval_{d}_{n}"])
-                        for d in ("in", "out") for n in ("loss", "accuracy")]))
-    schema = ("model_name string, sample_size int, round int, kl_start double, kl_end double, "
-              "eval_in_loss double, eval_in_accuracy double, eval_out_loss double, eval_out_accuracy double")
-    return spark.createDataFrame(out, schema)
+    students = None
+    results = None
+    for r in range(1, (DCFG.rounds if recursive else 1) + 1):
+        if students is None:
+            cur = rows.withColumn("s_prev", F.array(F.lit(0.0), F.lit(0.0)))
+        else:
+            cur = rows.join(F.broadcast(students.select(*keys, "w", "b")), keys) \
+                      .withColumn("s_prev", L.head_logits(F.col("features"), F.col("w"), F.col("b")))
+        t_logits = F.zip_with(F.col("s_prev"), ctx, lambda a, c: a + c) if recursive else ctx
+        soft = cur.withColumn("q", softmax(t_logits))
+        L.fit_students(soft, keys, DCFG.max_iter).write.mode("overwrite").parquet(f"{state_dir}/round={r}")
+        students = spark.read.parquet(f"{state_dir}/round={r}")
+        res = students.select(*keys, F.lit(r).alias("round"), "kl_start", "kl_end") \
+                      .join(evaluate_students(ev, students, groups), keys)
+        results = res if results is None else results.unionByName(res)
+    return results
 
 
 def q_context_distill(spark, sf):
