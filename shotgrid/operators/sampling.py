@@ -65,12 +65,16 @@ def sample_n(df: DataFrame, n: int, seed: int, *key_parts, id_col: str = "id",
     """Uniform sample of exactly ``n`` rows without replacement.
 
     Plans as TakeOrderedAndProject: each partition keeps its n smallest keys, so only
-    n x partitions rows move; no full sort.
+    n x partitions rows move; no full sort.  The size guard (n larger than the input is
+    an error) runs inside the same job over the n-row result, not as an extra pass.
     """
-    if check:
-        _count_guard(df.count(), n, "sample_n")
     key = sample_key(seed, *[F.lit(p) for p in key_parts], F.col(id_col))
-    return df.withColumn("_h", key).orderBy("_h", id_col).limit(n).drop("_h")
+    out = df.withColumn("_h", key).orderBy("_h", id_col).limit(n)
+    if check:
+        out = out.withColumn("_got", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))   # over <= n rows
+        out = out.filter(F.when(F.col("_got") < F.lit(n), F.raise_error(F.lit(
+            f"cannot take a sample of {n} rows without replacement: the input is smaller"))).otherwise(F.lit(True)))
+    return out.drop("_h", "_got")
 
 
 # ---------------------------------------------------------------------------- trials

@@ -74,10 +74,14 @@ def corpus_totals(corpus: DataFrame, seeds=SEED_WORDS, text: str = "text",
     ``keep`` = (token set, its size): the exploded corpus tokens are semi-joined to it
     before aggregation, so only tokens that are scored are counted and shuffled (the
     set is broadcast when its measured size is below ``MAX_BROADCAST_TOKENS``)."""
-    d = corpus.select(F.array_distinct(tokens(text)).alias("toks"))
-    d = d.select("toks", *[F.arrays_overlap("toks", F.array(*[F.lit(w) for w in seeds[c]])).cast("long")
-                           .alias(f"h{c}") for c in (0, 1)])
+    # "contains a seed word" as one regex over the text: a word is a token iff it is a
+    # maximal [a-z] run of the lower-cased text
+    def has_seed(c):
+        return F.lower(F.col(text)).rlike("(^|[^a-z])(" + "|".join(seeds[c]) + ")([^a-z]|$)").cast("long")
+    d = corpus.select(tokens(text).alias("toks"), has_seed(0).alias("h0"), has_seed(1).alias("h1"))
     tot = d.agg(F.count(F.lit(1)).alias("N"), F.sum("h0").alias("n0"), F.sum("h1").alias("n1")).first().asDict()
+    # per-document dedup stays map-side (no shuffle of token occurrences)
+    d = d.select(F.array_distinct("toks").alias("toks"), "h0", "h1")
     ex = d.select(F.explode("toks").alias("token"), "h0", "h1")
     if keep is not None:
         kt, kn = keep

@@ -25,7 +25,8 @@ def quality_sets(spark, sf) -> tuple[DataFrame, DataFrame]:
     pool = qin.filter(F.col("split") == "train").select("id", "premise", "hypothesis", "label")
     ein = S.sample_n(qin.filter(F.col("split") == "validation"), Q_EVAL_SIZE, SEED, "q_eval", "in")
     eout = S.sample_n(V.quality_pairs(spark, sf, "out"), Q_EVAL_SIZE, SEED, "q_eval", "out")
-    ev = ein.unionByName(eout).select("domain", "id", "label", "premise", "hypothesis")
+    # bounded (2 x eval size) and reused by every scoring step
+    ev = ein.unionByName(eout).select("domain", "id", "label", "premise", "hypothesis").persist()
     return pool, ev
 
 

@@ -45,8 +45,9 @@ def test_partition_independence(spark, ids, parts):
 
 
 def test_sample_larger_than_rows_raises(spark, ids):
-    with pytest.raises(ValueError):
-        S.sample_n(ids, 301, 42)
+    with pytest.raises(Exception, match="cannot take a sample"):
+        S.sample_n(ids, 301, 42).collect()
+    assert S.sample_n(ids, 300, 42).count() == 300
     with pytest.raises(ValueError):
         S.trial_grid(ids.limit(10), [16], 1, 42)
 
