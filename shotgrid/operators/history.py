@@ -5,18 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotgrid.operators.sampling import drop_last
+from shotgrid.operators.sampling import dense_index
 
 
-def split_entries(entries: DataFrame, run_keys=("run",), trim_last: int = 3) -> DataFrame:
+HOT_RUN_ROWS = 1_000_000
+
+
+def split_entries(entries: DataFrame, run_keys=("run",), trim_last: int = 3,
+                  hot_rows: int = HOT_RUN_ROWS) -> DataFrame:
     """C12 + B5: drop each run's last ``trim_last`` entries (train summary and the two
     final evaluations), then split by key presence: an entry without ``eval_loss`` is a
-    training entry.  Long form ``(run..., kind, pos, loss)``, ``pos`` from 1 per kind."""
-    e = drop_last(entries, trim_last, list(run_keys), ["ts", "event_id"])
+    training entry.  Long form ``(run..., kind, pos, loss)``, ``pos`` from 1 per kind.
+
+    The largest run is measured first (a partial aggregation).  Runs up to ``hot_rows``
+    entries are numbered with per-run windows; if any run is bigger, positions come
+    from ``dense_index`` (range-partitioned), so a run holding most of the entries is
+    numbered by many tasks."""
+    order = ["ts", "event_id"]
+    biggest = entries.groupBy(*run_keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    hot = biggest > hot_rows
+    if hot:
+        e = dense_index(entries, order, list(run_keys), index_col="_i", count_col="_n")
+        e = e.filter(F.col("_i") < F.col("_n") - F.lit(trim_last))
+    else:
+        w = Window.partitionBy(*run_keys).orderBy(*[F.col(c).desc() for c in order])
+        e = entries.withColumn("_rd", F.row_number().over(w)).filter(F.col("_rd") > trim_last)
     e = e.withColumn("kind", F.when(F.col("eval_loss").isNull(), F.lit("train")).otherwise(F.lit("val"))) \
-         .withColumn("value", F.coalesce(F.col("eval_loss"), F.col("loss")))
-    w = Window.partitionBy(*run_keys, "kind").orderBy("ts", "event_id")
-    return e.select(*run_keys, "kind", F.row_number().over(w).alias("pos"), F.col("value").alias("loss"))
+         .withColumn("value", F.coalesce(F.col("eval_loss"), F.col("loss"))) \
+         .select(*run_keys, *order, "kind", "value")
+    if hot:
+        e = dense_index(e, order, [*run_keys, "kind"], index_col="_k").withColumn("pos", F.col("_k") + 1)
+    else:
+        e = e.withColumn("pos", F.row_number().over(Window.partitionBy(*run_keys, "kind").orderBy(*order)))
+    return e.select(*run_keys, "kind", F.col("pos").cast("int").alias("pos"), F.col("value").alias("loss"))
 
 
 def zip_long(split: DataFrame, run_keys=("run",)) -> DataFrame:

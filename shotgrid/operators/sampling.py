@@ -18,8 +18,10 @@ from shotgrid.session import cut_lineage
 
 
 # ------------------------------------------------------------------------ dense index
+MAX_BROADCAST_OFFSETS = 1_000_000
 def dense_index(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str] = (),
-                index_col: str = "idx", partitions: int | None = None) -> DataFrame:
+                index_col: str = "idx", partitions: int | None = None,
+                count_col: str | None = None) -> DataFrame:
     """0-based position of each row in ``order_by`` order (within ``group_by``), as an
     explicit column, the distributed equivalent of positional row identity.
 
@@ -40,9 +42,20 @@ def dense_index(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str]
     w = Window.partitionBy(*group_by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) \
         if group_by else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    # offsets has one row per (partition, group): bounded by partitions x groups
-    out = ordered.join(F.broadcast(offsets.select("_pid", *group_by, "_off", "_first")),
-                       ["_pid", *group_by])
+    extra = []
+    if count_col:   # rows of the whole group, from the same small table
+        wg = Window.partitionBy(*group_by) if group_by else Window.partitionBy(F.lit(0))
+        offsets = offsets.withColumn(count_col, F.sum("_n").over(wg))
+        extra = [count_col]
+    # offsets has one row per (partition, group) that has rows: broadcast when its
+    # measured size is small, else a shuffled join (balanced: range partitions are even)
+    offsets = offsets.select("_pid", *group_by, "_off", "_first", *extra)
+    if group_by:
+        offsets = cut_lineage(offsets)
+        small = offsets.count() <= MAX_BROADCAST_OFFSETS
+    else:
+        small = True    # one row per partition
+    out = ordered.join(F.broadcast(offsets) if small else offsets, ["_pid", *group_by])
     return out.withColumn(index_col, (F.col("_off") + F.col("_mono") - F.col("_first")).cast("long")) \
               .drop("_pid", "_mono", "_off", "_first")
 

@@ -1,10 +1,21 @@
 """Training-loop telemetry as window queries.
 
 The reference tags memory readings with a stateful callback.  Here the callback's
-events are a table ``(run, event_id, ts, kind, memory)`` and its state is window
-aggregates over each run's events in (ts, event_id) order: the training flag is the
-last begin/end marker, log numbers are running counts, and peak-memory segments are
-gaps-and-islands over reset events.
+events are a table ``(run, event_id, ts, kind, memory)`` and its state is running
+aggregates over each run's events in (ts, event_id) order:
+
+* training flag  = the last begin/end marker so far (a running max of ``2*idx + flag``),
+* log number     = running count of log events after training (qualifying logs),
+* reset points   = training start, and the first prediction step after training since
+                   the last qualifying log (running count of such steps minus its value
+                   at the last qualifying log, which is a running max because it only grows),
+* segment        = running count of resets; peak memory = running max within a segment.
+
+Every one of these is a running sum or max, so a run is cut into chunks of at most
+``chunk_rows`` events (positions from ``dense_index``, which spreads a hot run over
+many range partitions): each value is a window inside its chunk plus a carry from the
+chunks before it, taken from a small per-chunk table.  A run holding a third of all
+events is processed by many tasks, never one.
 """
 
 from __future__ import annotations
@@ -12,21 +23,78 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_UNB = Window.unboundedPreceding
-
-
-def _w(df_run: str = "run"):
-    return Window.partitionBy(df_run).orderBy("ts", "event_id")
+from shotgrid.operators.sampling import dense_index
 
-
-def with_state(tel: DataFrame) -> DataFrame:
-    """Adds ``is_training``, ``qualifying`` (a log event after training) and ``log_no``."""
-    w = _w()
-    marker = F.when(F.col("kind") == "train_begin", F.lit(1)).when(F.col("kind") == "train_end", F.lit(0))
-    training = F.coalesce(F.last(marker, ignorenulls=True).over(w.rowsBetween(_UNB, 0)), F.lit(0)) == 1
-    out = tel.withColumn("is_training", training) \
-             .withColumn("qualifying", (F.col("kind") == "log") & ~F.col("is_training"))
-    return out.withColumn("log_no", F.sum(F.col("qualifying").cast("int")).over(w.rowsBetween(_UNB, 0)))
+_UNB = Window.unboundedPreceding
+CHUNK_ROWS = 1_000_000
+
+
+def _carry_join(x: DataFrame, aggs: dict, how: str, chunked: bool) -> DataFrame:
+    """Joins the exclusive prefix (sum or max) over earlier chunks of per-chunk
+    aggregates as ``c_<name>``; with one chunk per run there is nothing to carry."""
+    if not chunked:
+        return x.select("*", *[F.lit(None).cast("long").alias(f"c_{n}") for n in aggs])
+    tot = x.groupBy("run", "chunk").agg(*[e.alias(n) for n, e in aggs.items()])
+    w = Window.partitionBy("run").orderBy("chunk").rowsBetween(_UNB, -1)
+    f = F.sum if how == "sum" else F.max
+    carry = tot.select("run", "chunk", *[f(n).over(w).alias(f"c_{n}") for n in aggs])
+    return x.join(carry, ["run", "chunk"], "left")
+
+
+def _positions(tel: DataFrame, chunk_rows: int) -> tuple[DataFrame, bool]:
+    """Per-run positions and chunk numbers.  The largest run is measured first (a partial
+    aggregation); only if some run exceeds ``chunk_rows`` are positions built with
+    ``dense_index`` and runs cut into chunks, else a run is one window partition."""
+    biggest = tel.groupBy("run").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if biggest > chunk_rows:
+        x = dense_index(tel, ["ts", "event_id"], ["run"])
+        return x.withColumn("chunk", F.floor(F.col("idx") / F.lit(chunk_rows)).cast("long")), True
+    w = Window.partitionBy("run").orderBy("ts", "event_id")
+    return tel.withColumn("idx", (F.row_number().over(w) - 1).cast("long")).withColumn("chunk", F.lit(0).cast("long")), False
+
+
+def with_state(tel: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Adds ``is_training``, ``qualifying`` (a log event after training), ``log_no``,
+    ``pred`` (a prediction step after training), ``p_count``, ``reset`` and ``seg``."""
+    return _state(tel, chunk_rows)[0]
+
+
+def _state(tel: DataFrame, chunk_rows: int) -> tuple[DataFrame, bool]:
+    x, chunked = _positions(tel, chunk_rows)
+    wc = Window.partitionBy("run", "chunk").orderBy("idx")
+    inc, exc = wc.rowsBetween(_UNB, 0), wc.rowsBetween(_UNB, -1)
+
+    # 1. training flag: the latest marker, encoded so that "latest" is a running max
+    enc = F.when(F.col("kind") == "train_begin", F.col("idx") * 2 + 1) \
+           .when(F.col("kind") == "train_end", F.col("idx") * 2)
+    x = x.withColumn("_enc", enc)
+    x = _carry_join(x, {"enc": F.max("_enc")}, "max", chunked)
+    last = F.greatest(F.max("_enc").over(inc), F.col("c_enc"))
+    x = x.withColumn("is_training", F.coalesce(last % 2, F.lit(0)) == 1) \
+         .withColumn("qualifying", (F.col("kind") == "log") & ~F.col("is_training")) \
+         .withColumn("pred", (F.col("kind") == "prediction_step") & ~F.col("is_training")) \
+         .drop("_enc", "c_enc")
+
+    # 2. running counts of qualifying logs and of post-training prediction steps
+    q, p = F.col("qualifying").cast("long"), F.col("pred").cast("long")
+    x = _carry_join(x, {"q": F.sum(q), "p": F.sum(p)}, "sum", chunked)
+    x = x.withColumn("log_no", F.coalesce(F.col("c_q"), F.lit(0)) + F.sum(q).over(inc)) \
+         .withColumn("p_count", F.coalesce(F.col("c_p"), F.lit(0)) + F.sum(p).over(inc)) \
+         .drop("c_q", "c_p")
+
+    # 3. prediction count at the last qualifying log strictly before (non-decreasing)
+    qp = F.when(F.col("qualifying"), F.col("p_count"))
+    x = x.withColumn("_qp", qp)
+    x = _carry_join(x, {"qp": F.max("_qp")}, "max", chunked)
+    last_log_p = F.coalesce(F.greatest(F.max("_qp").over(exc), F.col("c_qp")), F.lit(0))
+    x = x.withColumn("reset", (F.col("kind") == "train_begin") |
+                     (F.col("pred") & (F.col("p_count") - last_log_p == 1))).drop("_qp", "c_qp")
+
+    # 4. segment id = running count of resets
+    r = F.col("reset").cast("long")
+    x = _carry_join(x, {"r": F.sum(r)}, "sum", chunked)
+    x = x.withColumn("seg", F.coalesce(F.col("c_r"), F.lit(0)) + F.sum(r).over(inc)).drop("c_r")
+    return x, chunked
 
 
 def phase_of(log_no, val_in_training: bool):
@@ -38,28 +106,27 @@ def phase_of(log_no, val_in_training: bool):
              .when(k > first + 1, F.lit("eval_out")))
 
 
-def phase_tags(tel: DataFrame) -> DataFrame:
+def phase_tags(tel: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Every log event after training with its number and phase in both modes."""
-    s = with_state(tel).filter("qualifying")
+    s = with_state(tel, chunk_rows).filter("qualifying")
     return s.select("run", "event_id", "ts", "log_no",
                     phase_of("log_no", True).alias("phase_val"),
                     phase_of("log_no", False).alias("phase_noval"))
 
 
-def phase_peaks(tel: DataFrame, val_in_training: bool = False) -> DataFrame:
-    """Peak memory reported at each tagged log.  The peak resets at training start and
-    at the first prediction step after training since the last tagged log."""
-    w = _w()
-    s = with_state(tel)
-    pred = (F.col("kind") == "prediction_step") & ~F.col("is_training")
-    s = s.withColumn("_p", F.sum(pred.cast("int")).over(w.rowsBetween(_UNB, 0)))
-    last_log_p = F.coalesce(F.last(F.when(F.col("qualifying"), F.col("_p")), ignorenulls=True)
-                            .over(w.rowsBetween(_UNB, -1)), F.lit(0))
-    reset = (F.col("kind") == "train_begin") | (pred & (F.col("_p") - last_log_p == 1))
-    s = s.withColumn("_seg", F.sum(reset.cast("int")).over(w.rowsBetween(_UNB, 0)))
-    # (run, seg) is clustered by run already: no new shuffle, only a sort
-    ws = Window.partitionBy("run", "_seg").orderBy("ts", "event_id").rowsBetween(_UNB, 0)
-    s = s.withColumn("peak_memory", F.max("memory").over(ws))
+def phase_peaks(tel: DataFrame, val_in_training: bool = False, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Peak memory reported at each tagged log: the running max of memory within the
+    current segment (segments may span chunks: carried per (run, seg))."""
+    s, chunked = _state(tel, chunk_rows)
+    if chunked:
+        segmax = s.groupBy("run", "chunk", "seg").agg(F.max("memory").alias("m"))
+        ws = Window.partitionBy("run", "seg").orderBy("chunk").rowsBetween(_UNB, -1)
+        carry = segmax.select("run", "chunk", "seg", F.max("m").over(ws).alias("c_m"))
+        s = s.join(carry, ["run", "chunk", "seg"], "left")
+    else:
+        s = s.withColumn("c_m", F.lit(None).cast("double"))
+    wi = Window.partitionBy("run", "chunk", "seg").orderBy("idx").rowsBetween(_UNB, 0)
+    s = s.withColumn("peak_memory", F.greatest(F.max("memory").over(wi), F.col("c_m")))
     tagged = s.filter("qualifying").withColumn("phase", phase_of("log_no", val_in_training)) \
               .filter(F.col("phase").isNotNull())
     return tagged.select("run", "event_id", "log_no", "phase", "peak_memory")

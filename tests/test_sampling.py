@@ -72,3 +72,23 @@ def test_micro_batches_last_short(spark):
     mb = S.micro_batches(spark.range(0, 21), 8)
     sizes = sorted(r[1] for r in mb.groupBy("batch_id").count().collect())
     assert sizes == [5, 8, 8]
+
+
+def test_history_split_with_hot_run(spark):
+    """Drop-last-3 and per-kind positions against a brute-force window, with one run
+    holding most entries and the data spread over many partitions."""
+    import datetime as dt
+    from shotgrid.operators.history import split_entries
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(0 if i % 10 else 1 + i % 3, i, t0 + dt.timedelta(seconds=i),
+             None if i % 3 else float(i), float(i) if i % 3 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "run long, event_id long, ts timestamp, eval_loss double, loss double")
+    got = sorted(map(tuple, split_entries(df.repartition(7), hot_rows=50).collect()))
+    assert got == sorted(map(tuple, split_entries(df).collect()))
+    w = Window.partitionBy("run").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    b = df.withColumn("rd", F.row_number().over(w)).filter("rd > 3") \
+          .withColumn("kind", F.when(F.col("eval_loss").isNull(), "train").otherwise("val"))
+    wk = Window.partitionBy("run", "kind").orderBy("ts", "event_id")
+    exp = b.select("run", "kind", F.row_number().over(wk).alias("pos"),
+                   F.coalesce("eval_loss", "loss").alias("loss"))
+    assert got == sorted(map(tuple, exp.collect()))

@@ -36,3 +36,12 @@ def test_phase_peaks_reset_rules(spark):
 def test_throughput(spark):
     r = TL.throughput(events(spark)).first()
     assert r["n_steps"] == 4 and r["runtime"] == 13.0
+
+
+def test_chunked_state_equals_unchunked(spark):
+    """Chunk carries (a hot run split into many pieces) give the same answers."""
+    ev = events(spark)
+    for fn in (TL.phase_tags, lambda t, c: TL.phase_peaks(t, False, c)):
+        whole = sorted(map(tuple, fn(ev, 1_000_000).collect()))
+        for c in (1, 2, 3, 5):
+            assert sorted(map(tuple, fn(ev, c).collect())) == whole
