@@ -18,7 +18,6 @@ from shotgrid.session import cut_lineage
 
 
 # ------------------------------------------------------------------------ dense index
-MAX_BROADCAST_OFFSETS = 1_000_000
 def dense_index(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str] = (),
                 index_col: str = "idx", partitions: int | None = None,
                 count_col: str | None = None) -> DataFrame:
@@ -47,15 +46,11 @@ def dense_index(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str]
         wg = Window.partitionBy(*group_by) if group_by else Window.partitionBy(F.lit(0))
         offsets = offsets.withColumn(count_col, F.sum("_n").over(wg))
         extra = [count_col]
-    # offsets has one row per (partition, group) that has rows: broadcast when its
-    # measured size is small, else a shuffled join (balanced: range partitions are even)
+    # offsets has one row per (partition, group) that has rows.  Without groups that is
+    # one row per partition: broadcast.  With groups it can grow with the number of
+    # groups, so the join is left to AQE, which broadcasts it only after measuring it.
     offsets = offsets.select("_pid", *group_by, "_off", "_first", *extra)
-    if group_by:
-        offsets = cut_lineage(offsets)
-        small = offsets.count() <= MAX_BROADCAST_OFFSETS
-    else:
-        small = True    # one row per partition
-    out = ordered.join(F.broadcast(offsets) if small else offsets, ["_pid", *group_by])
+    out = ordered.join(offsets if group_by else F.broadcast(offsets), ["_pid", *group_by])
     return out.withColumn(index_col, (F.col("_off") + F.col("_mono") - F.col("_first")).cast("long")) \
               .drop("_pid", "_mono", "_off", "_first")
 

@@ -7,6 +7,7 @@ DuckDB even for accented text, which splits tokens the same way in both).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,21 +34,28 @@ def build_vocab(corpus: DataFrame, size: int, text: str = "text") -> DataFrame:
     return top.withColumn("token_id", (F.row_number().over(w) - 1 + N_SPECIAL).cast("int"))
 
 
-def _vocab_side(vocab: DataFrame, size: int) -> DataFrame:
-    return F.broadcast(vocab) if size <= MAX_BROADCAST_VOCAB else vocab
+def _vocab_map(vocab: DataFrame, vocab_size: int, key: str, value: str) -> dict:
+    """The vocabulary as a dict for a broadcast; its size is its parameter."""
+    if vocab_size > MAX_BROADCAST_VOCAB:
+        raise ValueError(f"vocabulary of {vocab_size} entries is above the broadcast limit")
+    return {r[0]: r[1] for r in vocab.select(key, value).collect()}
 
 
 def encode(df: DataFrame, vocab: DataFrame, vocab_size: int, text: str = "text", key: str = "id",
            out: str = "input_ids") -> DataFrame:
-    """Text -> token ids in text order; unknown tokens -> UNK.  Rows are exploded to
-    (key, pos, token), looked up in the broadcast vocabulary and regrouped by key with
-    the ids sorted by position (a row's group is its own tokens)."""
-    ex = df.select(key, F.posexplode_outer(tokens(text)).alias("pos", "token"))
-    v = _vocab_side(vocab.select("token", "token_id"), vocab_size)
-    j = ex.join(v, "token", "left").withColumn("tid", F.coalesce("token_id", F.lit(UNK)))
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(
-        F.when(F.col("pos").isNotNull(), F.struct(F.col("pos").alias("p"), F.col("tid").alias("t"))))).alias("_s"))
-    return g.select(key, F.transform("_s", lambda s: s["t"]).alias(out))
+    """Text -> token ids in text order; unknown tokens -> UNK.
+
+    Tokenisation is the JVM regex (the same as ``build_vocab``); the id lookup is a
+    map-only Arrow UDF against the broadcast vocabulary (bounded by its size parameter),
+    so no token occurrence is shuffled."""
+    bc = df.sparkSession.sparkContext.broadcast(_vocab_map(vocab, vocab_size, "token", "token_id"))
+
+    @F.pandas_udf("array<int>")
+    def lookup(toks: pd.Series) -> pd.Series:
+        m = bc.value
+        return toks.map(lambda ts: [m.get(t, UNK) for t in ts] if ts is not None else [])
+
+    return df.select(key, lookup(tokens(text)).alias(out))
 
 
 def pad_truncate(ids, max_length: int, side: str = "right") -> tuple[Column, Column]:
@@ -66,14 +74,16 @@ def pad_truncate(ids, max_length: int, side: str = "right") -> tuple[Column, Col
 def decode_suffix(df: DataFrame, vocab: DataFrame, vocab_size: int, generated: str, prompt_len: int,
                   key: str = "id", out: str = "generated_text") -> DataFrame:
     """Drop the prompt's ``prompt_len`` ids, skip special ids, map ids to tokens and
-    join them with spaces (empty string when nothing is left)."""
+    join them with spaces (empty string when nothing is left); map-only."""
+    bc = df.sparkSession.sparkContext.broadcast(_vocab_map(vocab, vocab_size, "token_id", "token"))
     suffix = F.filter(F.slice(F.col(generated), prompt_len + 1, 1 << 20), lambda x: x >= F.lit(N_SPECIAL))
-    ex = df.select(key, F.posexplode_outer(suffix).alias("pos", "tid"))
-    v = _vocab_side(vocab.select(F.col("token_id").alias("tid"), "token"), vocab_size)
-    j = ex.join(v, "tid", "left")
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(
-        F.when(F.col("pos").isNotNull(), F.struct(F.col("pos").alias("p"), F.col("token").alias("w"))))).alias("_s"))
-    return g.select(key, F.array_join(F.transform("_s", lambda s: s["w"]), " ").alias(out))
+
+    @F.pandas_udf("string")
+    def words(ids: pd.Series) -> pd.Series:
+        m = bc.value
+        return ids.map(lambda a: " ".join(m[int(i)] for i in a if int(i) in m) if a is not None else "")
+
+    return df.select(key, words(suffix).alias(out))
 
 
 def choice_ids(vocab: DataFrame, words: list[str]) -> DataFrame:
