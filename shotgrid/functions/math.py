@@ -29,7 +29,7 @@ def bce_with_logit(x, y) -> Column:
 
 
 def softmax(arr, temperature: float = 1.0) -> Column:
-    """Max-shifted softmax of an array column, divided by a temperature."""
+    """Max-shifted softmax of an array column, divided by a temperature."""
     a = F.transform(_col(arr), lambda v: v / F.lit(float(temperature)))
     m = F.array_max(a)
     e = F.transform(a, lambda v: F.exp(v - m))
@@ -72,6 +72,7 @@ def distill_batch_size(model_name, large_model: str = "opt-350m") -> Column:
 
 
 def steps_per_epoch(n, batch) -> Column:
+    """ceil(n / batch); total steps = epochs x this."""
     return F.ceil(_col(n) / _col(batch)).cast("int")
 
 

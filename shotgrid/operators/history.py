@@ -42,7 +42,7 @@ def split_entries(entries: DataFrame, run_keys=("run",), trim_last: int = 3,
 
 def zip_long(split: DataFrame, run_keys=("run",)) -> DataFrame:
     """E5 relationally: the i-th training loss next to the i-th validation loss, epoch
-    from 1, stopping at the shorter list (an inner equi-join on (run, pos))."""
+    from 1 (W3), stopping at the shorter list (an inner equi-join on (run, pos))."""
     tr = split.filter(F.col("kind") == "train").select(*run_keys, F.col("pos").alias("epoch"),
                                                       F.col("loss").alias("train_loss"))
     va = split.filter(F.col("kind") == "val").select(*run_keys, F.col("pos").alias("epoch"),

@@ -58,7 +58,8 @@ def accuracy_from_logits(df: DataFrame, logits: Mapping[str, str], label: str =
 
 def distillation_loss(df: DataFrame, teacher: str, student: str, batch_keys: Sequence[str],
                       temperature: float = 1.0) -> DataFrame:
-    """``T^2 * sum KL(softmax(t/T) || softmax(s/T)) / batch size`` per batch."""
+    """``T^2 * sum KL(softmax(t/T) || softmax(s/T)) / batch size`` per batch; teacher and
+    student logits of a row sit in the same row (J3)."""
     kl = kl_rows(teacher, student, temperature)
     return df.groupBy(*batch_keys).agg(
         (F.lit(float(temperature) ** 2) * F.sum(kl) / F.count(F.lit(1))).alias("loss"),

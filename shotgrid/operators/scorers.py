@@ -12,6 +12,11 @@ scores on the executors:
 * ``LinearHead`` -- a softmax head over feature vectors, as array expressions (F1).
 * ``score_with`` -- any per-batch Python model (``Scorer`` protocol) via ``mapInPandas``
   with its weights broadcast once per executor.
+
+UDF surface of the reference: batched map functions (U1) and filter predicates (U2)
+are built-in column expressions here; lifecycle callbacks (U4) are the telemetry table
+and its window queries; the metric callback (U3) is ``metrics.METRICS``; the model
+plug-in (U5) is ``get_model`` / ``score_with``.
 """
 
 from __future__ import annotations

@@ -43,7 +43,9 @@ def zero_shot_choices(spark, sf, models=SC.COUNT_MODELS) -> DataFrame:
 
 
 def zero_shot(spark, sf, models=SC.COUNT_MODELS) -> DataFrame:
-    """every model on both domains in one job; one metrics row per model."""
+    """every model on both domains in one job; one metrics row per model (H2: rows of
+    one distributed result).  B9: ``sample_size`` is the evaluation-set size, as the
+    zero-shot log records it.  J1: the actual label rides along with each scored row."""
     ch = zero_shot_choices(spark, sf, models)
     m = M.domain_metrics(ch, ["model_name"])
     return m.select("model_name", F.col("eval_in_n").cast("int").alias("sample_size"),

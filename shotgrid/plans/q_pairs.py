@@ -62,6 +62,7 @@ def _clean(spark, sf):
 
 
 def trials(spark, sf) -> DataFrame:
+    """C3 over the cleaned in-domain training rows; trials numbered from 0."""
     train, _ = _clean(spark, sf)
     return S.trial_grid(train, SAMPLE_SIZES, NUM_TRIALS, SEED)
 

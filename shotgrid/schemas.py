@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------------------
 # Fixed values (must equal the original experiment's for identical results).
-# Verbaliser used inside in-context demonstrations, by label id 0, 1.
+# D6 verbalisers.  Used inside in-context demonstrations, by label id 0, 1.
 DEMO_VERBALISER = ["entailment", "contradiction"]
 # Answer vocabulary of the closed-choice decoder, by label id 0, 1.
 ANSWER_VERBALISER = ["Yes", "No"]
