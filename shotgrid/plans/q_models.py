@@ -69,7 +69,13 @@ def q_experiment_grid(spark, sf):
     return round_doubles(X.experiment_grid(spark, sf))
 
 
+def q_answer_choices(spark, sf):
+    """Ids of the allowed answers in the corpus vocabulary (absent words have none)."""
+    return TK.choice_ids(vocab(spark, sf), ["Yes", "No"])
+
+
 QUERIES = {
+    "answer_choices": q_answer_choices,
     "build_vocab": q_build_vocab,
     "encode_tokens": q_encode_tokens,
     "pad_truncate": q_pad_truncate,
@@ -186,6 +192,7 @@ zsm AS (SELECT model_name, CAST(sum(CASE WHEN domain = 'in' THEN 1 ELSE 0 END) A
         FROM zch GROUP BY model_name)"""
 
 SQL = {
+    "answer_choices": f"WITH {_VOCAB} SELECT token, token_id FROM v WHERE token IN ('yes', 'no')",
     "build_vocab": f"WITH {_VOCAB} SELECT token, token_id, n FROM v",
     "encode_tokens": f"WITH {_VOCAB}, {_DOCS}, {_encode('docs', 'text', 'enc')} "
                      "SELECT id, CAST(len(ids) AS INTEGER) AS n_tokens, array_to_string(ids, ' ') AS ids FROM enc",

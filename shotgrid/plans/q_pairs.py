@@ -198,7 +198,35 @@ def q_icl_prompts(spark, sf):
     return P.icl_prompts(ev, contexts(spark, sf), CELLS).select("domain", "id", "sample_size", "trial", "text")
 
 
+def training_schedule(spark, sf) -> DataFrame:
+    """C11 + S2 + S1 over the trial grid and the distillation sets: batch size by model
+    and shot count, steps per epoch, total and warm-up steps, learning rate per step."""
+    from shotgrid.functions.math import batch_size_rule, distill_batch_size, linear_schedule, steps_per_epoch
+    from shotgrid.schemas import MODEL_NAMES
+    models = F.explode(F.array(*[F.lit(m) for m in MODEL_NAMES])).alias("model_name")
+    few = trials(spark, sf).groupBy("sample_size", "trial").agg(F.count(F.lit(1)).alias("n")) \
+        .select(F.lit("fewshot").alias("method"), models, "sample_size", "trial", "n") \
+        .withColumn("batch_size", batch_size_rule("model_name", "sample_size")) \
+        .withColumn("epochs", F.lit(40)).withColumn("warmup_ratio", F.lit(0.1)).withColumn("base_lr", F.lit(1e-5))
+    dst = distill_sets(spark, sf).groupBy("sample_size").agg(F.count(F.lit(1)).alias("n")) \
+        .select(F.lit("context_distillation").alias("method"), models, "sample_size", F.lit(0).alias("trial"), "n") \
+        .withColumn("batch_size", distill_batch_size("model_name")) \
+        .withColumn("epochs", F.lit(1)).withColumn("warmup_ratio", F.lit(0.0)).withColumn("base_lr", F.lit(5e-5))
+    g = few.unionByName(dst).withColumn("steps_per_epoch", steps_per_epoch("n", "batch_size")) \
+        .withColumn("total_steps", F.col("epochs") * F.col("steps_per_epoch")) \
+        .withColumn("warmup_steps", F.ceil(F.col("warmup_ratio") * F.col("total_steps")).cast("int"))
+    steps = g.select("*", F.explode(F.sequence(F.lit(0), F.col("total_steps") - 1)).alias("step"))
+    lr = F.col("base_lr") * linear_schedule("step", "total_steps", "warmup_steps", 1.0)
+    return steps.select("method", "model_name", "sample_size", "trial", "batch_size", "steps_per_epoch",
+                        "total_steps", "warmup_steps", "step", F.round(lr, 12).alias("lr"))
+
+
+def q_training_schedule(spark, sf):
+    return training_schedule(spark, sf)
+
+
 QUERIES = {
+    "training_schedule": q_training_schedule,
     "load_in_domain": q_load_in_domain,
     "load_out_domain": q_load_out_domain,
     "materialize_dataset": q_materialize_dataset,
@@ -235,7 +263,25 @@ _TEACHER_Q = (
     "entailment. ' || chr(10) || 'The answer is No when the premise and hypothesis are a contradiction and the "
     "answer is Yes when the hypothesis and ' || chr(10) || 'premise are an entailment ' || chr(10) || ' '")
 
+_SCHED_LR = ("round(base_lr * CASE WHEN step < warmup_steps THEN step / greatest(CAST(warmup_steps AS DOUBLE), 1.0) "
+             "ELSE greatest(0.0, (total_steps - step) / greatest(CAST(total_steps - warmup_steps AS DOUBLE), 1.0)) END, 12)")
+_SCHED = f"""g0 AS (
+  SELECT 'fewshot' AS method, m.model_name, t.sample_size, t.trial, count(*) AS n,
+         CAST(CASE WHEN m.model_name = 'opt-350m' AND t.sample_size >= 8 THEN floor(32 / t.sample_size) ELSE 8 END AS INTEGER) AS batch_size,
+         40 AS epochs, 0.1 AS warmup_ratio, 1e-5 AS base_lr
+  FROM trials t, (VALUES ('opt-125m'), ('opt-350m')) m(model_name) GROUP BY ALL
+  UNION ALL
+  SELECT 'context_distillation', m.model_name, d.sample_size, 0, count(*),
+         CASE WHEN m.model_name = 'opt-350m' THEN 2 ELSE 4 END, 1, 0.0, 5e-5
+  FROM distill d, (VALUES ('opt-125m'), ('opt-350m')) m(model_name) GROUP BY ALL),
+g1 AS (SELECT *, CAST(ceil(n / batch_size) AS INTEGER) AS steps_per_epoch FROM g0),
+g2 AS (SELECT *, epochs * steps_per_epoch AS total_steps FROM g1),
+g3 AS (SELECT *, CAST(ceil(CAST(warmup_ratio AS DOUBLE) * total_steps) AS INTEGER) AS warmup_steps FROM g2)"""
+
 SQL = {
+    "training_schedule": _pre(_TRIALS, _DISTILL, _SCHED) + f"""SELECT method, model_name, sample_size, trial, batch_size,
+        steps_per_epoch, total_steps, warmup_steps, CAST(step AS INTEGER) AS step, {_SCHED_LR} AS lr
+        FROM (SELECT *, unnest(range(total_steps)) AS step FROM g3)""",
     "load_in_domain": _pre() + "SELECT id, premise, hypothesis, label, split FROM clean_in",
     "load_out_domain": _pre() + "SELECT id, premise, hypothesis, label, heuristic FROM out_lo",
     "materialize_dataset": _pre() + "SELECT id, premise, hypothesis, label, split FROM clean_in",

@@ -108,7 +108,14 @@ def q_param_counts(spark, sf):
     return round_doubles(M.param_counts(V.param_table(spark, sf), ["layer"]))
 
 
+def q_param_freeze(spark, sf):
+    """F11 then G12: freeze every layer of one brand family and count again, per model part."""
+    frozen = M.freeze(V.param_table(spark, sf), F.col("layer").startswith("Brand#1"))
+    return round_doubles(M.param_counts(frozen.withColumn("part", F.substring("layer", 1, 7)), ["part"]))
+
+
 QUERIES = {
+    "param_freeze": q_param_freeze,
     "phase_tags": q_phase_tags,
     "phase_peaks": q_phase_peaks,
     "throughput": q_throughput,
@@ -166,6 +173,10 @@ _T1, _T2, _TLSE = _sm("teacher", TEMP)
 _S1, _S2, _SLSE = _sm("student", TEMP)
 
 SQL = {
+    "param_freeze": V.with_views("param_table") + """SELECT substr(layer, 1, 7) AS part, CAST(sum(n) AS BIGINT) AS all_params,
+        CAST(sum(CASE WHEN trainable AND NOT starts_with(layer, 'Brand#1') THEN n ELSE 0 END) AS BIGINT) AS trainable_params,
+        round(100.0 * sum(CASE WHEN trainable AND NOT starts_with(layer, 'Brand#1') THEN n ELSE 0 END) / sum(n), 6) AS trainable_pct
+        FROM param_table GROUP BY 1""",
     "phase_tags": V.with_views("telemetry") + f",\n{_STATE}\nSELECT run, event_id, ts, log_no, {_phase(3)} AS phase_val, "
                   f"{_phase(1)} AS phase_noval FROM s2 WHERE qualifying",
     "phase_peaks": V.with_views("telemetry") + f""",
