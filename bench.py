@@ -36,16 +36,28 @@ def main() -> None:
     spark = build_session(f"local[{cpus}]", app="shotgrid-bench", shuffle_partitions=int(cpus) * 2)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
     qs = E.queries()
-    # warm-up: JVM, Python workers, parquet footers
-    qs["remove_neutral"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    # untimed warm-up on the smallest scale: JVM class loading, code generation, Python
+    # workers (steady-state timings, like the reference's loaded-model evaluation times)
+    warm = os.environ.get("BENCH_WARMUP_DIR", "/root/testdata/sf0.001")
+    for n in ("remove_neutral", "trial_grid", "icl_context", "encode_tokens", "phase_peaks", "fewshot_fit"):
+        try:
+            qs[n](spark, warm).write.format("noop").mode("overwrite").save()
+        except Exception:  # noqa: BLE001 - warm-up only
+            pass
     times: dict[str, float] = {}
     for n in names:
         t0 = time.perf_counter()
         qs[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[n] = round(time.perf_counter() - t0, 3)
     sf = os.path.basename(os.path.normpath(sf_dir)).replace("sf", "")
+    # units of the reference's published numbers: seconds per evaluated set (one model,
+    # one domain, one trial) and per trained trial (fit + evaluation on both domains)
+    units = {"zero_shot": ("sec_per_eval_set", 2 * 2), "icl_eval": ("sec_per_eval_set", 2 * 40 * 2),
+             "fewshot_fit": ("sec_per_trial", 2 * 40), "lora_fit": ("sec_per_trial", 2 * 40),
+             "context_distill": ("sec_per_trial", 2 * 2)}
+    per_unit = {f"{n}_{u}": round(times[n] / k, 4) for n, (u, k) in units.items() if n in times}
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": sf}))
+                      "unit": "sec", "queries": times, "per_unit": per_unit, "sf": sf}))
 
 
 if __name__ == "__main__":

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from shotgrid.functions.math import argmax, softmax
 from shotgrid.functions.text import answer_word, minimal_pattern, parse_answer
 from shotgrid.operators.tokens import tokens
+from shotgrid.session import cut_lineage
 
 # Seed words of each answer (label 0 = "Yes", 1 = "No"); a parameter of the scorer.
 SEED_WORDS = {0: ["yes", "good", "the", "and"], 1: ["no", "bad", "de", "la"]}
@@ -61,38 +62,38 @@ def _models_array(models: Sequence[CountModel]) -> Column:
                               F.lit(float(m.lam)).alias("lam")) for m in models])
 
 
-# The token set of the evaluation prompts is broadcast below this many tokens.
-MAX_BROADCAST_TOKENS = 5_000_000
+TOTAL_KEY = ""   # never a token (tokens are non-empty [a-z] runs): carries the corpus totals
 
 
-def needed_tokens(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Distinct tokens of the evaluation prompts and their number."""
-    t = rows.select(F.explode(tokens(minimal_pattern("premise", "hypothesis"))).alias("token")).distinct()
-    return t, t.count()
+def needed_tokens(rows: DataFrame) -> DataFrame:
+    """Distinct tokens of the evaluation prompts."""
+    return rows.select(F.explode(tokens(minimal_pattern("premise", "hypothesis"))).alias("token")).distinct()
 
 
 def corpus_totals(corpus: DataFrame, seeds=SEED_WORDS, text: str = "text",
-                  keep: tuple[DataFrame, int] | None = None) -> tuple[DataFrame, dict]:
+                  keep: DataFrame | None = None) -> tuple[DataFrame, dict]:
     """Per-token document counts with each answer's seed words, plus the three corpus
-    totals (one bounded row brought to the driver).
+    totals (one bounded row brought to the driver), from a single pass over the corpus.
 
-    ``keep`` = (token set, its size): the exploded corpus tokens are semi-joined to it
-    before aggregation, so only tokens that are scored are counted and shuffled (the
-    set is broadcast when its measured size is below ``MAX_BROADCAST_TOKENS``)."""
-    # "contains a seed word" as one regex over the text: a word is a token iff it is a
-    # maximal [a-z] run of the lower-cased text
+    Each document contributes its distinct tokens (deduplicated map-side, no shuffle of
+    token occurrences) plus one ``TOTAL_KEY`` entry whose counts are the corpus totals.
+    ``keep`` (a token set) semi-joins the tokens before aggregation, so only scored
+    tokens are counted and shuffled; AQE broadcasts it after measuring it."""
     def has_seed(c):
+        # "contains a seed word" as one regex: a word is a token iff it is a maximal
+        # [a-z] run of the lower-cased text
         return F.lower(F.col(text)).rlike("(^|[^a-z])(" + "|".join(seeds[c]) + ")([^a-z]|$)").cast("long")
-    d = corpus.select(tokens(text).alias("toks"), has_seed(0).alias("h0"), has_seed(1).alias("h1"))
-    tot = d.agg(F.count(F.lit(1)).alias("N"), F.sum("h0").alias("n0"), F.sum("h1").alias("n1")).first().asDict()
-    # per-document dedup stays map-side (no shuffle of token occurrences)
-    d = d.select(F.array_distinct("toks").alias("toks"), "h0", "h1")
+    d = corpus.select(F.array_union(F.array_distinct(tokens(text)), F.array(F.lit(TOTAL_KEY))).alias("toks"),
+                      has_seed(0).alias("h0"), has_seed(1).alias("h1"))
     ex = d.select(F.explode("toks").alias("token"), "h0", "h1")
     if keep is not None:
-        kt, kn = keep
-        ex = ex.join(F.broadcast(kt) if kn <= MAX_BROADCAST_TOKENS else kt, "token", "left_semi")
+        kt = keep.select("token").unionByName(corpus.sparkSession.createDataFrame([(TOTAL_KEY,)], "token string"))
+        ex = ex.join(kt, "token", "left_semi")
     cnt = ex.groupBy("token").agg(F.count(F.lit(1)).alias("n_w"), F.sum("h0").alias("n_w0"), F.sum("h1").alias("n_w1"))
-    return cnt, {k: int(v or 0) for k, v in tot.items()}
+    cnt = cut_lineage(cnt)   # the counts are read twice: totals now, token rows later
+    t = cnt.filter(F.col("token") == TOTAL_KEY).first()
+    tot = {"N": int(t["n_w"]), "n0": int(t["n_w0"] or 0), "n1": int(t["n_w1"] or 0)} if t else {"N": 0, "n0": 0, "n1": 0}
+    return cnt.filter(F.col("token") != TOTAL_KEY), tot
 
 
 def orientation(cnt: DataFrame, tot: dict, models: Sequence[CountModel] = COUNT_MODELS) -> DataFrame:
