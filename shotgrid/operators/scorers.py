@@ -79,11 +79,14 @@ def corpus_totals(corpus: DataFrame, seeds=SEED_WORDS, text: str = "text",
     token occurrences) plus one ``TOTAL_KEY`` entry whose counts are the corpus totals.
     ``keep`` (a token set) semi-joins the tokens before aggregation, so only scored
     tokens are counted and shuffled; AQE broadcasts it after measuring it."""
+    # seed words present in a document, found by one regex pass: a word is a token iff
+    # it is a maximal [a-z] run of the lower-cased text
+    words = sorted(set(seeds[0]) | set(seeds[1]))
+    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit("(?<![a-z])(" + "|".join(words) + ")(?![a-z])"), 1)
+
     def has_seed(c):
-        # "contains a seed word" as one regex: a word is a token iff it is a maximal
-        # [a-z] run of the lower-cased text
-        return F.lower(F.col(text)).rlike("(^|[^a-z])(" + "|".join(seeds[c]) + ")([^a-z]|$)").cast("long")
-    d = corpus.select(F.array_union(F.array_distinct(tokens(text)), F.array(F.lit(TOTAL_KEY))).alias("toks"),
+        return F.exists(found, lambda w: w.isin(*seeds[c])).cast("long")
+    d = corpus.select(F.concat(F.array_distinct(tokens(text)), F.array(F.lit(TOTAL_KEY))).alias("toks"),
                       has_seed(0).alias("h0"), has_seed(1).alias("h1"))
     ex = d.select(F.explode("toks").alias("token"), "h0", "h1")
     if keep is not None:

@@ -36,39 +36,55 @@ def orientation_table(spark, sf, ev: DataFrame, models=SC.COUNT_MODELS) -> DataF
     return SC.orientation(cnt, tot, models)
 
 
+def _zs_metrics(choices: DataFrame) -> DataFrame:
+    m = M.domain_metrics(choices, ["model_name"])
+    return m.select("model_name", F.col("eval_in_n").cast("int").alias("sample_size"),
+                    "eval_in_loss", "eval_in_accuracy", "eval_out_loss", "eval_out_accuracy")
+
+
+def _icl_metrics(choices: DataFrame) -> DataFrame:
+    m = M.domain_metrics(choices, ["model_name", "sample_size", "trial"])
+    return m.select("model_name", "sample_size", "trial", "eval_in_loss", "eval_in_accuracy",
+                    "eval_out_loss", "eval_out_accuracy")
+
+
+def _shared(spark, sf, models):
+    """Pieces every count-scored method uses, built once: the pool, the evaluation rows,
+    the token orientations (one corpus pass, checkpointed) and the zero-shot scores."""
+    pool, ev = quality_sets(spark, sf)
+    orient = orientation_table(spark, sf, ev, models)
+    return pool, ev, SC.zero_shot_scores(ev, orient, _KEYS, models)
+
+
+def _icl_choices(pool, ev, zs, models, cells) -> DataFrame:
+    sizes = sorted({s for s, _ in cells})
+    trials = S.trial_grid(pool, sizes, max(t for _, t in cells) + 1, SEED)
+    demos = S.attach_rows(trials, pool, S.grid_bound(sizes, max(t for _, t in cells) + 1))
+    return SC.choose(SC.icl_scores(ev, demos, zs, cells, _KEYS, models))
+
+
 def zero_shot_choices(spark, sf, models=SC.COUNT_MODELS) -> DataFrame:
-    _, ev = quality_sets(spark, sf)
-    zs = SC.zero_shot_scores(ev, orientation_table(spark, sf, ev, models), _KEYS, models)
-    return SC.choose(zs)
+    return SC.choose(_shared(spark, sf, models)[2])
 
 
 def zero_shot(spark, sf, models=SC.COUNT_MODELS) -> DataFrame:
     """every model on both domains in one job; one metrics row per model (H2: rows of
     one distributed result).  B9: ``sample_size`` is the evaluation-set size, as the
     zero-shot log records it.  J1: the actual label rides along with each scored row."""
-    ch = zero_shot_choices(spark, sf, models)
-    m = M.domain_metrics(ch, ["model_name"])
-    return m.select("model_name", F.col("eval_in_n").cast("int").alias("sample_size"),
-                    "eval_in_loss", "eval_in_accuracy", "eval_out_loss", "eval_out_accuracy")
+    return _zs_metrics(zero_shot_choices(spark, sf, models))
 
 
 def icl_eval(spark, sf, models=SC.COUNT_MODELS, cells: Sequence[tuple[int, int]] = CELLS) -> DataFrame:
     """every (model, size, trial) in one job: trial demos -> per-trial likelihood ->
     closed-choice answers on both domains -> metrics."""
-    pool, ev = quality_sets(spark, sf)
-    sizes = sorted({s for s, _ in cells})
-    trials = S.trial_grid(pool, sizes, max(t for _, t in cells) + 1, SEED)
-    demos = S.attach_rows(trials, pool, S.grid_bound(sizes, max(t for _, t in cells) + 1))
-    orient = orientation_table(spark, sf, ev, models)
-    zs = SC.zero_shot_scores(ev, orient, _KEYS, models)
-    sc = SC.choose(SC.icl_scores(ev, demos, zs, cells, _KEYS, models))
-    m = M.domain_metrics(sc, ["model_name", "sample_size", "trial"])
-    return m.select("model_name", "sample_size", "trial", "eval_in_loss", "eval_in_accuracy",
-                    "eval_out_loss", "eval_out_accuracy")
+    pool, ev, zs = _shared(spark, sf, models)
+    return _icl_metrics(_icl_choices(pool, ev, zs, models, cells))
 
 
-def experiment_grid(spark, sf, models=SC.COUNT_MODELS) -> DataFrame:
-    """models x methods x sizes x trials as one metrics table (H1 union)."""
-    zs = zero_shot(spark, sf, models).withColumn("trial", F.lit(0)).withColumn("finetuning_method", F.lit("zeroshot"))
-    icl = icl_eval(spark, sf, models).withColumn("finetuning_method", F.lit("icl"))
-    return zs.unionByName(icl)
+def experiment_grid(spark, sf, models=SC.COUNT_MODELS, cells: Sequence[tuple[int, int]] = CELLS) -> DataFrame:
+    """models x methods x sizes x trials as one metrics table (H1 union); the
+    methods share the evaluation rows, the corpus statistics and the zero-shot scores."""
+    pool, ev, zs = _shared(spark, sf, models)
+    z = _zs_metrics(SC.choose(zs)).withColumn("trial", F.lit(0)).withColumn("finetuning_method", F.lit("zeroshot"))
+    i = _icl_metrics(_icl_choices(pool, ev, zs, models, cells)).withColumn("finetuning_method", F.lit("icl"))
+    return z.unionByName(i)

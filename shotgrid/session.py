@@ -12,6 +12,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -61,9 +62,15 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
+    """Reliable checkpoint into the shared folder (survives executor loss).
+
+    The data is persisted (memory, spilling to disk) while the checkpoint is taken:
+    otherwise the checkpoint write recomputes the whole plan a second time."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = kept.checkpoint(eager=True)
+    kept.unpersist()
+    return out
 
 
 def sf_tag(sf_dir: str) -> str:
