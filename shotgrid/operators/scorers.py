@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from shotgrid.functions.math import argmax, softmax
 from shotgrid.functions.text import answer_word, minimal_pattern, parse_answer
 from shotgrid.operators.tokens import tokens
-from shotgrid.session import cut_lineage
 
 # Seed words of each answer (label 0 = "Yes", 1 = "No"); a parameter of the scorer.
 SEED_WORDS = {0: ["yes", "good", "the", "and"], 1: ["no", "bad", "de", "la"]}
@@ -62,6 +61,7 @@ def _models_array(models: Sequence[CountModel]) -> Column:
                               F.lit(float(m.lam)).alias("lam")) for m in models])
 
 
+MAX_BROADCAST_TOKENS = 5_000_000
 TOTAL_KEY = ""   # never a token (tokens are non-empty [a-z] runs): carries the corpus totals
 
 
@@ -70,15 +70,11 @@ def needed_tokens(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(tokens(minimal_pattern("premise", "hypothesis"))).alias("token")).distinct()
 
 
-def corpus_totals(corpus: DataFrame, seeds=SEED_WORDS, text: str = "text",
-                  keep: DataFrame | None = None) -> tuple[DataFrame, dict]:
-    """Per-token document counts with each answer's seed words, plus the three corpus
-    totals (one bounded row brought to the driver), from a single pass over the corpus.
-
-    Each document contributes its distinct tokens (deduplicated map-side, no shuffle of
-    token occurrences) plus one ``TOTAL_KEY`` entry whose counts are the corpus totals.
-    ``keep`` (a token set) semi-joins the tokens before aggregation, so only scored
-    tokens are counted and shuffled; AQE broadcasts it after measuring it."""
+def corpus_counts(corpus: DataFrame, seeds=SEED_WORDS, text: str = "text") -> DataFrame:
+    """Per-token document counts with each answer's seed words, in one pass over the
+    corpus: each document contributes its distinct tokens (deduplicated map-side, no
+    shuffle of token occurrences; the aggregation is partial before the shuffle) plus
+    one ``TOTAL_KEY`` entry whose counts are the corpus totals."""
     # seed words present in a document, found by one regex pass: a word is a token iff
     # it is a maximal [a-z] run of the lower-cased text
     words = sorted(set(seeds[0]) | set(seeds[1]))
@@ -88,15 +84,20 @@ def corpus_totals(corpus: DataFrame, seeds=SEED_WORDS, text: str = "text",
         return F.exists(found, lambda w: w.isin(*seeds[c])).cast("long")
     d = corpus.select(F.concat(F.array_distinct(tokens(text)), F.array(F.lit(TOTAL_KEY))).alias("toks"),
                       has_seed(0).alias("h0"), has_seed(1).alias("h1"))
-    ex = d.select(F.explode("toks").alias("token"), "h0", "h1")
-    if keep is not None:
-        kt = keep.select("token").unionByName(corpus.sparkSession.createDataFrame([(TOTAL_KEY,)], "token string"))
-        ex = ex.join(kt, "token", "left_semi")
-    cnt = ex.groupBy("token").agg(F.count(F.lit(1)).alias("n_w"), F.sum("h0").alias("n_w0"), F.sum("h1").alias("n_w1"))
-    cnt = cut_lineage(cnt)   # the counts are read twice: totals now, token rows later
-    t = cnt.filter(F.col("token") == TOTAL_KEY).first()
+    return d.select(F.explode("toks").alias("token"), "h0", "h1").groupBy("token") \
+            .agg(F.count(F.lit(1)).alias("n_w"), F.sum("h0").alias("n_w0"), F.sum("h1").alias("n_w1"))
+
+
+def corpus_totals(counts: DataFrame, keep: DataFrame | None = None) -> tuple[DataFrame, dict]:
+    """Split a ``corpus_counts`` table into token rows (only those in ``keep``, when
+    given: a semi-join, broadcast after measuring the set) and the totals row."""
+    t = counts.filter(F.col("token") == TOTAL_KEY).first()
     tot = {"N": int(t["n_w"]), "n0": int(t["n_w0"] or 0), "n1": int(t["n_w1"] or 0)} if t else {"N": 0, "n0": 0, "n1": 0}
-    return cnt.filter(F.col("token") != TOTAL_KEY), tot
+    rows = counts.filter(F.col("token") != TOTAL_KEY)
+    if keep is not None:
+        k = keep.select("token")
+        rows = rows.join(F.broadcast(k) if k.count() <= MAX_BROADCAST_TOKENS else k, "token", "left_semi")
+    return rows, tot
 
 
 def orientation(cnt: DataFrame, tot: dict, models: Sequence[CountModel] = COUNT_MODELS) -> DataFrame:

@@ -3,6 +3,7 @@ count-scored methods (F10), each one Spark job over all models and trials at onc
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from shotgrid.operators import metrics as M
 from shotgrid.operators import sampling as S
 from shotgrid.operators import scorers as SC
 from shotgrid.schemas import NUM_TRIALS, SAMPLE_SIZES, SEED
+from shotgrid.sources import datasets as D
 from shotgrid.sources import views as V
 
 Q_EVAL_SIZE = 40  # evaluation rows per domain of the quality task at the test scales
@@ -30,9 +32,16 @@ def quality_sets(spark, sf) -> tuple[DataFrame, DataFrame]:
     return pool, ev
 
 
+def corpus_model(spark, sf) -> DataFrame:
+    """The count scorer's 'pre-trained model': corpus statistics, built once per corpus
+    and seed words and then loaded (as the reference loads a downloaded model)."""
+    key = f"corpus_counts|{os.path.abspath(sf)}|{sorted(SC.SEED_WORDS.items())}"
+    return D.materialized(spark, "corpus_counts", key, lambda: SC.corpus_counts(V.corpus(spark, sf)))
+
+
 def orientation_table(spark, sf, ev: DataFrame, models=SC.COUNT_MODELS) -> DataFrame:
-    """Token orientations, counted only for tokens that occur in the evaluation prompts."""
-    cnt, tot = SC.corpus_totals(V.corpus(spark, sf), keep=SC.needed_tokens(ev))
+    """Token orientations of the tokens that occur in the evaluation prompts."""
+    cnt, tot = SC.corpus_totals(corpus_model(spark, sf), keep=SC.needed_tokens(ev))
     return SC.orientation(cnt, tot, models)
 
 

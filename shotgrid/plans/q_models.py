@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from shotgrid.functions.text import minimal_pattern
@@ -10,6 +12,7 @@ from shotgrid.plans import experiment as X
 from shotgrid.plans.q_report import round_doubles
 from shotgrid.schemas import SEED
 from shotgrid.operators.scorers import COUNT_MODELS, NB_VOCAB, SEED_WORDS
+from shotgrid.sources import datasets as D
 from shotgrid.sources import views as V
 
 VOCAB = 1000
@@ -17,11 +20,15 @@ MAX_LEN = 64
 
 
 def vocab(spark, sf):
-    return TK.build_vocab(V.corpus(spark, sf), VOCAB)
+    """The corpus vocabulary (the 'tokenizer'), built once per corpus and size, then loaded."""
+    key = f"vocab|{os.path.abspath(sf)}|{VOCAB}|{TK.TOKEN_PATTERN}"
+    return D.materialized(spark, "vocab", key, lambda: TK.build_vocab(V.corpus(spark, sf), VOCAB))
+
 
 
 def q_build_vocab(spark, sf):
-    return vocab(spark, sf).select("token", "token_id", "n")
+    """E1 vocabulary build itself (always computed, never loaded)."""
+    return TK.build_vocab(V.corpus(spark, sf), VOCAB).select("token", "token_id", "n")
 
 
 def q_encode_tokens(spark, sf):

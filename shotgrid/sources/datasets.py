@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +76,16 @@ def materialize_dataset(spark: SparkSession, name: str, sf_dir: str) -> str:
 
 def load_dataset(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
     return spark.read.parquet(materialize_dataset(spark, name, sf_dir))
+
+
+def materialized(spark: SparkSession, kind: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table (a 'pre-trained' artefact such as corpus statistics or a
+    vocabulary) written once under the shared folder and read back afterwards (A3/A10
+    semantics: build if absent, then load).  ``key`` must identify the inputs and
+    parameters it was built from."""
+    path = f"{shared_dir(spark)}/models/{kind}/{hashlib.sha1(key.encode()).hexdigest()[:16]}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        build().write.mode("ignore").parquet(path)
+        return spark.read.parquet(path)
