@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,10 +23,15 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def _write_logs(spark, sf, methods) -> dict[str, str]:
-    """A4: one CSV log per method, named like the experiment's final logs."""
+    """A4: one CSV log per method, named like the experiment's final logs.  The writes
+    are independent jobs, submitted together so small logs do not leave cores idle."""
     tm = trial_metrics(spark, sf)
     folder = fresh_path(spark, "logs")
-    return {m: sinks.write_metrics(tm.filter(F.col("finetuning_method") == m), folder, m, "final") for m in methods}
+
+    def write(m):
+        return m, sinks.write_metrics(tm.filter(F.col("finetuning_method") == m), folder, m, "final")
+    with ThreadPoolExecutor(max_workers=len(methods)) as pool:
+        return dict(pool.map(write, methods))
 
 
 def combined(spark, sf) -> DataFrame:
