@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -421,6 +422,24 @@ def fit_students(soft: DataFrame, keys=("model_name", "sample_size"), max_iter:
     return soft.select(*keys, "features", "q", "s_prev").groupBy(*keys).applyInPandas(run, STUDENT_SCHEMA)
 
 
+def fit_students_auto(soft: DataFrame, keys, group_rows_bound: int, max_iter: int = 50) -> DataFrame:
+    """Student fits: one grouped job while every group fits in a task (the bound comes
+    from the sampling parameters), else one distributed Spark ML fit per group (F9)."""
+    if group_rows_bound <= MAX_GROUP_FIT_ROWS:
+        return fit_students(soft, keys, max_iter)
+    spark = soft.sparkSession
+    out = []
+    for g in soft.select(*keys).distinct().collect():   # one row per group (models x sizes)
+        part = soft.filter(reduce(lambda a, b: a & b, [F.col(k) == g[k] for k in keys], F.lit(True)))
+        W, b = fit_student(part, max_iter)
+        fitted = head_logits(F.col("features"), F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in W]),
+                             F.array(*[F.lit(float(v)) for v in b]))
+        r = part.agg(kl_mean(part, "q", F.col("s_prev")).alias("ks"), kl_mean(part, "q", fitted).alias("ke"),
+                     F.count(F.lit(1)).alias("n")).first()
+        out.append((*[g[k] for k in keys], W, b, int(r["n"]), float(r["ks"]), float(r["ke"])))
+    return spark.createDataFrame(out, STUDENT_SCHEMA)
+
+
 def kl_mean(df: DataFrame, q: str, logits: Column) -> Column:
     """Mean KL(q || softmax(logits)) over rows; 0 * log 0 = 0."""
     m = F.array_max(logits)

@@ -175,7 +175,8 @@ def context_distill(spark, sf, recursive: bool = False) -> DataFrame:
                       .withColumn("s_prev", L.head_logits(F.col("features"), F.col("w"), F.col("b")))
         t_logits = F.zip_with(F.col("s_prev"), ctx, lambda a, c: a + c) if recursive else ctx
         soft = cur.withColumn("q", softmax(t_logits))
-        L.fit_students(soft, keys, DCFG.max_iter).write.mode("overwrite").parquet(f"{state_dir}/round={r}")
+        L.fit_students_auto(soft, keys, max(LARGE_SAMPLE, 16), DCFG.max_iter) \
+         .write.mode("overwrite").parquet(f"{state_dir}/round={r}")
         students = spark.read.parquet(f"{state_dir}/round={r}")
         res = students.select(*keys, F.lit(r).alias("round"), "kl_start", "kl_end") \
                       .join(evaluate_students(ev, students, groups), keys)

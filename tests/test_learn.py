@@ -98,3 +98,26 @@ def test_grouped_student_fit_matches_spark_ml(spark):
     q = np.column_stack([1 - q1, q1])
     assert abs(L._kl_rows(q, ml_logits).mean() - g["kl_end"]) < 1e-6
     assert g["kl_end"] < 1e-8 and g["kl_start"] > 0.01   # the targets are exactly representable
+
+
+def test_student_fit_paths_agree(spark):
+    """The grouped path and the Spark ML path (forced by a tiny row bound) agree."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for g in ("a", "b"):
+        X = rng.normal(size=(60, 3))
+        q1 = 1 / (1 + np.exp(-(X @ np.array([0.5, -1.0, 2.0]))))
+        rows += [(g, 7, X[i].tolist(), [float(1 - q1[i]), float(q1[i])], [0.0, 0.0]) for i in range(60)]
+    soft = spark.createDataFrame(rows, "model_name string, sample_size int, features array<double>, "
+                                       "q array<double>, s_prev array<double>")
+    keys = ["model_name", "sample_size"]
+    a = {r["model_name"]: r for r in L.fit_students_auto(soft, keys, 60).collect()}
+    old = L.MAX_GROUP_FIT_ROWS
+    try:
+        L.MAX_GROUP_FIT_ROWS = 10
+        b = {r["model_name"]: r for r in L.fit_students_auto(soft, keys, 60, 100).collect()}
+    finally:
+        L.MAX_GROUP_FIT_ROWS = old
+    for g in ("a", "b"):
+        assert abs(a[g]["kl_start"] - b[g]["kl_start"]) < 1e-9
+        assert abs(a[g]["kl_end"] - b[g]["kl_end"]) < 1e-5 and a[g]["n"] == b[g]["n"] == 60
