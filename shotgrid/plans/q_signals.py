@@ -22,7 +22,9 @@ TEMP = 2.0
 
 # ---------------------------------------------------------------------------- telemetry
 def q_phase_tags(spark, sf):
-    return TL.phase_tags(V.telemetry(spark, sf))
+    # the event time as epoch microseconds: an exact integer in every engine
+    return TL.phase_tags(V.telemetry(spark, sf)) \
+        .withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts")
 
 
 def q_phase_peaks(spark, sf):
@@ -177,7 +179,7 @@ SQL = {
         CAST(sum(CASE WHEN trainable AND NOT starts_with(layer, 'Brand#1') THEN n ELSE 0 END) AS BIGINT) AS trainable_params,
         round(100.0 * sum(CASE WHEN trainable AND NOT starts_with(layer, 'Brand#1') THEN n ELSE 0 END) / sum(n), 6) AS trainable_pct
         FROM param_table GROUP BY 1""",
-    "phase_tags": V.with_views("telemetry") + f",\n{_STATE}\nSELECT run, event_id, ts, log_no, {_phase(3)} AS phase_val, "
+    "phase_tags": V.with_views("telemetry") + f",\n{_STATE}\nSELECT run, event_id, epoch_us(ts) AS ts_us, log_no, {_phase(3)} AS phase_val, "
                   f"{_phase(1)} AS phase_noval FROM s2 WHERE qualifying",
     "phase_peaks": V.with_views("telemetry") + f""",
 {_STATE},
