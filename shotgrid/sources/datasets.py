@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -58,6 +59,9 @@ def _in_all(spark, sf_dir):
     return train.withColumn("split", F.lit("train")).unionByName(val.withColumn("split", F.lit("validation")))
 
 
+# Bump when a materialised definition changes: copies live in the shared folder across runs.
+DEFINITION_VERSION = "1"
+
 DATASETS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nli_in": _in_all,
     "nli_out": out_domain,
@@ -69,7 +73,8 @@ def materialize_dataset(spark: SparkSession, name: str, sf_dir: str) -> str:
     raise.  Returns its path."""
     if name not in DATASETS:
         raise ValueError(f"Dataset {name} not supported.")
-    path = f"{shared_dir(spark)}/datasets/{sf_tag(sf_dir)}/{name}"
+    key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{DEFINITION_VERSION}".encode()).hexdigest()[:12]
+    path = f"{shared_dir(spark)}/datasets/{sf_tag(sf_dir)}-{key}/{name}"
     DATASETS[name](spark, sf_dir).write.mode("ignore").parquet(path)
     return path
 
@@ -83,7 +88,8 @@ def materialized(spark: SparkSession, kind: str, key: str, build: Callable[[], D
     vocabulary) written once under the shared folder and read back afterwards (A3/A10
     semantics: build if absent, then load).  ``key`` must identify the inputs and
     parameters it was built from."""
-    path = f"{shared_dir(spark)}/models/{kind}/{hashlib.sha1(key.encode()).hexdigest()[:16]}"
+    digest = hashlib.sha1(f"{key}|{DEFINITION_VERSION}".encode()).hexdigest()[:16]
+    path = f"{shared_dir(spark)}/models/{kind}/{digest}"
     try:
         return spark.read.parquet(path)
     except AnalysisException:
