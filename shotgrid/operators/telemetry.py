@@ -132,9 +132,16 @@ def phase_peaks(tel: DataFrame, val_in_training: bool = False, chunk_rows: int =
     return tagged.select("run", "event_id", "log_no", "phase", "peak_memory")
 
 
+def epoch_micros(ts: str):
+    """Microseconds since 1970-01-01 of a timestamp column, without the session time zone
+    (event times are wall-clock TIMESTAMP_NTZ)."""
+    return F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")),
+                            F.col(ts).cast("timestamp_ntz"))
+
+
 def throughput(tel: DataFrame, step_kind: str = "prediction_step") -> DataFrame:
     """Samples per second of each run = steps / (last event - first event)."""
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = epoch_micros("ts")
     g = tel.groupBy("run").agg(F.sum((F.col("kind") == step_kind).cast("long")).alias("n_steps"),
                                ((F.max(us) - F.min(us)) / F.lit(1e6)).alias("runtime"))
     return g.withColumn("samples_per_second",

@@ -24,7 +24,7 @@ TEMP = 2.0
 def q_phase_tags(spark, sf):
     # the event time as epoch microseconds: an exact integer in every engine
     return TL.phase_tags(V.telemetry(spark, sf)) \
-        .withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp"))).drop("ts")
+        .withColumn("ts_us", TL.epoch_micros("ts")).drop("ts")
 
 
 def q_phase_peaks(spark, sf):
