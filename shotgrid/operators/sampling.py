@@ -68,16 +68,35 @@ def _count_guard(n_rows: int, n: int, what: str) -> None:
         raise ValueError(f"cannot take a sample of {n} from {n_rows} rows ({what}) without replacement")
 
 
+# Samples of at least this many rows first keep only rows under a hash threshold.
+LARGE_SAMPLE_ROWS = 1024
+
+
 def sample_n(df: DataFrame, n: int, seed: int, *key_parts, id_col: str = "id",
-             check: bool = True) -> DataFrame:
+             check: bool = True, large: int | None = None) -> DataFrame:
     """Uniform sample of exactly ``n`` rows without replacement.
 
-    Plans as TakeOrderedAndProject: each partition keeps its n smallest keys, so only
-    n x partitions rows move; no full sort.  The size guard (n larger than the input is
-    an error) runs inside the same job over the n-row result, not as an extra pass.
+    Small n plans as TakeOrderedAndProject: each partition keeps its n smallest keys, so
+    n x partitions rows move; no full sort.  For n >= ``large`` (default
+    ``LARGE_SAMPLE_ROWS``) that product grows with the cluster, so rows are first kept
+    only below a hash threshold expected to pass ~4n of them (checked; widened 4x until
+    at least n pass, which keeps the result exact), and the top-n runs on those.
+    The size guard (n larger than the input is an error) runs inside the job over the
+    n-row result.
     """
     key = sample_key(seed, *[F.lit(p) for p in key_parts], F.col(id_col))
-    out = df.withColumn("_h", key).orderBy("_h", id_col).limit(n)
+    keyed = df.withColumn("_h", key)
+    if n >= (LARGE_SAMPLE_ROWS if large is None else large):
+        n_rows = df.count()
+        _count_guard(n_rows, n, "sample_n")
+        share = min(1.0, 4.0 * n / max(n_rows, 1) + 1e-9)
+        while share < 1.0:
+            kept = keyed.filter(F.col("_h") < F.lit(_threshold_hex(share)))
+            if kept.count() >= n:
+                keyed = kept
+                break
+            share *= 4.0
+    out = keyed.orderBy("_h", id_col).limit(n)
     if check:
         out = out.withColumn("_got", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))   # over <= n rows
         out = out.filter(F.when(F.col("_got") < F.lit(n), F.raise_error(F.lit(

@@ -92,3 +92,12 @@ def test_history_split_with_hot_run(spark):
     exp = b.select("run", "kind", F.row_number().over(wk).alias("pos"),
                    F.coalesce("eval_loss", "loss").alias("loss"))
     assert got == sorted(map(tuple, exp.collect()))
+
+
+@pytest.mark.parametrize("n", [5, 20, 60])
+def test_large_sample_threshold_path_is_exact(spark, ids, n):
+    # with large=1 every size takes the hash-threshold path (share 4n/300 < 1 here)
+    small = sorted(r[0] for r in S.sample_n(ids, n, 42, "big").select("id").collect())
+    for parts in (1, 6):
+        big = sorted(r[0] for r in S.sample_n(ids.repartition(parts), n, 42, "big", large=1).select("id").collect())
+        assert big == small and len(big) == n
