@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The experiments this library rebuilds have no stream source, watermark, event-time
+window or state store; their only event-driven part (the training-loop callback that
+tags memory readings by phase) is rebuilt as batch window queries over the event table
+in ``shotgrid.operators.telemetry``.  No streaming operator is added beyond that.
+"""
