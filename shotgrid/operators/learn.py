@@ -318,14 +318,15 @@ def draw_context_examples(batches: DataFrame, pool: DataFrame, seed: int, batch_
     """One random pool example per class for every training batch (D3 for features):
     hash-drawn positions joined to a dense per-label index -- O(batches + pool)."""
     from shotgrid.operators.sampling import dense_index
-    idx = dense_index(pool.select("id", "features", "y"), ["id"], ["y"])
+    idx = dense_index(pool.select("id", "y"), ["id"], ["y"])   # features joined after the draw
     n_by = idx.groupBy("y").agg(F.count(F.lit(1)).alias("n"))   # one row per class
     draws = batches.select(batch_col).distinct() \
         .select(batch_col, F.explode(F.array(F.lit(0), F.lit(1))).alias("y")) \
         .join(F.broadcast(n_by), "y") \
         .withColumn("idx", hash_index(seed, F.concat_ws("|", F.lit("context"), F.col(batch_col).cast("string"),
                                                         F.col("y").cast("string")), F.col("n")))
-    picked = draws.join(idx, ["y", "idx"])
+    picked = F.broadcast(draws.join(idx, ["y", "idx"]).select(batch_col, "y", "id")) \
+        .join(pool.select("id", "features"), "id")
     return picked.groupBy(batch_col).agg(
         F.max(F.when(F.col("y") == 0, F.col("features"))).alias("ctx0"),
         F.max(F.when(F.col("y") == 1, F.col("features"))).alias("ctx1"))

@@ -57,20 +57,21 @@ def teacher_contexts(batches: DataFrame, pool: DataFrame, seed: int, batch_col:
     per-label index and the draws are an equi-join on (label, position), so the work is
     O(batches + pool) -- no batch x pool product.
     """
-    spark = pool.sparkSession
-    idx = dense_index(pool.select("id", "premise", "hypothesis", "label"), ["id"], ["label"])
+    # only (id, label) is indexed and checkpointed; the drawn rows get their text after
+    idx = dense_index(pool.select("id", "label"), ["id"], ["label"])
     n_by_label = idx.groupBy("label").agg(F.count(F.lit(1)).alias("n"))  # <= 2 rows
     draws = batches.select(batch_col).distinct() \
         .select(batch_col, F.explode(F.array(F.lit(0), F.lit(1))).alias("label")) \
         .join(F.broadcast(n_by_label), "label") \
         .withColumn("idx", hash_index(seed, F.concat_ws("|", F.lit("teacher"), F.col(batch_col).cast("string"),
                                                         F.col("label").cast("string")), F.col("n")))
-    picked = draws.join(idx, ["label", "idx"]).select(batch_col, "label", "premise", "hypothesis")
+    # two draws per batch, bounded by the batch count (a sampling parameter): broadcast
+    picked = F.broadcast(draws.join(idx, ["label", "idx"]).select(batch_col, "label", "id")) \
+        .join(pool.select("id", "premise", "hypothesis"), "id")
     wide = picked.groupBy(batch_col).agg(
         F.max(F.when(F.col("label") == 1, F.col("premise"))).alias("c_premise"),
         F.max(F.when(F.col("label") == 1, F.col("hypothesis"))).alias("c_hypothesis"),
         F.max(F.when(F.col("label") == 0, F.col("premise"))).alias("e_premise"),
         F.max(F.when(F.col("label") == 0, F.col("hypothesis"))).alias("e_hypothesis"))
-    del spark
     return wide.select(batch_col, teacher_text("c_premise", "c_hypothesis", "e_premise", "e_hypothesis")
                        .alias("teacher_context"))
