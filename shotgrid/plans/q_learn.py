@@ -111,6 +111,18 @@ def q_lora_fit(spark, sf):
     return round_doubles(lora_fit(spark, sf)[1])
 
 
+def q_fit_history(spark, sf):
+    """A5 for the few-shot fits: per-step training losses zipped positionally with the
+    per-epoch validation losses (E5, the original pairing), written through the history
+    sink and read back."""
+    from shotgrid.operators.history import zip_long
+    long, _ = fewshot_fit(spark, sf)
+    keys = ("model_name", "sample_size", "trial")
+    h = zip_long(L.history_of(long).select(*keys, "kind", "pos", "loss"), keys)
+    path = sinks.write_history(h, fresh_path(spark, "history"), "fewshot", "final")
+    return sinks.read_history(spark, path)
+
+
 def q_params_roundtrip(spark, sf):
     """A9 + A10: save the few-shot parameters by label, load one label back (pruned)."""
     long, _ = fewshot_fit(spark, sf)
@@ -199,6 +211,7 @@ QUERIES = {
     "context_distill": q_context_distill,
     "recursive_distill": q_recursive_distill,
     "params_roundtrip": q_params_roundtrip,
+    "fit_history": q_fit_history,
 }
 
 SQL = {

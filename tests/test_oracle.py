@@ -26,7 +26,8 @@ def test_every_query_registered_with_sql_or_rows_only():
     q, s = E.queries(), E.oracle_sql()
     assert set(s) <= set(q)
     rows_only = set(q) - set(s)
-    assert rows_only == {"fewshot_fit", "lora_fit", "context_distill", "recursive_distill", "params_roundtrip"}
+    assert rows_only == {"fewshot_fit", "lora_fit", "context_distill", "recursive_distill", "params_roundtrip",
+                         "fit_history"}
 
 
 @pytest.mark.parametrize("name", FAST)

@@ -23,7 +23,7 @@ def plan_of(df) -> str:
 # what was written (checked by their own tests), and building them here is slow
 EAGER = {"fewshot_fit", "lora_fit", "context_distill", "recursive_distill", "params_roundtrip",
          "metrics_roundtrip", "combined_metrics", "report_rows", "history_long", "learning_curves",
-         "materialize_dataset"}
+         "materialize_dataset", "fit_history"}
 
 
 @pytest.fixture(scope="module")
