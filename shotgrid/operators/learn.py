@@ -11,7 +11,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from functools import reduce
 from dataclasses import dataclass, field
 
