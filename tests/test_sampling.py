@@ -101,3 +101,21 @@ def test_large_sample_threshold_path_is_exact(spark, ids, n):
     for parts in (1, 6):
         big = sorted(r[0] for r in S.sample_n(ids.repartition(parts), n, 42, "big", large=1).select("id").collect())
         assert big == small and len(big) == n
+
+
+def test_materialized_builds_once(spark):
+    """Derived artefacts are built if absent, then loaded; different keys do not collide."""
+    import uuid
+    from shotgrid.sources.datasets import materialized
+    calls = []
+
+    def build(n):
+        def run():
+            calls.append(n)
+            return spark.range(n)
+        return run
+    key = f"test|{uuid.uuid4().hex}"
+    assert materialized(spark, "test", key, build(3)).count() == 3
+    assert materialized(spark, "test", key, build(5)).count() == 3      # loaded, not rebuilt
+    assert materialized(spark, "test", key + "|other", build(5)).count() == 5
+    assert calls == [3, 5]
