@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["sharding"]
+_MODULES = ["chat", "sharding"]
 
 
 def _load() -> tuple[dict, dict]:
