@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["chat", "sharding"]
+_MODULES = ["chat", "sharding", "rules"]
 
 
 def _load() -> tuple[dict, dict]:

@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20
-_WS = np.zeros(256, bool)
-_WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+WHITE = np.zeros(256, bool)
+WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _P = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.default_rng(20240607)
 _RANDOM = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,9 +62,9 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets.astype(np.int64)
 
 
-def _words(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_spans(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end (bytes) of the words of ``raw``; no word crosses a cut."""
-    w = ~_WS[raw]
+    w = ~WHITE[raw]
     first, last = w.copy(), w.copy()
     first[1:] &= ~w[:-1]
     last[:-1] &= ~w[1:]
@@ -74,20 +74,20 @@ def _words(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def _hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
     p, q = _powers(len(raw))
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((_LOWER if lower else _RANDOM)[raw] * p[:len(raw)], out=sums[1:])
     return mix((sums[end] - sums[start]) * q[start])
 
 
-def _pieces(raw: np.ndarray) -> Iterator[np.ndarray]:
+def pieces(raw: np.ndarray) -> Iterator[np.ndarray]:
     """A long text in pieces that end at white space (or are one long word)."""
     at = 0
     while at < len(raw):
         end = min(len(raw), at + CHUNK)
-        while end < len(raw) and not _WS[raw[end - 1]]:
-            stop = np.flatnonzero(_WS[raw[at:end]])
+        while end < len(raw) and not WHITE[raw[end - 1]]:
+            stop = np.flatnonzero(WHITE[raw[at:end]])
             if len(stop):
                 end = at + int(stop[-1]) + 1
             else:
@@ -96,26 +96,29 @@ def _pieces(raw: np.ndarray) -> Iterator[np.ndarray]:
         at = end
 
 
+def ranges(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs lo..hi-1 of texts that have at most CHUNK bytes together; a longer text stands alone."""
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, "right")) - 1))
+        yield lo, hi
+        lo = hi
+
+
 def tokenize(texts: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yields (lo, hi, hashes, counts): the word hashes of the texts lo..hi-1, text after text,
     and the number of words of each.  Words are ``[^\\x20\\x09-\\x0D]+``; with ``lower``, A-Z
     count as a-z.  Empty and null texts have no words."""
     raw, offsets = buffers(texts)
-    lo, n = 0, len(offsets) - 1
-    while lo < n:
-        hi = int(np.searchsorted(offsets, offsets[lo] + CHUNK, "right")) - 1
-        if hi <= lo:
-            hi = lo + 1
-            got = [_hash(x, *_words(x, np.zeros(0, np.int64)), lower) for x in _pieces(raw[offsets[lo]:offsets[hi]])]
-            hashes = np.concatenate(got)
+    for lo, hi in ranges(offsets):
+        part, cuts = raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
+        if len(part) > CHUNK:
+            none = np.zeros(0, np.int64)
+            hashes = np.concatenate([span_hash(x, *word_spans(x, none), lower) for x in pieces(part)])
             yield lo, hi, hashes, np.array([len(hashes)])
         else:
-            hi = min(hi, n)
-            part, cuts = raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
-            start, end = _words(part, cuts)
-            at = np.searchsorted(start, cuts)
-            yield lo, hi, _hash(part, start, end, lower), np.diff(at)
-        lo = hi
+            start, end = word_spans(part, cuts)
+            yield lo, hi, span_hash(part, start, end, lower), np.diff(np.searchsorted(start, cuts))
 
 
 def windows(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
