@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["chat", "sharding", "rules"]
+_MODULES = ["chat", "sharding", "langid", "rules"]
 
 
 def _load() -> tuple[dict, dict]:
