@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["chat", "sharding", "langid", "rules", "secrets"]
+_MODULES = ["chat", "sharding", "packing", "langid", "rules", "secrets"]
 
 
 def _load() -> tuple[dict, dict]:
