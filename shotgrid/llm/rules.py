@@ -75,7 +75,7 @@ def _repeated(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.bincount(doc[np.cumsum(cover[:-1]) > 0], minlength=n)
 
 
-def _part_stats(raw: np.ndarray, cuts: np.ndarray) -> dict[str, np.ndarray]:
+def part_stats(raw: np.ndarray, cuts: np.ndarray) -> dict[str, np.ndarray]:
     n = len(cuts) - 1
     start, end = T.word_spans(raw, cuts)
     counts = np.diff(np.searchsorted(start, cuts))
@@ -96,7 +96,7 @@ def _part_stats(raw: np.ndarray, cuts: np.ndarray) -> dict[str, np.ndarray]:
             "n_lines": lines, "n_upper": per(_UPPER[raw])}
 
 
-def _long_stats(raw: np.ndarray) -> dict[str, np.ndarray]:
+def long_stats(raw: np.ndarray) -> dict[str, np.ndarray]:
     """One text above the piece size: words by pieces, lines one by one."""
     hashes = np.concatenate([T.span_hash(x, *T.word_spans(x, np.zeros(0, np.int64)), lower=False) for x in T.pieces(raw)])
     seen, lines, dup = set(), 0, 0
@@ -116,7 +116,7 @@ def _stats(batch: pa.RecordBatch):
     raw, offsets = T.buffers(batch.column("text"))
     for lo, hi in T.ranges(offsets):
         part, cuts = raw[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
-        got = _long_stats(part) if len(part) > T.CHUNK else _part_stats(part, cuts)
+        got = long_stats(part) if len(part) > T.CHUNK else part_stats(part, cuts)
         yield got | {c: batch.column(c)[lo:hi] for c in ("doc_id", "lang", "source")}
 
 

@@ -62,9 +62,10 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets.astype(np.int64)
 
 
-def word_spans(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end (bytes) of the words of ``raw``; no word crosses a cut."""
-    w = ~WHITE[raw]
+def word_spans(raw: np.ndarray, cuts: np.ndarray, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end (bytes) of the words of ``raw``; no word crosses a cut.  ``white`` says
+    for each byte if it separates words."""
+    w = ~white[raw]
     first, last = w.copy(), w.copy()
     first[1:] &= ~w[:-1]
     last[:-1] &= ~w[1:]
