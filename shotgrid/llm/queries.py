@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["chat", "sharding", "packing", "cotrain", "simjoin", "langid", "rules", "secrets", "decontaminate"]
+_MODULES = ["ngramlm", "chat", "sharding", "packing", "cotrain", "simjoin", "langid", "rules", "secrets", "decontaminate"]
 
 
 def _load() -> tuple[dict, dict]:

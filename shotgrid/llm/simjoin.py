@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotgrid.llm import text as T
-from shotgrid.llm.common import documents, over_batches, stored
+from shotgrid.llm.common import documents, over_batches, pack, stored, unpack
 from shotgrid.llm.graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -77,16 +77,6 @@ def set_sizes(docs: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------- shingles that two classes or more have
-def _pack(a: np.ndarray) -> bytes:
-    """Bytes of equal rank together, which compress well in sorted values."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
-
-
-def _unpack(b: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(kind).ravel()
-
-
 _BLOB = pa.schema([("bucket", pa.int32()), ("shingles", pa.binary()), ("refs", pa.binary()), ("classes", pa.binary()),
                    ("sizes", pa.binary())])
 _SHARED = pa.schema([("class", pa.int64()), ("n", pa.int32()), ("df", pa.int32()), ("shingle", pa.int64())])
@@ -105,7 +95,7 @@ def _blobs(sets: dict[int, np.ndarray], buckets: int) -> pa.RecordBatch:
         a, b = at[k], at[k + 1]
         if a < b:
             here, ref = np.unique(refs[a:b], return_inverse=True)
-            rows.append((k, _pack(shingles[a:b]), _pack(ref.astype(np.uint16)), _pack(classes[here]), _pack(sizes[here])))
+            rows.append((k, pack(shingles[a:b]), pack(ref.astype(np.uint16)), pack(classes[here]), pack(sizes[here])))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BLOB, strict=True)], schema=_BLOB)
 
 
@@ -128,8 +118,8 @@ def shared_shingles(docs: DataFrame, buckets: int) -> DataFrame:
     def count(table: pa.Table) -> pa.Table:
         parts = []
         for r in table.to_pylist():
-            ref = _unpack(r["refs"], np.uint16)
-            parts.append((_unpack(r["shingles"], np.uint64), _unpack(r["classes"], np.uint64)[ref], _unpack(r["sizes"], np.uint32)[ref]))
+            ref = unpack(r["refs"], np.uint16)
+            parts.append((unpack(r["shingles"], np.uint64), unpack(r["classes"], np.uint64)[ref], unpack(r["sizes"], np.uint32)[ref]))
         shingle, cls, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
         order = np.argsort(shingle, kind="stable")
