@@ -43,6 +43,17 @@ def over_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict]], s
     return df.mapInArrow(run, schema)
 
 
+BROADCAST_IDS = 1_000_000       # so many ids (16 MB) are broadcast at most
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in the first column of ``ids``.  Few ids are
+    broadcast, so that the texts aren't shuffled; more are joined as they are."""
+    ids = stored(ids.select(F.col(ids.columns[0]).alias("_drop_id")).distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["_drop_id"], "left_anti")
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

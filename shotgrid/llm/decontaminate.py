@@ -31,7 +31,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotgrid.llm.common import documents, stored
+from shotgrid.llm.common import documents, stored, without_ids
 
 SHINGLE = 5
 PERCENT = 75
@@ -173,9 +173,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS) -> D
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that an item leaks into."""
-    leaked = find_leaks(docs, benchmark).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(leaked, docs.doc_id.eqNullSafe(leaked.leaked_id), "left_anti")
+    """``docs`` without the documents that an item leaks into (a null id can't be named and stays)."""
+    return without_ids(docs, find_leaks(docs, benchmark).select("doc_id"))
 
 
 def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

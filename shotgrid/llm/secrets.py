@@ -294,14 +294,20 @@ def redacted(text: str, spans: list[tuple[int, int, str, str]], mark: str = "[SE
 
 
 def redact(docs: DataFrame, grammars: Grammars) -> DataFrame:
-    """``docs`` with the credentials in ``text`` replaced; all other columns as they were."""
+    """``docs`` with the credentials in ``text`` replaced, and ``n_chars`` counted anew where the
+    text changed; all other columns as they were."""
     model = docs.sparkSession.sparkContext.broadcast(grammars)
     at = docs.columns.index("text")
+    length = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            new = [redacted(t, s) if t and (s := scan_text(t, model.value)) else t for t in texts]
+            old = batch.column(at).to_pylist()
+            new = [redacted(t, s) if t and (s := scan_text(t, model.value)) else t for t in old]
+            if length is not None:
+                sizes = [n if a == b else len(b) for a, b, n in zip(old, new, batch.column(length).to_pylist(), strict=True)]
+                field = batch.schema.field(length)
+                batch = batch.set_column(length, field, pa.array(sizes, field.type))
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
     return docs.mapInArrow(run, docs.schema)

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotgrid.llm import text as T
-from shotgrid.llm.common import documents, over_batches, pack, stored, unpack
+from shotgrid.llm.common import documents, over_batches, pack, stored, unpack, without_ids
 from shotgrid.llm.graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -249,6 +249,20 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                       .otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest id.  Of rows that
+    repeat its id one stays; rows with null ids can't be named and stay."""
+    rows = near_duplicates(docs).where(F.col("n_shingles") > 0).groupBy("doc_id").agg(
+        F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    rows = stored(rows.where(F.col("doc_id").isNotNull()), "decisions")
+    out = without_ids(docs, rows.where(~F.col("first")))
+    repeated = rows.where(F.col("first") & (F.col("rows") > 1)).select("doc_id")
+    if repeated.isEmpty():
+        return out
+    once = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return without_ids(out, repeated).unionByName(once)
+
+
 def op6_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
