@@ -292,13 +292,13 @@ def _tallies(n: np.ndarray) -> list[int]:
     return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _vocabulary(rows: DataFrame, folder: str, parts: int) -> tuple[Level, list[dict]]:
+def _vocabulary(rows: DataFrame, folder: str, parts: int, task_tokens: int) -> tuple[Level, list[dict]]:
     def write(part: int, keys: np.ndarray, n: np.ndarray) -> dict:
         path = f"{folder}/1-{part}"
         E.save(path, E.build(keys, 1 << 64) | {"counts": n.astype(np.int64)})
         end = np.flatnonzero(keys == U(END))
         return {"part": part, "path": path, "size": len(keys), "total": int(n.sum()),
-                "info": json.dumps({"cuts": _cuts(n, TASK_TOKENS), "documents": int(n[end].sum())})}
+                "info": json.dumps({"cuts": _cuts(n, task_tokens), "documents": int(n[end].sum())})}
 
     bounds = (np.arange(parts, dtype=np.float64) * (2.0**64 / parts)).astype(U)
     shards = _count_job(rows, lambda hashes, counts: counted(hashes), bounds, write)
@@ -308,7 +308,7 @@ def _vocabulary(rows: DataFrame, folder: str, parts: int) -> tuple[Level, list[d
     return level, shards
 
 
-def _next_level(rows: DataFrame, model: Model, folder: str, below: list[dict]) -> tuple[Level, list[dict]]:
+def _next_level(rows: DataFrame, model: Model, folder: str, below: list[dict], task_tokens: int) -> tuple[Level, list[dict]]:
     """Counts the level above the model's last one and writes its shards."""
     order, words = len(model.levels) + 1, model.words
     least = LEAST_COUNT[order]
@@ -318,8 +318,8 @@ def _next_level(rows: DataFrame, model: Model, folder: str, below: list[dict]) -
     for base, s in zip(model.levels[-1].base.tolist(), below, strict=True):
         marks |= {(base << 32)} | {((base + i) << 32) | int(share * words) for i, share in s["info"]["cuts"]}
     if order == 2:                                       # the start of a text is parent V
-        marks |= {(words << 32) | int(k * words / math.ceil(model.documents / TASK_TOKENS))
-                  for k in range(math.ceil(model.documents / TASK_TOKENS))}
+        marks |= {(words << 32) | int(k * words / math.ceil(model.documents / task_tokens))
+                  for k in range(math.ceil(model.documents / task_tokens))}
     bounds = np.array(sorted(marks), U)
 
     def keys_of(hashes: np.ndarray, counts: np.ndarray):
@@ -354,7 +354,7 @@ def _next_level(rows: DataFrame, model: Model, folder: str, below: list[dict]) -
             c = n[parent == p]
             edges[p] = [int(c.sum()), int((c == 1).sum()), int((c == 2).sum()), int((c > 2).sum())]
         return {"part": part, "path": path, "size": len(keys), "total": int(n.sum()),
-                "info": json.dumps({"cuts": _cuts(n, TASK_TOKENS), "tallies": tallies, "parents": [lo, hi], "edges": edges})}
+                "info": json.dumps({"cuts": _cuts(n, task_tokens), "tallies": tallies, "parents": [lo, hi], "edges": edges})}
 
     shards = _count_job(rows, keys_of, bounds, write)
     level = Level(order, words, [s["path"] for s in shards], bounds[[s["part"] for s in shards]] if shards else np.zeros(0, U),
@@ -421,14 +421,14 @@ def _probabilities(spark: SparkSession, model: Model, level: Level, shards: list
         level.fixed[p] = float(np.clip(1 - (total - give[1] * n1 - give[2] * n2 - give[3] * n3) / whole, 1e-9, 1.0))
 
 
-def train(rows: DataFrame, order: int = ORDER) -> Model:
+def train(rows: DataFrame, order: int = ORDER, task_tokens: int = TASK_TOKENS) -> Model:
     """The model of the texts of ``rows``."""
     spark = rows.sparkSession
     folder = shared_file(spark, "llm/ngrams")
-    level, shards = _vocabulary(rows, folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    level, shards = _vocabulary(rows, folder, int(spark.conf.get("spark.sql.shuffle.partitions")), task_tokens)
     model = Model(sum(s["total"] for s in shards), sum(s["info"]["documents"] for s in shards), [level])
     while len(model.levels) < order and shards:
-        level, shards = _next_level(rows, model, folder, shards)
+        level, shards = _next_level(rows, model, folder, shards, task_tokens)
         if not shards:
             break
         _probabilities(spark, model, level, shards)
