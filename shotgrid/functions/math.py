@@ -19,7 +19,8 @@ def sample_key(seed, *parts) -> Column:
 def hash_index(seed, draw, n) -> Column:
     """Position in ``[0, n)`` drawn from the key of ``draw`` (sampling with replacement)."""
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), _col(draw).cast("string")))
-    return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), _col(n) if not isinstance(n, int) else F.lit(n))
+    key = F.conv(F.substring(h, 1, 15), 16, 10).cast("long")          # 60 bits
+    return F.pmod(key, _col(n) if not isinstance(n, int) else F.lit(n))
 
 
 def bce_with_logit(x, y) -> Column:

@@ -91,8 +91,3 @@ def metric_title(metric) -> Column:
     return (F.when(m == "runtime", F.lit("Runtime (s)"))
              .when(m == "peak_memory_gb", F.lit("Peak Memory Usage (GB)"))
              .otherwise(cap))
-
-
-def name_suffix(label) -> Column:
-    """Optional ``'_' + label`` file-name suffix."""
-    return F.coalesce(F.concat(F.lit("_"), _col(label)), F.lit(""))

@@ -2,62 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotgrid.operators.sampling import dense_index
 
 
-HOT_RUN_ROWS = 1_000_000
-
-
-def split_entries(entries: DataFrame, run_keys=("run",), trim_last: int = 3,
-                  hot_rows: int = HOT_RUN_ROWS) -> DataFrame:
+def split_entries(entries: DataFrame, run_keys=("run",), trim_last: int = 3) -> DataFrame:
     """C12 + B5: drop each run's last ``trim_last`` entries (train summary and the two
     final evaluations), then split by key presence: an entry without ``eval_loss`` is a
     training entry.  Long form ``(run..., kind, pos, loss)``, ``pos`` from 1 per kind.
 
-    The largest run is measured first (a partial aggregation).  Runs up to ``hot_rows``
-    entries are numbered with per-run windows; if any run is bigger, positions come
-    from ``dense_index`` (range-partitioned), so a run holding most of the entries is
-    numbered by many tasks."""
+    Positions come from ``dense_index`` (range-partitioned), so a run that holds most of the
+    entries is numbered by many tasks."""
     order = ["ts", "event_id"]
-    biggest = entries.groupBy(*run_keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    hot = biggest > hot_rows
-    if hot:
-        e = dense_index(entries, order, list(run_keys), index_col="_i", count_col="_n")
-        e = e.filter(F.col("_i") < F.col("_n") - F.lit(trim_last))
-    else:
-        w = Window.partitionBy(*run_keys).orderBy(*[F.col(c).desc() for c in order])
-        e = entries.withColumn("_rd", F.row_number().over(w)).filter(F.col("_rd") > trim_last)
+    e = dense_index(entries, order, list(run_keys), index_col="_i", count_col="_n")
+    e = e.filter(F.col("_i") < F.col("_n") - F.lit(trim_last))
     e = e.withColumn("kind", F.when(F.col("eval_loss").isNull(), F.lit("train")).otherwise(F.lit("val"))) \
          .withColumn("value", F.coalesce(F.col("eval_loss"), F.col("loss"))) \
          .select(*run_keys, *order, "kind", "value")
-    if hot:
-        e = dense_index(e, order, [*run_keys, "kind"], index_col="_k").withColumn("pos", F.col("_k") + 1)
-    else:
-        e = e.withColumn("pos", F.row_number().over(Window.partitionBy(*run_keys, "kind").orderBy(*order)))
-    return e.select(*run_keys, "kind", F.col("pos").cast("int").alias("pos"), F.col("value").alias("loss"))
+    e = dense_index(e, order, [*run_keys, "kind"], index_col="_k")
+    return e.select(*run_keys, "kind", (F.col("_k") + 1).cast("int").alias("pos"), F.col("value").alias("loss"))
 
 
 def zip_long(split: DataFrame, run_keys=("run",)) -> DataFrame:
     """E5 relationally: the i-th training loss next to the i-th validation loss, epoch
-    from 1 (W3), stopping at the shorter list (an inner equi-join on (run, pos))."""
-    tr = split.filter(F.col("kind") == "train").select(*run_keys, F.col("pos").alias("epoch"),
-                                                      F.col("loss").alias("train_loss"))
-    va = split.filter(F.col("kind") == "val").select(*run_keys, F.col("pos").alias("epoch"),
-                                                    F.col("loss").alias("val_loss"))
-    return tr.join(va, [*run_keys, "epoch"])
+    from 1 (W3), stopping at the shorter list: one aggregation by (run, pos) that keeps the
+    positions with both."""
+    def of(kind):
+        return F.max(F.when(F.col("kind") == kind, F.col("loss")))
 
+    def some(kind):
+        return F.max((F.col("kind") == kind).cast("int"))
 
-def zip_arrays(df: DataFrame, train_col: str = "train_loss", val_col: str = "val_loss") -> DataFrame:
-    """E5 over array columns: one row per epoch up to the shorter array."""
-    z = F.arrays_zip(F.col(train_col).alias("t"), F.col(val_col).alias("v"))
-    keep = [c for c in df.columns if c not in (train_col, val_col)]
-    out = df.select(*keep, F.least(F.size(train_col), F.size(val_col)).alias("_n"), F.posexplode(z).alias("_pos", "_z"))
-    return out.filter(F.col("_pos") < F.col("_n")).select(
-        *keep, (F.col("_pos") + 1).cast("int").alias("epoch"),
-        F.col("_z.t").alias(train_col), F.col("_z.v").alias(val_col))
+    both = split.groupBy(*run_keys, F.col("pos").alias("epoch")).agg(
+        of("train").alias("train_loss"), of("val").alias("val_loss"), some("train").alias("_t"), some("val").alias("_v"))
+    return both.filter((F.col("_t") == 1) & (F.col("_v") == 1)).drop("_t", "_v")
 
 
 def learning_curves(history: DataFrame) -> DataFrame:

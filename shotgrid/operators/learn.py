@@ -1,300 +1,23 @@
-"""Learners (F1, F5-F9, F11) over feature vectors.
+"""Heads and context distillation over feature vectors (F1, F7, F8), as aggregates.
 
-* Few-shot heads and low-rank adapters: every (model, size, trial) is one group of at
-  most its shot count of rows; ``applyInPandas`` fits all trials in parallel and returns
-  a long table of training history and parameters.  Evaluation returns to Spark.
-* Context distillation: teacher soft labels are one distributed pass; the student is a
-  multinomial ``LogisticRegression`` with ``weightCol`` = teacher probability on the
-  exploded classes (minimising that cross-entropy minimises KL(teacher || student), the
-  two differ by the teacher's entropy), fitted by Spark ML's distributed L-BFGS.
+A teacher gives every row soft labels from the evidence of two context examples (and, in the
+recursive form, of the current student).  The student is the soft centroid head
+``W_k = sum(q_k x) / sum(q_k)``, ``b_k = -|W_k|^2 / 2``: one weighted mean per class, computed by
+partial aggregation over any number of rows, models and sizes at once.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotgrid.functions.math import hash_index
-
-LONG_SCHEMA = ("model_name string, sample_size int, trial int, record string, "
-               "i int, j int, value double, flat array<double>")
-
-
-@dataclass(frozen=True)
-class FitConfig:
-    """Training settings (reference defaults: 40 epochs, warm-up ratio 0.1, batch size by
-    model and shot count).  The learning rate is a parameter: 1e-5 suits large
-    pre-trained networks, not these small models."""
-    epochs: int = 40
-    lr: float = 0.05
-    warmup_ratio: float = 0.1
-    large_model: str = "head-large"
-    seed: int = 42
-    # LoRA
-    rank: int = 4
-    alpha: float = 16.0
-    dropout: float = 0.1
-    hidden: int = 32
-
-
-def batch_size_for(model_name: str, size: int, cfg: FitConfig) -> int:
-    """C11."""
-    return int(32 / size) if (model_name == cfg.large_model and size >= 8) else 8
-
-
-def lr_at(step: int, total: int, warmup: int, base: float) -> float:
-    """Linear warm-up then linear decay (step counted from 0)."""
-    if step < warmup:
-        return base * step / max(1, warmup)
-    return base * max(0.0, (total - step) / max(1, total - warmup))
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    e = np.exp(z)
-    return e / e.sum(axis=1, keepdims=True)
-
-
-def _ce(logits: np.ndarray, y: np.ndarray) -> float:
-    p = _softmax(logits)
-    return float(-np.mean(np.log(np.maximum(p[np.arange(len(y)), y], 1e-300))))
-
-
-class _Adam:
-    def __init__(self, shapes, b1=0.9, b2=0.999, eps=1e-8):
-        self.m = [np.zeros(s) for s in shapes]
-        self.v = [np.zeros(s) for s in shapes]
-        self.t, self.b1, self.b2, self.eps = 0, b1, b2, eps
-
-    def step(self, params, grads, lr, trainable):
-        self.t += 1
-        for k, (p, g) in enumerate(zip(params, grads)):
-            if not trainable[k]:
-                continue
-            self.m[k] = self.b1 * self.m[k] + (1 - self.b1) * g
-            self.v[k] = self.b2 * self.v[k] + (1 - self.b2) * g * g
-            mh = self.m[k] / (1 - self.b1 ** self.t)
-            vh = self.v[k] / (1 - self.b2 ** self.t)
-            p -= lr * mh / (np.sqrt(vh) + self.eps)
-
-
-def _trial_rng(cfg: FitConfig, *keys: int) -> np.random.Generator:
-    return np.random.default_rng([cfg.seed, *[int(k) for k in keys]])
-
-
-@dataclass
-class HeadNet:
-    """Softmax head ``W x + b``."""
-    n_features: int
-    n_classes: int = 2
-
-    def init(self, rng):
-        return [np.zeros((self.n_classes, self.n_features)), np.zeros(self.n_classes)]
-
-    @staticmethod
-    def forward(params, X, train=False, rng=None):
-        W, b = params
-        return X @ W.T + b, None
-
-    @staticmethod
-    def backward(params, X, cache, dlogits):
-        return [dlogits.T @ X, dlogits.sum(axis=0)]
-
-    trainable = (True, True)
-    names = ("W", "b")
-
-
-@dataclass
-class LoraNet:
-    """``tanh((W1 + (alpha/r) B A) x + b1)`` then ``W2 h + b2`` (F6): the base ``W1`` is
-    frozen, ``B`` starts at zero, adapters, their layer's bias and the head train."""
-    base: list[np.ndarray]
-    rank: int = 4
-    alpha: float = 16.0
-    dropout: float = 0.1
-    names: tuple = ("W1", "b1", "W2", "b2", "A", "B")
-    trainable: tuple = (False, True, True, True, True, True)
-
-    def init(self, rng):
-        W1, b1, W2, b2 = [p.copy() for p in self.base]
-        A = rng.normal(0.0, 1.0 / np.sqrt(W1.shape[1]), size=(self.rank, W1.shape[1]))
-        B = np.zeros((W1.shape[0], self.rank))
-        return [W1, b1, W2, b2, A, B]
-
-    def forward(self, params, X, train=False, rng=None):
-        W1, b1, W2, b2, A, B = params
-        s = self.alpha / self.rank
-        Xd = X
-        if train and self.dropout > 0:
-            keep = (rng.random(X.shape) >= self.dropout) / (1.0 - self.dropout)
-            Xd = X * keep
-        u = Xd @ A.T                       # (n, r)
-        z = X @ W1.T + b1 + s * (u @ B.T)  # (n, hidden)
-        h = np.tanh(z)
-        return h @ W2.T + b2, (Xd, u, h)
-
-    def backward(self, params, X, cache, dlogits):
-        W1, b1, W2, b2, A, B = params
-        Xd, u, h = cache
-        s = self.alpha / self.rank
-        dW2 = dlogits.T @ h
-        db2 = dlogits.sum(axis=0)
-        dz = (dlogits @ W2) * (1 - h * h)
-        db1 = dz.sum(axis=0)
-        dB = s * dz.T @ u                  # (hidden, r)
-        dA = s * (dz @ B).T @ Xd           # (r, features)
-        return [np.zeros_like(W1), db1, dW2, db2, dA, dB]
-
-    def merged_w1(self, params):
-        W1, _, _, _, A, B = params
-        return W1 + (self.alpha / self.rank) * B @ A
-
-
-def fit_group(net, X, y, Xv, yv, model_name, size, trial, cfg: FitConfig):
-    """Train one trial: epochs of shuffled mini-batches with Adam and the S1 schedule;
-    one training-loss entry per step, one validation-loss entry per epoch."""
-    rng = _trial_rng(cfg, size, trial)
-    params = net.init(rng)
-    n = len(y)
-    bs = batch_size_for(model_name, size, cfg)
-    steps_per_epoch = int(np.ceil(n / bs))
-    total = cfg.epochs * steps_per_epoch
-    warmup = int(np.ceil(cfg.warmup_ratio * total))
-    opt = _Adam([p.shape for p in params])
-    hist, step = [], 0
-    for epoch in range(cfg.epochs):
-        order = _trial_rng(cfg, size, trial, epoch + 1).permutation(n)
-        for b0 in range(0, n, bs):
-            idx = order[b0:b0 + bs]
-            logits, cache = net.forward(params, X[idx], train=True, rng=rng)
-            p = _softmax(logits)
-            loss = float(-np.mean(np.log(np.maximum(p[np.arange(len(idx)), y[idx]], 1e-300))))
-            d = p.copy()
-            d[np.arange(len(idx)), y[idx]] -= 1.0
-            d /= len(idx)
-            grads = net.backward(params, X[idx], cache, d)
-            opt.step(params, grads, lr_at(step, total, warmup, cfg.lr), net.trainable)
-            step += 1
-            hist.append(("train_step", step, epoch + 1, loss))
-        hist.append(("val_epoch", epoch + 1, epoch + 1, _ce(net.forward(params, Xv)[0], yv)))
-    return params, hist
-
-
-def _long_rows(model_name, size, trial, net, params, hist):
-    """History entries as (record, i, j, value); each parameter as one row with its shape
-    in (i, j) and its values flattened row-major."""
-    rows = [(model_name, size, trial, rec, int(i), int(j), float(v), None) for rec, i, j, v in hist]
-    named = list(zip(net.names, params))
-    if isinstance(net, LoraNet):
-        named.append(("W1_merged", net.merged_w1(params)))
-    for name, p in named:
-        a = np.atleast_2d(p)
-        rows.append((model_name, size, trial, f"param:{name}", a.shape[0], a.shape[1], None,
-                     a.ravel().astype(float).tolist()))
-    return rows
-
-
-def fit_trials(trials: DataFrame, validation: tuple[np.ndarray, np.ndarray], kind: str,
-               cfg: FitConfig = FitConfig(), base: list[np.ndarray] | None = None) -> DataFrame:
-    """Fit every (model_name, sample_size, trial) group in parallel.
-
-    ``trials``: (model_name, sample_size, trial, rn, features array<double>, y int).
-    ``validation``: the bounded validation subset (C7), shipped with the function.
-    Returns the long table ``(model_name, sample_size, trial, record, i, j, value)``:
-    records ``train_step``, ``val_epoch`` and ``param:<name>``.
-    """
-    Xv, yv = validation
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rn")
-        X = np.stack(pdf["features"].to_numpy()).astype(float)
-        y = pdf["y"].to_numpy().astype(int)
-        m, s, t = str(pdf["model_name"].iloc[0]), int(pdf["sample_size"].iloc[0]), int(pdf["trial"].iloc[0])
-        if kind == "head":
-            net = HeadNet(X.shape[1])
-        else:
-            net = LoraNet([np.asarray(p, dtype=float) for p in base], cfg.rank, cfg.alpha, cfg.dropout)
-        params, hist = fit_group(net, X, y, Xv, yv, m, s, t, cfg)
-        return pd.DataFrame(_long_rows(m, s, t, net, params, hist),
-                            columns=["model_name", "sample_size", "trial", "record", "i", "j", "value", "flat"])
-
-    return trials.groupBy("model_name", "sample_size", "trial").applyInPandas(run, LONG_SCHEMA)
-
-
-def base_network(n_features: int, hidden: int, seed: int, n_classes: int = 2) -> list[np.ndarray]:
-    """The frozen 'pre-trained' network every LoRA trial starts from (fixed by seed)."""
-    rng = np.random.default_rng([seed, 7])
-    return [rng.normal(0, 1 / np.sqrt(n_features), (hidden, n_features)), np.zeros(hidden),
-            rng.normal(0, 1 / np.sqrt(hidden), (n_classes, hidden)), np.zeros(n_classes)]
-
-
-def params_table(long: DataFrame) -> DataFrame:
-    """Parameter rows of a fit in the A9 table layout ``(model, ..., layer, i, j, value)``."""
-    p = long.filter(F.col("record").startswith("param:"))
-    p = p.select("model_name", "sample_size", "trial", "record", F.col("j").alias("cols"),
-                 F.posexplode("flat").alias("pos", "value"))
-    return p.select(F.col("model_name").alias("model"), "sample_size", "trial",
-                    F.regexp_replace("record", "^param:", "").alias("layer"),
-                    (F.col("pos") / F.col("cols")).cast("int").alias("i"), (F.col("pos") % F.col("cols")).cast("int").alias("j"),
-                    "value", (F.col("record") != "param:W1").alias("trainable"))
-
-
-def collect_weights(long: DataFrame, layers) -> dict:
-    """Weights of every trial as numpy arrays (bounded: grid cells x model size)."""
-    rows = long.filter(F.col("record").isin(*[f"param:{n}" for n in layers])) \
-               .select("model_name", "sample_size", "trial", "record", "i", "j", "flat").collect()
-    out: dict = {}
-    for r in rows:
-        key = (r["model_name"], int(r["sample_size"]), int(r["trial"]))
-        a = np.asarray(r["flat"], dtype=float).reshape(r["i"], r["j"])
-        out.setdefault(key, {})[r["record"][6:]] = a
-    return out
-
-
-TRIAL_SCORES = ("model_name string, sample_size int, trial int, domain string, id long, label int, "
-                "logit0 double, logit1 double")
-
-
-def score_trials(ev: DataFrame, weights: dict, kind: str) -> DataFrame:
-    """F1 for every trial's model at once: the weights of all trials are broadcast once
-    per executor and each Arrow batch of evaluation rows is scored by every trial with
-    numpy.  Output: one row per (trial, evaluation row)."""
-    bc = ev.sparkSession.sparkContext.broadcast(weights)
-
-    def logits(p, X):
-        if kind == "head":
-            return X @ p["W"].T + p["b"].ravel()
-        h = np.tanh(X @ p["W1_merged"].T + p["b1"].ravel())
-        return h @ p["W2"].T + p["b2"].ravel()
-
-    def run(batches):
-        W = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            X = np.stack(pdf["features"].to_numpy()).astype(float)
-            parts = []
-            for (m, s, t), p in W.items():
-                lg = logits(p, X)
-                parts.append(pd.DataFrame({"model_name": m, "sample_size": s, "trial": t,
-                                           "domain": pdf["domain"].to_numpy(), "id": pdf["id"].to_numpy(),
-                                           "label": pdf["label"].to_numpy(), "logit0": lg[:, 0], "logit1": lg[:, 1]}))
-            yield pd.concat(parts, ignore_index=True)
-
-    return ev.select("domain", "id", "label", "features").mapInPandas(run, TRIAL_SCORES)
-
-
-def history_of(long: DataFrame) -> DataFrame:
-    """Training history rows: ``kind`` train (per step) or val (per epoch)."""
-    return long.filter(F.col("record").isin("train_step", "val_epoch")).select(
-        "model_name", "sample_size", "trial",
-        F.when(F.col("record") == "train_step", "train").otherwise("val").alias("kind"),
-        F.col("i").alias("pos"), F.col("j").alias("epoch"), F.col("value").alias("loss"))
+from shotgrid.operators.sampling import dense_index
 
 
 def dot(x: Column, w: Column) -> Column:
@@ -316,16 +39,14 @@ def ce_loss(logits: Column, label: Column) -> Column:
 def draw_context_examples(batches: DataFrame, pool: DataFrame, seed: int, batch_col: str = "batch_key") -> DataFrame:
     """One random pool example per class for every training batch (D3 for features):
     hash-drawn positions joined to a dense per-label index -- O(batches + pool)."""
-    from shotgrid.operators.sampling import dense_index
     idx = dense_index(pool.select("id", "y"), ["id"], ["y"])   # features joined after the draw
     n_by = idx.groupBy("y").agg(F.count(F.lit(1)).alias("n"))   # one row per class
     draws = batches.select(batch_col).distinct() \
         .select(batch_col, F.explode(F.array(F.lit(0), F.lit(1))).alias("y")) \
-        .join(F.broadcast(n_by), "y") \
+        .join(n_by, "y") \
         .withColumn("idx", hash_index(seed, F.concat_ws("|", F.lit("context"), F.col(batch_col).cast("string"),
                                                         F.col("y").cast("string")), F.col("n")))
-    picked = F.broadcast(draws.join(idx, ["y", "idx"]).select(batch_col, "y", "id")) \
-        .join(pool.select("id", "features"), "id")
+    picked = draws.join(idx, ["y", "idx"]).select(batch_col, "y", "id").join(pool.select("id", "features"), "id")
     return picked.groupBy(batch_col).agg(
         F.max(F.when(F.col("y") == 0, F.col("features"))).alias("ctx0"),
         F.max(F.when(F.col("y") == 1, F.col("features"))).alias("ctx1"))
@@ -338,122 +59,34 @@ def context_logits(x: Column, ctx0: Column, ctx1: Column, tau: float) -> Column:
     return F.array(-sq(ctx0) / F.lit(tau), -sq(ctx1) / F.lit(tau))
 
 
-def fit_student(soft: DataFrame, max_iter: int = 100):
-    """Student = multinomial logistic regression on soft labels: each point appears once
-    per class with weight = teacher probability.  Returns (W as list of rows, b)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-    rows = soft.select(array_to_vector("features").alias("fv"),
-                       F.posexplode("q").alias("cls", "wt")) \
-               .select("fv", F.col("cls").cast("double").alias("cls"), "wt")
-    lr = LogisticRegression(featuresCol="fv", labelCol="cls", weightCol="wt", family="multinomial",
-                            standardization=False, regParam=0.0, maxIter=max_iter, tol=1e-10)
-    model = lr.fit(rows)
-    W = model.coefficientMatrix.toArray()
-    b = model.interceptVector.toArray()
-    if W.shape[0] == 1:   # only one class seen: pad the other
-        W = np.vstack([W, np.zeros_like(W)])
-        b = np.append(b, 0.0)
-    return W.tolist(), b.tolist()
-
-
-STUDENT_SCHEMA = ("model_name string, sample_size int, w array<array<double>>, b array<double>, "
-                  "n long, kl_start double, kl_end double")
-# A distillation set up to this many rows is fitted inside one group; larger sets go to
-# Spark ML's distributed L-BFGS (``fit_student``).
-MAX_GROUP_FIT_ROWS = 500_000
-
-
-def _kl_rows(q: np.ndarray, logits: np.ndarray) -> np.ndarray:
-    z = logits - logits.max(axis=1, keepdims=True)
-    lq = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t = np.where(q > 0, q * (np.log(np.where(q > 0, q, 1.0)) - lq), 0.0)
-    return t.sum(axis=1)
-
+def weighted_means(df: DataFrame, keys: Sequence[str], features: str, weight: str | None = None) -> DataFrame:
+    """(keys, mean): the (weighted) mean vector of every group, one partial aggregation."""
+    vec = array_to_vector(F.col(features))
+    mean = Summarizer.mean(vec, F.col(weight)) if weight else Summarizer.mean(vec)
+    return df.groupBy(*keys).agg(mean.alias("mean")).select(*keys, vector_to_array("mean").alias("mean"))
 
-def fit_soft_binary(X: np.ndarray, t: np.ndarray, max_iter: int = 50, ridge: float = 1e-8):
-    """Minimise the mean cross-entropy of soft targets ``t`` (probability of class 1) under
-    a logistic model by damped Newton steps; returns (theta, bias)."""
-    n, d = X.shape
-    Xa = np.hstack([X, np.ones((n, 1))])
-    theta = np.zeros(d + 1)
 
-    def loss(th):
-        z = Xa @ th
-        return float(np.mean(np.logaddexp(0.0, z) - t * z))
+def _head(classes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, w, b) from one mean vector per (keys, cls)."""
+    g = classes.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cls", "mean"))).alias("c"))
+    g = g.withColumn("w", F.transform("c", lambda c: c["mean"]))
+    return g.withColumn("b", F.transform("w", lambda w: -0.5 * dot(w, w))).drop("c")
 
-    cur = loss(theta)
-    for _ in range(max_iter):
-        p = 1.0 / (1.0 + np.exp(-(Xa @ theta)))
-        g = Xa.T @ (p - t) / n
-        if np.max(np.abs(g)) < 1e-10:
-            break
-        H = (Xa * (p * (1 - p))[:, None]).T @ Xa / n + ridge * np.eye(d + 1)
-        step = np.linalg.solve(H, g)
-        a = 1.0
-        while a > 1e-6:
-            cand = theta - a * step
-            lc = loss(cand)
-            if lc <= cur:
-                theta, cur = cand, lc
-                break
-            a *= 0.5
-        else:
-            break
-    return theta[:d], float(theta[d])
 
+def centroid_heads(df: DataFrame, keys: Sequence[str] = (), features: str = "features", label: str = "y") -> DataFrame:
+    """(keys, w, b): the nearest-centroid head of every group."""
+    return _head(weighted_means(df.withColumn("cls", F.col(label)), [*keys, "cls"], features), keys)
 
-def fit_students(soft: DataFrame, keys=("model_name", "sample_size"), max_iter: int = 50) -> DataFrame:
-    """F7/F8 student fits for every distillation group in one job.  ``soft`` rows carry
-    ``features``, teacher probabilities ``q`` and the previous student's logits ``s_prev``.
-    The 2-class softmax student is fitted as logistic regression on the soft target
-    (class-0 row fixed at zero); KL(teacher || student) before and after is reported."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        X = np.stack(pdf["features"].to_numpy()).astype(float)
-        q = np.stack(pdf["q"].to_numpy()).astype(float)
-        prev = np.stack(pdf["s_prev"].to_numpy()).astype(float)
-        theta, bias = fit_soft_binary(X, q[:, 1], max_iter)
-        logits = np.column_stack([np.zeros(len(X)), X @ theta + bias])
-        W = [[0.0] * X.shape[1], theta.tolist()]
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "w": W, "b": [0.0, bias], "n": len(X),
-                              "kl_start": float(_kl_rows(q, prev).mean()),
-                              "kl_end": float(_kl_rows(q, logits).mean())}])
-    return soft.select(*keys, "features", "q", "s_prev").groupBy(*keys).applyInPandas(run, STUDENT_SCHEMA)
 
+def soft_students(soft: DataFrame, keys: Sequence[str], features: str = "features", q: str = "q") -> DataFrame:
+    """(keys, w, b): the soft centroid student of every group's soft labels."""
+    rows = soft.select(*keys, features, F.posexplode(q).alias("cls", "wt"))
+    return _head(weighted_means(rows, [*keys, "cls"], features, "wt"), keys)
 
-def fit_students_auto(soft: DataFrame, keys, group_rows_bound: int, max_iter: int = 50) -> DataFrame:
-    """Student fits: one grouped job while every group fits in a task (the bound comes
-    from the sampling parameters), else one distributed Spark ML fit per group (F9)."""
-    if group_rows_bound <= MAX_GROUP_FIT_ROWS:
-        return fit_students(soft, keys, max_iter)
-    spark = soft.sparkSession
-    out = []
-    for g in soft.select(*keys).distinct().collect():   # one row per group (models x sizes)
-        part = soft.filter(reduce(lambda a, b: a & b, [F.col(k) == g[k] for k in keys], F.lit(True)))
-        W, b = fit_student(part, max_iter)
-        fitted = head_logits(F.col("features"), F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in W]),
-                             F.array(*[F.lit(float(v)) for v in b]))
-        r = part.agg(kl_mean(part, "q", F.col("s_prev")).alias("ks"), kl_mean(part, "q", fitted).alias("ke"),
-                     F.count(F.lit(1)).alias("n")).first()
-        out.append((*[g[k] for k in keys], W, b, int(r["n"]), float(r["ks"]), float(r["ke"])))
-    return spark.createDataFrame(out, STUDENT_SCHEMA)
 
-
-def kl_mean(df: DataFrame, q: str, logits: Column) -> Column:
-    """Mean KL(q || softmax(logits)) over rows; 0 * log 0 = 0."""
-    m = F.array_max(logits)
-    lse = m + F.log(F.aggregate(F.transform(logits, lambda v: F.exp(v - m)), F.lit(0.0), lambda a, v: a + v))
-    lq = F.transform(logits, lambda v: v - lse)
-    kl = F.aggregate(F.arrays_zip(F.col(q).alias("p"), lq.alias("l")), F.lit(0.0),
-                     lambda a, r: a + F.when(r["p"] > 0, r["p"] * (F.log(r["p"]) - r["l"])).otherwise(F.lit(0.0)))
-    return F.avg(kl)
-
-
-@dataclass
+@dataclass(frozen=True)
 class DistillConfig:
-    tau: float = 0.1        # matched to unit-norm feature vectors (distance gaps ~0.1-0.5)
-    rounds: int = 3
-    max_iter: int = 50
-    seed: int = 42
+    """Batch sizes by model, temperature of the context evidence, rounds of the recursive form."""
     batch_sizes: dict = field(default_factory=lambda: {"head-small": 4, "head-large": 2})
+    tau: float = 0.1
+    rounds: int = 3

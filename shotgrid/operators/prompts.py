@@ -10,11 +10,7 @@ from pyspark.sql import functions as F
 from shotgrid.functions.math import hash_index
 from shotgrid.functions.text import demo_text, minimal_pattern, teacher_context as teacher_text
 from shotgrid.operators.sampling import dense_index
-
-
-def with_minimal_pattern(df: DataFrame, context=None, out: str = "text") -> DataFrame:
-    """D1 as a new column; ``context`` may be a string or a column."""
-    return df.withColumn(out, minimal_pattern("premise", "hypothesis", context))
+from shotgrid.sources.views import as_pairs
 
 
 def icl_context(demos: DataFrame, keys: Sequence[str] = ("sample_size", "trial"),
@@ -40,12 +36,12 @@ def icl_prompts(eval_rows: DataFrame, contexts: DataFrame,
     """Every evaluation row under every trial's context.
 
     The trial cells are a bounded parameter list: each evaluation row is expanded to its
-    cells in place, then equi-joined to the contexts (one row per cell, broadcast)."""
+    cells in place, then equi-joined to the contexts (one row per cell; AQE measures their texts)."""
     grid = F.array(*[F.struct(F.lit(s).alias(keys[0]), F.lit(t).alias(keys[1])) for s, t in cells])
     expanded = eval_rows.select("*", F.explode(grid).alias("_c")) \
                         .select("*", F.col(f"_c.{keys[0]}").alias(keys[0]), F.col(f"_c.{keys[1]}").alias(keys[1])) \
                         .drop("_c")
-    joined = expanded.join(F.broadcast(contexts.select(*keys, "context")), list(keys))
+    joined = expanded.join(contexts.select(*keys, "context"), list(keys))
     return joined.withColumn("text", minimal_pattern("premise", "hypothesis", F.col("context")))
 
 
@@ -55,23 +51,24 @@ def teacher_contexts(batches: DataFrame, pool: DataFrame, seed: int, batch_col:
 
     Each batch draws a position per label from a keyed hash; the pool gets a dense
     per-label index and the draws are an equi-join on (label, position), so the work is
-    O(batches + pool) -- no batch x pool product.
+    O(batches + pool) -- no batch x pool product.  ``pool`` is (id, text, label); a pool without
+    one of the labels is an error.
     """
     # only (id, label) is indexed and checkpointed; the drawn rows get their text after
     idx = dense_index(pool.select("id", "label"), ["id"], ["label"])
     n_by_label = idx.groupBy("label").agg(F.count(F.lit(1)).alias("n"))  # <= 2 rows
     draws = batches.select(batch_col).distinct() \
         .select(batch_col, F.explode(F.array(F.lit(0), F.lit(1))).alias("label")) \
-        .join(F.broadcast(n_by_label), "label") \
+        .join(n_by_label, "label") \
         .withColumn("idx", hash_index(seed, F.concat_ws("|", F.lit("teacher"), F.col(batch_col).cast("string"),
                                                         F.col("label").cast("string")), F.col("n")))
-    # two draws per batch, bounded by the batch count (a sampling parameter): broadcast
-    picked = F.broadcast(draws.join(idx, ["label", "idx"]).select(batch_col, "label", "id")) \
-        .join(pool.select("id", "premise", "hypothesis"), "id")
+    # the drawn rows are split into pairs after the join
+    picked = as_pairs(draws.join(idx, ["label", "idx"]).select(batch_col, "label", "id").join(pool.select("id", "text"), "id"))
     wide = picked.groupBy(batch_col).agg(
         F.max(F.when(F.col("label") == 1, F.col("premise"))).alias("c_premise"),
         F.max(F.when(F.col("label") == 1, F.col("hypothesis"))).alias("c_hypothesis"),
         F.max(F.when(F.col("label") == 0, F.col("premise"))).alias("e_premise"),
         F.max(F.when(F.col("label") == 0, F.col("hypothesis"))).alias("e_hypothesis"))
-    return wide.select(batch_col, teacher_text("c_premise", "c_hypothesis", "e_premise", "e_hypothesis")
-                       .alias("teacher_context"))
+    text = teacher_text("c_premise", "c_hypothesis", "e_premise", "e_hypothesis")
+    missing = F.raise_error(F.lit("a teacher context needs a row of each label"))
+    return wide.select(batch_col, F.when(text.isNull(), missing).otherwise(text).alias("teacher_context"))

@@ -32,11 +32,6 @@ def reformat_eval_metrics(df: DataFrame, infix: str) -> DataFrame:
     return df.withColumnsRenamed({c: f"{c[:4]}_{infix}{c[4:]}" for c in df.columns if c.startswith("eval")})
 
 
-def prefix_metrics(df: DataFrame, prefix: str, keys: Sequence[str]) -> DataFrame:
-    """Every non-key column gets ``prefix``."""
-    return df.select(*keys, *[F.col(c).alias(f"{prefix}{c}") for c in df.columns if c not in keys])
-
-
 def means_by_size(df: DataFrame, metric: str) -> DataFrame:
     """G3 + G9: mean in/out metric per sample size (all models mixed), with trial count."""
     return df.groupBy("sample_size").agg(
@@ -91,14 +86,9 @@ def config_sums(df: DataFrame, metrics: Sequence[str] = REPORT_METRICS) -> DataF
 
 def distinct_keys(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
     """Distinct values of each key in first-appearance order (``order_col`` = row
-    position in the log); long form ``(key, value, first_seen, ordinal)``."""
-    parts = []
-    for k in keys:
-        parts.append(df.groupBy(k).agg(F.min(order_col).alias("first_seen"))
-                     .select(F.lit(k).alias("key"), F.col(k).cast("string").alias("value"), "first_seen"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    position in the log); long form ``(key, value, first_seen, ordinal)``, one scan."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys])
+    out = df.select(order_col, F.inline(pairs)).groupBy("key", "value").agg(F.min(order_col).alias("first_seen"))
     # one row per distinct key value: small
     return out.withColumn("ordinal", F.row_number().over(Window.partitionBy("key").orderBy("first_seen", "value")))
 

@@ -30,7 +30,7 @@ def dense_index(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str]
     over the data.
     """
     keys = list(group_by) + list(order_by)
-    n_parts = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
     ordered = cut_lineage(ordered)
     ordered = ordered.withColumn("_pid", F.spark_partition_id()) \
@@ -50,7 +50,12 @@ def dense_index(df: DataFrame, order_by: Sequence[str], group_by: Sequence[str]
     # one row per partition: broadcast.  With groups it can grow with the number of
     # groups, so the join is left to AQE, which broadcasts it only after measuring it.
     offsets = offsets.select("_pid", *group_by, "_off", "_first", *extra)
-    out = ordered.join(offsets if group_by else F.broadcast(offsets), ["_pid", *group_by])
+    on = F.col("o._pid") == F.col("f._pid")
+    for g in group_by:                                  # a null group is a group
+        on = on & F.col(f"o.{g}").eqNullSafe(F.col(f"f.{g}"))
+    side = offsets.alias("f")
+    out = ordered.alias("o").join(side if group_by else F.broadcast(side), on) \
+                 .select("o.*", *[f"f.{c}" for c in ("_off", "_first", *extra)])
     return out.withColumn(index_col, (F.col("_off") + F.col("_mono") - F.col("_first")).cast("long")) \
               .drop("_pid", "_mono", "_off", "_first")
 
@@ -68,48 +73,32 @@ def _count_guard(n_rows: int, n: int, what: str) -> None:
         raise ValueError(f"cannot take a sample of {n} from {n_rows} rows ({what}) without replacement")
 
 
-# Samples of at least this many rows first keep only rows under a hash threshold.
-LARGE_SAMPLE_ROWS = 1024
-
-
-def sample_n(df: DataFrame, n: int, seed: int, *key_parts, id_col: str = "id",
-             check: bool = True, large: int | None = None) -> DataFrame:
-    """Uniform sample of exactly ``n`` rows without replacement.
-
-    Small n plans as TakeOrderedAndProject: each partition keeps its n smallest keys, so
-    n x partitions rows move; no full sort.  For n >= ``large`` (default
-    ``LARGE_SAMPLE_ROWS``) that product grows with the cluster, so rows are first kept
-    only below a hash threshold expected to pass ~4n of them (checked; widened 4x until
-    at least n pass, which keeps the result exact), and the top-n runs on those.
-    The size guard (n larger than the input is an error) runs inside the job over the
-    n-row result.
-    """
-    key = sample_key(seed, *[F.lit(p) for p in key_parts], F.col(id_col))
-    keyed = df.withColumn("_h", key)
-    if n >= (LARGE_SAMPLE_ROWS if large is None else large):
-        n_rows = df.count()
-        _count_guard(n_rows, n, "sample_n")
-        share = min(1.0, 4.0 * n / max(n_rows, 1) + 1e-9)
-        while share < 1.0:
-            kept = keyed.filter(F.col("_h") < F.lit(_threshold_hex(share)))
-            if kept.count() >= n:
-                keyed = kept
-                break
-            share *= 4.0
-    out = keyed.orderBy("_h", id_col).limit(n)
-    if check:
-        out = out.withColumn("_got", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))   # over <= n rows
-        out = out.filter(F.when(F.col("_got") < F.lit(n), F.raise_error(F.lit(
-            f"cannot take a sample of {n} rows without replacement: the input is smaller"))).otherwise(F.lit(True)))
-    return out.drop("_h", "_got")
+def sample_n(df: DataFrame, n: int, seed: int, *key_parts, id_col: str = "id") -> DataFrame:
+    """Uniform sample of exactly ``n`` rows without replacement (C2, C4): the rows with the
+    ``n`` smallest keys.  More rows than the input has is an error.
+
+    Rows are first kept only below a key expected to pass about 4n of them (widened until at
+    least n pass, so the result is exact); the bounded top-n runs on those, so that the rows
+    that move don't grow with the number of partitions."""
+    keyed = df.withColumn("_h", sample_key(seed, *[F.lit(p) for p in key_parts], F.col(id_col)))
+    n_rows = df.count()
+    _count_guard(n_rows, n, "sample_n")
+    share = min(1.0, 4.0 * n / max(n_rows, 1) + 1e-9)
+    while share < 1.0:
+        kept = keyed.filter(F.col("_h") < F.lit(_threshold_hex(share)))
+        if kept.count() >= n:
+            keyed = kept
+            break
+        share *= 4.0
+    return keyed.orderBy("_h", id_col).limit(n).drop("_h")
 
 
 # ---------------------------------------------------------------------------- trials
 def _threshold_hex(p: float) -> str:
-    """Smallest 8-hex-digit string with share ``p`` of md5 keys below it ('g' = all)."""
+    """Smallest 15-hex-digit string with share ``p`` of md5 keys below it ('g' = all)."""
     if p >= 1.0:
         return "g"
-    return format(min(int(p * 16 ** 8) + 1, 16 ** 8 - 1), "08x")
+    return format(min(int(p * 16 ** 15) + 1, 16 ** 15 - 1), "015x")
 
 
 def trial_grid(df: DataFrame, sizes: Sequence[int], num_trials: int, seed: int,
@@ -147,7 +136,7 @@ def trial_grid(df: DataFrame, sizes: Sequence[int], num_trials: int, seed: int,
     parts: list[DataFrame] = []
     todo, boost = cells, 1.0
     while todo:
-        cand = survivors(todo, boost).persist()
+        cand = cut_lineage(survivors(todo, boost))        # counted now and ranked below
         if boost * min(share[s] for s, _ in todo) >= 1.0:
             parts.append(cand)
             break
@@ -170,25 +159,16 @@ def trial_grid(df: DataFrame, sizes: Sequence[int], num_trials: int, seed: int,
                .select("sample_size", "trial", "rn", "id")
 
 
-# Trial samples up to this many rows are broadcast to the row table (the bound is the
-# grid parameters: sum of sizes x trials, known before anything runs).
-MAX_BROADCAST_SAMPLE_ROWS = 2_000_000
-
-
-def attach_rows(sample: DataFrame, rows: DataFrame, bound: int | None = None) -> DataFrame:
-    """Late join of sampled ids to their full rows (J6); the sample side is broadcast
-    when its parameter bound is small enough, else a shuffled join."""
-    side = F.broadcast(sample) if bound is not None and bound <= MAX_BROADCAST_SAMPLE_ROWS else sample
-    return side.join(rows, "id")
-
-
-def grid_bound(sizes: Sequence[int], num_trials: int) -> int:
-    return int(sum(set(sizes)) * num_trials)
+def attach_rows(sample: DataFrame, rows: DataFrame) -> DataFrame:
+    """Late join of sampled ids to their full rows (J6).  The sample is small beside the
+    rows; AQE broadcasts it after measuring it."""
+    return sample.join(rows, "id")
 
 
 def per_label(df: DataFrame, quantity: int, seed: int, *key_parts, label_col: str = "label",
-              id_col: str = "id") -> DataFrame:
-    """``quantity`` random rows of every label in one pass (C5); quantity < 1 -> empty.
+              id_col: str = "id", labels: Sequence = ()) -> DataFrame:
+    """``quantity`` random rows of every label in one pass (C5); quantity < 1 -> empty.  A label
+    with fewer rows is an error, as is one of ``labels`` without rows.
 
     The literal bound lets Spark insert WindowGroupLimit before the shuffle, so a label
     holding most rows still ships only ``quantity`` rows per input partition.
@@ -196,6 +176,11 @@ def per_label(df: DataFrame, quantity: int, seed: int, *key_parts, label_col: st
     if quantity < 1:
         return df.limit(0).withColumn("rn", F.lit(0))
     key = sample_key(seed, *[F.lit(p) for p in key_parts], F.col(label_col), F.col(id_col))
+    sizes = {r[0]: r["n"] for r in df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
+             .filter(F.col("n") < quantity).collect()} if not labels else \
+            {lab: df.filter(F.col(label_col) == F.lit(lab)).limit(int(quantity)).count() for lab in labels}
+    for lab, n in sizes.items():
+        _count_guard(n, quantity, f"label {lab}")
     w = Window.partitionBy(label_col).orderBy("_h", id_col)
     return df.withColumn("_h", key).withColumn("rn", F.row_number().over(w)) \
              .filter(F.col("rn") <= F.lit(int(quantity))).drop("_h")
@@ -230,9 +215,3 @@ def micro_batches(df: DataFrame, batch_size: int, order_by: str = "id") -> DataF
 def head_n(df: DataFrame, n: int, order_by: str = "id") -> DataFrame:
     """First n rows in ``order_by`` order."""
     return df.orderBy(order_by).limit(n)
-
-
-def drop_last(df: DataFrame, k: int, partition_by: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """Drop the last ``k`` rows of every partition."""
-    w = Window.partitionBy(*partition_by).orderBy(*[F.col(c).desc() for c in order_by])
-    return df.withColumn("_rd", F.row_number().over(w)).filter(F.col("_rd") > k).drop("_rd")

@@ -9,14 +9,13 @@ scores on the executors:
   2002); an in-context trial adds a multinomial naive-Bayes log likelihood learned from
   that trial's demonstrations only (no parameter update, as in-context learning).
   Everything is joins and aggregates, so it has an exact SQL oracle.
-* ``LinearHead`` -- a softmax head over feature vectors, as array expressions (F1).
 * ``score_with`` -- any per-batch Python model (``Scorer`` protocol) via ``mapInPandas``
   with its weights broadcast once per executor.
 
 UDF surface of the reference: batched map functions (U1) and filter predicates (U2)
 are built-in column expressions here; lifecycle callbacks (U4) are the telemetry table
 and its window queries; the metric callback (U3) is ``metrics.METRICS``; the model
-plug-in (U5) is ``get_model`` / ``score_with``.
+plug-in (U5) is ``score_with``.
 """
 
 from __future__ import annotations
@@ -28,7 +27,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotgrid.functions.math import argmax, softmax
 from shotgrid.functions.text import answer_word, minimal_pattern, parse_answer
 from shotgrid.operators.tokens import tokens
 
@@ -46,22 +44,11 @@ class CountModel:
 
 COUNT_MODELS = [CountModel("count-a", 1.0, 1.0), CountModel("count-b", 0.5, 2.0)]
 
-MODEL_REGISTRY: dict[str, CountModel] = {m.name: m for m in COUNT_MODELS}
-
-
-def get_model(name: str) -> CountModel:
-    """Model by name; unsupported names raise."""
-    if name not in MODEL_REGISTRY:
-        raise ValueError(f"Model {name} not supported.")
-    return MODEL_REGISTRY[name]
-
-
 def _models_array(models: Sequence[CountModel]) -> Column:
     return F.array(*[F.struct(F.lit(m.name).alias("model_name"), F.lit(float(m.alpha)).alias("alpha"),
                               F.lit(float(m.lam)).alias("lam")) for m in models])
 
 
-MAX_BROADCAST_TOKENS = 5_000_000
 TOTAL_KEY = ""   # never a token (tokens are non-empty [a-z] runs): carries the corpus totals
 
 
@@ -90,13 +77,12 @@ def corpus_counts(corpus: DataFrame, seeds=SEED_WORDS, text: str = "text") -> Da
 
 def corpus_totals(counts: DataFrame, keep: DataFrame | None = None) -> tuple[DataFrame, dict]:
     """Split a ``corpus_counts`` table into token rows (only those in ``keep``, when
-    given: a semi-join, broadcast after measuring the set) and the totals row."""
+    given: a semi-join that AQE broadcasts after measuring the set) and the totals row."""
     t = counts.filter(F.col("token") == TOTAL_KEY).first()
     tot = {"N": int(t["n_w"]), "n0": int(t["n_w0"] or 0), "n1": int(t["n_w1"] or 0)} if t else {"N": 0, "n0": 0, "n1": 0}
     rows = counts.filter(F.col("token") != TOTAL_KEY)
     if keep is not None:
-        k = keep.select("token")
-        rows = rows.join(F.broadcast(k) if k.count() <= MAX_BROADCAST_TOKENS else k, "token", "left_semi")
+        rows = rows.join(keep.select("token"), "token", "left_semi")
     return rows, tot
 
 
@@ -127,8 +113,9 @@ def zero_shot_scores(rows: DataFrame, orient: DataFrame, keys: Sequence[str] = (
 
 
 def choose(df: DataFrame, label: str = "label") -> DataFrame:
-    """Closed-choice answer: the higher score wins, ties go to the first choice ('Yes').
-    The answer text then goes through the same parser as generated text (D5)."""
+    """Closed-choice answer among the allowed answers (E4): the higher score wins, ties go to
+    the first choice ('Yes').  The answer text then goes through the same parser as generated
+    text (D5)."""
     pred = F.when(F.col("score1") > F.col("score0"), F.lit(1)).otherwise(F.lit(0))
     return df.withColumn("generated", answer_word(pred)) \
              .withColumn("predicted", parse_answer("generated", label))
@@ -138,59 +125,40 @@ def icl_scores(rows: DataFrame, demos: DataFrame, zs: DataFrame, cells: Sequence
                keys: Sequence[str] = ("domain", "id", "label"), models: Sequence[CountModel] = COUNT_MODELS,
                vocab: int = NB_VOCAB) -> DataFrame:
     """F2 in-context: zero-shot score + lam * (demo naive-Bayes log likelihood + log prior),
-    per (model, size, trial, row).  Demo statistics are per trial (bounded by its shot
-    count); eval tokens are expanded to the bounded list of trial cells in place."""
-    dt = demos.select("sample_size", "trial", "label",
-                      F.explode(tokens(minimal_pattern("premise", "hypothesis"))).alias("token"))
-    nb = dt.groupBy("sample_size", "trial", "token").agg(
-        F.sum((F.col("label") == 0).cast("long")).alias("c0"), F.sum((F.col("label") == 1).cast("long")).alias("c1"))
-    tot = dt.groupBy("sample_size", "trial").agg(
-        F.sum((F.col("label") == 0).cast("long")).alias("t0"), F.sum((F.col("label") == 1).cast("long")).alias("t1"))
-    prior = demos.groupBy("sample_size", "trial").agg(
-        F.sum((F.col("label") == 0).cast("long")).alias("d0"), F.count(F.lit(1)).alias("dn"))
+    per (model, size, trial, row).
+
+    A token that a trial's demonstrations lack contributes the same to every such trial, so a
+    row's likelihood is (its tokens) * ln(a / (t + a V)) plus a correction for the tokens that
+    occur in the demonstrations.  Only those matches are joined: the work is rows * cells plus
+    matches, not rows * tokens * cells."""
+    cell = ["sample_size", "trial"]
+    dt = demos.select(*cell, "label", F.explode(tokens(minimal_pattern("premise", "hypothesis"))).alias("token"))
+    count = [F.sum((F.col("label") == c).cast("long")) for c in (0, 1)]
+    nb = dt.groupBy(*cell, "token").agg(count[0].alias("c0"), count[1].alias("c1"))
+    prior = demos.groupBy(*cell).agg(count[0].alias("d0"), F.count(F.lit(1)).alias("dn"))
+    tot = prior.join(dt.groupBy(*cell).agg(count[0].alias("t0"), count[1].alias("t1")), cell, "left").fillna(0, ["t0", "t1"])
+
+    text = tokens(minimal_pattern("premise", "hypothesis"))
+    per_token = rows.select(*keys, F.explode(text).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"))
+    match = per_token.join(nb, "token").select(*keys, *cell, "n", "c0", "c1", F.explode(_models_array(models)).alias("m"))
+    more = [F.sum(F.col("n") * (F.log(F.col(f"c{c}") + F.col("m.alpha")) - F.log(F.col("m.alpha")))) for c in (0, 1)]
+    match = match.groupBy("m.model_name", *cell, *keys).agg(more[0].alias("m0"), more[1].alias("m1"))
+
     grid = F.array(*[F.struct(F.lit(s).alias("sample_size"), F.lit(t).alias("trial")) for s, t in cells])
-    pt = prompt_tokens(rows, keys, models).select("*", F.explode(grid).alias("g")) \
-        .select(*keys, "model_name", "alpha", "lam", "token", "g.*")
-    j = pt.join(nb, ["sample_size", "trial", "token"], "left") \
-          .join(F.broadcast(tot), ["sample_size", "trial"], "left")   # one row per trial cell
+    base = rows.select(*keys, F.size(text).alias("tokens"), F.explode(grid).alias("g")) \
+        .select(*keys, "tokens", "g.*", F.explode(_models_array(models)).alias("m")).select(*keys, "tokens", *cell, "m.*")
+    j = base.join(tot, cell).join(match, ["model_name", *cell, *keys], "left").join(zs, ["model_name", *keys])
     a = F.col("alpha")
-    ll = [F.when(F.col("token").isNotNull(),
-                 F.log((F.coalesce(F.col(f"c{c}"), F.lit(0)) + a) / (F.coalesce(F.col(f"t{c}"), F.lit(0)) + a * vocab)))
-          for c in (0, 1)]
-    g = j.groupBy("model_name", "alpha", "lam", "sample_size", "trial", *keys).agg(
-        F.coalesce(F.sum(ll[0]), F.lit(0.0)).alias("ll0"), F.coalesce(F.sum(ll[1]), F.lit(0.0)).alias("ll1"))
-    g = g.join(F.broadcast(prior), ["sample_size", "trial"]) \
-         .join(zs, ["model_name", *keys])
-    p0 = F.log((F.col("d0") + F.col("alpha")) / (F.col("dn") + 2 * F.col("alpha")))
-    p1 = F.log((F.col("dn") - F.col("d0") + F.col("alpha")) / (F.col("dn") + 2 * F.col("alpha")))
-    return g.select("model_name", "sample_size", "trial", *keys,
-                    (F.col("score0") + F.col("lam") * (F.col("ll0") + p0)).alias("score0"),
-                    (F.col("score1") + F.col("lam") * (F.col("ll1") + p1)).alias("score1"))
-
-
-# --------------------------------------------------------------------------- heads (F1)
-@dataclass
-class LinearHead:
-    """Softmax head ``softmax(W x + b)`` over a feature array; weights are a bounded
-    (classes x features) literal inside the plan."""
-    weights: list[list[float]]
-    bias: list[float]
-
-    def logits(self, features: str = "features") -> Column:
-        x = F.col(features)
-        outs = []
-        for wk, bk in zip(self.weights, self.bias):
-            wl = F.array(*[F.lit(float(v)) for v in wk])
-            outs.append(F.aggregate(F.arrays_zip(x.alias("x"), wl.alias("w")), F.lit(float(bk)),
-                                    lambda acc, r: acc + r["x"] * r["w"]))
-        return F.array(*outs)
-
-    def score(self, df: DataFrame, features: str = "features") -> DataFrame:
-        lg = self.logits(features)
-        return df.withColumn("logits", lg).withColumn("probs", softmax("logits")) \
-                 .withColumn("predicted", argmax("logits"))
+
+    def score(c: int, prior_count: Column) -> Column:
+        ll = F.col("tokens") * (F.log(a) - F.log(F.col(f"t{c}") + a * vocab)) + F.coalesce(F.col(f"m{c}"), F.lit(0.0))
+        return F.col(f"score{c}") + F.col("lam") * (ll + F.log((prior_count + a) / (F.col("dn") + 2 * a)))
+
+    return j.select("model_name", *cell, *keys, score(0, F.col("d0")).alias("score0"),
+                    score(1, F.col("dn") - F.col("d0")).alias("score1"))
 
 
+# ----------------------------------------------------------------- model plug-in
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
 

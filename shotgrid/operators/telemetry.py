@@ -29,11 +29,9 @@ _UNB = Window.unboundedPreceding
 CHUNK_ROWS = 1_000_000
 
 
-def _carry_join(x: DataFrame, aggs: dict, how: str, chunked: bool) -> DataFrame:
+def _carry_join(x: DataFrame, aggs: dict, how: str) -> DataFrame:
     """Joins the exclusive prefix (sum or max) over earlier chunks of per-chunk
-    aggregates as ``c_<name>``; with one chunk per run there is nothing to carry."""
-    if not chunked:
-        return x.select("*", *[F.lit(None).cast("long").alias(f"c_{n}") for n in aggs])
+    aggregates as ``c_<name>``."""
     tot = x.groupBy("run", "chunk").agg(*[e.alias(n) for n, e in aggs.items()])
     w = Window.partitionBy("run").orderBy("chunk").rowsBetween(_UNB, -1)
     f = F.sum if how == "sum" else F.max
@@ -41,26 +39,11 @@ def _carry_join(x: DataFrame, aggs: dict, how: str, chunked: bool) -> DataFrame:
     return x.join(carry, ["run", "chunk"], "left")
 
 
-def _positions(tel: DataFrame, chunk_rows: int) -> tuple[DataFrame, bool]:
-    """Per-run positions and chunk numbers.  The largest run is measured first (a partial
-    aggregation); only if some run exceeds ``chunk_rows`` are positions built with
-    ``dense_index`` and runs cut into chunks, else a run is one window partition."""
-    biggest = tel.groupBy("run").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if biggest > chunk_rows:
-        x = dense_index(tel, ["ts", "event_id"], ["run"])
-        return x.withColumn("chunk", F.floor(F.col("idx") / F.lit(chunk_rows)).cast("long")), True
-    w = Window.partitionBy("run").orderBy("ts", "event_id")
-    return tel.withColumn("idx", (F.row_number().over(w) - 1).cast("long")).withColumn("chunk", F.lit(0).cast("long")), False
-
-
 def with_state(tel: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Adds ``is_training``, ``qualifying`` (a log event after training), ``log_no``,
     ``pred`` (a prediction step after training), ``p_count``, ``reset`` and ``seg``."""
-    return _state(tel, chunk_rows)[0]
-
-
-def _state(tel: DataFrame, chunk_rows: int) -> tuple[DataFrame, bool]:
-    x, chunked = _positions(tel, chunk_rows)
+    x = dense_index(tel, ["ts", "event_id"], ["run"])
+    x = x.withColumn("chunk", F.floor(F.col("idx") / F.lit(chunk_rows)).cast("long"))
     wc = Window.partitionBy("run", "chunk").orderBy("idx")
     inc, exc = wc.rowsBetween(_UNB, 0), wc.rowsBetween(_UNB, -1)
 
@@ -68,7 +51,7 @@ def _state(tel: DataFrame, chunk_rows: int) -> tuple[DataFrame, bool]:
     enc = F.when(F.col("kind") == "train_begin", F.col("idx") * 2 + 1) \
            .when(F.col("kind") == "train_end", F.col("idx") * 2)
     x = x.withColumn("_enc", enc)
-    x = _carry_join(x, {"enc": F.max("_enc")}, "max", chunked)
+    x = _carry_join(x, {"enc": F.max("_enc")}, "max")
     last = F.greatest(F.max("_enc").over(inc), F.col("c_enc"))
     x = x.withColumn("is_training", F.coalesce(last % 2, F.lit(0)) == 1) \
          .withColumn("qualifying", (F.col("kind") == "log") & ~F.col("is_training")) \
@@ -77,7 +60,7 @@ def _state(tel: DataFrame, chunk_rows: int) -> tuple[DataFrame, bool]:
 
     # 2. running counts of qualifying logs and of post-training prediction steps
     q, p = F.col("qualifying").cast("long"), F.col("pred").cast("long")
-    x = _carry_join(x, {"q": F.sum(q), "p": F.sum(p)}, "sum", chunked)
+    x = _carry_join(x, {"q": F.sum(q), "p": F.sum(p)}, "sum")
     x = x.withColumn("log_no", F.coalesce(F.col("c_q"), F.lit(0)) + F.sum(q).over(inc)) \
          .withColumn("p_count", F.coalesce(F.col("c_p"), F.lit(0)) + F.sum(p).over(inc)) \
          .drop("c_q", "c_p")
@@ -85,16 +68,16 @@ def _state(tel: DataFrame, chunk_rows: int) -> tuple[DataFrame, bool]:
     # 3. prediction count at the last qualifying log strictly before (non-decreasing)
     qp = F.when(F.col("qualifying"), F.col("p_count"))
     x = x.withColumn("_qp", qp)
-    x = _carry_join(x, {"qp": F.max("_qp")}, "max", chunked)
+    x = _carry_join(x, {"qp": F.max("_qp")}, "max")
     last_log_p = F.coalesce(F.greatest(F.max("_qp").over(exc), F.col("c_qp")), F.lit(0))
     x = x.withColumn("reset", (F.col("kind") == "train_begin") |
                      (F.col("pred") & (F.col("p_count") - last_log_p == 1))).drop("_qp", "c_qp")
 
     # 4. segment id = running count of resets
     r = F.col("reset").cast("long")
-    x = _carry_join(x, {"r": F.sum(r)}, "sum", chunked)
+    x = _carry_join(x, {"r": F.sum(r)}, "sum")
     x = x.withColumn("seg", F.coalesce(F.col("c_r"), F.lit(0)) + F.sum(r).over(inc)).drop("c_r")
-    return x, chunked
+    return x
 
 
 def phase_of(log_no, val_in_training: bool):
@@ -117,14 +100,11 @@ def phase_tags(tel: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
 def phase_peaks(tel: DataFrame, val_in_training: bool = False, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Peak memory reported at each tagged log: the running max of memory within the
     current segment (segments may span chunks: carried per (run, seg))."""
-    s, chunked = _state(tel, chunk_rows)
-    if chunked:
-        segmax = s.groupBy("run", "chunk", "seg").agg(F.max("memory").alias("m"))
-        ws = Window.partitionBy("run", "seg").orderBy("chunk").rowsBetween(_UNB, -1)
-        carry = segmax.select("run", "chunk", "seg", F.max("m").over(ws).alias("c_m"))
-        s = s.join(carry, ["run", "chunk", "seg"], "left")
-    else:
-        s = s.withColumn("c_m", F.lit(None).cast("double"))
+    s = with_state(tel, chunk_rows)
+    segmax = s.groupBy("run", "chunk", "seg").agg(F.max("memory").alias("m"))
+    ws = Window.partitionBy("run", "seg").orderBy("chunk").rowsBetween(_UNB, -1)
+    carry = segmax.select("run", "chunk", "seg", F.max("m").over(ws).alias("c_m"))
+    s = s.join(carry, ["run", "chunk", "seg"], "left")
     wi = Window.partitionBy("run", "chunk", "seg").orderBy("idx").rowsBetween(_UNB, 0)
     s = s.withColumn("peak_memory", F.greatest(F.max("memory").over(wi), F.col("c_m")))
     tagged = s.filter("qualifying").withColumn("phase", phase_of("log_no", val_in_training)) \

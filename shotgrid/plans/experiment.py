@@ -3,7 +3,6 @@ count-scored methods (F10), each one Spark job over all models and trials at onc
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -12,31 +11,33 @@ from pyspark.sql import functions as F
 from shotgrid.operators import metrics as M
 from shotgrid.operators import sampling as S
 from shotgrid.operators import scorers as SC
-from shotgrid.schemas import NUM_TRIALS, SAMPLE_SIZES, SEED
+from shotgrid.operators import report as R
+from shotgrid.schemas import EVAL_SIZE, NUM_TRIALS, SAMPLE_SIZES, SEED, metrics_schema
+from shotgrid.session import cut_lineage, fresh_path
+from shotgrid.sources import sinks
 from shotgrid.sources import datasets as D
 from shotgrid.sources import views as V
 
-Q_EVAL_SIZE = 40  # evaluation rows per domain of the quality task at the test scales
 CELLS = [(s, t) for s in SAMPLE_SIZES for t in range(NUM_TRIALS)]
 _KEYS = ("domain", "id", "label")
 
 
 def quality_sets(spark, sf) -> tuple[DataFrame, DataFrame]:
     """(train pool, eval rows of both domains) of the quality task."""
-    qin = V.quality_pairs(spark, sf, "in")
-    pool = qin.filter(F.col("split") == "train").select("id", "premise", "hypothesis", "label")
-    ein = S.sample_n(qin.filter(F.col("split") == "validation"), Q_EVAL_SIZE, SEED, "q_eval", "in")
-    eout = S.sample_n(V.quality_pairs(spark, sf, "out"), Q_EVAL_SIZE, SEED, "q_eval", "out")
+    qin = V.quality_rows(spark, sf, "in")
+    pool = qin.filter(F.col("split") == "train").select("id", "text", "label")
+    ein = S.sample_n(qin.filter(F.col("split") == "validation"), EVAL_SIZE, SEED, "q_eval", "in")
+    eout = S.sample_n(V.quality_rows(spark, sf, "out"), EVAL_SIZE, SEED, "q_eval", "out")
     # bounded (2 x eval size) and reused by every scoring step
-    ev = ein.unionByName(eout).select("domain", "id", "label", "premise", "hypothesis").persist()
+    ev = cut_lineage(V.as_pairs(ein.unionByName(eout)).select("domain", "id", "label", "premise", "hypothesis"))
     return pool, ev
 
 
 def corpus_model(spark, sf) -> DataFrame:
     """The count scorer's 'pre-trained model': corpus statistics, built once per corpus
     and seed words and then loaded (as the reference loads a downloaded model)."""
-    key = f"corpus_counts|{os.path.abspath(sf)}|{sorted(SC.SEED_WORDS.items())}"
-    return D.materialized(spark, "corpus_counts", key, lambda: SC.corpus_counts(V.corpus(spark, sf)))
+    corpus = V.corpus(spark, sf)
+    return D.materialized(spark, "corpus_counts", sorted(SC.SEED_WORDS.items()), corpus, lambda: SC.corpus_counts(corpus))
 
 
 def orientation_table(spark, sf, ev: DataFrame, models=SC.COUNT_MODELS) -> DataFrame:
@@ -68,7 +69,7 @@ def _shared(spark, sf, models):
 def _icl_choices(pool, ev, zs, models, cells) -> DataFrame:
     sizes = sorted({s for s, _ in cells})
     trials = S.trial_grid(pool, sizes, max(t for _, t in cells) + 1, SEED)
-    demos = S.attach_rows(trials, pool, S.grid_bound(sizes, max(t for _, t in cells) + 1))
+    demos = V.as_pairs(S.attach_rows(trials, pool))
     return SC.choose(SC.icl_scores(ev, demos, zs, cells, _KEYS, models))
 
 
@@ -91,9 +92,18 @@ def icl_eval(spark, sf, models=SC.COUNT_MODELS, cells: Sequence[tuple[int, int]]
 
 
 def experiment_grid(spark, sf, models=SC.COUNT_MODELS, cells: Sequence[tuple[int, int]] = CELLS) -> DataFrame:
-    """models x methods x sizes x trials as one metrics table (H1 union); the
-    methods share the evaluation rows, the corpus statistics and the zero-shot scores."""
+    """models x methods x sizes x trials, one metrics row per trial, through the metric
+    logs (A4), their union (H1) and the combined log (A7), and read back (A6).  The methods
+    share the evaluation rows, the corpus statistics and the zero-shot scores; columns that
+    only a timed GPU run can fill are null."""
     pool, ev, zs = _shared(spark, sf, models)
-    z = _zs_metrics(SC.choose(zs)).withColumn("trial", F.lit(0)).withColumn("finetuning_method", F.lit("zeroshot"))
-    i = _icl_metrics(_icl_choices(pool, ev, zs, models, cells)).withColumn("finetuning_method", F.lit("icl"))
-    return z.unionByName(i)
+    results = {"zeroshot": _zs_metrics(SC.choose(zs)), "icl": _icl_metrics(_icl_choices(pool, ev, zs, models, cells))}
+    rows = None
+    for method, df in results.items():
+        have = set(df.columns)
+        full = df.select(*[F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
+                           for f in metrics_schema(method).fields], F.lit(method).alias("finetuning_method"))
+        rows = full if rows is None else rows.unionByName(full)
+    folder = fresh_path(spark, "grid")
+    logs = sinks.read_logs(spark, sinks.write_logs(rows, folder, "final"))
+    return sinks.read_combined(spark, sinks.write_combined(R.combine_logs(logs), folder))

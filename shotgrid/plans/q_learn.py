@@ -1,26 +1,24 @@
-"""Registered queries: classification heads, few-shot fits, low-rank adapters, context
-distillation (plain and recursive), parameter save/load."""
+"""Registered queries: classification heads, context distillation (plain and recursive),
+parameter save and load."""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotgrid.functions.math import bce_with_logit, softmax
+from shotgrid.functions.math import argmax, bce_with_logit, log_softmax, sample_key, softmax
 from shotgrid.operators import learn as L
 from shotgrid.operators import sampling as S
-from shotgrid.operators.scorers import LinearHead
 from shotgrid.plans.q_report import round_doubles
-from shotgrid.schemas import NUM_TRIALS, SAMPLE_SIZES, SEED
+from shotgrid.schemas import LARGE_SAMPLE_SIZE, NUM_TRIALS, SAMPLE_SIZES, SEED
 from shotgrid.session import cut_lineage, fresh_path
 from shotgrid.sources import sinks
 from shotgrid.sources.views import vec_points, with_views
 
-HEAD_MODELS = ["head-small", "head-large"]
-LARGE_SAMPLE = 128   # large distillation sample (the feature pool has 200 rows at sf0.01)
-CFG = L.FitConfig()
+LARGE_SAMPLE = 128   # what the queries pass as large_sample_size (the feature pool has 200 rows at sf0.01)
 DCFG = L.DistillConfig()
+HEAD_MODELS = sorted(DCFG.batch_sizes)
+KEYS = ["model_name", "sample_size"]
 
 
 def vec_sets(spark, sf):
@@ -31,190 +29,179 @@ def vec_sets(spark, sf):
     return pool, ev
 
 
-# ---------------------------------------------------------------------------------- F1
-def centroid_head(pool: DataFrame) -> LinearHead:
-    """Nearest-centroid linear head: ``W_k`` = class mean, ``b_k = -|W_k|^2 / 2``.  The
-    (classes x features) means are a bounded aggregate."""
-    means = pool.select("y", F.posexplode("features").alias("j", "x")).groupBy("y", "j").agg(F.avg("x").alias("w"))
-    rows = means.collect()
-    n_f = max(r["j"] for r in rows) + 1
-    W = np.zeros((2, n_f))
-    for r in rows:
-        W[int(r["y"]), int(r["j"])] = r["w"]
-    return LinearHead(W.tolist(), (-0.5 * (W * W).sum(axis=1)).tolist())
+def _each_model(df: DataFrame) -> DataFrame:
+    return df.select(F.explode(F.array(*[F.lit(m) for m in HEAD_MODELS])).alias("model_name"), "*")
 
 
+# ---------------------------------------------------------------------------------- F1
 def q_score_head(spark, sf):
+    """F1: the nearest-centroid head of the pool scores every evaluation row."""
     pool, ev = vec_sets(spark, sf)
-    scored = centroid_head(pool).score(ev)
+    head = L.centroid_heads(pool).select(F.struct("w", "b"))           # one row of classes x features
+    scored = ev.withColumn("head", head.scalar())
+    scored = scored.withColumn("logits", L.head_logits(F.col("features"), F.col("head.w"), F.col("head.b")))
     out = scored.groupBy("domain").agg(
-        F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("accuracy"),
+        F.avg((argmax("logits") == F.col("label")).cast("double")).alias("accuracy"),
         F.avg(L.ce_loss(F.col("logits"), F.col("label"))).alias("loss"),
         F.count(F.lit(1)).alias("n"))
     return round_doubles(out)
 
 
-# ---------------------------------------------------------------------------- F5 / F6
-def _trials(spark, sf) -> DataFrame:
+# --------------------------------------------------------------------------- A9 / A10
+def trial_heads(spark, sf) -> DataFrame:
+    """Nearest-centroid head of every (model, size, trial): each trial starts anew (A10)."""
     pool, _ = vec_sets(spark, sf)
-    t = S.attach_rows(S.trial_grid(pool, SAMPLE_SIZES, NUM_TRIALS, SEED), pool,
-                      S.grid_bound(SAMPLE_SIZES, NUM_TRIALS))
-    models = F.array(*[F.lit(m) for m in HEAD_MODELS])
-    return t.select(F.explode(models).alias("model_name"), "sample_size", "trial", "rn", "features", "y")
-
-
-def _validation(ev: DataFrame, domain: str) -> tuple[np.ndarray, np.ndarray]:
-    """10 shuffled rows of the domain's evaluation rows (bounded), to the fit."""
-    sub = S.validation_subset(ev.filter(F.col("domain") == domain), SEED, "val", domain).collect()
-    return np.array([r["features"] for r in sub], dtype=float), np.array([r["label"] for r in sub], dtype=int)
-
+    rows = S.attach_rows(S.trial_grid(pool, SAMPLE_SIZES, NUM_TRIALS, SEED), pool)
+    return _each_model(L.centroid_heads(rows, ["sample_size", "trial"]))
 
-CELLS = [(m, s, t) for m in HEAD_MODELS for s in SAMPLE_SIZES for t in range(NUM_TRIALS)]
 
-
-def _fit_metrics(long: DataFrame, ev: DataFrame, kind: str, layers) -> DataFrame:
-    """Evaluation of every trial (F1 -> G1): scores in one mapInPandas pass, metrics as
-    one aggregation per trial; plus the mean training loss of the trial's steps."""
-    sc = L.score_trials(ev, L.collect_weights(long, layers), kind)
-    lg = F.array("logit0", "logit1")
-    sc = sc.withColumn("ce", L.ce_loss(lg, F.col("label"))) \
-           .withColumn("ok", ((F.col("logit1") > F.col("logit0")).cast("int") == F.col("label")).cast("double"))
+def params_table(heads: DataFrame) -> DataFrame:
+    """Heads as a long parameter table: layers ``W`` (class i, feature j) and ``b``."""
     keys = ["model_name", "sample_size", "trial"]
-    evm = sc.groupBy(*keys).agg(*[
-        F.avg(F.when(F.col("domain") == d, F.col(c))).alias(f"eval_{d}_{n}")
-        for d in ("in", "out") for c, n in (("ce", "loss"), ("ok", "accuracy"))])
-    tr = long.filter(F.col("record") == "train_step").groupBy(*keys).agg(
-        F.avg("value").alias("train_loss"), F.count(F.lit(1)).alias("train_steps"))
-    return tr.join(evm, keys)
-
-
-def fewshot_fit(spark, sf) -> tuple[DataFrame, DataFrame]:
-    _, ev = vec_sets(spark, sf)
-    long = cut_lineage(L.fit_trials(_trials(spark, sf), _validation(ev, "in"), "head", CFG))
-    return long, _fit_metrics(long, ev, "head", ["W", "b"])
-
-
-def q_fewshot_fit(spark, sf):
-    return round_doubles(fewshot_fit(spark, sf)[1])
-
-
-def lora_fit(spark, sf) -> tuple[DataFrame, DataFrame]:
-    _, ev = vec_sets(spark, sf)
-    n_f = len(ev.select("features").first()["features"])
-    base = L.base_network(n_f, CFG.hidden, SEED)
-    # validation drawn out-of-domain, as the adapter experiment does
-    long = cut_lineage(L.fit_trials(_trials(spark, sf), _validation(ev, "out"), "lora", CFG, base))
-    return long, _fit_metrics(long, ev, "lora", ["W1_merged", "b1", "W2", "b2"])
-
-
-def q_lora_fit(spark, sf):
-    return round_doubles(lora_fit(spark, sf)[1])
-
-
-def q_fit_history(spark, sf):
-    """A5 for the few-shot fits: per-step training losses zipped positionally with the
-    per-epoch validation losses (E5, the original pairing), written through the history
-    sink and read back."""
-    from shotgrid.operators.history import zip_long
-    long, _ = fewshot_fit(spark, sf)
-    keys = ("model_name", "sample_size", "trial")
-    h = zip_long(L.history_of(long).select(*keys, "kind", "pos", "loss"), keys)
-    path = sinks.write_history(h, fresh_path(spark, "history"), "fewshot", "final")
-    return sinks.read_history(spark, path)
+    w = heads.select(*keys, F.posexplode("w").alias("i", "row")).select(*keys, "i", F.posexplode("row").alias("j", "value"))
+    b = heads.select(*keys, F.posexplode("b").alias("i", "value")).withColumn("j", F.lit(0))
+    both = w.withColumn("layer", F.lit("W")).unionByName(b.withColumn("layer", F.lit("b")))
+    return both.withColumn("trainable", F.lit(True)).withColumnRenamed("model_name", "model")
 
 
 def q_params_roundtrip(spark, sf):
-    """A9 + A10: save the few-shot parameters by label, load one label back (pruned)."""
-    long, _ = fewshot_fit(spark, sf)
-    path = sinks.save_params(L.params_table(long), fresh_path(spark, "models"))
-    return sinks.load_params(spark, path, HEAD_MODELS[0], 16, 0)
+    """A9 + A10: save every trial's parameters by label, load one label back (pruned)."""
+    path = sinks.save_params(params_table(trial_heads(spark, sf)), fresh_path(spark, "models"))
+    return round_doubles(sinks.load_params(spark, path, HEAD_MODELS[0], 16, 0))
 
 
 # ---------------------------------------------------------------------------- F7 / F8
-def _distill_rows(spark, sf) -> DataFrame:
+def _distill_rows(spark, sf, large_sample_size: int) -> DataFrame:
     """Distillation sets (C6) per model with batch keys (C10, C11) and teacher contexts."""
     pool, _ = vec_sets(spark, sf)
     small = S.trial_grid(pool, [16], 1, SEED).select("sample_size", "rn", "id")
-    big = S.sample_n(pool, LARGE_SAMPLE, SEED, "large")
-    big = big.withColumn("rn", F.row_number().over(  # over the bounded sample only
-        Window.orderBy(F.md5(F.concat_ws("|", F.lit(str(SEED)), F.lit("large"), F.col("id").cast("string"))), "id"))) \
-        .select(F.lit(LARGE_SAMPLE).alias("sample_size"), "rn", "id")
-    sets = small.unionByName(big).join(pool, "id")
-    bs = F.when(F.col("model_name") == "head-large", F.lit(DCFG.batch_sizes["head-large"])) \
-          .otherwise(F.lit(DCFG.batch_sizes["head-small"]))
-    rows = sets.select(F.explode(F.array(*[F.lit(m) for m in HEAD_MODELS])).alias("model_name"), "*") \
-               .withColumn("batch_key", F.concat_ws("|", "model_name", F.col("sample_size").cast("string"),
-                                                    F.floor((F.col("rn") - 1) / bs).cast("string")))
-    ctx = L.draw_context_examples(rows, pool, SEED)
-    return cut_lineage(rows.join(ctx, "batch_key"))
-
-
-def evaluate_students(ev: DataFrame, students: DataFrame, groups) -> DataFrame:
-    """Constrained evaluation with no context for every student at once: hard
-    prediction, G2 loss and accuracy per domain.  Groups are a bounded list (models x
-    sizes), expanded in place and joined to the (broadcast) student weights."""
-    keys = ["model_name", "sample_size"]
-    grid = F.array(*[F.struct(F.lit(m).alias("model_name"), F.lit(int(s)).alias("sample_size")) for m, s in groups])
-    ex = ev.select("*", F.explode(grid).alias("_g")).select("*", "_g.*").drop("_g")
-    j = ex.join(F.broadcast(students.select(*keys, "w", "b")), keys)
-    lg = L.head_logits(F.col("features"), F.col("w"), F.col("b"))
-    pred = (F.element_at(lg, 2) > F.element_at(lg, 1)).cast("int")
-    j = j.withColumn("predicted", pred)
-    return j.groupBy(*keys).agg(*[
+    big = S.sample_n(pool.select("id"), large_sample_size, SEED, "large") \
+        .withColumn("h", sample_key(SEED, F.lit("large"), F.col("id")))
+    big = S.dense_index(big, ["h", "id"]).select(F.lit(large_sample_size).alias("sample_size"),
+                                                 (F.col("idx") + 1).cast("int").alias("rn"), "id")
+    bs = F.create_map(*[F.lit(x) for kv in DCFG.batch_sizes.items() for x in kv])[F.col("model_name")]
+    rows = _each_model(small.unionByName(big)).join(pool, "id").withColumn(
+        "batch_key", F.concat_ws("|", "model_name", F.col("sample_size").cast("string"),
+                                 F.floor((F.col("rn") - 1) / bs).cast("string")))
+    return cut_lineage(rows.join(L.draw_context_examples(rows, pool, SEED), "batch_key"))
+
+
+def evaluate_students(ev: DataFrame, students: DataFrame) -> DataFrame:
+    """Evaluation with no context of every student at once: hard prediction, G2 loss and
+    accuracy per domain.  There is one student per (model, size) of the experiment, whatever the
+    data, so the evaluation rows are expanded to them in place."""
+    heads = students.agg(F.collect_list(F.struct(*KEYS, "w", "b")))
+    j = ev.withColumn("heads", heads.scalar()).select("domain", "label", "features", F.explode("heads").alias("s"))
+    lg = L.head_logits(F.col("features"), F.col("s.w"), F.col("s.b"))
+    j = j.select("domain", "label", "s.model_name", "s.sample_size", argmax(lg).alias("predicted"))
+    return j.groupBy(*KEYS).agg(*[
         F.avg(F.when(F.col("domain") == d, c)).alias(f"eval_{d}_{n}") for d in ("in", "out")
         for c, n in ((bce_with_logit("predicted", "label"), "loss"),
                      ((F.col("predicted") == F.col("label")).cast("double"), "accuracy"))])
 
 
-def context_distill(spark, sf, recursive: bool = False) -> DataFrame:
-    """F7 / F8.  Round r: teacher = context evidence (+ the current student, recursive),
-    soft labels in one pass, all students fitted in one grouped job, weights written to
-    the shared folder (the next round starts from the written copy), all students
-    evaluated in one job."""
+def context_distill(spark, sf, recursive: bool = False, large_sample_size: int = LARGE_SAMPLE_SIZE) -> DataFrame:
+    """F7 / F8.  Round r: teacher = context evidence (+ the current student, recursive), soft
+    labels in one pass, all students as one aggregation, written to the shared folder (the next
+    round starts from the written copy), all students evaluated in one job."""
     _, ev = vec_sets(spark, sf)
-    rows = _distill_rows(spark, sf)
-    keys = ["model_name", "sample_size"]
-    groups = [(r["model_name"], r["sample_size"]) for r in rows.select(*keys).distinct().collect()]
+    rows = _distill_rows(spark, sf, large_sample_size)
     ctx = L.context_logits(F.col("features"), F.col("ctx0"), F.col("ctx1"), DCFG.tau)
-    state_dir = fresh_path(spark, "distill_state")
-    students = None
-    results = None
+    state = fresh_path(spark, "distill_state")
+    students = results = None
     for r in range(1, (DCFG.rounds if recursive else 1) + 1):
-        if students is None:
-            cur = rows.withColumn("s_prev", F.array(F.lit(0.0), F.lit(0.0)))
-        else:
-            cur = rows.join(F.broadcast(students.select(*keys, "w", "b")), keys) \
-                      .withColumn("s_prev", L.head_logits(F.col("features"), F.col("w"), F.col("b")))
-        t_logits = F.zip_with(F.col("s_prev"), ctx, lambda a, c: a + c) if recursive else ctx
-        soft = cur.withColumn("q", softmax(t_logits))
-        L.fit_students_auto(soft, keys, max(LARGE_SAMPLE, 16), DCFG.max_iter) \
-         .write.mode("overwrite").parquet(f"{state_dir}/round={r}")
-        students = spark.read.parquet(f"{state_dir}/round={r}")
-        res = students.select(*keys, F.lit(r).alias("round"), "kl_start", "kl_end") \
-                      .join(evaluate_students(ev, students, groups), keys)
+        teacher = rows.withColumn("t", ctx)
+        if recursive and students is not None:
+            teacher = rows.join(students, KEYS).withColumn("t", F.zip_with(
+                L.head_logits(F.col("features"), F.col("w"), F.col("b")), ctx, lambda a, c: a + c)).drop("w", "b")
+        soft = teacher.select(*KEYS, "features", softmax("t").alias("q"))
+        L.soft_students(soft, KEYS).write.parquet(f"{state}/round={r}")
+        students = spark.read.parquet(f"{state}/round={r}")
+        fit = soft.join(students, KEYS).withColumn("lq", log_softmax(L.head_logits(F.col("features"), F.col("w"), F.col("b"))))
+        kl = F.aggregate(F.zip_with("q", "lq", lambda p, lq: F.when(p > 0, p * (F.log(p) - lq)).otherwise(0.0)),
+                         F.lit(0.0), lambda acc, v: acc + v)
+        res = fit.groupBy(*KEYS).agg(F.avg(kl).alias("kl"), F.count(F.lit(1)).alias("n")) \
+                 .join(evaluate_students(ev, students), KEYS).withColumn("round", F.lit(r))
         results = res if results is None else results.unionByName(res)
     return results
 
 
 def q_context_distill(spark, sf):
-    return round_doubles(context_distill(spark, sf, recursive=False).drop("round"))
+    return round_doubles(context_distill(spark, sf, False, LARGE_SAMPLE).drop("round"))
 
 
 def q_recursive_distill(spark, sf):
-    return round_doubles(context_distill(spark, sf, recursive=True))
+    return round_doubles(context_distill(spark, sf, True, LARGE_SAMPLE))
 
 
 QUERIES = {
     "score_head": q_score_head,
-    "fewshot_fit": q_fewshot_fit,
-    "lora_fit": q_lora_fit,
     "context_distill": q_context_distill,
     "recursive_distill": q_recursive_distill,
     "params_roundtrip": q_params_roundtrip,
-    "fit_history": q_fit_history,
 }
 
+# --------------------------------------------------------------------------- oracle SQL
+_BATCH = " ".join(f"WHEN '{m}' THEN {n}" for m, n in DCFG.batch_sizes.items())
+_POOL = "pool AS (SELECT id, features, y FROM vec_points WHERE split = 'train' AND domain = 'in')"
+_TRIAL = f"""t16 AS (SELECT id, features, y, row_number() OVER (ORDER BY md5(concat_ws('|', '{SEED}', 16, 0, id)), id) AS rn
+            FROM pool QUALIFY rn <= 16)"""
+_ROWS = f"""{_POOL}, {_TRIAL},
+big AS (SELECT id, features, y, row_number() OVER (ORDER BY md5(concat_ws('|', '{SEED}', 'large', id)), id) AS rn
+        FROM pool QUALIFY rn <= {LARGE_SAMPLE}),
+sets AS (SELECT 16 AS sample_size, * FROM t16 UNION ALL SELECT {LARGE_SAMPLE}, * FROM big),
+keyed AS (SELECT m.model_name, s.*, concat_ws('|', m.model_name, sample_size,
+                 CAST(floor((rn - 1) / CASE m.model_name {_BATCH} END) AS BIGINT)) AS batch_key
+          FROM sets s, (VALUES {", ".join(f"('{m}')" for m in HEAD_MODELS)}) m(model_name)),
+idx AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY y) AS n FROM pool),
+ctx AS (SELECT b.batch_key, idx.y, idx.features FROM (SELECT DISTINCT batch_key FROM keyed) b JOIN idx
+        ON idx.i = CAST('0x' || substr(md5(concat_ws('|', '{SEED}', concat_ws('|', 'context', b.batch_key, idx.y))), 1, 15) AS BIGINT) % idx.n),
+d AS (SELECT k.*, -pow(list_distance(k.features, c0.features), 2) / {DCFG.tau} AS e0,
+             -pow(list_distance(k.features, c1.features), 2) / {DCFG.tau} AS e1
+      FROM keyed k JOIN ctx c0 ON k.batch_key = c0.batch_key AND c0.y = 0 JOIN ctx c1 ON k.batch_key = c1.batch_key AND c1.y = 1)"""
+_BCE = "(greatest(CAST(p AS DOUBLE), 0) - p * y + ln(1 + exp(-abs(CAST(p AS DOUBLE)))))"
+
+
+def _round_sql(r: int, recursive: bool) -> str:
+    """The CTEs of one round: soft labels, students, KL and evaluation."""
+    if r > 1 and recursive:
+        teacher = (f"SELECT d.*, list_inner_product(features, s.w0) + s.b0 + e0 AS t0, list_inner_product(features, s.w1) + s.b1 + e1 AS t1 "
+                   f"FROM d JOIN st{r - 1} s USING (model_name, sample_size)")
+    else:
+        teacher = "SELECT d.*, e0 AS t0, e1 AS t1 FROM d"
+    mean = " , ".join(f"sum(q{k} * x) / sum(q{k}) AS w{k}" for k in (0, 1))
+    return f"""
+q{r} AS (SELECT *, 1 / (1 + exp(t1 - t0)) AS q0, 1 / (1 + exp(t0 - t1)) AS q1 FROM ({teacher})),
+w{r} AS (SELECT model_name, sample_size, j, {mean} FROM (
+         SELECT model_name, sample_size, q0, q1, unnest(features) AS x, unnest(range(len(features))) AS j FROM q{r}) GROUP BY ALL),
+st{r} AS (SELECT model_name, sample_size, list(w0 ORDER BY j) AS w0, list(w1 ORDER BY j) AS w1,
+                 -0.5 * sum(w0 * w0) AS b0, -0.5 * sum(w1 * w1) AS b1 FROM w{r} GROUP BY ALL),
+l{r} AS (SELECT q.*, list_inner_product(features, w0) + b0 AS l0, list_inner_product(features, w1) + b1 AS l1
+         FROM q{r} q JOIN st{r} USING (model_name, sample_size)),
+k{r} AS (SELECT model_name, sample_size, avg(q0 * (ln(q0) + ln(1 + exp(l1 - l0))) + q1 * (ln(q1) + ln(1 + exp(l0 - l1)))) AS kl,
+                count(*) AS n FROM l{r} GROUP BY ALL),
+p{r} AS (SELECT model_name, sample_size, v.domain, v.y, CAST(list_inner_product(features, w1) + b1 > list_inner_product(features, w0) + b0 AS INTEGER) AS p
+         FROM vec_points v, st{r} WHERE v.split = 'validation'),
+r{r} AS (SELECT model_name, sample_size, round(any_value(kl), 6) AS kl, any_value(n) AS n, {", ".join(
+        f"round(avg(CASE WHEN domain = '{dom}' THEN {_BCE} END), 6) AS eval_{dom}_loss, "
+        f"round(avg(CASE WHEN domain = '{dom}' THEN CAST(p = y AS DOUBLE) END), 6) AS eval_{dom}_accuracy" for dom in ("in", "out"))}
+         FROM p{r} JOIN k{r} USING (model_name, sample_size) GROUP BY ALL)"""
+
+
+def _distill_sql(rounds: int, recursive: bool) -> str:
+    ctes = ",".join(_round_sql(r, recursive) for r in range(1, rounds + 1))
+    last = " UNION ALL ".join(f"SELECT *{f', {r} AS round' if recursive else ''} FROM r{r}" for r in range(1, rounds + 1))
+    return with_views("vec_points") + f", {_ROWS},{ctes} {last}"
+
+
 SQL = {
+    "context_distill": _distill_sql(1, False),
+    "recursive_distill": _distill_sql(DCFG.rounds, True),
+    "params_roundtrip": with_views("vec_points") + f""", {_POOL}, {_TRIAL},
+w AS (SELECT y AS i, j, avg(x) AS value FROM (SELECT y, unnest(features) AS x, unnest(range(len(features))) AS j FROM t16) GROUP BY ALL),
+a AS (SELECT 'W' AS layer, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, value FROM w
+      UNION ALL SELECT 'b', CAST(i AS INTEGER), 0, -0.5 * sum(value * value) FROM w GROUP BY i)
+SELECT '{HEAD_MODELS[0]}' AS model, 16 AS sample_size, 0 AS trial, layer, i, j, round(value, 6) AS value, true AS trainable FROM a""",
     "score_head": with_views("vec_points") + """,
 c AS (SELECT y, j, avg(x) AS w FROM (SELECT y, unnest(features) AS x, unnest(range(len(features))) AS j
       FROM vec_points WHERE split = 'train' AND domain = 'in') GROUP BY y, j),

@@ -2,48 +2,46 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from shotgrid.functions.text import minimal_pattern
 from shotgrid.operators import tokens as TK
 from shotgrid.plans import experiment as X
 from shotgrid.plans.q_report import round_doubles
-from shotgrid.schemas import SEED
+from shotgrid.schemas import ANSWER_VERBALISER, EVAL_SIZE, MAX_LENGTH, SEED, TRAINING_METRICS
 from shotgrid.operators.scorers import COUNT_MODELS, NB_VOCAB, SEED_WORDS
 from shotgrid.sources import datasets as D
 from shotgrid.sources import views as V
 
-VOCAB = 1000
-MAX_LEN = 64
+VOCAB = 1000            # size parameter of the vocabulary
+MAX_LEN = MAX_LENGTH
+ANSWERS = [w.lower() for w in ANSWER_VERBALISER]      # always in the vocabulary (E4)
 
 
 def vocab(spark, sf):
     """The corpus vocabulary (the 'tokenizer'), built once per corpus and size, then loaded."""
-    key = f"vocab|{os.path.abspath(sf)}|{VOCAB}|{TK.TOKEN_PATTERN}"
-    return D.materialized(spark, "vocab", key, lambda: TK.build_vocab(V.corpus(spark, sf), VOCAB))
-
+    corpus = V.corpus(spark, sf)
+    return D.materialized(spark, "vocab", [VOCAB, TK.TOKEN_PATTERN, *ANSWERS], corpus,
+                          lambda: TK.build_vocab(corpus, VOCAB, always=ANSWERS))
 
 
 def q_build_vocab(spark, sf):
     """E1 vocabulary build itself (always computed, never loaded)."""
-    return TK.build_vocab(V.corpus(spark, sf), VOCAB).select("token", "token_id", "n")
+    return TK.build_vocab(V.corpus(spark, sf), VOCAB, always=ANSWERS).select("token", "token_id", "n")
 
 
 def q_encode_tokens(spark, sf):
     docs = V.corpus(spark, sf).withColumnRenamed("doc_id", "id")
-    enc = TK.encode(docs, vocab(spark, sf), VOCAB, "text", "id")
+    enc = TK.encode(docs, vocab(spark, sf), input_ids="text")
     return enc.select("id", F.size("input_ids").alias("n_tokens"), F.array_join("input_ids", " ").alias("ids"))
 
 
-def _prompt_ids(spark, sf):
-    p = V.nli_pairs(spark, sf).withColumn("text", minimal_pattern("premise", "hypothesis"))
-    return TK.encode(p, vocab(spark, sf), VOCAB, "text", "id")
+def _prompts(spark, sf):
+    return V.nli_pairs(spark, sf).withColumn("text", minimal_pattern("premise", "hypothesis"))
 
 
 def q_pad_truncate(spark, sf):
-    enc = _prompt_ids(spark, sf)
+    enc = TK.encode(_prompts(spark, sf), vocab(spark, sf), input_ids="text")
     li, lm = TK.pad_truncate("input_ids", MAX_LEN, "left")
     ri, rm = TK.pad_truncate("input_ids", MAX_LEN, "right")
     return enc.select("id", *[F.array_join(c, " ").alias(n) for c, n in
@@ -52,11 +50,10 @@ def q_pad_truncate(spark, sf):
 
 def q_decode_tokens(spark, sf):
     v = vocab(spark, sf)
-    enc = _prompt_ids(spark, sf)
-    prem = TK.encode(V.nli_pairs(spark, sf), v, VOCAB, "premise", "id").withColumnRenamed("input_ids", "p_ids")
+    enc = TK.encode(_prompts(spark, sf), v, input_ids="text", p_ids="premise")
     li, _ = TK.pad_truncate("input_ids", MAX_LEN, "left")
-    gen = enc.join(prem, "id").select("id", F.concat(li, F.slice("p_ids", 1, 2), F.array(F.lit(TK.EOS))).alias("gen"))
-    return TK.decode_suffix(gen, v, VOCAB, "gen", MAX_LEN, "id")
+    gen = enc.select("id", F.concat(li, "p_ids", F.array(F.lit(TK.EOS))).alias("gen"))
+    return TK.decode_suffix(gen, v, "gen", MAX_LEN)
 
 
 def q_choice_decode(spark, sf):
@@ -77,8 +74,8 @@ def q_experiment_grid(spark, sf):
 
 
 def q_answer_choices(spark, sf):
-    """Ids of the allowed answers in the corpus vocabulary (absent words have none)."""
-    return TK.choice_ids(vocab(spark, sf), ["Yes", "No"])
+    """Ids of the allowed answers in the corpus vocabulary."""
+    return TK.choice_ids(vocab(spark, sf), ANSWERS)
 
 
 QUERIES = {
@@ -95,9 +92,12 @@ QUERIES = {
 
 # --------------------------------------------------------------------------- oracle SQL
 _TOK = "regexp_extract_all(lower({}), '[a-z]+')"
-_VOCAB = f"""v AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) - 1 + 3 AS INTEGER) AS token_id, n FROM (
-    SELECT token, count(*) AS n FROM (SELECT unnest({_TOK.format('text')}) AS token FROM documents)
-    GROUP BY token ORDER BY n DESC, token LIMIT {VOCAB}))"""
+_VOCAB = f"""vn AS (SELECT token, count(*) AS n FROM (SELECT unnest({_TOK.format('text')}) AS token FROM documents) GROUP BY token),
+v AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) - 1 + 3 AS INTEGER) AS token_id, n FROM (
+    SELECT token, max(n) AS n FROM (
+      SELECT * FROM (SELECT token, n FROM vn ORDER BY n DESC, token LIMIT {VOCAB})
+      UNION ALL SELECT token, n FROM vn WHERE token IN ('yes', 'no')
+      UNION ALL SELECT * FROM (VALUES ('yes', 0), ('no', 0))) GROUP BY token))"""
 
 
 def _encode(src: str, text: str, name: str) -> str:
@@ -140,10 +140,10 @@ orient AS (SELECT m.model_name, c.token,
            FROM cnt c, models m, tot),
 ev AS (SELECT * FROM (SELECT 'in' AS domain, id, label, premise, hypothesis FROM quality_pairs
                       WHERE domain = 'in' AND split = 'validation'
-                      ORDER BY {_MD5.format(seed=SEED, dom='in')}, id LIMIT {X.Q_EVAL_SIZE})
+                      ORDER BY {_MD5.format(seed=SEED, dom='in')}, id LIMIT {EVAL_SIZE})
        UNION ALL
        SELECT * FROM (SELECT 'out' AS domain, id, label, premise, hypothesis FROM quality_pairs WHERE domain = 'out'
-                      ORDER BY {_MD5.format(seed=SEED, dom='out')}, id LIMIT {X.Q_EVAL_SIZE})),
+                      ORDER BY {_MD5.format(seed=SEED, dom='out')}, id LIMIT {EVAL_SIZE})),
 pt AS (SELECT m.model_name, m.alpha, m.lam, e.domain, e.id, e.label,
               unnest(CASE WHEN len(e.toks) = 0 THEN [NULL] ELSE e.toks END) AS token
        FROM (SELECT *, {_TOK.format("premise || ' ' || hypothesis || '?'")} AS toks FROM ev) e, models m),
@@ -198,6 +198,9 @@ _ZSM = f"""zch AS ({_choose('zs')}),
 zsm AS (SELECT model_name, CAST(sum(CASE WHEN domain = 'in' THEN 1 ELSE 0 END) AS INTEGER) AS sample_size, {_dm('')}
         FROM zch GROUP BY model_name)"""
 
+_MEASURED = ("model_name", "sample_size", "eval_in_loss", "eval_in_accuracy", "eval_out_loss", "eval_out_accuracy")
+_LOG = ", ".join(f.name if f.name in _MEASURED else f"CAST(NULL AS DOUBLE) AS {f.name}" for f in TRAINING_METRICS.fields)
+
 SQL = {
     "answer_choices": f"WITH {_VOCAB} SELECT token, token_id FROM v WHERE token IN ('yes', 'no')",
     "build_vocab": f"WITH {_VOCAB} SELECT token, token_id, n FROM v",
@@ -209,7 +212,7 @@ SQL = {
     "decode_tokens": V.with_views("nli_pairs") + f", {_VOCAB}, {_PROMPTS}, {_encode('prompts', 'text', 'enc')}, "
                      f"{_encode('prompts', 'premise', 'penc')}, "
                      f"""gen AS (SELECT e.id, list_concat(list_concat(list_transform(range({MAX_LEN} - len(e.ids[1:{MAX_LEN}])), lambda x: 0),
-                                 e.ids[1:{MAX_LEN}]), list_concat(p.ids[1:2], [2])) AS g FROM enc e JOIN penc p ON e.id = p.id),
+                                 e.ids[1:{MAX_LEN}]), list_concat(p.ids, [2])) AS g FROM enc e JOIN penc p ON e.id = p.id),
                          suf AS (SELECT id, list_filter(g[{MAX_LEN + 1}:], lambda x: x >= 3) AS s FROM gen),
                          su AS (SELECT id, unnest(s) AS tid, unnest(range(len(s))) AS pos FROM suf),
                          dec AS (SELECT su.id, string_agg(v.token, ' ' ORDER BY su.pos) AS txt FROM su JOIN v ON su.tid = v.token_id GROUP BY su.id)
@@ -220,8 +223,6 @@ SQL = {
     "zero_shot": V.with_views("quality_pairs") + f", {_SCORER}, {_ZSM} SELECT * FROM zsm",
     "icl_eval": V.with_views("quality_pairs") + f", {_SCORER}, {_ICL} SELECT * FROM icl",
     "experiment_grid": V.with_views("quality_pairs") + f", {_SCORER}, {_ZSM}, {_ICL} "
-                       "SELECT model_name, sample_size, eval_in_loss, eval_in_accuracy, eval_out_loss, eval_out_accuracy, "
-                       "0 AS trial, 'zeroshot' AS finetuning_method FROM zsm UNION ALL "
-                       "SELECT model_name, sample_size, eval_in_loss, eval_in_accuracy, eval_out_loss, eval_out_accuracy, "
-                       "trial, 'icl' AS finetuning_method FROM icl",
+                       f"SELECT {_LOG}, 'zeroshot' AS finetuning_method FROM zsm UNION ALL "
+                       f"SELECT {_LOG}, 'icl' AS finetuning_method FROM icl",
 }

@@ -5,20 +5,21 @@ Each query has a Spark plan and the same computation as DuckDB SQL (the oracle).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotgrid.functions.math import sample_key
+from shotgrid.functions.math import distill_batch_size, sample_key
 from shotgrid.operators import prompts as P
 from shotgrid.operators import sampling as S
-from shotgrid.schemas import EVAL_SIZE, NUM_TRIALS, SAMPLE_SIZES, SEED
+from shotgrid.schemas import (EVAL_SIZE, LARGE_SAMPLE_SIZE, MODEL_NAMES, NUM_TRIALS, SAMPLE_SIZES, SEED,
+                              TEACHER_CONTRADICTION_EXPLANATION, TEACHER_CONTRADICTION_OUTPUT, TEACHER_END,
+                              TEACHER_ENTAILMENT_EXPLANATION, TEACHER_ENTAILMENT_OUTPUT, TEACHER_EXAMPLE_INPUT, TEACHER_QUESTION)
 from shotgrid.sources import datasets as D
-from shotgrid.sources.views import nli_pairs, with_views
+from shotgrid.sources.views import as_pairs, nli_pairs, nli_rows, sql_text, with_views
 
-LARGE_SAMPLE = 256      # large distillation sample at the test scales (4096 needs more rows)
+LARGE_SAMPLE = 256      # what the queries pass as large_sample_size: the test tables hold fewer rows than 4096
 N_DRAWS = 100           # positions drawn with replacement
 CELLS = [(s, t) for s in SAMPLE_SIZES for t in range(NUM_TRIALS)]
-BOUND = S.grid_bound(SAMPLE_SIZES, NUM_TRIALS)
 
 
 def _md5(*parts: str) -> str:
@@ -26,7 +27,7 @@ def _md5(*parts: str) -> str:
 
 
 def _hash_pos(draw_sql: str, n_sql: str) -> str:
-    return f"(CAST('0x' || substr(md5(concat_ws('|', '{SEED}', {draw_sql})), 1, 8) AS BIGINT) % {n_sql})"
+    return f"(CAST('0x' || substr(md5(concat_ws('|', '{SEED}', {draw_sql})), 1, 15) AS BIGINT) % {n_sql})"
 
 
 # shared SQL pieces -------------------------------------------------------------------
@@ -63,16 +64,22 @@ def _clean(spark, sf):
 
 def trials(spark, sf) -> DataFrame:
     """C3 over the cleaned in-domain training rows; trials numbered from 0."""
-    train, _ = _clean(spark, sf)
+    train, _ = D.in_domain_rows(spark, sf)
     return S.trial_grid(train, SAMPLE_SIZES, NUM_TRIALS, SEED)
 
 
+def trial_rows(spark, sf) -> DataFrame:
+    """The trials' rows: ids are joined to the texts, then only those texts are split."""
+    train, _ = D.in_domain_rows(spark, sf)
+    return as_pairs(S.attach_rows(trials(spark, sf), train))
+
+
 def eval_sets(spark, sf) -> tuple[DataFrame, DataFrame]:
     """C4: one fixed evaluation sample per domain, shared by every method."""
-    _, val = _clean(spark, sf)
-    out = D.out_domain(spark, sf).drop("heuristic")
-    return (S.sample_n(val, EVAL_SIZE, SEED, "eval", "in"),
-            S.sample_n(out, EVAL_SIZE, SEED, "eval", "out"))
+    _, val = D.in_domain_rows(spark, sf)
+    out = D.out_domain_rows(spark, sf).drop("heuristic")
+    return (as_pairs(S.sample_n(val, EVAL_SIZE, SEED, "eval", "in")),
+            as_pairs(S.sample_n(out, EVAL_SIZE, SEED, "eval", "out")))
 
 
 # queries -------------------------------------------------------------------------------
@@ -90,11 +97,17 @@ def q_materialize_dataset(spark, sf):
 
 
 def q_remove_neutral(spark, sf):
-    return D.remove_neutral(nli_pairs(spark, sf)).select("id", "domain", "split", "label")
+    return D.remove_neutral(nli_rows(spark, sf)).select("id", "domain", "split", "label")
 
 
 def q_isolate_heuristic(spark, sf):
-    return D.isolate_heuristic(nli_pairs(spark, sf)).select("id", "domain", "split", "label")
+    return D.isolate_heuristic(nli_rows(spark, sf)).select("id", "domain", "split", "label")
+
+
+def q_filter_keys(spark, sf):
+    """B4 + B6: one label within a conjunction of key filters (``None`` = no filter)."""
+    rows = D.filter_label(nli_rows(spark, sf), 0)
+    return rows.filter(D.key_filter(domain="out", split="train", heuristic=None)).select("id", "heuristic", "label")
 
 
 def q_select_by_index(spark, sf):
@@ -110,8 +123,7 @@ def q_sample_n(spark, sf):
 
 
 def q_trial_grid(spark, sf):
-    train, _ = _clean(spark, sf)
-    return S.attach_rows(trials(spark, sf), train, BOUND).select("sample_size", "trial", "rn", "id", "label", "premise")
+    return trial_rows(spark, sf).select("sample_size", "trial", "rn", "id", "label", "premise")
 
 
 def q_eval_sample(spark, sf):
@@ -122,23 +134,23 @@ def q_eval_sample(spark, sf):
 
 def q_sample_per_label(spark, sf):
     train, _ = _clean(spark, sf)
-    return S.per_label(train, 3, SEED, "per_label").select("label", "rn", "id")
+    return S.per_label(train, 3, SEED, "per_label", labels=(0, 1)).select("label", "rn", "id")
 
 
-def distill_sets(spark, sf) -> DataFrame:
+def distill_sets(spark, sf, large_sample_size: int = LARGE_SAMPLE_SIZE) -> DataFrame:
     """The first 16-shot trial and a fresh large sample, as (sample_size, rn, id)."""
-    train, _ = _clean(spark, sf)
+    train, _ = D.in_domain_rows(spark, sf)
     small = trials(spark, sf).filter((F.col("sample_size") == 16) & (F.col("trial") == 0)) \
         .select("sample_size", "rn", "id")
-    big = S.sample_n(train, LARGE_SAMPLE, SEED, "large") \
-        .withColumn("_h", sample_key(SEED, F.lit("large"), F.col("id"))) \
-        .withColumn("rn", F.row_number().over(Window.orderBy("_h", "id"))) \
-        .select(F.lit(LARGE_SAMPLE).alias("sample_size"), "rn", "id")
+    big = S.sample_n(train.select("id"), large_sample_size, SEED, "large") \
+        .withColumn("h", sample_key(SEED, F.lit("large"), F.col("id")))
+    big = S.dense_index(big, ["h", "id"]) \
+        .select(F.lit(large_sample_size).alias("sample_size"), (F.col("idx") + 1).cast("int").alias("rn"), "id")
     return small.unionByName(big)
 
 
 def q_distill_sets(spark, sf):
-    return distill_sets(spark, sf)
+    return distill_sets(spark, sf, LARGE_SAMPLE)
 
 
 def q_validation_subset(spark, sf):
@@ -172,24 +184,25 @@ def q_minimal_pattern(spark, sf):
 
 
 def contexts(spark, sf) -> DataFrame:
-    train, _ = _clean(spark, sf)
-    return P.icl_context(S.attach_rows(trials(spark, sf), train, BOUND))
+    return P.icl_context(trial_rows(spark, sf))
 
 
 def q_icl_context(spark, sf):
     return contexts(spark, sf)
 
 
-def distill_batches(spark, sf, batch_size: int = 4) -> DataFrame:
-    """C10 + C11 over the distillation sets: ``batch_key = size:batch``."""
-    return distill_sets(spark, sf).withColumn(
-        "batch_key", F.concat_ws(":", F.col("sample_size").cast("string"),
-                                 F.floor((F.col("rn") - 1) / batch_size).cast("string")))
+def distill_batches(spark, sf, large_sample_size: int = LARGE_SAMPLE_SIZE) -> DataFrame:
+    """C10 + C11 over the distillation sets: ``batch_key = model:size:batch``, batches of 2 rows
+    for the large model and of 4 for the small one."""
+    models = F.explode(F.array(*[F.lit(m) for m in MODEL_NAMES])).alias("model_name")
+    return distill_sets(spark, sf, large_sample_size).select("*", models).withColumn(
+        "batch_key", F.concat_ws(":", "model_name", F.col("sample_size").cast("string"),
+                                 F.floor((F.col("rn") - 1) / distill_batch_size("model_name")).cast("string")))
 
 
 def q_teacher_context(spark, sf):
-    train, _ = _clean(spark, sf)
-    return P.teacher_contexts(distill_batches(spark, sf), train, SEED, batch_col="batch_key")
+    train, _ = D.in_domain_rows(spark, sf)
+    return P.teacher_contexts(distill_batches(spark, sf, LARGE_SAMPLE), train, SEED, batch_col="batch_key")
 
 
 def q_icl_prompts(spark, sf):
@@ -201,14 +214,13 @@ def q_icl_prompts(spark, sf):
 def training_schedule(spark, sf) -> DataFrame:
     """C11 + S2 + S1 over the trial grid and the distillation sets: batch size by model
     and shot count, steps per epoch, total and warm-up steps, learning rate per step."""
-    from shotgrid.functions.math import batch_size_rule, distill_batch_size, linear_schedule, steps_per_epoch
-    from shotgrid.schemas import MODEL_NAMES
+    from shotgrid.functions.math import batch_size_rule, linear_schedule, steps_per_epoch
     models = F.explode(F.array(*[F.lit(m) for m in MODEL_NAMES])).alias("model_name")
     few = trials(spark, sf).groupBy("sample_size", "trial").agg(F.count(F.lit(1)).alias("n")) \
         .select(F.lit("fewshot").alias("method"), models, "sample_size", "trial", "n") \
         .withColumn("batch_size", batch_size_rule("model_name", "sample_size")) \
         .withColumn("epochs", F.lit(40)).withColumn("warmup_ratio", F.lit(0.1)).withColumn("base_lr", F.lit(1e-5))
-    dst = distill_sets(spark, sf).groupBy("sample_size").agg(F.count(F.lit(1)).alias("n")) \
+    dst = distill_sets(spark, sf, LARGE_SAMPLE).groupBy("sample_size").agg(F.count(F.lit(1)).alias("n")) \
         .select(F.lit("context_distillation").alias("method"), models, "sample_size", F.lit(0).alias("trial"), "n") \
         .withColumn("batch_size", distill_batch_size("model_name")) \
         .withColumn("epochs", F.lit(1)).withColumn("warmup_ratio", F.lit(0.0)).withColumn("base_lr", F.lit(5e-5))
@@ -232,6 +244,7 @@ QUERIES = {
     "materialize_dataset": q_materialize_dataset,
     "remove_neutral": q_remove_neutral,
     "isolate_heuristic": q_isolate_heuristic,
+    "filter_keys": q_filter_keys,
     "select_by_index": q_select_by_index,
     "sample_n": q_sample_n,
     "trial_grid": q_trial_grid,
@@ -258,10 +271,11 @@ _DISTILL = f"""big AS (SELECT id, CAST(row_number() OVER (ORDER BY {_md5(f"'{SEE
 distill AS (SELECT sample_size, rn, id FROM trials WHERE sample_size = 16 AND trial = 0
             UNION ALL SELECT {LARGE_SAMPLE} AS sample_size, rn, id FROM big)"""
 
-_TEACHER_Q = (
-    "'The question you are trying to solve is whether the premise and hypothesis are a contradiction or an "
-    "entailment. ' || chr(10) || 'The answer is No when the premise and hypothesis are a contradiction and the "
-    "answer is Yes when the hypothesis and ' || chr(10) || 'premise are an entailment ' || chr(10) || ' '")
+_TEACHER = " || ".join([
+    sql_text(TEACHER_QUESTION), sql_text(TEACHER_EXAMPLE_INPUT), "cp", "' '", "ch", sql_text("?\n"),
+    sql_text(TEACHER_CONTRADICTION_OUTPUT), sql_text(TEACHER_CONTRADICTION_EXPLANATION),
+    sql_text(TEACHER_EXAMPLE_INPUT), "ep", "' '", "eh", sql_text("?\n"),
+    sql_text(TEACHER_ENTAILMENT_OUTPUT), sql_text(TEACHER_ENTAILMENT_EXPLANATION), sql_text(TEACHER_END)])
 
 _SCHED_LR = ("round(base_lr * CASE WHEN step < warmup_steps THEN step / greatest(CAST(warmup_steps AS DOUBLE), 1.0) "
              "ELSE greatest(0.0, (total_steps - step) / greatest(CAST(total_steps - warmup_steps AS DOUBLE), 1.0)) END, 12)")
@@ -290,6 +304,8 @@ SQL = {
         "FROM nli_pairs WHERE label <> 1",
     "isolate_heuristic": with_views("nli_pairs") +
         "SELECT id, domain, split, label FROM nli_pairs WHERE heuristic = 'lexical_overlap'",
+    "filter_keys": with_views("nli_pairs") +
+        "SELECT id, heuristic, label FROM nli_pairs WHERE label = 0 AND domain = 'out' AND split = 'train'",
     "select_by_index": _pre(
         "t AS (SELECT id, label, row_number() OVER (ORDER BY id) - 1 AS idx FROM clean_train)",
         "n AS (SELECT count(*) AS n FROM t)",
@@ -323,7 +339,9 @@ SQL = {
           || premise || ' ' || hypothesis || '?' AS text_ctx FROM nli_pairs""",
     "icl_context": _pre(_TRIALS, _CTX) + "SELECT sample_size, trial, n_demos, context FROM contexts",
     "teacher_context": _pre(_TRIALS, _DISTILL,
-        "batches AS (SELECT DISTINCT CAST(sample_size AS VARCHAR) || ':' || CAST(CAST(floor((rn - 1) / 4) AS BIGINT) AS VARCHAR) AS batch_key FROM distill)",
+        """batches AS (SELECT DISTINCT m.model_name || ':' || CAST(sample_size AS VARCHAR) || ':' ||
+                       CAST(CAST(floor((rn - 1) / CASE WHEN m.model_name = 'opt-350m' THEN 2 ELSE 4 END) AS BIGINT) AS VARCHAR) AS batch_key
+                       FROM distill, (VALUES ('opt-125m'), ('opt-350m')) m(model_name))""",
         "pool AS (SELECT id, premise, hypothesis, label, row_number() OVER (PARTITION BY label ORDER BY id) - 1 AS idx FROM clean_train)",
         "nl AS (SELECT label, count(*) AS n FROM pool GROUP BY label)",
         "dr AS (SELECT b.batch_key, nl.label, " + _hash_pos("concat_ws('|', 'teacher', b.batch_key, nl.label)", "nl.n")
@@ -332,14 +350,7 @@ SQL = {
                   max(CASE WHEN dr.label = 1 THEN p.premise END) AS cp, max(CASE WHEN dr.label = 1 THEN p.hypothesis END) AS ch,
                   max(CASE WHEN dr.label = 0 THEN p.premise END) AS ep, max(CASE WHEN dr.label = 0 THEN p.hypothesis END) AS eh
                 FROM dr JOIN pool p ON dr.label = p.label AND dr.idx = p.idx GROUP BY dr.batch_key)""")
-        + f"""SELECT batch_key, {_TEACHER_Q} || 'Example input: ' || cp || ' ' || ch || '?' || chr(10)
-              || 'Example output: No ' || chr(10) || ' '
-              || 'Explanation: The answer is No because the premise and hypothesis are a contradiction. ' || chr(10) || ' '
-              || 'Example input: ' || ep || ' ' || eh || '?' || chr(10)
-              || 'Example output: Yes ' || chr(10) || ' '
-              || 'Explanation: The answer is Yes because the premise and hypothesis are an entailment. ' || chr(10) || ' '
-              || 'Now determine whether the following is a contradiction or an entailment.' || chr(10) AS teacher_context
-            FROM w""",
+        + f"SELECT batch_key, {_TEACHER} AS teacher_context FROM w",
     "icl_prompts": _pre(_TRIALS, _CTX, _EVAL) + """SELECT e.domain, e.id, c.sample_size, c.trial,
         CASE WHEN c.context = '' THEN '' ELSE c.context || ' ' END || e.premise || ' ' || e.hypothesis || '?' AS text
         FROM (SELECT 'in' AS domain, * FROM eval_in UNION ALL SELECT 'out' AS domain, * FROM eval_out) e, contexts c""",

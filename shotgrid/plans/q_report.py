@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shotgrid.functions.text import method_from_file
 from shotgrid.operators import report as R
-from shotgrid.schemas import METHOD_NAMES, PIVOT_METRICS, REPORT_METRICS, TRAINING_METRICS, metrics_schema
+from shotgrid.schemas import PIVOT_METRICS, REPORT_METRICS, TRAINING_METRICS
 from shotgrid.session import fresh_path
 from shotgrid.sources import sinks
 from shotgrid.sources.views import trial_metrics, with_views
@@ -22,42 +20,35 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
                        else F.col(f.name) for f in df.schema.fields])
 
 
-def _write_logs(spark, sf, methods) -> dict[str, str]:
-    """A4: one CSV log per method, named like the experiment's final logs.  The writes
-    are independent jobs, submitted together so small logs do not leave cores idle."""
-    tm = trial_metrics(spark, sf)
-    folder = fresh_path(spark, "logs")
-
-    def write(m):
-        return m, sinks.write_metrics(tm.filter(F.col("finetuning_method") == m), folder, m, "final")
-    with ThreadPoolExecutor(max_workers=len(methods)) as pool:
-        return dict(pool.map(write, methods))
+def _logs(spark, sf) -> dict[str, DataFrame]:
+    """A4 -> A6: one CSV log per method, named like the experiment's final logs, read back."""
+    return sinks.read_logs(spark, sinks.write_logs(trial_metrics(spark, sf), fresh_path(spark, "logs"), "final"))
 
 
 def combined(spark, sf) -> DataFrame:
     """A4 -> A6 -> B10 -> H1 -> A7: write each method's log, read them back with their
     own schemas, tag by file name, union by name, write and re-read the combined log."""
-    paths = _write_logs(spark, sf, METHOD_NAMES)
-    logs = {sinks.log_name(m, "metrics", "final"): sinks.read_metrics(spark, p, m) for m, p in paths.items()}
-    comb = R.combine_logs(logs)
+    comb = R.combine_logs(_logs(spark, sf))
     folder = fresh_path(spark, "combined")
     return sinks.read_combined(spark, sinks.write_combined(comb, folder))
 
 
 def q_metrics_roundtrip(spark, sf):
-    path = _write_logs(spark, sf, ["fewshot"])["fewshot"]
-    return sinks.read_metrics(spark, path, "fewshot")
+    """All six logs as they are read back, each tagged with its method."""
+    return R.combine_logs(_logs(spark, sf))
 
 
 def q_combined_metrics(spark, sf):
     return combined(spark, sf)
 
 
+_EVAL_IN = [f.name for f in TRAINING_METRICS.fields if f.name.startswith("eval_in_")]
+
+
 def q_rename_domain(spark, sf):
-    tm = trial_metrics(spark, sf).filter(F.col("finetuning_method") == "fewshot")
-    generic = tm.select("model_name", "sample_size", "trial", "train_loss",
-                        F.col("eval_in_loss").alias("eval_loss"), F.col("eval_in_accuracy").alias("eval_accuracy"),
-                        F.col("eval_in_runtime").alias("eval_runtime"))
+    tm = trial_metrics(spark, sf)
+    generic = tm.select("finetuning_method", "model_name", "sample_size", "trial", "train_loss",
+                        *[F.col(c).alias(c.replace("eval_in_", "eval_")) for c in _EVAL_IN])
     return R.reformat_eval_metrics(generic, "in")
 
 
@@ -94,6 +85,11 @@ def q_report_rows(spark, sf):
     return R.report_rows(R.pivot_means(combined(spark, sf)))
 
 
+def q_group_report(spark, sf):
+    """G4 with ``group_by`` (B6): the report of one group of models."""
+    return round_doubles(R.means_by_config(trial_metrics(spark, sf), group_by="model_name", group="A"))
+
+
 def q_method_from_file(spark, sf):
     tm = trial_metrics(spark, sf)
     names = tm.select(F.concat(F.col("finetuning_method"), F.lit("_metrics_"), F.col("model_name"),
@@ -114,6 +110,7 @@ QUERIES = {
     "report_labels": q_report_labels,
     "report_rows": q_report_rows,
     "method_from_file": q_method_from_file,
+    "group_report": q_group_report,
 }
 
 # --------------------------------------------------------------------------- oracle SQL
@@ -132,7 +129,6 @@ _LABEL = """CASE WHEN finetuning_method = 'context_distillation' THEN 'CD (' ||
      ELSE finetuning_method || ' (' || CAST(sample_size AS VARCHAR) || ')' END"""
 
 _TRAIN_COLS = ", ".join(f.name for f in TRAINING_METRICS.fields if f.name not in ("model_name", "sample_size"))
-_INF_COLS = ", ".join(f.name for f in metrics_schema("zeroshot").fields if f.name not in ("model_name", "sample_size"))
 _MEANS = f"means AS (SELECT {_CFG}, {_avg_cols()}, {_LABEL} AS label FROM trial_metrics_x GROUP BY ALL)"
 _PIVOT = ", ".join(f"avg({v}) AS {v}" for v in PIVOT_METRICS)
 _SUMS = ", ".join(f"sum({c}) AS s_{c}, count({c}) AS n_{c}" for c in
@@ -152,12 +148,13 @@ _TITLE = """CASE WHEN metric = 'runtime' THEN 'Runtime (s)' WHEN metric = 'peak_
 _METRIC_VALUES = ", ".join(f"('{m}')" for m in REPORT_METRICS)
 
 SQL = {
-    "metrics_roundtrip": _V + f"SELECT model_name, CAST(sample_size AS INTEGER) AS sample_size, {_TRAIN_COLS} "
-                              f"FROM trial_metrics_x WHERE finetuning_method = 'fewshot'",
+    "metrics_roundtrip": _V + f"SELECT model_name, CAST(sample_size AS INTEGER) AS sample_size, {_TRAIN_COLS}, "
+                              f"finetuning_method FROM trial_metrics_x",
     "combined_metrics": _V + f"SELECT model_name, CAST(sample_size AS INTEGER) AS sample_size, {_TRAIN_COLS}, "
                              f"finetuning_method FROM trial_metrics_x",
-    "rename_domain": _V + "SELECT model_name, sample_size, trial, train_loss, eval_in_loss, eval_in_accuracy, "
-                          "eval_in_runtime FROM trial_metrics_x WHERE finetuning_method = 'fewshot'",
+    "rename_domain": _V + "SELECT finetuning_method, model_name, sample_size, trial, train_loss, "
+                          + ", ".join(_EVAL_IN) + " FROM trial_metrics_x",
+    "group_report": _V + f", {_MEANS} SELECT * FROM means WHERE model_name = 'A'",
     "means_by_size": _V + "SELECT sample_size, round(avg(eval_in_accuracy), 6) AS avg_in_accuracy, "
                           "round(avg(eval_out_accuracy), 6) AS avg_out_accuracy, count(*) AS num_trials "
                           "FROM trial_metrics_x GROUP BY sample_size",

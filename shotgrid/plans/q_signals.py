@@ -11,6 +11,7 @@ from shotgrid.operators import history as H
 from shotgrid.operators import metrics as M
 from shotgrid.operators import telemetry as TL
 from shotgrid.operators.sampling import micro_batches
+from shotgrid.operators.scorers import score_with
 from shotgrid.plans.q_report import round_doubles
 from shotgrid.schemas import MODEL_NAMES
 from shotgrid.session import fresh_path
@@ -49,17 +50,10 @@ def history(spark, sf) -> DataFrame:
         F.when(F.col("run") % 2 == 0, MODEL_NAMES[0]).otherwise(MODEL_NAMES[1]).alias("model_name"),
         F.element_at(sizes, (F.col("run") % 4 + 1).cast("int")).alias("sample_size"),
         "epoch", "train_loss", "val_loss",
-        F.when(F.floor(F.col("run") / 4) % 2 == 0, "fewshot").otherwise("fewshot_lora").alias("_m"))
-    folder = fresh_path(spark, "history")
-    out = None
-    for m in ("fewshot", "fewshot_lora"):
-        path = sinks.write_history(long.filter(F.col("_m") == m), folder, m, "final")
-        name = sinks.log_name(m, "training_history", "final")
-        df = sinks.read_history(spark, path).withColumn(
-            "finetuning_method", F.when(method_from_file(F.lit(name)) == "fewshot_lora", F.lit("fewshot_lora"))
-                                  .otherwise(F.lit("fewshot")))
-        out = df if out is None else out.unionByName(df)
-    return out
+        F.when(F.floor(F.col("run") / 4) % 2 == 0, "fewshot").otherwise("fewshot_lora").alias("finetuning_method"))
+    path = sinks.write_histories(long, fresh_path(spark, "history"), "final")
+    rows = sinks.read_histories(spark, path)
+    return rows.withColumn("finetuning_method", method_from_file("log")).drop("log")
 
 
 def q_history_long(spark, sf):
@@ -89,10 +83,11 @@ def q_domain_metrics(spark, sf):
 
 # ------------------------------------------------------------------------------- logits
 def q_softmax_temp(spark, sf):
-    lg = V.logits(spark, sf)
-    p, lq = softmax("teacher", TEMP), log_softmax("student", TEMP)
-    return round_doubles(lg.select("id", F.element_at(p, 1).alias("p0"), F.element_at(p, 2).alias("p1"),
-                                   F.element_at(lq, 1).alias("lq0"), F.element_at(lq, 2).alias("lq1")))
+    """Every element of both vectors: (id, k, p, lq)."""
+    both = F.zip_with(softmax("teacher", TEMP), log_softmax("student", TEMP),
+                      lambda p, lq: F.struct(p.alias("p"), lq.alias("lq")))
+    rows = V.logits(spark, sf).select("id", F.posexplode(both).alias("k", "v"))
+    return round_doubles(rows.select("id", "k", "v.p", "v.lq"))
 
 
 def q_accuracy_from_logits(spark, sf):
@@ -100,6 +95,19 @@ def q_accuracy_from_logits(spark, sf):
     return round_doubles(M.accuracy_from_logits(lg, {"teacher_accuracy": "teacher", "student_accuracy": "student"}))
 
 
+def q_model_plugin(spark, sf):
+    """A per-batch Python model behind the scorer interface (loaded once per task)."""
+    def make_scorer():
+        import numpy as np
+        import pandas as pd
+
+        def score(batch):
+            return pd.DataFrame({"id": batch["id"], "predicted": [int(np.argmax(v)) for v in batch["teacher"]]})
+        return score
+
+    return score_with(V.logits(spark, sf).select("id", "teacher"), make_scorer, "id long, predicted int")
+
+
 def q_distill_loss(spark, sf):
     lg = micro_batches(V.logits(spark, sf), 4)
     return round_doubles(M.distillation_loss(lg, "teacher", "student", ["batch_id"], TEMP))
@@ -130,6 +138,7 @@ QUERIES = {
     "softmax_temp": q_softmax_temp,
     "accuracy_from_logits": q_accuracy_from_logits,
     "distill_loss": q_distill_loss,
+    "model_plugin": q_model_plugin,
     "param_counts": q_param_counts,
 }
 
@@ -163,16 +172,13 @@ _PARSED = f"""pa AS (SELECT *, CAST(CASE WHEN contains(c, 'yes') THEN 0 WHEN con
 _BCE = "(greatest(CAST(predicted AS DOUBLE), 0) - predicted * label + ln(1 + exp(-abs(CAST(predicted AS DOUBLE)))))"
 
 
-def _sm(arr: str, t: float) -> str:
-    """2-way softmax / log-softmax pieces of ``arr`` at temperature t (SQL)."""
-    a1, a2 = f"({arr}[1] / {t})", f"({arr}[2] / {t})"
-    m = f"greatest({a1}, {a2})"
-    lse = f"({m} + ln(exp({a1} - {m}) + exp({a2} - {m})))"
-    return a1, a2, lse
-
-
-_T1, _T2, _TLSE = _sm("teacher", TEMP)
-_S1, _S2, _SLSE = _sm("student", TEMP)
+_ROWS = f"""sm AS (
+  SELECT id, label, list_transform(teacher, lambda x: x / {TEMP}) AS a, list_transform(student, lambda x: x / {TEMP}) AS b FROM logits),
+el AS (
+  SELECT id, unnest(range(len(a))) AS k, unnest(a) - list_max(a) AS t, unnest(b) - list_max(b) AS s,
+         ln(list_sum(list_transform(a, lambda x: exp(x - list_max(a))))) AS lt,
+         ln(list_sum(list_transform(b, lambda x: exp(x - list_max(b))))) AS ls
+  FROM sm)"""
 
 SQL = {
     "param_freeze": V.with_views("param_table") + """SELECT substr(layer, 1, 7) AS part, CAST(sum(n) AS BIGINT) AS all_params,
@@ -209,20 +215,18 @@ SELECT run, event_id, log_no, phase, peak_memory FROM p5 WHERE qualifying AND ph
         f"round(avg(CASE WHEN domain = '{d}' THEN CAST(predicted = label AS DOUBLE) END), 6) AS eval_{d}_accuracy, "
         f"CAST(sum(CASE WHEN domain = '{d}' THEN 1 ELSE 0 END) AS BIGINT) AS eval_{d}_n" for d in ("in", "out"))
         + " FROM pa GROUP BY ALL",
-    "softmax_temp": V.with_views("logits") + f"""SELECT id,
-        round(exp({_T1} - {_TLSE}), 6) AS p0, round(exp({_T2} - {_TLSE}), 6) AS p1,
-        round({_S1} - {_SLSE}, 6) AS lq0, round({_S2} - {_SLSE}, 6) AS lq1 FROM logits""",
+    "softmax_temp": V.with_views("logits") + f""", {_ROWS}
+        SELECT id, CAST(k AS INTEGER) AS k, round(exp(t - lt), 6) AS p, round(s - ls, 6) AS lq FROM el""",
     "accuracy_from_logits": V.with_views("logits") + """SELECT
-        round(avg(CAST((CASE WHEN teacher[2] > teacher[1] THEN 1 ELSE 0 END) = label AS DOUBLE)), 6) AS teacher_accuracy,
+        round(avg(CAST(list_position(teacher, list_max(teacher)) - 1 = label AS DOUBLE)), 6) AS teacher_accuracy,
         count(*) AS n,
-        round(avg(CAST((CASE WHEN student[2] > student[1] THEN 1 ELSE 0 END) = label AS DOUBLE)), 6) AS student_accuracy
+        round(avg(CAST(list_position(student, list_max(student)) - 1 = label AS DOUBLE)), 6) AS student_accuracy
         FROM logits""",
-    "distill_loss": V.with_views("logits") + f""", r AS (
-        SELECT CAST(floor((row_number() OVER (ORDER BY id) - 1) / 4) AS BIGINT) AS batch_id,
-               exp({_T1} - {_TLSE}) * (({_T1} - {_TLSE}) - ({_S1} - {_SLSE}))
-             + exp({_T2} - {_TLSE}) * (({_T2} - {_TLSE}) - ({_S2} - {_SLSE})) AS kl
-        FROM logits)
-        SELECT batch_id, round({TEMP ** 2} * sum(kl) / count(*), 6) AS loss, count(*) AS batch_size FROM r GROUP BY batch_id""",
+    "model_plugin": V.with_views("logits") + "SELECT id, CAST(list_position(teacher, list_max(teacher)) - 1 AS INTEGER) AS predicted FROM logits",
+    "distill_loss": V.with_views("logits") + f""", {_ROWS},
+        r AS (SELECT id, sum(exp(t - lt) * ((t - lt) - (s - ls))) AS kl FROM el GROUP BY id),
+        nr AS (SELECT CAST(floor((row_number() OVER (ORDER BY id) - 1) / 4) AS BIGINT) AS batch_id, kl FROM r)
+        SELECT batch_id, round({TEMP ** 2} * sum(kl) / count(*), 6) AS loss, count(*) AS batch_size FROM nr GROUP BY batch_id""",
     "param_counts": V.with_views("param_table") + """SELECT layer, CAST(sum(n) AS BIGINT) AS all_params,
         CAST(sum(CASE WHEN trainable THEN n ELSE 0 END) AS BIGINT) AS trainable_params,
         round(100.0 * sum(CASE WHEN trainable THEN n ELSE 0 END) / sum(n), 6) AS trainable_pct

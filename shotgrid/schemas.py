@@ -38,6 +38,8 @@ REPORT_METRICS = ["accuracy", "runtime", "peak_memory_gb", "loss"]
 SAMPLE_SIZES = [2, 4, 8, 16]
 NUM_TRIALS = 10
 EVAL_SIZE = 50
+LARGE_SAMPLE_SIZE = 4096
+MAX_LENGTH = 512
 SEED = 42
 # ---------------------------------------------------------------------------------------
 
@@ -55,6 +57,7 @@ PAIRS = T.StructType([
 ])
 
 _EVAL_FIELDS = ["loss", "accuracy", "runtime", "samples_per_second", "peak_memory_gb"]
+_TRAINING_EVAL_FIELDS = ["loss", "accuracy", "runtime", "samples_per_second", "steps_per_second", "peak_memory_gb"]
 
 INFERENCE_METRICS = T.StructType(
     [T.StructField("model_name", T.StringType()), T.StructField("sample_size", T.IntegerType())]
@@ -64,8 +67,9 @@ INFERENCE_METRICS = T.StructType(
 TRAINING_METRICS = T.StructType(
     [T.StructField("model_name", T.StringType()), T.StructField("sample_size", T.IntegerType())]
     + [T.StructField(c, T.DoubleType()) for c in
-       ("train_runtime", "train_loss", "train_peak_memory_gb")]
-    + [T.StructField(f"eval_{d}_{m}", T.DoubleType()) for d in ("in", "out") for m in _EVAL_FIELDS]
+       ("train_runtime", "train_samples_per_second", "train_steps_per_second", "total_flos", "train_loss", "epoch",
+        "train_peak_memory_gb")]
+    + [T.StructField(f"eval_{d}_{m}", T.DoubleType()) for d in ("in", "out") for m in _TRAINING_EVAL_FIELDS]
 )
 
 HISTORY = T.StructType([
@@ -77,5 +81,8 @@ HISTORY = T.StructType([
 ])
 
 
+TRAINED_METHODS = ("fewshot", "fewshot_lora")
+
+
 def metrics_schema(method: str) -> T.StructType:
-    return TRAINING_METRICS if method in ("fewshot", "fewshot_lora") else INFERENCE_METRICS
+    return TRAINING_METRICS if method in TRAINED_METHODS else INFERENCE_METRICS

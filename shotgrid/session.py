@@ -8,7 +8,6 @@ pick a fresh scratch folder of its own.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -16,9 +15,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master: str | None = None, app: str = "shotgrid",
-                  shuffle_partitions: int | None = None) -> SparkSession:
-    """Session with the settings the operators are designed around (AQE, Arrow, UTC)."""
+def build_session(master: str | None = None, app: str = "shotgrid", shuffle_partitions: int | None = None,
+                  checkpoint_dir: str | None = None) -> SparkSession:
+    """Session with the settings the operators are designed around (AQE, Arrow, UTC).
+    ``checkpoint_dir`` names the shared folder where the cluster's settings don't."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -33,6 +33,8 @@ def build_session(master: str | None = None, app: str = "shotgrid",
         # remove reliable-checkpoint files once their data is no longer referenced
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
+    if checkpoint_dir:
+        conf["spark.checkpoint.dir"] = checkpoint_dir
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     for k, v in conf.items():
@@ -45,12 +47,16 @@ def build_session(master: str | None = None, app: str = "shotgrid",
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written tables.
 
-    Read from ``spark.checkpoint.dir``; set a scratch folder only where it is unset.
+    Read from ``spark.checkpoint.dir``.  Where it is unset, a local session gets a scratch folder
+    and a cluster session is an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc_dir = spark.sparkContext.getCheckpointDir()
     base = conf_dir or sc_dir
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="shotgrid-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
     if not sc_dir:
@@ -75,6 +81,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
-def sf_tag(sf_dir: str) -> str:
-    """Stable short tag of an input folder, used to key materialised copies."""
-    return os.path.basename(os.path.normpath(sf_dir)).replace(".", "_")
+def input_state(df: DataFrame) -> list[str]:
+    """Path, size and modification time of every file that ``df`` reads."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    out = []
+    for f in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append(f"{f}|{status.getLen()}|{status.getModificationTime()}")
+    return out
+
+
+def is_complete(spark: SparkSession, folder: str) -> bool:
+    """Whether a written table is there in full: its writer's last step was ``_SUCCESS``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)

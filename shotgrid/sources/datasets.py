@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import os
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotgrid.session import sf_tag, shared_dir
-from shotgrid.sources.views import nli_pairs
+from shotgrid.session import input_state, is_complete, shared_dir
+from shotgrid.sources.views import as_pairs, nli_rows, table
 
 
 def remove_neutral(df: DataFrame, label: str = "label") -> DataFrame:
@@ -26,7 +24,7 @@ def isolate_heuristic(df: DataFrame, heuristic: str = "lexical_overlap") -> Data
 
 
 def filter_label(df: DataFrame, label: int) -> DataFrame:
-    """B4."""
+    """Rows of one label."""
     return df.filter(F.col("label") == label)
 
 
@@ -39,19 +37,27 @@ def key_filter(**equals) -> Column:
     return cond
 
 
+def in_domain_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Cleaned in-domain (train, validation) as (id, text, label): sample or join first, split
+    the texts that remain with ``as_pairs``."""
+    p = nli_rows(spark, sf_dir, "in")
+    return tuple(remove_neutral(p.filter(F.col("split") == s)).select("id", "text", "label") for s in ("train", "validation"))
+
+
 def in_domain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A1: cleaned in-domain (train, validation)."""
-    p = nli_pairs(spark, sf_dir, "in")
     cols = ["id", "premise", "hypothesis", "label"]
-    train = remove_neutral(p.filter(F.col("split") == "train")).select(*cols)
-    val = remove_neutral(p.filter(F.col("split") == "validation")).select(*cols)
-    return train, val
+    train, val = in_domain_rows(spark, sf_dir)
+    return as_pairs(train).select(*cols), as_pairs(val).select(*cols)
+
+
+def out_domain_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return isolate_heuristic(nli_rows(spark, sf_dir, "out")).select("id", "text", "label", "heuristic")
 
 
 def out_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2: out-of-domain rows of one heuristic (all splits)."""
-    p = nli_pairs(spark, sf_dir, "out")
-    return isolate_heuristic(p).select("id", "premise", "hypothesis", "label", "heuristic")
+    return as_pairs(out_domain_rows(spark, sf_dir)).select("id", "premise", "hypothesis", "label", "heuristic")
 
 
 def _in_all(spark, sf_dir):
@@ -60,7 +66,7 @@ def _in_all(spark, sf_dir):
 
 
 # Bump when a materialised definition changes: copies live in the shared folder across runs.
-DEFINITION_VERSION = "1"
+DEFINITION_VERSION = "2"
 
 DATASETS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nli_in": _in_all,
@@ -68,30 +74,21 @@ DATASETS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def materialize_dataset(spark: SparkSession, name: str, sf_dir: str) -> str:
-    """A3: write a named dataset once (if absent) under the shared folder; unknown names
-    raise.  Returns its path."""
-    if name not in DATASETS:
-        raise ValueError(f"Dataset {name} not supported.")
-    key = hashlib.sha1(f"{os.path.abspath(sf_dir)}|{DEFINITION_VERSION}".encode()).hexdigest()[:12]
-    path = f"{shared_dir(spark)}/datasets/{sf_tag(sf_dir)}-{key}/{name}"
-    DATASETS[name](spark, sf_dir).write.mode("ignore").parquet(path)
-    return path
+def materialized(spark: SparkSession, kind: str, params: Sequence, source: DataFrame,
+                 build: Callable[[], DataFrame]) -> DataFrame:
+    """A3 / A10: a derived table written once under the shared folder and read back
+    afterwards.  Its place is keyed by the parameters and by the files of ``source`` with their
+    sizes and modification times, so a changed input is built anew; a folder without its
+    ``_SUCCESS`` mark (a writer that failed) is built again."""
+    key = "\n".join([DEFINITION_VERSION, *map(str, params), *input_state(source)])
+    path = f"{shared_dir(spark)}/{kind}/{hashlib.sha256(key.encode()).hexdigest()[:24]}"
+    if not is_complete(spark, path):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def load_dataset(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(materialize_dataset(spark, name, sf_dir))
-
-
-def materialized(spark: SparkSession, kind: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table (a 'pre-trained' artefact such as corpus statistics or a
-    vocabulary) written once under the shared folder and read back afterwards (A3/A10
-    semantics: build if absent, then load).  ``key`` must identify the inputs and
-    parameters it was built from."""
-    digest = hashlib.sha1(f"{key}|{DEFINITION_VERSION}".encode()).hexdigest()[:16]
-    path = f"{shared_dir(spark)}/models/{kind}/{digest}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        build().write.mode("ignore").parquet(path)
-        return spark.read.parquet(path)
+    """A3: a named dataset, materialised if absent; unknown names raise."""
+    if name not in DATASETS:
+        raise ValueError(f"Dataset {name} not supported.")
+    return materialized(spark, "datasets", [name], table(spark, sf_dir, "documents"), lambda: DATASETS[name](spark, sf_dir))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotgrid.schemas import HISTORY, TRAINING_METRICS, metrics_schema
+from shotgrid.schemas import HISTORY, METHOD_NAMES, TRAINED_METHODS, TRAINING_METRICS, metrics_schema
 
 
 def log_name(method: str, kind: str = "metrics", exp_label: str | None = None) -> str:
@@ -25,6 +26,34 @@ def write_metrics(df: DataFrame, folder: str, method: str, exp_label: str | None
     return path
 
 
+def write_logs(df: DataFrame, folder: str, exp_label: str | None = None) -> dict[str, str]:
+    """A4 for rows of any methods (column ``finetuning_method``): one log per method, each in
+    its method's schema, as one partitioned write per schema.  Returns method -> path."""
+    out = {}
+    for trained in (True, False):
+        methods = [m for m in METHOD_NAMES if (m in TRAINED_METHODS) == trained]
+        schema = metrics_schema(methods[0])
+        kind = f"{folder}/{'trained' if trained else 'scored'}"
+        rows = df.filter(F.col("finetuning_method").isin(*methods))
+        log = F.concat("finetuning_method", F.lit(log_name("", "metrics", exp_label)))
+        rows.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                      for f in schema.fields], log.alias("log")) \
+            .write.mode("overwrite").partitionBy("log").option("header", True).csv(kind)
+        out |= {m: f"{kind}/log={log_name(m, 'metrics', exp_label)}" for m in methods}
+    return out
+
+
+def read_logs(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
+    """File name -> the log's rows, in its own schema.  A method without rows has no log."""
+    out = {}
+    for method, path in paths.items():
+        try:
+            out[path.rpartition("log=")[2]] = read_metrics(spark, path, method)
+        except AnalysisException:
+            continue
+    return out
+
+
 def read_metrics(spark: SparkSession, path: str, method: str) -> DataFrame:
     """A metrics log read with its explicit schema (no inference)."""
     return spark.read.schema(metrics_schema(method)).option("header", True) \
@@ -39,6 +68,22 @@ def write_history(df: DataFrame, folder: str, method: str, exp_label: str | None
     return path
 
 
+def write_histories(df: DataFrame, folder: str, exp_label: str | None = None) -> str:
+    """A5 for the histories of several methods (column ``finetuning_method``) in one
+    partitioned write: a folder with one log per method."""
+    path = f"{folder}/histories"
+    df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in HISTORY.fields],
+              F.concat("finetuning_method", F.lit(log_name("", "training_history", exp_label))).alias("log")) \
+      .write.mode("overwrite").partitionBy("log").option("header", True).csv(path)
+    return path
+
+
+def read_histories(spark: SparkSession, path: str) -> DataFrame:
+    """All history logs of a folder with the file name each row comes from (``log``)."""
+    schema = T.StructType([*HISTORY.fields, T.StructField("log", T.StringType())])
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
 def read_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(HISTORY).option("header", True).option("enforceSchema", False).csv(path)
 
@@ -47,9 +92,11 @@ COMBINED = T.StructType(TRAINING_METRICS.fields + [T.StructField("finetuning_met
 
 
 def write_combined(df: DataFrame, folder: str, name: str = "combined_metrics") -> str:
-    """The combined log (union of all method logs) in the fixed combined column order."""
+    """The combined log (union of all method logs) in the fixed combined column order; a
+    column that none of the logs has is null."""
     path = f"{folder}/{name}.csv"
-    df.select(*[F.col(f.name).cast(f.dataType) for f in COMBINED.fields]) \
+    df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in COMBINED.fields]) \
       .write.mode("overwrite").option("header", True).csv(path)
     return path
 

@@ -18,8 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.trim(text), "\n")
+def as_pairs(df: DataFrame) -> DataFrame:
+    """``text`` as a pair that holds every character of it: premise = the first line,
+    hypothesis = all remaining lines (empty for a text of one line)."""
+    nl = F.locate("\n", df.text)
+    hypothesis = F.when(nl > 0, F.substr(df.text, nl + 1)).otherwise("")
+    return df.withColumns({"premise": F.substring_index(df.text, "\n", 1), "hypothesis": hypothesis}).drop("text")
+
+
+_PREMISE_SQL = "string_split(text, chr(10))[1]"
+_HYPOTHESIS_SQL = "CASE WHEN strpos(text, chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END"
 
 
 # --------------------------------------------------------------------------- nli_pairs
@@ -32,18 +40,17 @@ def _domain_filter(d: DataFrame, domain: str | None) -> DataFrame:
     return d
 
 
-def nli_pairs(spark: SparkSession, sf_dir: str, domain: str | None = None) -> DataFrame:
-    """Labelled text pairs: premise = first line, hypothesis = last line (whole lines).
-    ``domain`` restricts to one domain with a predicate pushed into the scan."""
+def nli_rows(spark: SparkSession, sf_dir: str, domain: str | None = None) -> DataFrame:
+    """Labelled texts, not yet split into pairs: what is sampled or joined by id is split
+    afterwards (``as_pairs``).  ``domain`` restricts to one domain with a predicate pushed
+    into the scan."""
     d = _domain_filter(table(spark, sf_dir, "documents"), domain)
-    lines = _lines(d.text)
     is_in = d.lang == "en"
     return d.select(
         d.doc_id.alias("id"),
         F.when(d.doc_id % 5 == 0, "validation").otherwise("train").alias("split"),
         F.when(is_in, "in").otherwise("out").alias("domain"),
-        F.element_at(lines, 1).alias("premise"),
-        F.element_at(lines, -1).alias("hypothesis"),
+        "text",
         F.when(is_in, d.doc_id % 3).otherwise(F.floor(d.doc_id / 4) % 2).cast("int").alias("label"),
         F.when(d.doc_id % 4 == 0, "lexical_overlap")
          .when(d.doc_id % 4 == 1, "subsequence")
@@ -51,39 +58,47 @@ def nli_pairs(spark: SparkSession, sf_dir: str, domain: str | None = None) -> Da
     )
 
 
-NLI_PAIRS_SQL = """nli_pairs AS (
+def nli_pairs(spark: SparkSession, sf_dir: str, domain: str | None = None) -> DataFrame:
+    """Labelled text pairs of whole texts."""
+    return as_pairs(nli_rows(spark, sf_dir, domain))
+
+
+NLI_PAIRS_SQL = f"""nli_pairs AS (
   SELECT doc_id AS id,
          CASE WHEN doc_id % 5 = 0 THEN 'validation' ELSE 'train' END AS split,
          CASE WHEN lang = 'en' THEN 'in' ELSE 'out' END AS domain,
-         string_split(trim(text), chr(10))[1] AS premise,
-         string_split(trim(text), chr(10))[-1] AS hypothesis,
+         {_PREMISE_SQL} AS premise,
+         {_HYPOTHESIS_SQL} AS hypothesis,
          CAST(CASE WHEN lang = 'en' THEN doc_id % 3 ELSE CAST(floor(doc_id / 4) AS BIGINT) % 2 END AS INTEGER) AS label,
          CASE doc_id % 4 WHEN 0 THEN 'lexical_overlap' WHEN 1 THEN 'subsequence' ELSE 'constituent' END AS heuristic
   FROM documents)"""
 
 
 # ----------------------------------------------------------------------- quality_pairs
-def quality_pairs(spark: SparkSession, sf_dir: str, domain: str | None = None) -> DataFrame:
-    """Pairs with a real signal: label = 1 - quality (0 = 'Yes', good document)."""
+def quality_rows(spark: SparkSession, sf_dir: str, domain: str | None = None) -> DataFrame:
+    """Texts with a real signal: label = 1 - quality (0 = 'Yes', good document)."""
     d = _domain_filter(table(spark, sf_dir, "documents"), domain)
     lab = table(spark, sf_dir, "labels")
-    lines = _lines(d.text)
     return lab.join(d, "doc_id").select(
         F.col("doc_id").alias("id"),
-        F.when(F.col("doc_id") % 5 == 0, "validation").otherwise("train").alias("split"),
+        F.when(F.col("doc_id") % 4 == 0, "validation").otherwise("train").alias("split"),
         F.when(F.col("lang") == "en", "in").otherwise("out").alias("domain"),
-        F.element_at(lines, 1).alias("premise"),
-        F.element_at(lines, -1).alias("hypothesis"),
+        "text",
         (F.lit(1) - F.col("quality")).cast("int").alias("label"),
     )
 
 
-QUALITY_PAIRS_SQL = """quality_pairs AS (
+def quality_pairs(spark: SparkSession, sf_dir: str, domain: str | None = None) -> DataFrame:
+    """Pairs of whole texts with a real signal."""
+    return as_pairs(quality_rows(spark, sf_dir, domain))
+
+
+QUALITY_PAIRS_SQL = f"""quality_pairs AS (
   SELECT l.doc_id AS id,
-         CASE WHEN l.doc_id % 5 = 0 THEN 'validation' ELSE 'train' END AS split,
+         CASE WHEN l.doc_id % 4 = 0 THEN 'validation' ELSE 'train' END AS split,
          CASE WHEN d.lang = 'en' THEN 'in' ELSE 'out' END AS domain,
-         string_split(trim(d.text), chr(10))[1] AS premise,
-         string_split(trim(d.text), chr(10))[-1] AS hypothesis,
+         {_PREMISE_SQL} AS premise,
+         {_HYPOTHESIS_SQL} AS hypothesis,
          CAST(1 - l.quality AS INTEGER) AS label
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
 
@@ -126,16 +141,13 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _sql_str(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
+def sql_text(s: str) -> str:
+    """A string as a SQL expression."""
+    return " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in s.split("\n"))
 
 
 def _sql_answers() -> str:
-    parts = []
-    for a in ANSWER_STRINGS:
-        pieces = a.split("\n")
-        parts.append(" || chr(10) || ".join(_sql_str(x) for x in pieces))
-    return "[" + ", ".join(parts) + "]"
+    return "[" + ", ".join(map(sql_text, ANSWER_STRINGS)) + "]"
 
 
 PREDICTIONS_SQL = f"""predictions AS (
@@ -149,22 +161,25 @@ PREDICTIONS_SQL = f"""predictions AS (
 
 
 # ------------------------------------------------------------------------------ logits
+CLASSES = 32        # the 64 elements of a vector are the logits of two models
+
+
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     emb = e.embedding.cast("array<double>")
     return e.select(
         e.vec_id.alias("id"),
-        F.slice(emb, 1, 2).alias("teacher"),
-        F.slice(emb, 3, 2).alias("student"),
-        (e.label % 2).cast("int").alias("label"),
+        F.slice(emb, 1, CLASSES).alias("teacher"),
+        F.slice(emb, CLASSES + 1, CLASSES).alias("student"),
+        e.label.cast("int").alias("label"),
     )
 
 
-LOGITS_SQL = """logits AS (
+LOGITS_SQL = f"""logits AS (
   SELECT vec_id AS id,
-         CAST(embedding AS DOUBLE[])[1:2] AS teacher,
-         CAST(embedding AS DOUBLE[])[3:4] AS student,
-         CAST(label % 2 AS INTEGER) AS label
+         CAST(embedding AS DOUBLE[])[1:{CLASSES}] AS teacher,
+         CAST(embedding AS DOUBLE[])[{CLASSES + 1}:{2 * CLASSES}] AS student,
+         CAST(label AS INTEGER) AS label
   FROM embeddings)"""
 
 
@@ -184,17 +199,23 @@ def trial_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         method.alias("finetuning_method"),
         li.l_orderkey.alias("trial"),
         F.when(trains, li.l_quantity * 3.0).alias("train_runtime"),
+        F.when(trains, F.lit(2000.0) / li.l_quantity).alias("train_samples_per_second"),
+        F.when(trains, F.lit(250.0) / li.l_quantity).alias("train_steps_per_second"),
+        F.when(trains, li.l_extendedprice * 1e6).alias("total_flos"),
+        F.when(trains, F.lit(40.0)).alias("epoch"),
         F.when(trains, li.l_extendedprice / 3e5).alias("train_loss"),
         F.when(trains, li.l_tax * 20.0).alias("train_peak_memory_gb"),
         (li.l_extendedprice / 1e5).alias("eval_in_loss"),
         li.l_discount.alias("eval_in_accuracy"),
         li.l_quantity.alias("eval_in_runtime"),
         (F.lit(50.0) / li.l_quantity).alias("eval_in_samples_per_second"),
+        F.when(trains, F.lit(7.0) / li.l_quantity).alias("eval_in_steps_per_second"),
         (li.l_discount * 10).alias("eval_in_peak_memory_gb"),
         (li.l_extendedprice / 2e5).alias("eval_out_loss"),
         li.l_tax.alias("eval_out_accuracy"),
         (li.l_quantity + li.l_linenumber).alias("eval_out_runtime"),
         (F.lit(50.0) / (li.l_quantity + li.l_linenumber)).alias("eval_out_samples_per_second"),
+        F.when(trains, F.lit(7.0) / (li.l_quantity + li.l_linenumber)).alias("eval_out_steps_per_second"),
         (li.l_tax * 10).alias("eval_out_peak_memory_gb"),
     )
 
@@ -211,13 +232,19 @@ TRIAL_METRICS_SQL = f"""trial_metrics AS (
 trial_metrics_x AS (
   SELECT model_name, sample_size, finetuning_method, trial,
          CASE WHEN finetuning_method IN ('fewshot', 'fewshot_lora') THEN l_quantity * 3.0 END AS train_runtime,
+         CASE WHEN finetuning_method IN ('fewshot', 'fewshot_lora') THEN 2000.0 / l_quantity END AS train_samples_per_second,
+         CASE WHEN finetuning_method IN ('fewshot', 'fewshot_lora') THEN 250.0 / l_quantity END AS train_steps_per_second,
+         CASE WHEN finetuning_method IN ('fewshot', 'fewshot_lora') THEN l_extendedprice * CAST(1e6 AS DOUBLE) END AS total_flos,
+         CASE WHEN finetuning_method IN ('fewshot', 'fewshot_lora') THEN CAST(40 AS DOUBLE) END AS epoch,
          CASE WHEN finetuning_method IN ('fewshot', 'fewshot_lora') THEN l_extendedprice / 3e5 END AS train_loss,
          CASE WHEN finetuning_method IN ('fewshot', 'fewshot_lora') THEN l_tax * 20.0 END AS train_peak_memory_gb,
          l_extendedprice / 1e5 AS eval_in_loss, l_discount AS eval_in_accuracy, l_quantity AS eval_in_runtime,
-         50.0 / l_quantity AS eval_in_samples_per_second, l_discount * 10 AS eval_in_peak_memory_gb,
+         50.0 / l_quantity AS eval_in_samples_per_second,
+         CASE WHEN finetuning_method IN ('fewshot', 'fewshot_lora') THEN 7.0 / l_quantity END AS eval_in_steps_per_second, l_discount * 10 AS eval_in_peak_memory_gb,
          l_extendedprice / 2e5 AS eval_out_loss, l_tax AS eval_out_accuracy,
          l_quantity + l_linenumber AS eval_out_runtime,
-         50.0 / (l_quantity + l_linenumber) AS eval_out_samples_per_second, l_tax * 10 AS eval_out_peak_memory_gb
+         50.0 / (l_quantity + l_linenumber) AS eval_out_samples_per_second,
+         CASE WHEN finetuning_method IN ('fewshot', 'fewshot_lora') THEN 7.0 / (l_quantity + l_linenumber) END AS eval_out_steps_per_second, l_tax * 10 AS eval_out_peak_memory_gb
   FROM trial_metrics)"""
 
 

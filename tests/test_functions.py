@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shotgrid.functions import (batch_size_rule, bce_with_logit, display_label, kl_rows, linear_schedule,
                                 method_from_file, metric_title, minimal_pattern, parse_answer, softmax,
                                 teacher_context)
-from shotgrid.operators.history import zip_arrays
+from shotgrid.operators.history import zip_long
 from shotgrid.operators.report import reformat_eval_metrics
 from shotgrid.operators.tokens import pad_truncate
 
@@ -70,11 +70,10 @@ def test_pad_truncate(spark, ids, side, exp_ids, exp_mask):
     assert list(got[0]) == exp_ids and list(got[1]) == exp_mask
 
 
-def test_zip_arrays_stops_at_shorter(spark):
-    df = spark.createDataFrame([("m", [1.0, 2.0, 3.0], [0.5]), ("n", [], [1.0])],
-                               "model_name string, train_loss array<double>, val_loss array<double>")
-    got = rows(zip_arrays(df).orderBy("model_name", "epoch"))
-    assert got == [("m", 1, 1.0, 0.5)]
+def test_zip_stops_at_shorter(spark):
+    df = spark.createDataFrame([(1, "train", 1, 1.0), (1, "train", 2, 2.0), (1, "val", 1, 0.5), (2, "val", 1, 1.0), (3, "train", 1, None),
+                                (3, "val", 1, None)], "run int, kind string, pos int, loss double")
+    assert rows(zip_long(df).orderBy("run")) == [(1, 1, 1.0, 0.5), (3, 1, None, None)]
 
 
 def test_softmax_and_kl(spark):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from shotgrid.functions import sample_key
+from shotgrid.functions import hash_index, sample_key
 from shotgrid.operators import sampling as S
 
 
@@ -83,8 +83,7 @@ def test_history_split_with_hot_run(spark):
     rows = [(0 if i % 10 else 1 + i % 3, i, t0 + dt.timedelta(seconds=i),
              None if i % 3 else float(i), float(i) if i % 3 else None) for i in range(400)]
     df = spark.createDataFrame(rows, "run long, event_id long, ts timestamp, eval_loss double, loss double")
-    got = sorted(map(tuple, split_entries(df.repartition(7), hot_rows=50).collect()))
-    assert got == sorted(map(tuple, split_entries(df).collect()))
+    got = sorted(map(tuple, split_entries(df.repartition(7)).collect()))
     w = Window.partitionBy("run").orderBy(F.col("ts").desc(), F.col("event_id").desc())
     b = df.withColumn("rd", F.row_number().over(w)).filter("rd > 3") \
           .withColumn("kind", F.when(F.col("eval_loss").isNull(), "train").otherwise("val"))
@@ -94,28 +93,134 @@ def test_history_split_with_hot_run(spark):
     assert got == sorted(map(tuple, exp.collect()))
 
 
-@pytest.mark.parametrize("n", [5, 20, 60])
-def test_large_sample_threshold_path_is_exact(spark, ids, n):
-    # with large=1 every size takes the hash-threshold path (share 4n/300 < 1 here)
-    small = sorted(r[0] for r in S.sample_n(ids, n, 42, "big").select("id").collect())
+@pytest.mark.parametrize("n", [5, 20, 60, 300])
+def test_sample_is_the_smallest_keys(spark, ids, n):
+    want = [r.id for r in ids.withColumn("h", sample_key(42, F.lit("big"), F.col("id"))).orderBy("h", "id").limit(n).collect()]
     for parts in (1, 6):
-        big = sorted(r[0] for r in S.sample_n(ids.repartition(parts), n, 42, "big", large=1).select("id").collect())
-        assert big == small and len(big) == n
-
-
-def test_materialized_builds_once(spark):
-    """Derived artefacts are built if absent, then loaded; different keys do not collide."""
+        got = S.sample_n(ids.repartition(parts), n, 42, "big").select("id").collect()
+        assert sorted(r.id for r in got) == sorted(want)
+
+
+def test_guards_at_zero_one_less_and_enough_rows(spark, ids):
+    for rows, ok in ((0, False), (4, False), (5, True)):
+        if ok:
+            assert S.sample_n(ids.limit(rows), 5, 42).count() == 5
+        else:
+            with pytest.raises(ValueError, match="cannot take a sample"):
+                S.sample_n(ids.filter(F.col("id") < rows), 5, 42)
+    assert S.sample_n(ids.limit(0), 0, 42).count() == 0
+    with pytest.raises(ValueError, match="label"):
+        S.per_label(ids.filter("id < 8"), 3, 42)            # label 2 has two rows
+    with pytest.raises(ValueError, match="label 7"):
+        S.per_label(ids, 3, 42, labels=(0, 7))
+
+
+def test_draws_reach_positions_above_32_bits(spark):
+    n = 10**12
+    top = spark.range(2000).select(hash_index(1, "id", n).alias("p")).agg(F.max("p"), F.min("p")).first()
+    assert top[0] > 9 * 10**11 and 0 <= top[1] < 10**11
+
+
+def test_teacher_context_without_a_label_raises(spark):
+    from shotgrid.operators.prompts import teacher_contexts
+    batches = spark.createDataFrame([("a",), ("b",)], "batch_id string")
+    pool = spark.createDataFrame([(1, "p\nh", 0), (2, "q\ni\nj", 1)], "id long, text string, label int")
+    assert teacher_contexts(batches, pool, 42).count() == 2
+    with pytest.raises(Exception, match="row of each label"):
+        teacher_contexts(batches, pool.filter("label = 0"), 42).collect()
+
+
+def test_every_character_of_a_text_reaches_a_column(spark):
+    from shotgrid.sources.views import as_pairs, nli_pairs, nli_rows
+    texts = ["one line", "a\nb\nc", "", "\n\n x ", None, "é\n漢\n"]
+    got = as_pairs(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")).orderBy("id").collect()
+    assert [(r.premise, r.hypothesis) for r in got] == [
+        ("one line", ""), ("a", "b\nc"), ("", ""), ("", "\n x "), (None, ""), ("é", "漢\n")]
+    sf = "/root/testdata/sf0.001"
+    size = lambda df, *cols: df.agg(*[F.sum(F.length(c)) for c in cols]).first()
+    whole, pairs = size(nli_rows(spark, sf), "text"), size(nli_pairs(spark, sf), "premise", "hypothesis")
+    breaks = nli_rows(spark, sf).filter(F.col("text").contains("\n")).count()
+    assert whole[0] == pairs[0] + pairs[1] + breaks
+
+
+def test_materialized_follows_its_input_and_survives_a_failed_write(spark, tmp_path):
     import uuid
+    from shotgrid.session import shared_dir
     from shotgrid.sources.datasets import materialized
-    calls = []
-
-    def build(n):
-        def run():
-            calls.append(n)
-            return spark.range(n)
-        return run
-    key = f"test|{uuid.uuid4().hex}"
-    assert materialized(spark, "test", key, build(3)).count() == 3
-    assert materialized(spark, "test", key, build(5)).count() == 3      # loaded, not rebuilt
-    assert materialized(spark, "test", key + "|other", build(5)).count() == 5
-    assert calls == [3, 5]
+    src, kind, calls = str(tmp_path / "in"), f"test-{uuid.uuid4().hex}", []
+
+    def get(*params):
+        source = spark.read.parquet(src)
+
+        def build():
+            calls.append(1)
+            return source
+        return materialized(spark, kind, params, source, build)
+
+    spark.range(3).write.parquet(src)
+    assert get().count() == 3 and get().count() == 3 and len(calls) == 1       # loaded the second time
+    assert get("other").count() == 3 and len(calls) == 2
+    spark.range(4).write.mode("append").parquet(src)
+    assert get().count() == 7 and len(calls) == 3                              # changed input
+    base = shared_dir(spark).removeprefix("file://")
+    (folder,) = [f for f in __import__("pathlib").Path(base, kind).iterdir() if spark.read.parquet(str(f)).count() == 7]
+    (folder / "_SUCCESS").rename(folder / "_SUCCESS.gone")                     # as a failed writer leaves it
+    assert get().count() == 7 and len(calls) == 4
+
+
+def test_shared_folder_is_required_on_a_cluster(monkeypatch):
+    from shotgrid import session
+
+    class Conf:
+        @staticmethod
+        def get(key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(ValueError, match="share"):
+        session.shared_dir(Session)
+
+
+def test_logs_of_both_shapes_are_read(spark, tmp_path):
+    """Literal rows of a training log and of an inference log."""
+    from shotgrid.schemas import metrics_schema
+    from shotgrid.sources import sinks
+    trained = ("model_name,sample_size,train_runtime,train_samples_per_second,train_steps_per_second,total_flos,train_loss,epoch,"
+               "train_peak_memory_gb,eval_in_loss,eval_in_accuracy,eval_in_runtime,eval_in_samples_per_second,"
+               "eval_in_steps_per_second,eval_in_peak_memory_gb,eval_out_loss,eval_out_accuracy,eval_out_runtime,"
+               "eval_out_samples_per_second,eval_out_steps_per_second,eval_out_peak_memory_gb\n"
+               "opt-125m,2,76.6694,1.043,0.522,20903740047360.0,0.09104223455869942,40.0,2.501254081726074,1.6512948274612427,"
+               "0.52,2.3888,20.931,2.93,1.9606671333312988,1.3591598272323608,0.46,2.3738,21.063,2.949,1.9606671333312988\n")
+    scored = ("model_name,sample_size,eval_in_loss,eval_in_accuracy,eval_in_runtime,eval_in_samples_per_second,eval_in_peak_memory_gb,"
+              "eval_out_loss,eval_out_accuracy,eval_out_runtime,eval_out_samples_per_second,eval_out_peak_memory_gb\n"
+              "opt-125m,2,1.5,0.5,3.4,14.7,1.25,1.25,0.75,3.5,14.25,1.25\n")
+    (tmp_path / "a.csv").write_text(trained)
+    (tmp_path / "b.csv").write_text(scored)
+    (a,) = sinks.read_metrics(spark, str(tmp_path / "a.csv"), "fewshot").collect()
+    (b,) = sinks.read_metrics(spark, str(tmp_path / "b.csv"), "icl").collect()
+    assert len(a) == 21 and a.total_flos == 20903740047360.0 and a.eval_out_steps_per_second == 2.949 and a.epoch == 40.0
+    assert len(b) == len(metrics_schema("icl")) == 12 and b.eval_out_accuracy == 0.75
+
+
+def test_icl_scoring_does_not_grow_with_cells_times_tokens(spark):
+    """Rows of the largest intermediate: rows * cells * models and matches, whatever the texts' length."""
+    from shotgrid.operators import scorers as SC
+    long = "w " * 3000
+    ev = spark.createDataFrame([("in", i, 0, long, "x y") for i in range(3)], "domain string, id long, label int, premise string, hypothesis string")
+    demos = spark.createDataFrame([(2, t, i % 2, "a b", "x") for t in range(10) for i in range(2)],
+                                  "sample_size int, trial int, label int, premise string, hypothesis string")
+    cells = [(2, t) for t in range(10)]
+    zs = SC.zero_shot_scores(ev, spark.createDataFrame([], "model_name string, token string, s0 double, s1 double"))
+    out = SC.icl_scores(ev, demos, zs, cells)
+    assert out.count() == 3 * 10 * len(SC.COUNT_MODELS)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(regexp_extract_all") <= 4 and "Cartesian" not in plan

@@ -39,7 +39,7 @@ def test_throughput(spark):
 
 
 def test_chunked_state_equals_unchunked(spark):
-    """Chunk carries (a hot run split into many pieces) give the same answers."""
+    """Chunk carries (a hot run split into many pieces) don't change the answers."""
     ev = events(spark)
     for fn in (TL.phase_tags, lambda t, c: TL.phase_peaks(t, False, c)):
         whole = sorted(map(tuple, fn(ev, 1_000_000).collect()))
