@@ -39,6 +39,7 @@ ROUNDS = 3
 SURE = 0.98
 RIDGE = 1.0
 META_BINS = 256
+SHAPES = 9                   # numbers that _shape gives
 
 _LETTERS = np.ones(256, bool)                 # what separates words here: all that is no letter
 _LETTERS[list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = False
@@ -94,15 +95,63 @@ def features(rows: DataFrame) -> DataFrame:
     return over_batches(rows, run, "doc_id long, y int, shape array<double>, words array<long>, meta array<long>")
 
 
+@dataclass
+class Sample:
+    """Features of a bounded number of rows, as flat arrays (words: all rows' hashes, one after
+    another; sizes: how many each row has)."""
+    ids: np.ndarray
+    y: np.ndarray
+    shape: np.ndarray
+    words: np.ndarray
+    sizes: np.ndarray
+    meta: np.ndarray
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Sample:
+        t = table.combine_chunks()
+        lists = {c: t[c].combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.int64())) for c in ("shape", "words", "meta")}
+        flat = {c: v.flatten().to_numpy(zero_copy_only=False) for c, v in lists.items()}
+        sizes = np.array(lists["words"].value_lengths().to_numpy(zero_copy_only=False), np.int64)
+        return cls(t["doc_id"].to_numpy(), np.nan_to_num(t["y"].to_numpy().astype(float)), flat["shape"].astype(float).reshape(-1, SHAPES),
+                   flat["words"].astype(np.int64), sizes, flat["meta"].astype(np.int64).reshape(-1, 3))
+
+    def take(self, rows: np.ndarray) -> Sample:
+        """The rows at the given positions, in that order."""
+        ends = np.cumsum(self.sizes)
+        words = [self.words[ends[i] - self.sizes[i]:ends[i]] for i in rows]
+        return Sample(self.ids[rows], self.y[rows], self.shape[rows], np.concatenate([np.zeros(0, np.int64), *words]),
+                      self.sizes[rows], self.meta[rows])
+
+    def once(self) -> Sample:
+        """In order of ids; rows equal in words, shape and label once."""
+        ends, seen = np.cumsum(self.sizes), {}
+        for i in np.argsort(self.ids, kind="stable"):
+            words = int(self.words[ends[i] - self.sizes[i]:ends[i]].sum())
+            seen.setdefault((int(self.sizes[i]), words, self.shape[i].tobytes(), float(self.y[i])), int(i))
+        return self.take(np.array(list(seen.values()), np.int64))
+
+
 # ------------------------------------------------------------------------------ learning
+ROWS_AT_ONCE = 2000          # features are 0 and 1 in bytes; so many rows at once are made floats
+
+
+def _floats(x: np.ndarray):
+    for at in range(0, len(x), ROWS_AT_ONCE):
+        yield slice(at, at + ROWS_AT_ONCE), np.column_stack([x[at:at + ROWS_AT_ONCE].astype(float), np.ones(len(x[at:at + ROWS_AT_ONCE]))])
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 12) -> np.ndarray:
     """Weights (the last is the intercept) of a ridge logistic regression, by Newton steps."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w, eye = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    eye[-1] = 1e-6
+    k = x.shape[1] + 1
+    w, price = np.zeros(k), np.full(k, ridge)
+    price[-1] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(eye), x.T @ (p - y) + eye * w)
+        hessian, slope = np.diag(price), price * w
+        for rows, part in _floats(x):
+            p = _chance(part @ w)
+            hessian += (part * (p * (1 - p) + 1e-9)[:, None]).T @ part
+            slope += part.T @ (p - y[rows])
+        step = np.linalg.solve(hessian, slope)
         w = w - step
         if np.abs(step).max() < 1e-4:
             break
@@ -110,23 +159,20 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 12
 
 
 def _apply(w: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return x @ w[:-1] + w[-1]
+    return np.concatenate([np.zeros(0), *[part @ w for _, part in _floats(x)]])
 
 
 def _chance(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def lexicon(words: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+def lexicon(sample: Sample) -> np.ndarray:
     """The LEXICON words with the largest likelihood ratio statistic among those that go with
     rejection; sorted hashes."""
-    if not words:
-        return np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    keys, inverse = np.unique(np.concatenate(words), return_inverse=True)
-    bad = np.bincount(inverse, weights=y[doc].astype(float), minlength=len(keys))
+    keys, inverse = np.unique(sample.words, return_inverse=True)
+    bad = np.bincount(inverse, weights=np.repeat(sample.y, sample.sizes), minlength=len(keys))
     n = np.bincount(inverse, minlength=len(keys)).astype(float)
-    base = y.mean()
+    base = sample.y.mean()
     rate = bad / np.maximum(n, 1)
     part = lambda k, p, q: np.where(k > 0, k * np.log(np.maximum(p, 1e-12) / q), 0.0)
     score = part(bad, rate, base) + part(n - bad, 1 - rate, 1 - base)
@@ -145,7 +191,7 @@ class Model:
     calibrate: np.ndarray           # weights of the two views' log odds, and the intercept
 
     def shape_columns(self, shape: np.ndarray) -> np.ndarray:
-        out = [(shape[:, [j]] > self.edges[j][None, :]).astype(float) for j in range(shape.shape[1])]
+        out = [shape[:, [j]] > self.edges[j][None, :] for j in range(shape.shape[1])]
         return np.concatenate(out, 1)
 
     def text_odds(self, shape: np.ndarray, doc: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -167,34 +213,38 @@ class Model:
 
 
 def _one_hot(bins: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros((len(bins), n))
-    np.put_along_axis(out, bins, 1.0, 1)
+    out = np.zeros((len(bins), n), bool)
+    np.put_along_axis(out, bins, True, 1)
+    return out
+
+
+def _present(sample: Sample, words: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sample.ids), len(words)), bool)
+    if len(words):
+        at = np.minimum(np.searchsorted(words, sample.words), len(words) - 1)
+        hit = words[at] == sample.words
+        out[np.repeat(np.arange(len(sample.ids)), sample.sizes)[hit], at[hit]] = True
     return out
 
 
-def cotrain(labelled: list[dict], pool: list[dict]) -> Model | None:
+def cotrain(labelled: Sample, pool: Sample) -> Model | None:
     """Fits both views on features of labelled rows (y 0 or 1) and of pool rows."""
-    both = labelled + pool
-    y = np.array([r["y"] for r in labelled], float)
+    y = labelled.y
     if len(y) < 4 or y.min() == y.max():
         return None
-    n, m = len(labelled), len(pool)
-    shape = np.array([r["shape"] for r in both], float)
-    meta = np.array([r["meta"] for r in both], np.int64)
-    folds = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 3 for r in labelled])
+    n, m = len(y), len(pool.ids)
+    folds = np.array([zlib.crc32(str(i).encode()) % 3 for i in labelled.ids.tolist()])
     fold = folds == 0                                   # kept from training, for calibration
     if len(set(y[fold])) < 2 or len(set(y[~fold])) < 2:
         fold = np.zeros(n, bool)
-    words = [np.asarray(r["words"], np.int64) for r in both]
     train = np.flatnonzero(~fold)
-    chosen = lexicon([words[i] for i in train], y[train])
-    edges = np.quantile(shape[train], np.linspace(0.05, 0.95, 10), axis=0).T
-    edges = np.column_stack([edges, np.quantile(shape[train], [0.98, 0.995], axis=0).T])
+    chosen = lexicon(labelled.take(train))
+    edges = np.quantile(labelled.shape[train], np.linspace(0.05, 0.95, 10), axis=0).T
+    edges = np.column_stack([edges, np.quantile(labelled.shape[train], [0.98, 0.995], axis=0).T])
     model = Model(chosen, edges, np.zeros(0), np.zeros(0), np.array([1.0, 0.0, 0.0]))
-    present = np.zeros((n + m, len(chosen)))
-    for i, w in enumerate(words):
-        present[i] = np.isin(chosen, w)
-    xs = {"text": np.concatenate([present, model.shape_columns(shape)], 1), "meta": _one_hot(meta, META_BINS)}
+    both = lambda f: np.concatenate([f(labelled), f(pool)]) if m else f(labelled)
+    xs = {"text": both(lambda s: np.concatenate([_present(s, chosen), model.shape_columns(s.shape)], 1)),
+          "meta": both(lambda s: _one_hot(s.meta, META_BINS))}
     extra: dict[str, dict[int, float]] = {"text": {}, "meta": {}}       # pool row -> label from the other view
     check = np.flatnonzero(fold) if fold.any() else train
     weights, scale = {}, {}
@@ -224,21 +274,17 @@ def _columns(docs: DataFrame, y) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The model of ``docs`` with ``labels`` (doc_id, quality, toxic)."""
-    order = F.xxhash64(F.col("doc_id"), F.lit(5))
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
     known = labels.where((F.col("quality").isNotNull() | F.col("toxic").isNotNull()) & F.col("doc_id").isNotNull()) \
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(bad.cast("int")).alias("y"))
-    sample = known.orderBy(order, "doc_id").limit(LABELLED).withColumnRenamed("doc_id", "l_id")
+    sample = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(5)), "doc_id").limit(LABELLED).withColumnRenamed("doc_id", "l_id")
     rows = _columns(docs, F.lit(None).cast("int")).drop("y").join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).drop("l_id")
-    labelled = features(rows).toArrow().to_pylist()           # at most LABELLED ids
+    labelled = Sample.of(features(rows).toArrow())            # at most LABELLED ids
     rest = docs.select(F.col("doc_id").cast("long").alias("p_id")).where(F.col("p_id").isNotNull()) \
         .orderBy(F.xxhash64(F.col("p_id"), F.lit(6)), "p_id").limit(POOL).distinct()
     pool = features(_columns(docs, F.lit(None).cast("int")).join(F.broadcast(rest), F.col("doc_id") == F.col("p_id")).drop("p_id"))
-    have = {r["doc_id"] for r in labelled}
-    unlabelled = [r for r in pool.toArrow().to_pylist() if r["doc_id"] not in have]
-    # equal rows (same words and shape) teach once
-    once = {(len(r["words"]), sum(r["words"]), tuple(r["shape"]), r["y"]): r for r in sorted(labelled, key=lambda r: -r["doc_id"])}
-    return cotrain(sorted(once.values(), key=lambda r: r["doc_id"]), sorted(unlabelled, key=lambda r: r["doc_id"]))
+    pool = Sample.of(pool.toArrow())
+    return cotrain(labelled.once(), pool.take(np.flatnonzero(~np.isin(pool.ids, labelled.ids))).once())
 
 
 def _scores(model: Model | None, texts: pa.Array, langs: list, sources: list, lengths: list):

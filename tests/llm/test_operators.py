@@ -416,13 +416,18 @@ def test_classifier_odd_rows(spark):
 
 def test_views_teach_each_other():
     rng = np.random.default_rng(0)
-    def row(i, y, words, source):
-        return {"doc_id": i, "y": y, "shape": rng.normal(size=9).tolist(), "words": words, "meta": [1, 2 + source, 5]}
-    labelled = [row(i, i % 2, [100 + i % 2, 7 + i], i % 2) for i in range(60)]
-    pool = [row(1000 + i, None, [100 + i % 2, 200 + i % 2], i % 2) for i in range(300)]
-    model = cotrain.cotrain(labelled, pool)
+
+    def sample(ids, y, words, sources):
+        return cotrain.Sample(np.array(ids), np.array(y, float), rng.normal(size=(len(ids), 9)), np.concatenate(words).astype(np.int64),
+                              np.array([len(w) for w in words]), np.array([[1, 2 + s, 5] for s in sources]))
+
+    labelled = sample(range(60), [i % 2 for i in range(60)], [[100 + i % 2, 7 + i] for i in range(60)], [i % 2 for i in range(60)])
+    pool = sample(range(1000, 1300), [0] * 300, [[100 + i % 2, 200 + i % 2] for i in range(300)], [i % 2 for i in range(300)])
+    model = cotrain.cotrain(labelled.once(), pool.once())
     odds = model.meta_odds(np.array([[1, 2, 5], [1, 3, 5]]))
     assert odds[0] < 0 < odds[1]
+    twice = labelled.take(np.array([3, 3, 1]))
+    assert twice.once().ids.tolist() == [1, 3] and twice.once().words.tolist() == [101, 8, 101, 10]
 
 
 # -------------------------------------------------------------------------------------- lm
