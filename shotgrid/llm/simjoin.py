@@ -47,7 +47,7 @@ SHINGLE, PERCENT = 5, 75
 MATCHES = (1, 2, 4, 8)
 VERIFY = 50
 CHUNK_SHINGLES, CHUNK_SETS = 2_000_000, 60_000
-BUCKET_SHINGLES = 3_000_000
+BUCKET_SHINGLES = 2_500_000
 BLOCK = 2048
 
 
@@ -86,10 +86,12 @@ def _blobs(sets: dict[int, np.ndarray], buckets: int) -> pa.RecordBatch:
     classes = np.array(list(sets), np.uint64)
     sizes = np.array([len(s) for s in sets.values()], np.uint32)
     shingles, refs = np.concatenate(list(sets.values())), np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+    sets.clear()
     order = np.argsort(shingles)
     shingles, refs = shingles[order], refs[order]
-    bucket = ((shingles >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)       # rises with the hash
-    at = np.searchsorted(bucket, np.arange(buckets + 1))
+    del order
+    first = np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
+    at = np.append(np.searchsorted(shingles, first), len(shingles))
     rows = []
     for k in range(buckets):
         a, b = at[k], at[k + 1]
@@ -109,26 +111,31 @@ def shared_shingles(docs: DataFrame, buckets: int) -> DataFrame:
                     if len(s) and c not in sets:
                         sets[c] = s
                         total += len(s)
-                if total >= CHUNK_SHINGLES or len(sets) >= CHUNK_SETS:
-                    yield _blobs(sets, buckets)
-                    sets, total = {}, 0
+                    if total >= CHUNK_SHINGLES or len(sets) >= CHUNK_SETS:
+                        yield _blobs(sets, buckets)
+                        sets, total = {}, 0
         if sets:
             yield _blobs(sets, buckets)
 
     def count(table: pa.Table) -> pa.Table:
-        parts = []
-        for r in table.to_pylist():
-            ref = unpack(r["refs"], np.uint16)
-            parts.append((unpack(r["shingles"], np.uint64), unpack(r["classes"], np.uint64)[ref], unpack(r["sizes"], np.uint32)[ref]))
-        shingle, cls, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
-        order = np.argsort(shingle, kind="stable")
-        shingle, cls, n = shingle[order], cls[order], n[order]
+        shingle, ref, classes, sizes, known = [], [], [], [], 0
+        for i in range(table.num_rows):                            # blob by blob; a ref is a place among all blobs' classes
+            r = {c: table[c][i].as_py() for c in ("shingles", "refs", "classes", "sizes")}
+            shingle.append(unpack(r["shingles"], np.uint64))
+            ref.append(unpack(r["refs"], np.uint16).astype(np.uint32) + np.uint32(known))
+            classes.append(unpack(r["classes"], np.uint64))
+            sizes.append(unpack(r["sizes"], np.uint32))
+            known += len(classes[-1])
+        shingle, ref = np.concatenate(shingle), np.concatenate(ref)
+        classes, sizes = np.concatenate(classes), np.concatenate(sizes)
+        order = np.argsort(shingle)
+        shingle = shingle[order]
         often = np.zeros(len(shingle), bool)                       # single shingles go first: they are most
         equal = shingle[1:] == shingle[:-1]
         often[1:] |= equal
         often[:-1] |= equal
-        shingle, cls, n = shingle[often], cls[often], n[often]
+        shingle, ref = shingle[often], ref[order[often]]
+        cls, n = classes[ref], sizes[ref]
         order = np.lexsort((cls, shingle))
         shingle, cls, n = shingle[order], cls[order], n[order]
         first = np.ones(len(shingle), bool)                        # a class may come from several tasks
