@@ -58,6 +58,23 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def first_by_hash(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """The ``n`` rows with the smallest hashes of ``key`` (all rows if there are fewer).  Only rows
+    below a hash that about 4n rows pass are sorted, so what moves doesn't grow with the input;
+    the bound is widened until n rows pass, so the result is exact."""
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    rows, share = df.count(), 1.0
+    kept = df
+    if rows > 8 * n:
+        share = 4.0 * n / rows
+        while share < 1.0:
+            kept = df.where(h < F.lit(int(-(2**63) + share * 2**64)))
+            if kept.count() >= n:
+                break
+            kept, share = df, share * 4
+    return kept.orderBy(h, key).limit(n)
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo ``m``; a null id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from shotgrid.llm import rules
 from shotgrid.llm import text as T
-from shotgrid.llm.common import documents, over_batches
+from shotgrid.llm.common import documents, first_by_hash, over_batches
 
 LABELLED, POOL = 10_000, 5_000
 LEXICON = 512
@@ -277,11 +277,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
     known = labels.where((F.col("quality").isNotNull() | F.col("toxic").isNotNull()) & F.col("doc_id").isNotNull()) \
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(bad.cast("int")).alias("y"))
-    sample = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(5)), "doc_id").limit(LABELLED).withColumnRenamed("doc_id", "l_id")
+    sample = first_by_hash(known, "doc_id", LABELLED, 5).withColumnRenamed("doc_id", "l_id")
     rows = _columns(docs, F.lit(None).cast("int")).drop("y").join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).drop("l_id")
     labelled = Sample.of(features(rows).toArrow())            # at most LABELLED ids
-    rest = docs.select(F.col("doc_id").cast("long").alias("p_id")).where(F.col("p_id").isNotNull()) \
-        .orderBy(F.xxhash64(F.col("p_id"), F.lit(6)), "p_id").limit(POOL).distinct()
+    rest = docs.select(F.col("doc_id").cast("long").alias("p_id")).where(F.col("p_id").isNotNull())
+    rest = first_by_hash(rest, "p_id", POOL, 6).distinct()
     pool = features(_columns(docs, F.lit(None).cast("int")).join(F.broadcast(rest), F.col("doc_id") == F.col("p_id")).drop("p_id"))
     pool = Sample.of(pool.toArrow())
     return cotrain(labelled.once(), pool.take(np.flatnonzero(~np.isin(pool.ids, labelled.ids))).once())

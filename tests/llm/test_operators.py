@@ -526,3 +526,11 @@ def test_oracle_of_chat_format_matches(spark):
 
 def test_clashing_names_are_what_operators_use():
     assert {"row", "n", "class", "size", "spans"} <= {c.split()[0] for c in CLASHING.split(", ")}
+
+
+@pytest.mark.parametrize("n", [0, 3, 50, 400])
+def test_first_by_hash_is_exact(spark, n):
+    from shotgrid.llm.common import first_by_hash
+    df = spark.range(300).repartition(7)
+    want = [r.id for r in df.orderBy(F.xxhash64("id", F.lit(9)), "id").limit(n).collect()]
+    assert sorted(r.id for r in first_by_hash(df, "id", n, 9).collect()) == sorted(want)
