@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,6 +28,40 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system.  Python workers live on between tasks, and beside them
+    the executor needs it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):           # not a GNU libc
+        pass
+
+
+def freeing(f):
+    """``f`` (a generator over batches) that gives its task's memory back at the end."""
+    @functools.wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def freeing_group(f):
+    """The same for a function of one group's table."""
+    @functools.wraps(f)
+    def run(table):
+        try:
+            return f(table)
+        finally:
+            give_back()
+
+    return run
+
+
 def over_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` for a generator of column dicts; nothing is kept between batches."""
     from pyspark.sql.types import _parse_datatype_string
@@ -40,7 +76,7 @@ def over_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict]], s
                     [pa.array(cols[x.name], type=x.type) if not isinstance(cols[x.name], (pa.Array, pa.ChunkedArray))
                      else cols[x.name].cast(x.type) for x in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(freeing(run), schema)
 
 
 BROADCAST_IDS = 1_000_000       # so many ids (16 MB) are broadcast at most

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from shotgrid.llm import rules
 from shotgrid.llm import text as T
-from shotgrid.llm.common import documents, first_by_hash, over_batches
+from shotgrid.llm.common import documents, first_by_hash, freeing, over_batches
 
 LABELLED, POOL = 10_000, 5_000
 LEXICON = 512
@@ -325,7 +325,7 @@ def keep_good(docs: DataFrame, model: Model | None) -> DataFrame:
                 keep[lo:hi] = p < 0.5
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freeing(run), docs.schema)
 
 
 def op5_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotgrid.llm import text as T
-from shotgrid.llm.common import crc_mod, documents, over_batches
+from shotgrid.llm.common import crc_mod, documents, freeing, over_batches
 
 BITS = 16
 BINS = 1 << BITS
@@ -91,7 +91,7 @@ def count_trigrams(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()),
                                               pa.array(n[at], pa.int64())], names=["lang", "bin", "n"])
 
-    return rows.mapInArrow(run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(freeing(run), "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
 
 
 def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:

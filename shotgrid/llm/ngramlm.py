@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from shotgrid.llm import efano as E
 from shotgrid.llm import text as T
-from shotgrid.llm.common import crc_mod, documents, over_batches, pack, unpack
+from shotgrid.llm.common import crc_mod, documents, freeing, freeing_group, pack, unpack
 from shotgrid.session import fresh_path
 
 ORDER = 3
@@ -274,8 +274,8 @@ def _count_job(rows: DataFrame, keys_of, bounds: np.ndarray, write) -> list[dict
             [("part", pa.int32()), ("path", pa.string()), ("size", pa.int64()), ("total", pa.int64()),
              ("info", pa.string())]))
 
-    packed = rows.select("text").mapInArrow(deal, "part int, keys binary, n binary")
-    out = packed.groupBy("part").applyInArrow(merge, _META).collect()       # one small row per shard
+    packed = rows.select("text").mapInArrow(freeing(deal), "part int, keys binary, n binary")
+    out = packed.groupBy("part").applyInArrow(freeing_group(merge), _META).collect()       # one small row per shard
     return [r.asDict() | {"info": json.loads(r.info)} for r in sorted(out, key=lambda r: r.part)]
 
 
@@ -410,7 +410,7 @@ def _probabilities(spark: SparkSession, model: Model, level: Level, shards: list
                 yield pa.RecordBatch.from_pylist([{"i": i}], schema=pa.schema([("i", pa.int32())]))
 
     n = len(shards)
-    spark.range(n).select(F.col("id").cast("int").alias("i")).repartition(max(1, n)).mapInArrow(run, "i int").count()
+    spark.range(n).select(F.col("id").cast("int").alias("i")).repartition(max(1, n)).mapInArrow(freeing(run), "i int").count()
     parts: dict[int, list] = {}
     for s in shards:
         for p, t in s["info"]["edges"].items():
@@ -451,7 +451,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+    return rows.mapInArrow(freeing(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                                 "base_score double, score double")
 
 

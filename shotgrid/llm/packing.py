@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotgrid.llm.common import documents
+from shotgrid.llm.common import documents, freeing
 
 LENGTH = 1024
 END_ID = 0
@@ -181,7 +181,7 @@ def pack(docs: DataFrame, files: tuple[str, str] | None = None, length: int = LE
             yield rows(windows, number)
 
     schema = SCHEMA + (", input_ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(freeing(run), schema)
 
 
 def op4_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shotgrid.llm.common import documents, over_batches
+from shotgrid.llm.common import documents, freeing, over_batches
 
 # The base rules.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -241,7 +241,7 @@ def labelled_sample(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([kind] * len(top), pa.string()), pa.array([v for v, _ in top], pa.string()),
                                               pa.array([h for _, h in top], pa.int64())], names=["kind", "value", "h"])
 
-    rows = docs.select("text").mapInArrow(run, "kind string, value string, h long").distinct()
+    rows = docs.select("text").mapInArrow(freeing(run), "kind string, value string, h long").distinct()
     for keys in (["kind", (F.col("h") % 64)], ["kind"]):
         w = Window.partitionBy(*keys).orderBy("h", "value")
         rows = rows.withColumn("r", F.row_number().over(w))\
@@ -310,7 +310,7 @@ def redact(docs: DataFrame, grammars: Grammars) -> DataFrame:
                 batch = batch.set_column(length, field, pa.array(sizes, field.type))
             yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freeing(run), docs.schema)
 
 
 def op9_secret_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:

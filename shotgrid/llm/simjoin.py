@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotgrid.llm import text as T
-from shotgrid.llm.common import documents, over_batches, pack, stored, unpack, without_ids
+from shotgrid.llm.common import documents, freeing, freeing_group, over_batches, pack, stored, unpack, without_ids
 from shotgrid.llm.graph import components
 
 SHINGLE, PERCENT = 5, 75
@@ -147,8 +147,8 @@ def shared_shingles(docs: DataFrame, buckets: int) -> DataFrame:
         return pa.Table.from_arrays([pa.array(cls[keep].astype(np.int64)), pa.array(n[keep].astype(np.int32)),
                                      pa.array(df[keep].astype(np.int32)), pa.array(shingle[keep].astype(np.int64))], schema=_SHARED)
 
-    packed = docs.select("text").mapInArrow(deal, "bucket int, shingles binary, refs binary, classes binary, sizes binary")
-    return packed.groupBy("bucket").applyInArrow(count, "class long, n int, df int, shingle long")
+    packed = docs.select("text").mapInArrow(freeing(deal), "bucket int, shingles binary, refs binary, classes binary, sizes binary")
+    return packed.groupBy("bucket").applyInArrow(freeing_group(count), "class long, n int, df int, shingle long")
 
 
 # ------------------------------------------------------------------------- adaptive prefixes
@@ -236,7 +236,7 @@ def links(candidates: DataFrame, block: int = BLOCK) -> DataFrame:
         F.when(F.col("parts") == 1, -1).otherwise(F.least("part", "other")).alias("i"),
         F.when(F.col("parts") == 1, -1).otherwise(F.greatest("part", "other")).alias("j"),
         F.when((F.col("parts") > 1) & (F.col("part") > F.col("other")), 1).otherwise(0).alias("side"))
-    return rows.groupBy("task", "i", "j").applyInArrow(_join_block, "a long, b long")
+    return rows.groupBy("task", "i", "j").applyInArrow(freeing_group(_join_block), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
