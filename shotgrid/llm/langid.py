@@ -18,8 +18,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,7 +39,6 @@ _MAP = np.full(256, 0x20, np.uint32)
 _MAP[97:123] = np.arange(97, 123)
 _MAP[65:91] = np.arange(97, 123)
 _MAP[128:] = np.arange(128, 256)
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def trigrams(raw: np.ndarray) -> np.ndarray:
@@ -148,7 +145,7 @@ def identify(docs: DataFrame, names: list[str], table: np.ndarray) -> DataFrame:
         pred, score, langs = [], [], []
         for i, text in enumerate(texts):
             text = text.as_py()
-            if not names or not text or not _LETTER.search(text):
+            if not names or not text or not any(map(str.isalpha, text)):
                 pred.append("und"), score.append(0.0), langs.append([])
                 continue
             bins, n = _counts(raw[offsets[i]:offsets[i + 1]])
