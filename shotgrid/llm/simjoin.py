@@ -4,11 +4,13 @@ A document's set is its distinct five-word shingles (64-bit hashes); two documen
 100 * intersection >= 75 * union.  Documents with equal sets are one class, and the join works on
 classes:
 
-1. One scan writes (doc_id, class, set size).
-2. A second scan deals the shingles, packed and sorted, to buckets of the hash space (their
+1. One scan writes (doc_id, class, set size), and the shingles that are frequent in most pieces of
+   the input.  These few hot shingles are last in the global order and are not dealt out: a second
+   scan gives each class the hot ones that it has, so no task gets a run of a third of all classes.
+2. A further scan deals the shingles, packed and sorted, to buckets of the hash space (their
    number grows with the shingles, so a bucket has a bounded size).  A bucket counts how many
    classes have each shingle and passes on the shingles of two or more: no others can match.
-3. Global order: rarest shingle first, ties by hash.  A set of n shingles keeps its first
+3. Global order: rarest shingle first, ties by hash, hot shingles last.  A set of n shingles keeps its first
    n - ceil(0.75 n) + l shingles, its l-prefix; two linked sets share at least min(l, l')
    shingles of their prefixes.  l in 1, 2, 4, 8 is chosen per document by estimated cost: the
    entries that its prefix meets in the index, plus VERIFY times the candidates these can make at
@@ -49,6 +51,10 @@ VERIFY = 50
 CHUNK_SHINGLES, CHUNK_SETS = 2_000_000, 60_000
 BUCKET_SHINGLES = 2_500_000
 BLOCK = 2048
+#: A shingle is hot where at least HOT_SHARE of the sets of a piece of the input (of 1 MB; HOT_LEAST
+#: sets at least) have it, in HOT_PIECES of the pieces: at most 1 / (HOT_LEAST * HOT_PIECES) of a
+#: piece's shingles, about 250,000, whatever the input.
+HOT_SHARE, HOT_LEAST, HOT_PIECES = 0.02, 8, 0.1
 
 
 def least_overlap(n):
@@ -67,13 +73,47 @@ def shingle_sets(texts: pa.Array):
 
 
 def set_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, class, n (set size)."""
+    """doc_id, class, n (set size); the first row of each piece of the input also has the shingles
+    that are frequent in it (``frequent``)."""
     def run(batch: pa.RecordBatch):
         for lo, hi, sets, cls in shingle_sets(batch.column("text")):
-            yield {"doc_id": batch.column("doc_id")[lo:hi], "class": cls.astype(np.int64), "n": [len(s) for s in sets]}
+            _, first = np.unique(cls, return_index=True)
+            found, count = np.unique(np.concatenate([sets[i] for i in first]), return_counts=True)
+            often = found[count >= max(HOT_LEAST, HOT_SHARE * len(first))]
+            yield {"doc_id": batch.column("doc_id")[lo:hi], "class": cls.astype(np.int64), "n": [len(s) for s in sets],
+                   "frequent": [often.astype(np.int64)] + [None] * (hi - lo - 1)}
 
     return over_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run,
-                        "doc_id long, class long, n long")
+                        "doc_id long, class long, n long, frequent array<long>")
+
+
+def hot_list(sets: DataFrame) -> np.ndarray:
+    """The hot shingles, rising (a bounded number)."""
+    pieces = sets.where(F.col("frequent").isNotNull())
+    least = max(2, math.ceil(HOT_PIECES * pieces.count()))
+    rows = pieces.select(F.explode("frequent").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least)
+    return np.sort(np.array([r.s for r in rows.select("s").collect()], np.int64).astype(np.uint64))
+
+
+def _is_hot(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(shingles), bool)
+    return hot[np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)] == shingles
+
+
+def hot_shingles(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """class, n, hot (the hot shingles that it has) of the classes with any."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batch: pa.RecordBatch):
+        for _, _, sets, cls in shingle_sets(batch.column("text")):
+            _, first = np.unique(cls, return_index=True)
+            rows = [(int(cls[i].astype(np.int64)), len(sets[i]), sets[i][m].astype(np.int64)) for i in first
+                    if (m := _is_hot(sets[i], shared.value)).any()]
+            yield {"class": [r[0] for r in rows], "n": [r[1] for r in rows], "hot": [r[2] for r in rows]}
+
+    rows = over_batches(docs.select("text"), run, "class long, n int, hot array<long>")
+    return rows.groupBy("class").agg(F.first("n").alias("n"), F.first("hot").alias("hot"))
 
 
 # ------------------------------------------------------- shingles that two classes or more have
@@ -82,10 +122,11 @@ _BLOB = pa.schema([("bucket", pa.int32()), ("shingles", pa.binary()), ("refs", p
 _SHARED = pa.schema([("class", pa.int64()), ("n", pa.int32()), ("df", pa.int32()), ("shingle", pa.int64())])
 
 
-def _blobs(sets: dict[int, np.ndarray], buckets: int) -> pa.RecordBatch:
+def _blobs(sets: dict[int, tuple[np.ndarray, int]], buckets: int) -> pa.RecordBatch:
     classes = np.array(list(sets), np.uint64)
-    sizes = np.array([len(s) for s in sets.values()], np.uint32)
-    shingles, refs = np.concatenate(list(sets.values())), np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+    sizes = np.array([n for _, n in sets.values()], np.uint32)
+    shingles = np.concatenate([s for s, _ in sets.values()])
+    refs = np.repeat(np.arange(len(sizes), dtype=np.uint16), [len(s) for s, _ in sets.values()])
     sets.clear()
     order = np.argsort(shingles)
     shingles, refs = shingles[order], refs[order]
@@ -101,16 +142,20 @@ def _blobs(sets: dict[int, np.ndarray], buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BLOB, strict=True)], schema=_BLOB)
 
 
-def shared_shingles(docs: DataFrame, buckets: int) -> DataFrame:
-    """(class, n, df, shingle) for the shingles that at least two classes have."""
+def shared_shingles(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """(class, n, df, shingle) for the shingles, but the hot ones, that at least two classes have."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
     def deal(batches):
         sets, total = {}, 0
         for batch in batches:
             for _, _, found, cls in shingle_sets(batch.column("text")):
                 for c, s in zip(cls.tolist(), found, strict=True):
-                    if len(s) and c not in sets:
-                        sets[c] = s
-                        total += len(s)
+                    if c not in sets:
+                        cold = s[~_is_hot(s, shared.value)]
+                        if len(cold):
+                            sets[c] = (cold, len(s))
+                            total += len(cold)
                     if total >= CHUNK_SHINGLES or len(sets) >= CHUNK_SETS:
                         yield _blobs(sets, buckets)
                         sets, total = {}, 0
@@ -152,10 +197,18 @@ def shared_shingles(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 # ------------------------------------------------------------------------- adaptive prefixes
-def prefixes(shared: DataFrame) -> DataFrame:
+def prefixes(shared: DataFrame, hot: DataFrame | None = None, hot_df: int = 1) -> DataFrame:
     """class, n, matches (l), reach (prefix shingles that others have) and all shared shingles,
-    rarest first, of the classes whose prefix meets another class."""
+    rarest first, of the classes whose prefix meets another class.  ``hot_df`` is the count that hot
+    shingles are taken to have in the cost."""
     one = shared.groupBy("class").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("x"))
+    if hot is not None:
+        last = F.transform(F.sort_array("hot"), lambda s: F.struct(F.lit(hot_df).alias("df"), s.alias("shingle")))
+        more = hot.select(F.col("class").alias("h_class"), F.col("n").alias("h_n"), last.alias("y"))
+        none = F.array().cast(one.schema["x"].dataType)
+        one = one.join(more, F.col("class") == F.col("h_class"), "full_outer").select(
+            F.coalesce("class", "h_class").alias("class"), F.coalesce("n", "h_n").alias("n"),
+            F.concat(F.coalesce("x", none), F.coalesce("y", none)).alias("x"))
     need = F.floor((PERCENT * F.col("n") + 99) / 100).cast("int")
     one = one.withColumn("need", need).withColumn("reach1", F.size("x") - F.col("need") + 1).where(F.col("reach1") > 0)
 
@@ -244,14 +297,16 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     sets = stored(set_sizes(docs), "sets")
     total = sets.agg(F.sum("n")).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = shared_shingles(docs, max(parts, math.ceil(total / BUCKET_SHINGLES)))
-    candidates = stored(prefixes(shared), "prefixes")
+    hot = hot_list(sets)
+    shared = shared_shingles(docs, max(parts, math.ceil(total / BUCKET_SHINGLES)), hot)
+    with_hot = hot_shingles(docs, hot) if len(hot) else None
+    candidates = stored(prefixes(shared, with_hot, max(2, int(HOT_SHARE * sets.count()))), "prefixes")
     found = stored(components(links(candidates, block)), "components")
     least = sets.where(F.col("n") > 0).groupBy("class").agg(F.min("doc_id").alias("least"))
     least = least.join(found, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
     ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = least.join(ids, "root").select(F.col("class").alias("c"), "component_id")
-    out = sets.join(ids, (F.col("class") == F.col("c")) & (F.col("n") > 0), "left")
+    out = sets.drop("frequent").join(ids, (F.col("class") == F.col("c")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id"))
                       .otherwise(F.col("doc_id")).alias("component_id"))
 
