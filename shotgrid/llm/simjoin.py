@@ -276,10 +276,11 @@ def links(candidates: DataFrame, block: int = BLOCK) -> DataFrame:
     star = post.groupBy("shingle").agg(F.min("class").alias("b"), F.count(F.lit(1)).alias("g")).where(F.col("g") > 1)
     edges = post.join(star, "shingle").where(F.col("class") != F.col("b")).select(F.col("class").alias("a"), "b").distinct()
     cluster = stored(components(edges), "clusters")
-    sizes = cluster.groupBy("root").agg(F.count(F.lit(1)).alias("g"))
+    # clusters above one block: at most the number of classes over BLOCK
+    large = cluster.groupBy("root").agg(F.count(F.lit(1)).alias("g")).where(F.col("g") > block)
     bins = max(1, math.ceil(cluster.count() / block))
-    rows = candidates.join(cluster, F.col("class") == F.col("node")).join(sizes, "root")
-    parts = F.ceil(F.col("g") / block).cast("int")
+    rows = candidates.join(cluster, F.col("class") == F.col("node")).join(F.broadcast(large), "root", "left")
+    parts = F.coalesce(F.ceil(F.col("g") / block).cast("int"), F.lit(1))
     rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
     # small clusters share tasks (they have no prefix shingle in common); a large one gives a task per pair of parts
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -303,8 +304,9 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     candidates = stored(prefixes(shared, with_hot, max(2, int(HOT_SHARE * sets.count()))), "prefixes")
     found = stored(components(links(candidates, block)), "components")
     least = sets.where(F.col("n") > 0).groupBy("class").agg(F.min("doc_id").alias("least"))
-    least = least.join(found, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
-    ids = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = stored(least.join(found, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")), "least")
+    # written before it is joined: a component with most classes is then a skewed join that can be split
+    ids = stored(least.groupBy("root").agg(F.min("least").alias("component_id")), "component_ids")
     ids = least.join(ids, "root").select(F.col("class").alias("c"), "component_id")
     out = sets.drop("frequent").join(ids, (F.col("class") == F.col("c")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id"))
