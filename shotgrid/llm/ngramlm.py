@@ -12,8 +12,8 @@ the level:
 
 A second, map-only pass over the shards turns counts into probabilities (absolute discounting
 with discounts from the counts of counts of all shards) and quantises them to 256 centres per
-shard.  N-grams of order 3 are kept from two occurrences on; they are only counted where both
-their bigrams occur twice, which loses none.
+shard.  Every n-gram of every order is counted, so the counts of counts are those of the whole
+training text; the query stores all of them (``EVERY``).
 
 Shards are files in the shared folder (``spark.checkpoint.dir``) that every task maps into memory:
 workers of a host share the pages, and nothing of the model is collected or broadcast but the list
@@ -45,7 +45,8 @@ from shotgrid.llm.common import crc_mod, documents, freeing, freeing_group, pack
 from shotgrid.session import fresh_path
 
 ORDER = 3
-LEAST_COUNT = {1: 1, 2: 1, 3: 2}
+LEAST_COUNT = {1: 1, 2: 1, 3: 2}         # default of train(): n-grams that a level stores, by order
+EVERY = dict.fromkeys(LEAST_COUNT, 1)    # what the query passes
 FOLDS, HELD_OUT = 7, 2
 CHUNK_TOKENS = 1_000_000
 TASK_TOKENS = 2_000_000
@@ -100,6 +101,7 @@ class Level:
     parents: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), np.int64))
     base: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
     fixed: dict[int, float] = field(default_factory=dict)  # back-off weights of parents that lie in two shards or more
+    tallies: list[int] = field(default_factory=lambda: [0] * 4)    # n-grams seen 1 to 4 times, stored or not
 
     def shard(self, i: int) -> dict:
         got = _MAPPED.get(self.paths[i])
@@ -308,10 +310,10 @@ def _vocabulary(rows: DataFrame, folder: str, parts: int, task_tokens: int) -> t
     return level, shards
 
 
-def _next_level(rows: DataFrame, model: Model, folder: str, below: list[dict], task_tokens: int) -> tuple[Level, list[dict]]:
+def _next_level(rows: DataFrame, model: Model, folder: str, below: list[dict], task_tokens: int,
+                least: int) -> tuple[Level, list[dict]]:
     """Counts the level above the model's last one and writes its shards."""
     order, words = len(model.levels) + 1, model.words
-    least = LEAST_COUNT[order]
     if max(words + 1, sum(s["size"] for s in below)) >= 1 << 32:
         raise ValueError("more than 2**32 n-grams of one order: raise LEAST_COUNT")
     marks = {0}
@@ -326,22 +328,20 @@ def _next_level(rows: DataFrame, model: Model, folder: str, below: list[dict], t
         ids = model.ids(hashes)
         starts = np.cumsum(counts) - counts
         parent = model.parents(ids, starts, words)
-        often = np.ones(len(ids), bool)
+        every = np.ones(len(ids), bool)
         for level in model.levels[1:]:                        # rank of the n-gram that ends at each token
-            at, found, inverse = model.search(level, parent, ids, often)
-            seen = np.zeros(len(found), bool)
-            seen[found >= 0] = level.counts(found[found >= 0]) >= least
+            at, found, inverse = model.search(level, parent, ids, every)
             rank = np.full(len(ids), -1, np.int64)
-            rank[at] = np.where(seen, found, -1)[inverse]
-            parent, often = model.parents(rank, starts, -1), rank >= 0
-        ok = often & (parent >= 0)                            # the parent and the suffix occur often enough
+            rank[at] = found[inverse]
+            parent = model.parents(rank, starts, -1)
+        ok = parent >= 0
         return counted(parent[ok].astype(U) << U(32) | ids[ok].astype(U))
 
-    def write(part: int, keys: np.ndarray, n: np.ndarray) -> dict | None:
+    def write(part: int, keys: np.ndarray, n: np.ndarray) -> dict:
         tallies, keep = _tallies(n), n >= least
         keys, n = keys[keep], n[keep]
         if not len(keys):
-            return None
+            return {"part": part, "path": None, "size": 0, "total": 0, "info": json.dumps({"tallies": tallies})}
         parent = (keys >> U(32)).astype(np.int64)
         lo, hi = int(parent[0]), int(parent[-1])
         x = (parent - lo).astype(U) * U(words) + (keys & U(0xFFFFFFFF))
@@ -357,9 +357,11 @@ def _next_level(rows: DataFrame, model: Model, folder: str, below: list[dict], t
                 "info": json.dumps({"cuts": _cuts(n, task_tokens), "tallies": tallies, "parents": [lo, hi], "edges": edges})}
 
     shards = _count_job(rows, keys_of, bounds, write)
+    tallies = np.sum([s["info"]["tallies"] for s in shards], axis=0).tolist() if shards else [0] * 4
+    shards = [s for s in shards if s["path"]]
     level = Level(order, words, [s["path"] for s in shards], bounds[[s["part"] for s in shards]] if shards else np.zeros(0, U),
                   np.array([s["info"]["parents"] for s in shards], np.int64).reshape(-1, 2),
-                  np.concatenate([[0], np.cumsum([s["size"] for s in shards])]).astype(np.int64)[:max(1, len(shards))])
+                  np.concatenate([[0], np.cumsum([s["size"] for s in shards])]).astype(np.int64)[:max(1, len(shards))], tallies=tallies)
     return level, shards
 
 
@@ -385,7 +387,7 @@ def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _probabilities(spark: SparkSession, model: Model, level: Level, shards: list[dict]) -> None:
     """Writes the quantised probabilities beside each shard (map-only)."""
     below = model.levels[-1]
-    give = np.array([0.0, *discounts(np.sum([s["info"]["tallies"] for s in shards], axis=0).tolist())])
+    give = np.array([0.0, *discounts(level.tallies)])
 
     def total_of(parents: np.ndarray) -> np.ndarray:
         if level.order > 2:
@@ -421,14 +423,14 @@ def _probabilities(spark: SparkSession, model: Model, level: Level, shards: list
         level.fixed[p] = float(np.clip(1 - (total - give[1] * n1 - give[2] * n2 - give[3] * n3) / whole, 1e-9, 1.0))
 
 
-def train(rows: DataFrame, order: int = ORDER, task_tokens: int = TASK_TOKENS) -> Model:
-    """The model of the texts of ``rows``."""
+def train(rows: DataFrame, order: int = ORDER, task_tokens: int = TASK_TOKENS, least: dict[int, int] = LEAST_COUNT) -> Model:
+    """The model of the texts of ``rows``; a level stores n-grams that occur ``least[order]`` times or more."""
     spark = rows.sparkSession
     folder = shared_file(spark, "llm/ngrams")
     level, shards = _vocabulary(rows, folder, int(spark.conf.get("spark.sql.shuffle.partitions")), task_tokens)
     model = Model(sum(s["total"] for s in shards), sum(s["info"]["documents"] for s in shards), [level])
     while len(model.levels) < order and shards:
-        level, shards = _next_level(rows, model, folder, shards, task_tokens)
+        level, shards = _next_level(rows, model, folder, shards, task_tokens, least[len(model.levels) + 1])
         if not shards:
             break
         _probabilities(spark, model, level, shards)
@@ -457,7 +459,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def op1_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    return score(docs, train(docs.where(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)))
+    return score(docs, train(docs.where(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT), least=EVERY))
 
 
 QUERIES = {"op1_elias_fano_lm": op1_elias_fano_lm}

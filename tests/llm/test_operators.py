@@ -478,6 +478,48 @@ def test_lm_probabilities_sum_to_one_and_help(spark):
     assert got.score.sum() > got.base_score.sum()
 
 
+def brute_scores(train, texts):
+    """log10 of interpolated trigram probabilities with discounts from all n-grams' counts of counts."""
+    seqs = [["<s>", *words(x), "</s>"] for x in train]
+    c1 = collections.Counter(w for s in seqs for w in s[1:])
+    c2 = collections.Counter(g for s in seqs for g in zip(s, s[1:]))
+    c3 = collections.Counter(g for s in seqs for g in zip(s, s[1:], s[2:]))
+    total = {(w,): n for w, n in c1.items()} | {("<s>",): len(train)} | c2
+    levels = []
+    for c in (c2, c3):
+        give = [0.0, *ngramlm.discounts([sum(n == k for n in c.values()) for k in (1, 2, 3, 4)])]
+        kept, sums = {g: n - give[min(n, 3)] for g, n in c.items()}, collections.Counter()
+        for g, x in kept.items():
+            sums[g[:-1]] += x
+        levels.append((kept, sums))
+    out = []
+    for x in texts:
+        s, score = ["<s>", *words(x), "</s>"], 0.0
+        for i in range(1, len(s)):
+            p = (c1[s[i]] + 1) / (sum(c1.values()) + len(c1) + 1)
+            for k, (kept, sums) in enumerate(levels, 1):
+                c = tuple(s[i - k:i]) if i >= k else None
+                if c in sums:
+                    p = min(max(1 - sums[c] / total[c], 1e-9), 1.0) * p + kept.get((*c, s[i]), 0.0) / total[c]
+            score += math.log10(p)
+        out.append(score)
+    return out
+
+
+def test_lm_scores_of_the_query_use_every_trigram(spark, tmp_path):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 25))) for _ in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    got = {r.doc_id: r.score for r in ngramlm.op1_elias_fano_lm(spark, str(tmp_path)).collect()}
+    want = brute_scores(train, texts)
+    assert max(abs(got[i] - x) for i, x in enumerate(want)) < 1e-6
+    # a level that stores trigrams from two occurrences on still takes its discounts from all
+    docs = spark.createDataFrame([(t,) for t in train], "text string")
+    some, every = ngramlm.train(docs), ngramlm.train(docs, least=ngramlm.EVERY)
+    assert some.levels[2].tallies == every.levels[2].tallies and some.levels[2].tallies[0] > 0
+
+
 # --------------------------------------------------------------------------------- pipeline
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
