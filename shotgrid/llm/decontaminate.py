@@ -12,11 +12,13 @@ occurs: shared weight over total weight).  The chain:
 2. A 64-bit SimHash over the words of every such window and of every item.
 3. Multi-index search: RADIUS + 1 blocks of bits; two fingerprints within RADIUS agree in at
    least one block, so a join on (L, block, bits) finds every pair within the radius.
-4. Pairs within the radius are verified by the exact similarity.
+4. Pairs beyond the radius.  Similarity 0.75 doesn't bound the distance (edits clumped at an edge
+   change one word in 7, a repeated word more bits than that), so a window and an item that it is
+   aligned with are also a pair where the window can hold enough of the item's shingles: they are
+   counted by stretches of L positions, and a window lies in two of them at most, which loses none.
+5. All these pairs are verified by the exact similarity.
 
-RADIUS is wide for what similarity 0.75 allows: at most one word in 14 differs, 8 bits on
-average with deviation 2.6.  Nothing is limited or sampled; a passage that a third of all
-documents share costs one window each.
+Nothing is limited or sampled; a passage that a third of all documents share costs one window each.
 
 Defined cases: texts of fewer than five words are one shingle; null or empty texts, and items
 without words, match nothing; case doesn't count; rows of one doc_id are one document (the best
@@ -120,10 +122,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS) -> D
     items = stored(items.select("item_id", "ws", F.size("ws").alias("len"), F.least(F.size("ws"), F.lit(SHINGLE)).alias("k"),
                                 simhash(F.col("ws")).alias("print")), "benchmark_items")
     sizes = sorted(r.k for r in items.select("k").distinct().collect()) or [SHINGLE]       # at most SHINGLE values
-    hashed = items.select("len", "k", F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"))
+    hashed = items.select("item_id", "len", "k", F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"))
     shingles = None
     for k in sizes:
-        one = hashed.where(F.col("k") == k).select("len", F.posexplode(_gram_hashes(k)).alias("q", "gram"))
+        one = hashed.where(F.col("k") == k).select("item_id", "len", "k", F.posexplode(_gram_hashes(k)).alias("q", "gram"))
         shingles = one if shingles is None else shingles.unionByName(one)
     shingles = shingles.distinct()
 
@@ -143,10 +145,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS) -> D
     d = stored(d.where(F.size("hits") > 0), "anchored")
     hits = d.select("row", F.size("ws").alias("n"), F.inline("hits")).join(shingles, "gram")
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("len")))
-    windows = hits.select("row", start.alias("start"), "len").distinct() \
+    hits = stored(hits.select("row", "n", "item_id", "len", "k", "p", start.alias("start")), "aligned")
+    windows = hits.select("row", "start", "len").distinct() \
         .groupBy("row").agg(F.collect_list(F.struct("start", "len")).alias("at"))
-    windows = d.select("row", "doc_id", "ws").join(windows, "row").select("doc_id", "ws", F.inline("at"))
-    windows = windows.select("doc_id", "start", "len", F.slice("ws", F.col("start") + 1, F.col("len")).alias("window"))
+    windows = d.select("row", "doc_id", "ws").join(windows, "row").select("row", "doc_id", "ws", F.inline("at"))
+    windows = windows.select("row", "doc_id", "start", "len", F.slice("ws", F.col("start") + 1, F.col("len")).alias("window"))
 
     # 2., 3. fingerprints; pairs that agree in a block
     windows = stored(windows.withColumn("print", simhash(F.col("window"))).withColumn("w", F.monotonically_increasing_id()),
@@ -154,13 +157,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS) -> D
     left = windows.select("w", "len", F.col("print").alias("a"), F.inline(blocks(F.col("print"), radius)))
     right = items.select("item_id", "len", F.col("print").alias("b"), F.inline(blocks(F.col("print"), radius)))
     pairs = left.join(right, ["len", "block", "bits"]) \
-        .select("w", "item_id", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("distance")) \
-        .where(F.col("distance") <= radius).distinct()
-
-    # 4. exact verification
-    pairs = pairs.join(windows.select("w", "doc_id", "start", "window"), "w") \
-                 .join(items.select("item_id", "ws"), "item_id")
-    pairs = pairs.select("doc_id", "item_id", "start", F.size("window").alias("n_words"), "distance",
+        .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("w", "item_id")
+
+    # 4. aligned pairs whose window may hold enough of the item's shingles, whatever their distance
+    stretch = F.floor(F.col("p") / F.col("len"))
+    counts = hits.select("row", "item_id", "len", "p", stretch.alias("stretch")).distinct() \
+        .groupBy("row", "item_id", "len", "stretch").agg(F.count(F.lit(1)).alias("found"))
+    size = F.least(F.col("len"), F.col("n") - F.col("start"))
+    total = size - F.least(size, F.lit(SHINGLE)) + 1 + F.col("len") - F.col("k") + 1            # shingles of both
+    first = F.floor(F.col("start") / F.col("len"))
+    enough = hits.select("row", "item_id", "len", "start", total.alias("total"), F.explode(F.array(first, first + 1)).alias("stretch")) \
+        .distinct().join(counts, ["row", "item_id", "len", "stretch"]) \
+        .groupBy("row", "item_id", "len", "start", "total").agg(F.sum("found").alias("found")) \
+        .where((100 + PERCENT) * F.col("found") >= PERCENT * F.col("total"))
+    enough = enough.join(windows.select("w", "row", "start", "len"), ["row", "start", "len"]).select("w", "item_id")
+    pairs = pairs.unionByName(enough).distinct()
+
+    # 5. exact verification
+    pairs = pairs.join(windows.select("w", "doc_id", "start", "window", F.col("print").alias("a")), "w") \
+                 .join(items.select("item_id", "ws", F.col("print").alias("b")), "item_id")
+    pairs = pairs.select("doc_id", "item_id", "start", F.size("window").alias("n_words"),
+                         F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("distance"),
                          grams(F.col("window")).alias("x"), grams(F.col("ws")).alias("y"))
     times = lambda arr, g: F.size(F.filter(arr, lambda z: z == g))
     shared = F.aggregate(F.array_distinct("y"), F.lit(0), lambda acc, g: acc + F.least(times(F.col("x"), g), times(F.col("y"), g)))

@@ -256,6 +256,26 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.find_leaks(table(spark, rows), bench.where("false")).count() == 0
 
 
+def test_decontamination_finds_edits_at_an_edge(spark):
+    """Passages at 0.75 to 0.80 whose edits are clumped lie beyond the radius too."""
+    rng = random.Random(8)
+    draw = lambda n: [f"v{rng.getrandbits(40)}" for _ in range(n)]
+    items, rows = [], []
+    for i in range(60):
+        item = draw((60, 100)[i % 2])
+        cut = len(item) * 13 // 100
+        tail = [draw(cut), ["pad"] * cut, draw(1) * (cut // 2) + draw(cut - cut // 2)][i % 3]
+        text = [item[:-cut] + tail, tail + item[cut:], item[:76 * len(item) // 100 + 1]][i // 3 % 3]
+        around = 0 if i // 3 % 3 == 2 else 20
+        items.append((i, " ".join(item)))
+        rows.append((i, " ".join(draw(around) + text + draw(around)), "en", "a", 1))
+        rows.append((100 + i, " ".join(draw(30) + item[:len(item) // 2] + draw(60)), "en", "a", 1))      # about half: no leak
+    want = brute_leaks(rows, items)
+    got = decontaminate.find_leaks(table(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+    assert len(want) >= 50 and max(r.distance for r in got) > decontaminate.RADIUS and max(want.values()) < 0.82
+
+
 def test_blocks_find_every_pair_within_the_radius(spark):
     rng = random.Random(2)
     pairs = []
