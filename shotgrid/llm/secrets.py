@@ -7,8 +7,8 @@ r"""Operator 9: secret scans with inferred credential grammars.
    first, which gives one probabilistic automaton per kind.  A character-bigram model of a
    sample of the other candidate strings is the background.
 3. Every candidate string of every whole text is scored: the automaton's log likelihood, with
-   the characters of a class equally likely, less the background's.  A candidate outside the
-   base spans is added (kind ``grammar``) when that ratio is at least ``MARGIN`` and, per
+   the characters of a class equally likely, less the background's.  A candidate that doesn't
+   lie inside a base span (it may contain some) is added (kind ``grammar``) when that ratio is at least ``MARGIN`` and, per
    character, at least the ``QUANTILE`` of the kind's own labelled credentials.
 
 What is learned is bounded by ``SAMPLE`` whatever the corpus; scanning is map-only.
@@ -64,8 +64,9 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def candidates(text: str, spans: list[tuple[int, int, str, str]]) -> list[tuple[int, int]]:
-    """Credential-like strings that touch no base span."""
+def candidates(text: str, spans: list[tuple[int, int, str, str]]) -> list[tuple[int, int, bool]]:
+    """(start, end, whether it touches no base span) of the credential-like strings that don't lie
+    inside a base span."""
     out, at = [], 0
     blocks = sorted((s[0], s[1]) for s in spans)
     for m in CANDIDATE.finditer(text):
@@ -76,8 +77,14 @@ def candidates(text: str, spans: list[tuple[int, int, str, str]]) -> list[tuple[
             continue
         while at < len(blocks) and blocks[at][1] <= a:
             at += 1
-        if not any(x < b and y > a for x, y in blocks[at:at + 8]):
-            out.append((a, b))
+        if at == len(blocks) or blocks[at][0] >= b:
+            out.append((a, b, True))
+            continue
+        k = at
+        while k < len(blocks) and blocks[k][0] <= a and blocks[k][1] < b:
+            k += 1
+        if k == len(blocks) or blocks[k][0] > a:
+            out.append((a, b, False))
     return out
 
 
@@ -229,7 +236,7 @@ def labelled_sample(docs: DataFrame) -> DataFrame:
                 if not text:
                     continue
                 spans = base_spans(text)
-                found = [(k, v) for _, _, k, v in spans] + [("other", text[a:b]) for a, b in candidates(text, spans)]
+                found = [(k, v) for _, _, k, v in spans] + [("other", text[a:b]) for a, b, free in candidates(text, spans) if free]
                 for kind, value in found:
                     if len(value) <= LONGEST and value not in kept[kind]:
                         kept[kind][value] = _key(value)
@@ -261,7 +268,7 @@ def scan_text(text: str | None, grammars: Grammars) -> list[tuple[int, int, str,
     if not text:
         return []
     spans = base_spans(text)
-    more = [(a, b, "grammar", text[a:b]) for a, b in candidates(text, spans) if grammars.accepts(text[a:b])]
+    more = [(a, b, "grammar", text[a:b]) for a, b, _ in candidates(text, spans) if grammars.accepts(text[a:b])]
     return sorted(spans + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 

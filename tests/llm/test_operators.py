@@ -341,6 +341,20 @@ def test_scan_and_redact(spark):
     assert secrets.scan(empty(spark), secrets.infer(empty(spark))).count() == 0
 
 
+def test_credentials_around_a_base_span_are_scored_whole():
+    rng = random.Random(6)
+    pick = lambda n, of="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(rng.choice(of) for _ in range(n))
+    keys = [f"xoxb-{pick(12)}-{pick(16, '0123456789abcdef')}-{pick(16)}" for _ in range(400)]
+    g = secrets.Grammars({"assign": keys}, ["/".join(rng.choice(["the", "other", "reading", "station"]) for _ in range(4)) for _ in range(2000)])
+    key = "xoxb-Kq7ZpW2m9Lr-0123456789abcdef-TnV8sQ1yXe4RbH6u"
+    spans = secrets.scan_text(f"key {key} end", g)
+    assert [(a, b, k) for a, b, k, _ in spans] == [(4, 54, "grammar"), (21, 37, "hex")]
+    assert secrets.redacted(f"key {key} end", spans) == "key [SECRET] end"
+    # inside a base span nothing is added, also after many spans
+    text = " ".join(["0123456789abcdef"] * 20) + f" token = {key}"
+    assert [k for _, _, k, _ in secrets.scan_text(text, g)] == ["hex"] * 20 + ["assign", "hex"]
+
+
 def test_op9_digest(spark):
     r = secrets.op9_secret_grammars(spark, SF01).collect()
     docs = dict(spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text").collect())
