@@ -4,14 +4,14 @@ r"""Operator 9: secret scans with inferred credential grammars.
 2. Grammar inference: from a bounded sample of distinct credentials of each kind
    (``SAMPLE`` strings, the first by hash) a prefix tree over character classes is built and
    statistically compatible states are merged (ALERGIA with the Hoeffding test), red states
-   first, which gives one probabilistic automaton per kind.  A character-bigram model of a
-   sample of the other candidate strings is the background.
+   first, which gives one probabilistic automaton per kind.  A character-bigram model of all
+   other candidate strings (as often as they occur) is the background.
 3. Every candidate string of every whole text is scored: the automaton's log likelihood, with
    the characters of a class equally likely, less the background's.  A candidate that doesn't
    lie inside a base span (it may contain some) is added (kind ``grammar``) when that ratio is at least ``MARGIN`` and, per
    character, at least the ``QUANTILE`` of the kind's own labelled credentials.
 
-What is learned is bounded by ``SAMPLE`` whatever the corpus; scanning is map-only.
+What is learned is bounded by ``SAMPLE`` and the number of bigrams whatever the corpus; scanning is map-only.
 
 Spans are whole matches in code points, end exclusive.  Defined cases: a null or empty text has
 no spans; without labelled credentials only the base rules work; credentials longer than
@@ -44,7 +44,7 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 SAMPLE, LONGEST = 2000, 128                  # strings per kind, characters
-OTHERS = 20000                              # strings for the background
+CHUNK = 1_000_000                           # characters counted at a time for the background
 ALPHA = 0.05
 MARGIN, QUANTILE = 15.0, 0.01
 FLOOR = math.log(1e-4)
@@ -167,16 +167,26 @@ class Automaton:
         return total + self.ends[q]
 
 
+def bigram_counts(strings: list[str]) -> np.ndarray:
+    """How often each pair of ASCII characters (first * 128 + second) stands in the strings, a
+    blank before and after each."""
+    codes = np.frombuffer((" " + " ".join(strings) + " ").encode("ascii"), np.uint8).astype(np.int64)
+    return np.bincount(codes[:-1] * 128 + codes[1:], minlength=128 * 128) if strings else np.zeros(128 * 128, np.int64)
+
+
+def bigrams(counts: np.ndarray) -> dict[str, int]:
+    return {chr(i >> 7) + chr(i & 127): int(counts[i]) for i in np.flatnonzero(counts).tolist()}
+
+
 class Grammars:
     """Automata by kind, the background, and the kinds' cutoffs."""
 
-    def __init__(self, credentials: dict[str, list[str]], others: list[str]):
-        pairs: dict[str, int] = defaultdict(int)
+    def __init__(self, credentials: dict[str, list[str]], others: list[str] | dict[str, int]):
+        """``others``: the other strings, or the counts of their bigrams."""
+        pairs = others if isinstance(others, dict) else bigrams(bigram_counts(others))
         first: dict[str, int] = defaultdict(int)
-        for s in others:
-            for a, b in zip(" " + s, s + " ", strict=True):
-                pairs[a + b] += 1
-                first[a] += 1
+        for k, n in pairs.items():
+            first[k[0]] += n
         symbols = 70
         self.pairs = {k: math.log((n + 0.5) / (first[k[0]] + 0.5 * symbols)) for k, n in pairs.items()}
         self.unseen = {a: math.log(0.5 / (n + 0.5 * symbols)) for a, n in first.items()}
@@ -221,46 +231,53 @@ def _key(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def _bound(kind: str) -> int:
-    return OTHERS if kind == "other" else SAMPLE
-
-
 def labelled_sample(docs: DataFrame) -> DataFrame:
-    """(kind, value): of the distinct credentials of each kind, and of the other candidates
-    (kind ``other``), the first by hash, SAMPLE or OTHERS of them.  Each task keeps as many."""
+    """(kind, value, n): of the distinct credentials of each kind the first SAMPLE by hash, of which
+    each task keeps as many, and (kind ``other``) the bigrams of all other candidates with their counts."""
     def run(batches):
         kept: dict[str, dict[str, int]] = defaultdict(dict)
+        others, length, counts = [], 0, bigram_counts([])
         for batch in batches:
             for text in batch.column("text"):
                 text = text.as_py()
                 if not text:
                     continue
                 spans = base_spans(text)
-                found = [(k, v) for _, _, k, v in spans] + [("other", text[a:b]) for a, b, free in candidates(text, spans) if free]
-                for kind, value in found:
+                for a, b, free in candidates(text, spans):
+                    if free:
+                        others.append(text[a:b])
+                        length += b - a
+                if length >= CHUNK:
+                    counts += bigram_counts(others)
+                    others, length = [], 0
+                for _, _, kind, value in spans:
                     if len(value) <= LONGEST and value not in kept[kind]:
                         kept[kind][value] = _key(value)
                 for kind, values in kept.items():
-                    if len(values) > 4 * _bound(kind):
-                        kept[kind] = dict(sorted(values.items(), key=lambda x: x[1])[:_bound(kind)])
-        for kind, values in kept.items():
-            top = sorted(values.items(), key=lambda x: x[1])[:_bound(kind)]
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(top), pa.string()), pa.array([v for v, _ in top], pa.string()),
-                                              pa.array([h for _, h in top], pa.int64())], names=["kind", "value", "h"])
-
-    rows = docs.select("text").mapInArrow(freeing(run), "kind string, value string, h long").distinct()
+                    if len(values) > 4 * SAMPLE:
+                        kept[kind] = dict(sorted(values.items(), key=lambda x: x[1])[:SAMPLE])
+        counts += bigram_counts(others)
+        rows = [(kind, v, h, 0) for kind, values in kept.items() for v, h in sorted(values.items(), key=lambda x: x[1])[:SAMPLE]]
+        rows += [("other", pair, 0, n) for pair, n in bigrams(counts).items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (
+                pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["kind", "value", "h", "n"])
+
+    rows = docs.select("text").mapInArrow(freeing(run), "kind string, value string, h long, n long")
+    rows = rows.groupBy("kind", "value", "h").agg(F.sum("n").alias("n"))
     for keys in (["kind", (F.col("h") % 64)], ["kind"]):
         w = Window.partitionBy(*keys).orderBy("h", "value")
-        rows = rows.withColumn("r", F.row_number().over(w))\
-            .where(F.col("r") <= F.when(F.col("kind") == "other", OTHERS).otherwise(SAMPLE)).drop("r")
-    return rows.select("kind", "value")
+        rows = rows.withColumn("r", F.row_number().over(w)).where((F.col("r") <= SAMPLE) | (F.col("kind") == "other")).drop("r")
+    return rows.select("kind", "value", "n")
 
 
 def infer(docs: DataFrame) -> Grammars:
-    groups = defaultdict(list)
-    for r in labelled_sample(docs).collect():           # at most SAMPLE strings per kind and OTHERS, each of LONGEST
-        groups[r.kind].append(r.value)
-    others = sorted(groups.pop("other", []))
+    groups, others = defaultdict(list), {}
+    for r in labelled_sample(docs).collect():           # at most SAMPLE strings of LONGEST per kind, and the bigrams
+        if r.kind == "other":
+            others[r.value] = r.n
+        else:
+            groups[r.kind].append(r.value)
     return Grammars(groups, others)
 
 

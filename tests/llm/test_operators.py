@@ -355,6 +355,18 @@ def test_credentials_around_a_base_span_are_scored_whole():
     assert [k for _, _, k, _ in secrets.scan_text(text, g)] == ["hex"] * 20 + ["assign", "hex"]
 
 
+def test_background_counts_all_other_candidates(spark):
+    texts = [" ".join(f"path/{k}/item_{i * 7919 % 100_003}" for i in range(9000)) for k in "abc"] * 2 + ["x" * 300 + " 0123456789abcdef", None, ""]
+    plain = [s for t in texts[:6] for s in t.split()] + ["x" * 300]
+    assert len(set(plain)) > 20_000
+    got = secrets.infer(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4))
+    want = collections.Counter(g for s in plain for g in zip(" " + s, s + " "))
+    first = collections.Counter(g[0] for g in want.elements())
+    assert got.pairs.keys() == {a + b for a, b in want}
+    assert all(abs(got.pairs[a + b] - math.log((n + 0.5) / (first[a] + 35))) < 1e-9 for (a, b), n in want.items())
+    assert list(got.automata) == ["hex"]
+
+
 def test_op9_digest(spark):
     r = secrets.op9_secret_grammars(spark, SF01).collect()
     docs = dict(spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text").collect())
