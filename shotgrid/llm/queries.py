@@ -5,7 +5,8 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["ngramlm", "chat", "sharding", "packing", "cotrain", "simjoin", "langid", "rules", "secrets", "decontaminate"]
+_MODULES = ["ngramlm", "chat", "sharding", "packing", "cotrain", "simjoin", "langid", "rules", "secrets", "decontaminate",
+            "feast"]
 
 
 def _load() -> tuple[dict, dict]:
