@@ -6,7 +6,7 @@ from __future__ import annotations
 import importlib
 
 _MODULES = ["ngramlm", "chat", "sharding", "packing", "cotrain", "simjoin", "langid", "rules", "secrets", "decontaminate",
-            "feast"]
+            "feast", "align", "setsketch"]
 
 
 def _load() -> tuple[dict, dict]:
