@@ -65,9 +65,8 @@ def registers(members: np.ndarray, starts: np.ndarray) -> np.ndarray:
     n, out = len(starts) - 1, np.empty((len(starts) - 1, REGISTERS), np.uint16)
     scale = 1.0 / math.log(BASE)
     for i in range(REGISTERS):
-        h = members * _MULTIPLY[i] + _ADD[i]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
+        h = members * _MULTIPLY[i]                       # members are random 64-bit numbers: a linear permutation will do
+        h += _ADD[i]
         least = np.minimum.reduceat(h, starts[:-1]) if n else np.zeros(0, np.uint64)
         # uniform in (0, 1] -> exponential with rate RATE; its order is that of the uniform hash
         x = -np.log1p(-((least >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53) / RATE
@@ -112,20 +111,39 @@ def estimate(larger, smaller, equal, n, m) -> tuple[np.ndarray, np.ndarray]:
     return j, log_likelihood(j, larger, smaller, equal, u, v) - log_likelihood(least, larger, smaller, equal, u, v)
 
 
+def _at_threshold(larger, smaller, equal, n, m):
+    """Log likelihood at the threshold (at the largest similarity that the sizes allow, if that is less)."""
+    u, v = n / (n + m), m / (n + m)
+    return log_likelihood(np.minimum(PERCENT / 100, np.minimum(u / v, v / u)), larger, smaller, equal, u, v)
+
+
 def possible(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Which pairs (rows of registers a and b, sizes n and m) can be at the threshold or above."""
+    """Which pairs (rows of registers a and b, sizes n and m) can be at the threshold or above: those whose
+    likelihood there is at least exp(-SURE) of the greatest.  Most pairs are decided by bounds of the greatest
+    likelihood, from above by that of free shares of larger, smaller and equal registers, from below by that of
+    the share of equal ones as the similarity; only the others are maximised."""
     n, m = n.astype(np.float64), m.astype(np.float64)
     ok = 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
     equal = (a == b).sum(axis=-1)
-    # with fewer than half of the registers equal the ratio is far beyond SURE: it need not be computed
-    ok &= 2 * equal >= REGISTERS
+    ok &= 2 * equal >= REGISTERS            # else the ratio is far beyond SURE
     at = np.flatnonzero(ok)
-    if len(at):
-        larger = (a[at] > b[at]).sum(axis=-1) if a.ndim == b.ndim == 2 else (np.broadcast_to(a, b.shape)[at] > b[at]).sum(axis=-1)
-        same = equal[at]
-        n, m = np.broadcast_to(n, ok.shape)[at], np.broadcast_to(m, ok.shape)[at]
-        j, ratio = estimate(larger, REGISTERS - same - larger, same, n, m)
-        ok[at] = (j >= PERCENT / 100) | (ratio <= SURE)
+    if not len(at):
+        return ok
+    a = a[at] if a.ndim == 2 else a
+    larger, same = (a > b[at]).sum(axis=-1).astype(np.float64), equal[at].astype(np.float64)
+    smaller = REGISTERS - same - larger
+    n, m = np.broadcast_to(n, ok.shape)[at], np.broadcast_to(m, ok.shape)[at]
+    here = _at_threshold(larger, smaller, same, n, m)
+    free = sum(k * np.log(np.maximum(k, 1.0) / REGISTERS) for k in (larger, smaller, same))
+    u, v = n / (n + m), m / (n + m)
+    guess = np.minimum(same / REGISTERS, np.minimum(u / v, v / u))
+    far = (guess < PERCENT / 100) & (log_likelihood(guess, larger, smaller, same, u, v) - here > SURE)
+    passed = ~far
+    rest = np.flatnonzero(passed & (free - here > SURE))
+    if len(rest):
+        j, ratio = estimate(larger[rest], smaller[rest], same[rest], n[rest], m[rest])
+        passed[rest] = (j >= PERCENT / 100) | (ratio <= SURE)
+    ok[at] = passed
     return ok
 
 
