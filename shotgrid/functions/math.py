@@ -23,6 +23,12 @@ def hash_index(seed, draw, n) -> Column:
     return F.pmod(key, _col(n) if not isinstance(n, int) else F.lit(n))
 
 
+def keyed_uniform(seed, *parts) -> Column:
+    """Number in [0, 1) drawn from the key of ``parts``: 52 bits, so it is exact in every engine."""
+    key = F.conv(F.substring(sample_key(seed, *parts), 1, 13), 16, 10).cast("long")
+    return key.cast("double") / F.lit(float(1 << 52))
+
+
 def bce_with_logit(x, y) -> Column:
     """Stable binary cross-entropy with logit ``x`` and target ``y``."""
     x, y = _col(x).cast("double"), _col(y).cast("double")

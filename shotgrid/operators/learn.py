@@ -1,9 +1,7 @@
-"""Heads and context distillation over feature vectors (F1, F7, F8), as aggregates.
+"""Heads over feature vectors as aggregates (F1), and the context of the distillation sets (D3).
 
-A teacher gives every row soft labels from the evidence of two context examples (and, in the
-recursive form, of the current student).  The student is the soft centroid head
-``W_k = sum(q_k x) / sum(q_k)``, ``b_k = -|W_k|^2 / 2``: one weighted mean per class, computed by
-partial aggregation over any number of rows, models and sizes at once.
+A teacher's context is two drawn examples, one per class; its evidence is added to the teacher's logits.
+Students are fitted by ``operators.descent``.
 """
 
 from __future__ import annotations
@@ -78,15 +76,7 @@ def centroid_heads(df: DataFrame, keys: Sequence[str] = (), features: str = "fea
     return _head(weighted_means(df.withColumn("cls", F.col(label)), [*keys, "cls"], features), keys)
 
 
-def soft_students(soft: DataFrame, keys: Sequence[str], features: str = "features", q: str = "q") -> DataFrame:
-    """(keys, w, b): the soft centroid student of every group's soft labels."""
-    rows = soft.select(*keys, features, F.posexplode(q).alias("cls", "wt"))
-    return _head(weighted_means(rows, [*keys, "cls"], features, "wt"), keys)
-
-
 @dataclass(frozen=True)
 class DistillConfig:
-    """Batch sizes by model, temperature of the context evidence, rounds of the recursive form."""
+    """Batch sizes of the distillation sets by model (C11)."""
     batch_sizes: dict = field(default_factory=lambda: {"head-small": 4, "head-large": 2})
-    tau: float = 0.1
-    rounds: int = 3

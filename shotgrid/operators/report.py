@@ -84,13 +84,13 @@ def config_sums(df: DataFrame, metrics: Sequence[str] = REPORT_METRICS) -> DataF
     return df.groupBy(*CONFIG_KEYS).agg(*aggs)
 
 
-def distinct_keys(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
-    """Distinct values of each key in first-appearance order (``order_col`` = row
-    position in the log); long form ``(key, value, first_seen, ordinal)``, one scan."""
+def distinct_keys(df: DataFrame, keys: Sequence[str], position: str) -> DataFrame:
+    """Distinct values of each key in first-appearance order (``position`` = the row's place in the
+    log, see ``sinks.with_position``); long form ``(key, value, ordinal)``, one scan."""
     pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys])
-    out = df.select(order_col, F.inline(pairs)).groupBy("key", "value").agg(F.min(order_col).alias("first_seen"))
+    out = df.select(position, F.inline(pairs)).groupBy("key", "value").agg(F.min(position).alias("first_seen"))
     # one row per distinct key value: small
-    return out.withColumn("ordinal", F.row_number().over(Window.partitionBy("key").orderBy("first_seen", "value")))
+    return out.withColumn("ordinal", F.row_number().over(Window.partitionBy("key").orderBy("first_seen", "value"))).drop("first_seen")
 
 
 def axis_bounds(means: DataFrame, metrics: Sequence[str] = REPORT_METRICS, within: str = "model_name") -> DataFrame:

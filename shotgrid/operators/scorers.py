@@ -4,112 +4,89 @@ The reference scores prompts with a pre-trained causal language model restricted
 answers Yes / No.  Here a *scorer* is anything that turns prompt rows into per-choice
 scores on the executors:
 
-* ``CountScorer`` -- relational: corpus co-occurrence counts give each token a semantic
-  orientation towards each answer (smoothed PMI with the answer's seed words, Turney
-  2002); an in-context trial adds a multinomial naive-Bayes log likelihood learned from
-  that trial's demonstrations only (no parameter update, as in-context learning).
-  Everything is joins and aggregates, so it has an exact SQL oracle.
-* ``score_with`` -- any per-batch Python model (``Scorer`` protocol) via ``mapInPandas``
-  with its weights broadcast once per executor.
+* the count scorer -- relational: a conditional word model estimated on the corpus.  "Yes" is the
+  probability of the hypothesis' words given the premise, where a word comes from the premise with weight
+  ``beta`` and else from the corpus (backed off and smoothed); "No" is their probability by the corpus
+  alone.  The premise speaks for "Yes" as far as it predicts the hypothesis; no word list is involved.  An
+  in-context trial adds a multinomial naive-Bayes log likelihood learned from that trial's demonstrations
+  only (no parameter update, as in-context learning).  Everything is joins and aggregates, so it has an exact
+  SQL oracle.
+* the registry (U5) -- any per-batch Python model by (name, type): ``register`` a loader, ``load_scorer`` it,
+  and ``score_with`` it; its weights are measured, broadcast and made ready once per Python worker.
 
 UDF surface of the reference: batched map functions (U1) and filter predicates (U2)
 are built-in column expressions here; lifecycle callbacks (U4) are the telemetry table
-and its window queries; the metric callback (U3) is ``metrics.METRICS``; the model
-plug-in (U5) is ``score_with``.
+and its window queries; the metric callback (U3) is ``metrics.METRICS``.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotgrid.functions.text import answer_word, minimal_pattern, parse_answer
 from shotgrid.operators.tokens import tokens
 
-# Seed words of each answer (label 0 = "Yes", 1 = "No"); a parameter of the scorer.
-SEED_WORDS = {0: ["yes", "good", "the", "and"], 1: ["no", "bad", "de", "la"]}
 NB_VOCAB = 10_000  # additive-smoothing vocabulary size of the demo likelihood
 
 
 @dataclass(frozen=True)
 class CountModel:
     name: str
-    alpha: float   # smoothing of PMI and of the demo likelihood
+    alpha: float   # smoothing of the corpus' word probabilities and of the demo likelihood
     lam: float     # weight of the in-context likelihood
+    beta: float    # share of the hypothesis' words that come from the premise
 
 
-COUNT_MODELS = [CountModel("count-a", 1.0, 1.0), CountModel("count-b", 0.5, 2.0)]
-
-def _models_array(models: Sequence[CountModel]) -> Column:
-    return F.array(*[F.struct(F.lit(m.name).alias("model_name"), F.lit(float(m.alpha)).alias("alpha"),
-                              F.lit(float(m.lam)).alias("lam")) for m in models])
+COUNT_MODELS = [CountModel("count-a", 1.0, 1.0, 0.5), CountModel("count-b", 0.5, 2.0, 0.2)]
 
 
-TOTAL_KEY = ""   # never a token (tokens are non-empty [a-z] runs): carries the corpus totals
+def _models_array(models: Sequence[CountModel]) -> Column:
+    return F.array(*[F.struct(F.lit(m.name).alias("model_name"), F.lit(float(m.alpha)).alias("alpha"), F.lit(float(m.lam)).alias("lam"),
+                              F.lit(float(m.beta)).alias("beta")) for m in models])
 
 
 def needed_tokens(rows: DataFrame) -> DataFrame:
-    """Distinct tokens of the evaluation prompts."""
-    return rows.select(F.explode(tokens(minimal_pattern("premise", "hypothesis"))).alias("token")).distinct()
+    """Distinct tokens of the evaluation rows' hypotheses."""
+    return rows.select(F.explode(tokens("hypothesis")).alias("token")).distinct()
 
 
-def corpus_counts(corpus: DataFrame, seeds=SEED_WORDS, text: str = "text") -> DataFrame:
-    """Per-token document counts with each answer's seed words, in one pass over the
-    corpus: each document contributes its distinct tokens (deduplicated map-side, no
-    shuffle of token occurrences; the aggregation is partial before the shuffle) plus
-    one ``TOTAL_KEY`` entry whose counts are the corpus totals."""
-    # seed words present in a document, found by one regex pass: a word is a token iff
-    # it is a maximal [a-z] run of the lower-cased text
-    words = sorted(set(seeds[0]) | set(seeds[1]))
-    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit("(?<![a-z])(" + "|".join(words) + ")(?![a-z])"), 1)
-
-    def has_seed(c):
-        return F.exists(found, lambda w: w.isin(*seeds[c])).cast("long")
-    d = corpus.select(F.concat(F.array_distinct(tokens(text)), F.array(F.lit(TOTAL_KEY))).alias("toks"),
-                      has_seed(0).alias("h0"), has_seed(1).alias("h1"))
-    return d.select(F.explode("toks").alias("token"), "h0", "h1").groupBy("token") \
-            .agg(F.count(F.lit(1)).alias("n_w"), F.sum("h0").alias("n_w0"), F.sum("h1").alias("n_w1"))
+def corpus_counts(corpus: DataFrame, text: str = "text") -> DataFrame:
+    """(token, n): occurrences of every token of the corpus, in one pass (partial aggregation before the shuffle)."""
+    return corpus.select(F.explode(tokens(text)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def corpus_totals(counts: DataFrame, keep: DataFrame | None = None) -> tuple[DataFrame, dict]:
-    """Split a ``corpus_counts`` table into token rows (only those in ``keep``, when
-    given: a semi-join that AQE broadcasts after measuring the set) and the totals row."""
-    t = counts.filter(F.col("token") == TOTAL_KEY).first()
-    tot = {"N": int(t["n_w"]), "n0": int(t["n_w0"] or 0), "n1": int(t["n_w1"] or 0)} if t else {"N": 0, "n0": 0, "n1": 0}
-    rows = counts.filter(F.col("token") != TOTAL_KEY)
-    if keep is not None:
-        rows = rows.join(keep.select("token"), "token", "left_semi")
-    return rows, tot
-
-
-def orientation(cnt: DataFrame, tot: dict, models: Sequence[CountModel] = COUNT_MODELS) -> DataFrame:
-    """``(model_name, token, s0, s1)``: ``s_c = ln((n_wc+a)/(n_w+a)) - ln((n_c+a)/(N+a))``."""
-    m = cnt.select("*", F.explode(_models_array(models)).alias("m")).select("token", "n_w", "n_w0", "n_w1", "m.*")
-    a = F.col("alpha")
-    s = [F.log((F.col(f"n_w{c}") + a) / (F.col("n_w") + a)) - F.log((F.lit(tot[f"n{c}"]) + a) / (F.lit(tot["N"]) + a))
-         for c in (0, 1)]
-    return m.select("model_name", "token", s[0].alias("s0"), s[1].alias("s1"))
+    """(token rows, {N: occurrences, V: distinct tokens}); with ``keep`` only its tokens' rows (a
+    semi-join that AQE broadcasts after measuring the set)."""
+    t = counts.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("V")).first()
+    rows = counts if keep is None else counts.join(keep.select("token"), "token", "left_semi")
+    return rows, {"N": int(t["N"] or 0), "V": int(t["V"])}
 
 
-def prompt_tokens(rows: DataFrame, keys: Sequence[str], models: Sequence[CountModel] = COUNT_MODELS) -> DataFrame:
-    """Eval rows x models, exploded to their prompt tokens (a row without tokens keeps one
-    null token so it still gets a score)."""
-    return rows.select(*keys, F.explode(_models_array(models)).alias("m"),
-                       F.explode_outer(tokens(minimal_pattern("premise", "hypothesis"))).alias("token")) \
-               .select(*keys, "m.*", "token")
+def _word_counts(rows: DataFrame, keys: Sequence[str], text: str, name: str) -> DataFrame:
+    return rows.select(*keys, F.explode(tokens(text)).alias("token")).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias(name))
 
 
-def zero_shot_scores(rows: DataFrame, orient: DataFrame, keys: Sequence[str] = ("domain", "id", "label"),
+def zero_shot_scores(rows: DataFrame, counts: DataFrame, total: dict, keys: Sequence[str] = ("domain", "id", "label"),
                      models: Sequence[CountModel] = COUNT_MODELS) -> DataFrame:
-    """F2 zero-shot: per (model, row) the summed orientation towards each answer."""
-    pt = prompt_tokens(rows, keys, models)
-    j = pt.join(orient, ["model_name", "token"], "left")
-    return j.groupBy("model_name", *keys).agg(F.coalesce(F.sum("s0"), F.lit(0.0)).alias("score0"),
-                                              F.coalesce(F.sum("s1"), F.lit(0.0)).alias("score1"))
+    """F2 zero-shot: per (model, row) the log probability of the hypothesis with and without the premise.  A row
+    without words scores 0 on both."""
+    words = _word_counts(rows, keys, "hypothesis", "n_h").join(_word_counts(rows, keys, "premise", "n_p"), [*keys, "token"], "left") \
+        .join(counts.select("token", "n"), "token", "left")
+    words = words.select(*keys, "token", "n_h", F.coalesce("n_p", F.lit(0)).alias("n_p"), F.coalesce("n", F.lit(0)).alias("n"))
+    each = rows.select(*keys, F.size(tokens("premise")).alias("length"), F.explode(_models_array(models)).alias("m")).select(*keys, "length", "m.*")
+    j = each.join(words, list(keys), "left")
+    p = (F.col("n") + F.col("alpha")) / (F.lit(total["N"]) + F.col("alpha") * (total["V"] + 1))
+    given = F.col("beta") * F.col("n_p") / F.greatest(F.col("length"), F.lit(1)) + (1 - F.col("beta")) * p
+    return j.groupBy("model_name", *keys).agg(F.coalesce(F.sum(F.col("n_h") * F.log(given)), F.lit(0.0)).alias("score0"),
+                                              F.coalesce(F.sum(F.col("n_h") * F.log(p)), F.lit(0.0)).alias("score1"))
 
 
 def choose(df: DataFrame, label: str = "label") -> DataFrame:
@@ -159,14 +136,52 @@ def icl_scores(rows: DataFrame, demos: DataFrame, zs: DataFrame, cells: Sequence
 
 
 # ----------------------------------------------------------------- model plug-in
-Scorer = Callable[[pd.DataFrame], pd.DataFrame]
+WEIGHT_BYTES = 512 << 20        # weights that are broadcast at most
+
+
+@dataclass(frozen=True)
+class Scorer:
+    """A loaded model: its weights, ``prepare`` (weights -> model, once per Python worker), ``score`` (model, batch -> rows)
+    and the schema of the rows."""
+    weights: object
+    prepare: Callable[[object], object]
+    score: Callable[[object, pd.DataFrame], pd.DataFrame]
+    schema: str
+
 
+_LOADERS: dict[tuple[str, str], Callable[..., Scorer]] = {}
+_READY: dict[str, object] = {}
+
+
+def register(name: str, kind: str):
+    """Makes a loader ``(spark, **where) -> Scorer`` known as the model ``name`` of type ``kind``."""
+    def add(loader):
+        _LOADERS[name, kind] = loader
+        return loader
+
+    return add
+
+
+def load_scorer(spark: SparkSession, name: str, kind: str, **where) -> Scorer:
+    if (name, kind) not in _LOADERS:
+        raise ValueError(f"Model {name!r} of type {kind!r} is not supported; known: {sorted(_LOADERS)}")
+    return _LOADERS[name, kind](spark, **where)
+
+
+def score_with(df: DataFrame, scorer: Scorer, limit: int = WEIGHT_BYTES) -> DataFrame:
+    """Scores the rows of ``df`` batch by batch."""
+    size = len(pickle.dumps(scorer.weights))
+    if size > limit:
+        raise ValueError(f"weights of {size} bytes are above the limit of {limit} for a broadcast")
+    shared = df.sparkSession.sparkContext.broadcast(scorer.weights)
+    prepare, score, key = scorer.prepare, scorer.score, uuid.uuid4().hex
 
-def score_with(df: DataFrame, make_scorer: Callable[[], Scorer], schema: str) -> DataFrame:
-    """Generic per-batch scorer (U5): ``make_scorer`` runs once per task on the executor
-    (load weights from a broadcast), then scores Arrow batches."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = make_scorer()
+        from shotgrid.operators import scorers
+
+        if key not in scorers._READY:
+            scorers._READY[key] = prepare(shared.value)
         for b in batches:
-            yield scorer(b)
-    return df.mapInPandas(run, schema)
+            yield score(scorers._READY[key], b)
+
+    return df.mapInPandas(run, scorer.schema)

@@ -1,8 +1,8 @@
 """Tokens (E1-E4): a corpus vocabulary built by distributed counting, encoding by a
 broadcast lookup, padding/truncation and decoding as array expressions.
 
-Token rule: maximal runs of ``[a-z]`` in the lower-cased text (identical in Spark and
-DuckDB even for accented text, which splits tokens the same way in both).
+Token rule: maximal runs of letters of any script in the lower-cased text (the same rule in Spark
+and DuckDB).  Subword ids by a pre-trained vocabulary are in ``operators.subword``.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TOKEN_PATTERN = "[a-z]+"
+TOKEN_PATTERN = r"\p{L}+"
 PAD, UNK, EOS = 0, 1, 2
 N_SPECIAL = 3
 

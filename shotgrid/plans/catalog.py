@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_pairs", "q_report", "q_signals", "q_models", "q_learn"]
+_MODULES = ["q_pairs", "q_report", "q_signals", "q_models", "q_learn", "q_descent"]
 
 
 def _load():

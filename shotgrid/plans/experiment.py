@@ -1,9 +1,10 @@
-"""Experiment plans: zero-shot (F3), in-context learning (F4) and the grid of all
-count-scored methods (F10), each one Spark job over all models and trials at once."""
+"""Experiment plans: zero-shot (F3), in-context learning (F4) and the grid of all six
+methods (F10), each over all models and trials at once."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from shotgrid.operators import metrics as M
 from shotgrid.operators import sampling as S
 from shotgrid.operators import scorers as SC
 from shotgrid.operators import report as R
-from shotgrid.schemas import EVAL_SIZE, NUM_TRIALS, SAMPLE_SIZES, SEED, metrics_schema
+from shotgrid.operators.tokens import TOKEN_PATTERN
+from shotgrid.schemas import EVAL_SIZE, NUM_TRIALS, SAMPLE_SIZES, SEED, TRAINED_METHODS, TRAINING_METRICS
 from shotgrid.session import cut_lineage, fresh_path
 from shotgrid.sources import sinks
 from shotgrid.sources import datasets as D
@@ -35,15 +37,9 @@ def quality_sets(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 def corpus_model(spark, sf) -> DataFrame:
     """The count scorer's 'pre-trained model': corpus statistics, built once per corpus
-    and seed words and then loaded (as the reference loads a downloaded model)."""
+    and then loaded (as the reference loads a downloaded model)."""
     corpus = V.corpus(spark, sf)
-    return D.materialized(spark, "corpus_counts", sorted(SC.SEED_WORDS.items()), corpus, lambda: SC.corpus_counts(corpus))
-
-
-def orientation_table(spark, sf, ev: DataFrame, models=SC.COUNT_MODELS) -> DataFrame:
-    """Token orientations of the tokens that occur in the evaluation prompts."""
-    cnt, tot = SC.corpus_totals(corpus_model(spark, sf), keep=SC.needed_tokens(ev))
-    return SC.orientation(cnt, tot, models)
+    return D.materialized(spark, "corpus_counts", [TOKEN_PATTERN], corpus, lambda: SC.corpus_counts(corpus))
 
 
 def _zs_metrics(choices: DataFrame) -> DataFrame:
@@ -59,11 +55,10 @@ def _icl_metrics(choices: DataFrame) -> DataFrame:
 
 
 def _shared(spark, sf, models):
-    """Pieces every count-scored method uses, built once: the pool, the evaluation rows,
-    the token orientations (one corpus pass, checkpointed) and the zero-shot scores."""
+    """Pieces every count-scored method uses, built once: the pool, the evaluation rows
+    and the zero-shot scores (corpus counts of the words that occur in the evaluation rows)."""
     pool, ev = quality_sets(spark, sf)
-    orient = orientation_table(spark, sf, ev, models)
-    return pool, ev, SC.zero_shot_scores(ev, orient, _KEYS, models)
+    return pool, ev, SC.zero_shot_scores(ev, *SC.corpus_totals(corpus_model(spark, sf), keep=SC.needed_tokens(ev)), _KEYS, models)
 
 
 def _icl_choices(pool, ev, zs, models, cells) -> DataFrame:
@@ -92,17 +87,22 @@ def icl_eval(spark, sf, models=SC.COUNT_MODELS, cells: Sequence[tuple[int, int]]
 
 
 def experiment_grid(spark, sf, models=SC.COUNT_MODELS, cells: Sequence[tuple[int, int]] = CELLS) -> DataFrame:
-    """models x methods x sizes x trials, one metrics row per trial, through the metric
-    logs (A4), their union (H1) and the combined log (A7), and read back (A6).  The methods
-    share the evaluation rows, the corpus statistics and the zero-shot scores; columns that
-    only a timed GPU run can fill are null."""
+    """all six methods, one metrics row per model, size and trial, through the metric logs (A4), their union (H1)
+    and the combined log (A7), and read back (A6).  Zero-shot and in-context scoring share the evaluation rows,
+    the corpus statistics and the zero-shot scores; columns that only a timed GPU run can fill are null."""
+    from shotgrid.plans.q_descent import Fits, context_distill
     pool, ev, zs = _shared(spark, sf, models)
     results = {"zeroshot": _zs_metrics(SC.choose(zs)), "icl": _icl_metrics(_icl_choices(pool, ev, zs, models, cells))}
+    # the learners' jobs are small and each waits for its last step: submitted side by side
+    learners = {**{method: (lambda m=method: Fits(spark, sf, m).metrics()) for method in TRAINED_METHODS},
+                "context_distillation": lambda: context_distill(spark, sf), "recursive_context_distillation": lambda: context_distill(spark, sf, True)}
+    with ThreadPoolExecutor(len(learners)) as pool_:
+        results |= dict(zip(learners, pool_.map(lambda f: f(), learners.values()), strict=True))
     rows = None
     for method, df in results.items():
         have = set(df.columns)
-        full = df.select(*[F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
-                           for f in metrics_schema(method).fields], F.lit(method).alias("finetuning_method"))
+        full = df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in TRAINING_METRICS.fields],
+                         F.lit(method).alias("finetuning_method"))
         rows = full if rows is None else rows.unionByName(full)
     folder = fresh_path(spark, "grid")
     logs = sinks.read_logs(spark, sinks.write_logs(rows, folder, "final"))

@@ -1,23 +1,20 @@
-"""Registered queries: classification heads, context distillation (plain and recursive),
-parameter save and load."""
+"""Registered queries: classification heads, parameter save and load."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotgrid.functions.math import argmax, bce_with_logit, log_softmax, sample_key, softmax
+from shotgrid.functions.math import argmax, bce_with_logit
 from shotgrid.operators import learn as L
 from shotgrid.operators import sampling as S
 from shotgrid.plans.q_report import round_doubles
-from shotgrid.schemas import LARGE_SAMPLE_SIZE, NUM_TRIALS, SAMPLE_SIZES, SEED
-from shotgrid.session import cut_lineage, fresh_path
+from shotgrid.schemas import NUM_TRIALS, SAMPLE_SIZES, SEED
+from shotgrid.session import fresh_path
 from shotgrid.sources import sinks
 from shotgrid.sources.views import vec_points, with_views
 
-LARGE_SAMPLE = 128   # what the queries pass as large_sample_size (the feature pool has 200 rows at sf0.01)
-DCFG = L.DistillConfig()
-HEAD_MODELS = sorted(DCFG.batch_sizes)
+HEAD_MODELS = sorted(L.DistillConfig().batch_sizes)
 KEYS = ["model_name", "sample_size"]
 
 
@@ -70,22 +67,6 @@ def q_params_roundtrip(spark, sf):
     return round_doubles(sinks.load_params(spark, path, HEAD_MODELS[0], 16, 0))
 
 
-# ---------------------------------------------------------------------------- F7 / F8
-def _distill_rows(spark, sf, large_sample_size: int) -> DataFrame:
-    """Distillation sets (C6) per model with batch keys (C10, C11) and teacher contexts."""
-    pool, _ = vec_sets(spark, sf)
-    small = S.trial_grid(pool, [16], 1, SEED).select("sample_size", "rn", "id")
-    big = S.sample_n(pool.select("id"), large_sample_size, SEED, "large") \
-        .withColumn("h", sample_key(SEED, F.lit("large"), F.col("id")))
-    big = S.dense_index(big, ["h", "id"]).select(F.lit(large_sample_size).alias("sample_size"),
-                                                 (F.col("idx") + 1).cast("int").alias("rn"), "id")
-    bs = F.create_map(*[F.lit(x) for kv in DCFG.batch_sizes.items() for x in kv])[F.col("model_name")]
-    rows = _each_model(small.unionByName(big)).join(pool, "id").withColumn(
-        "batch_key", F.concat_ws("|", "model_name", F.col("sample_size").cast("string"),
-                                 F.floor((F.col("rn") - 1) / bs).cast("string")))
-    return cut_lineage(rows.join(L.draw_context_examples(rows, pool, SEED), "batch_key"))
-
-
 def evaluate_students(ev: DataFrame, students: DataFrame) -> DataFrame:
     """Evaluation with no context of every student at once: hard prediction, G2 loss and
     accuracy per domain.  There is one student per (model, size) of the experiment, whatever the
@@ -100,103 +81,16 @@ def evaluate_students(ev: DataFrame, students: DataFrame) -> DataFrame:
                      ((F.col("predicted") == F.col("label")).cast("double"), "accuracy"))])
 
 
-def context_distill(spark, sf, recursive: bool = False, large_sample_size: int = LARGE_SAMPLE_SIZE) -> DataFrame:
-    """F7 / F8.  Round r: teacher = context evidence (+ the current student, recursive), soft
-    labels in one pass, all students as one aggregation, written to the shared folder (the next
-    round starts from the written copy), all students evaluated in one job."""
-    _, ev = vec_sets(spark, sf)
-    rows = _distill_rows(spark, sf, large_sample_size)
-    ctx = L.context_logits(F.col("features"), F.col("ctx0"), F.col("ctx1"), DCFG.tau)
-    state = fresh_path(spark, "distill_state")
-    students = results = None
-    for r in range(1, (DCFG.rounds if recursive else 1) + 1):
-        teacher = rows.withColumn("t", ctx)
-        if recursive and students is not None:
-            teacher = rows.join(students, KEYS).withColumn("t", F.zip_with(
-                L.head_logits(F.col("features"), F.col("w"), F.col("b")), ctx, lambda a, c: a + c)).drop("w", "b")
-        soft = teacher.select(*KEYS, "features", softmax("t").alias("q"))
-        L.soft_students(soft, KEYS).write.parquet(f"{state}/round={r}")
-        students = spark.read.parquet(f"{state}/round={r}")
-        fit = soft.join(students, KEYS).withColumn("lq", log_softmax(L.head_logits(F.col("features"), F.col("w"), F.col("b"))))
-        kl = F.aggregate(F.zip_with("q", "lq", lambda p, lq: F.when(p > 0, p * (F.log(p) - lq)).otherwise(0.0)),
-                         F.lit(0.0), lambda acc, v: acc + v)
-        res = fit.groupBy(*KEYS).agg(F.avg(kl).alias("kl"), F.count(F.lit(1)).alias("n")) \
-                 .join(evaluate_students(ev, students), KEYS).withColumn("round", F.lit(r))
-        results = res if results is None else results.unionByName(res)
-    return results
-
-
-def q_context_distill(spark, sf):
-    return round_doubles(context_distill(spark, sf, False, LARGE_SAMPLE).drop("round"))
-
-
-def q_recursive_distill(spark, sf):
-    return round_doubles(context_distill(spark, sf, True, LARGE_SAMPLE))
-
-
 QUERIES = {
     "score_head": q_score_head,
-    "context_distill": q_context_distill,
-    "recursive_distill": q_recursive_distill,
     "params_roundtrip": q_params_roundtrip,
 }
 
 # --------------------------------------------------------------------------- oracle SQL
-_BATCH = " ".join(f"WHEN '{m}' THEN {n}" for m, n in DCFG.batch_sizes.items())
 _POOL = "pool AS (SELECT id, features, y FROM vec_points WHERE split = 'train' AND domain = 'in')"
 _TRIAL = f"""t16 AS (SELECT id, features, y, row_number() OVER (ORDER BY md5(concat_ws('|', '{SEED}', 16, 0, id)), id) AS rn
             FROM pool QUALIFY rn <= 16)"""
-_ROWS = f"""{_POOL}, {_TRIAL},
-big AS (SELECT id, features, y, row_number() OVER (ORDER BY md5(concat_ws('|', '{SEED}', 'large', id)), id) AS rn
-        FROM pool QUALIFY rn <= {LARGE_SAMPLE}),
-sets AS (SELECT 16 AS sample_size, * FROM t16 UNION ALL SELECT {LARGE_SAMPLE}, * FROM big),
-keyed AS (SELECT m.model_name, s.*, concat_ws('|', m.model_name, sample_size,
-                 CAST(floor((rn - 1) / CASE m.model_name {_BATCH} END) AS BIGINT)) AS batch_key
-          FROM sets s, (VALUES {", ".join(f"('{m}')" for m in HEAD_MODELS)}) m(model_name)),
-idx AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY y) AS n FROM pool),
-ctx AS (SELECT b.batch_key, idx.y, idx.features FROM (SELECT DISTINCT batch_key FROM keyed) b JOIN idx
-        ON idx.i = CAST('0x' || substr(md5(concat_ws('|', '{SEED}', concat_ws('|', 'context', b.batch_key, idx.y))), 1, 15) AS BIGINT) % idx.n),
-d AS (SELECT k.*, -pow(list_distance(k.features, c0.features), 2) / {DCFG.tau} AS e0,
-             -pow(list_distance(k.features, c1.features), 2) / {DCFG.tau} AS e1
-      FROM keyed k JOIN ctx c0 ON k.batch_key = c0.batch_key AND c0.y = 0 JOIN ctx c1 ON k.batch_key = c1.batch_key AND c1.y = 1)"""
-_BCE = "(greatest(CAST(p AS DOUBLE), 0) - p * y + ln(1 + exp(-abs(CAST(p AS DOUBLE)))))"
-
-
-def _round_sql(r: int, recursive: bool) -> str:
-    """The CTEs of one round: soft labels, students, KL and evaluation."""
-    if r > 1 and recursive:
-        teacher = (f"SELECT d.*, list_inner_product(features, s.w0) + s.b0 + e0 AS t0, list_inner_product(features, s.w1) + s.b1 + e1 AS t1 "
-                   f"FROM d JOIN st{r - 1} s USING (model_name, sample_size)")
-    else:
-        teacher = "SELECT d.*, e0 AS t0, e1 AS t1 FROM d"
-    mean = " , ".join(f"sum(q{k} * x) / sum(q{k}) AS w{k}" for k in (0, 1))
-    return f"""
-q{r} AS (SELECT *, 1 / (1 + exp(t1 - t0)) AS q0, 1 / (1 + exp(t0 - t1)) AS q1 FROM ({teacher})),
-w{r} AS (SELECT model_name, sample_size, j, {mean} FROM (
-         SELECT model_name, sample_size, q0, q1, unnest(features) AS x, unnest(range(len(features))) AS j FROM q{r}) GROUP BY ALL),
-st{r} AS (SELECT model_name, sample_size, list(w0 ORDER BY j) AS w0, list(w1 ORDER BY j) AS w1,
-                 -0.5 * sum(w0 * w0) AS b0, -0.5 * sum(w1 * w1) AS b1 FROM w{r} GROUP BY ALL),
-l{r} AS (SELECT q.*, list_inner_product(features, w0) + b0 AS l0, list_inner_product(features, w1) + b1 AS l1
-         FROM q{r} q JOIN st{r} USING (model_name, sample_size)),
-k{r} AS (SELECT model_name, sample_size, avg(q0 * (ln(q0) + ln(1 + exp(l1 - l0))) + q1 * (ln(q1) + ln(1 + exp(l0 - l1)))) AS kl,
-                count(*) AS n FROM l{r} GROUP BY ALL),
-p{r} AS (SELECT model_name, sample_size, v.domain, v.y, CAST(list_inner_product(features, w1) + b1 > list_inner_product(features, w0) + b0 AS INTEGER) AS p
-         FROM vec_points v, st{r} WHERE v.split = 'validation'),
-r{r} AS (SELECT model_name, sample_size, round(any_value(kl), 6) AS kl, any_value(n) AS n, {", ".join(
-        f"round(avg(CASE WHEN domain = '{dom}' THEN {_BCE} END), 6) AS eval_{dom}_loss, "
-        f"round(avg(CASE WHEN domain = '{dom}' THEN CAST(p = y AS DOUBLE) END), 6) AS eval_{dom}_accuracy" for dom in ("in", "out"))}
-         FROM p{r} JOIN k{r} USING (model_name, sample_size) GROUP BY ALL)"""
-
-
-def _distill_sql(rounds: int, recursive: bool) -> str:
-    ctes = ",".join(_round_sql(r, recursive) for r in range(1, rounds + 1))
-    last = " UNION ALL ".join(f"SELECT *{f', {r} AS round' if recursive else ''} FROM r{r}" for r in range(1, rounds + 1))
-    return with_views("vec_points") + f", {_ROWS},{ctes} {last}"
-
-
 SQL = {
-    "context_distill": _distill_sql(1, False),
-    "recursive_distill": _distill_sql(DCFG.rounds, True),
     "params_roundtrip": with_views("vec_points") + f""", {_POOL}, {_TRIAL},
 w AS (SELECT y AS i, j, avg(x) AS value FROM (SELECT y, unnest(features) AS x, unnest(range(len(features))) AS j FROM t16) GROUP BY ALL),
 a AS (SELECT 'W' AS layer, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, value FROM w

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shotgrid.functions.text import minimal_pattern
+from shotgrid.operators import subword as SW
 from shotgrid.operators import tokens as TK
 from shotgrid.plans import experiment as X
+from shotgrid.plans import q_descent
 from shotgrid.plans.q_report import round_doubles
 from shotgrid.schemas import ANSWER_VERBALISER, EVAL_SIZE, MAX_LENGTH, SEED, TRAINING_METRICS
-from shotgrid.operators.scorers import COUNT_MODELS, NB_VOCAB, SEED_WORDS
+from shotgrid.operators.scorers import COUNT_MODELS, NB_VOCAB
 from shotgrid.sources import datasets as D
 from shotgrid.sources import views as V
 
-VOCAB = 1000            # size parameter of the vocabulary
+VOCAB = 65_536          # size parameter of the vocabulary
 MAX_LEN = MAX_LENGTH
 ANSWERS = [w.lower() for w in ANSWER_VERBALISER]      # always in the vocabulary (E4)
 
@@ -73,6 +75,14 @@ def q_experiment_grid(spark, sf):
     return round_doubles(X.experiment_grid(spark, sf))
 
 
+def q_subword_roundtrip(spark, sf):
+    """E1 with a pre-trained subword vocabulary: every text encoded to ids and decoded back."""
+    docs = V.corpus(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    ids = SW.encode(docs, SW.default_file(), "text", "ids")
+    back = SW.decode(ids, SW.default_file(), "ids", "decoded")
+    return back.select("id", F.length("decoded").cast("long").alias("n_chars"), F.md5("decoded").alias("text_md5"))
+
+
 def q_answer_choices(spark, sf):
     """Ids of the allowed answers in the corpus vocabulary."""
     return TK.choice_ids(vocab(spark, sf), ANSWERS)
@@ -80,6 +90,7 @@ def q_answer_choices(spark, sf):
 
 QUERIES = {
     "answer_choices": q_answer_choices,
+    "subword_roundtrip": q_subword_roundtrip,
     "build_vocab": q_build_vocab,
     "encode_tokens": q_encode_tokens,
     "pad_truncate": q_pad_truncate,
@@ -91,7 +102,7 @@ QUERIES = {
 }
 
 # --------------------------------------------------------------------------- oracle SQL
-_TOK = "regexp_extract_all(lower({}), '[a-z]+')"
+_TOK = "regexp_extract_all(lower({}), '" + TK.TOKEN_PATTERN.replace("{", "{{").replace("}", "}}") + "')"
 _VOCAB = f"""vn AS (SELECT token, count(*) AS n FROM (SELECT unnest({_TOK.format('text')}) AS token FROM documents) GROUP BY token),
 v AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) - 1 + 3 AS INTEGER) AS token_id, n FROM (
     SELECT token, max(n) AS n FROM (
@@ -125,19 +136,11 @@ def _pad(side: str, what: str) -> str:
     return f"array_to_string(list_concat({parts[0]}, {parts[1]}), ' ')"
 
 
-_SEEDS = {c: "[" + ", ".join(f"'{w}'" for w in SEED_WORDS[c]) + "]" for c in (0, 1)}
-_MODELS = ", ".join(f"('{m.name}', CAST({m.alpha} AS DOUBLE), CAST({m.lam} AS DOUBLE))" for m in COUNT_MODELS)
+_MODELS = ", ".join(f"('{m.name}', CAST({m.alpha} AS DOUBLE), CAST({m.lam} AS DOUBLE), CAST({m.beta} AS DOUBLE))" for m in COUNT_MODELS)
 _MD5 = "md5(concat_ws('|', '{seed}', 'q_eval', '{dom}', id))"
-_SCORER = f"""d AS (SELECT toks, CAST(list_has_any(toks, {_SEEDS[0]}) AS BIGINT) AS h0,
-                  CAST(list_has_any(toks, {_SEEDS[1]}) AS BIGINT) AS h1
-           FROM (SELECT list_distinct({_TOK.format('text')}) AS toks FROM documents)),
-tot AS (SELECT count(*) AS "N", sum(h0) AS n0, sum(h1) AS n1 FROM d),
-cnt AS (SELECT token, count(*) AS n_w, sum(h0) AS n_w0, sum(h1) AS n_w1 FROM (SELECT unnest(toks) AS token, h0, h1 FROM d) GROUP BY token),
-models AS (SELECT * FROM (VALUES {_MODELS}) m(model_name, alpha, lam)),
-orient AS (SELECT m.model_name, c.token,
-                  ln((c.n_w0 + m.alpha) / (c.n_w + m.alpha)) - ln((tot.n0 + m.alpha) / (tot."N" + m.alpha)) AS s0,
-                  ln((c.n_w1 + m.alpha) / (c.n_w + m.alpha)) - ln((tot.n1 + m.alpha) / (tot."N" + m.alpha)) AS s1
-           FROM cnt c, models m, tot),
+_SCORER = f"""cnt AS (SELECT token, count(*) AS n FROM (SELECT unnest({_TOK.format('text')}) AS token FROM documents) GROUP BY token),
+tot AS (SELECT CAST(sum(n) AS BIGINT) AS "N", count(*) AS "V" FROM cnt),
+models AS (SELECT * FROM (VALUES {_MODELS}) m(model_name, alpha, lam, beta)),
 ev AS (SELECT * FROM (SELECT 'in' AS domain, id, label, premise, hypothesis FROM quality_pairs
                       WHERE domain = 'in' AND split = 'validation'
                       ORDER BY {_MD5.format(seed=SEED, dom='in')}, id LIMIT {EVAL_SIZE})
@@ -147,8 +150,14 @@ ev AS (SELECT * FROM (SELECT 'in' AS domain, id, label, premise, hypothesis FROM
 pt AS (SELECT m.model_name, m.alpha, m.lam, e.domain, e.id, e.label,
               unnest(CASE WHEN len(e.toks) = 0 THEN [NULL] ELSE e.toks END) AS token
        FROM (SELECT *, {_TOK.format("premise || ' ' || hypothesis || '?'")} AS toks FROM ev) e, models m),
-zs AS (SELECT pt.model_name, pt.domain, pt.id, pt.label, coalesce(sum(o.s0), 0) AS score0, coalesce(sum(o.s1), 0) AS score1
-       FROM pt LEFT JOIN orient o ON pt.model_name = o.model_name AND pt.token = o.token GROUP BY ALL)"""
+hw AS (SELECT domain, id, token, count(*) AS n_h FROM (SELECT domain, id, unnest({_TOK.format('hypothesis')}) AS token FROM ev) GROUP BY ALL),
+pw AS (SELECT domain, id, token, count(*) AS n_p FROM (SELECT domain, id, unnest({_TOK.format('premise')}) AS token FROM ev) GROUP BY ALL),
+wd AS (SELECT m.model_name, e.domain, e.id, e.label, h.n_h, m.beta, coalesce(p.n_p, 0) / greatest(len({_TOK.format('e.premise')}), 1) AS share,
+              (coalesce(c.n, 0) + m.alpha) / (tot."N" + m.alpha * (tot."V" + 1)) AS p
+       FROM ev e CROSS JOIN models m CROSS JOIN tot LEFT JOIN hw h ON h.domain = e.domain AND h.id = e.id
+       LEFT JOIN pw p ON p.domain = h.domain AND p.id = h.id AND p.token = h.token LEFT JOIN cnt c ON c.token = h.token),
+zs AS (SELECT model_name, domain, id, label, coalesce(sum(n_h * ln(beta * share + (1 - beta) * p)), 0) AS score0, coalesce(sum(n_h * ln(p)), 0) AS score1
+       FROM wd GROUP BY ALL)"""
 
 
 def _choose(src: str) -> str:
@@ -198,12 +207,29 @@ _ZSM = f"""zch AS ({_choose('zs')}),
 zsm AS (SELECT model_name, CAST(sum(CASE WHEN domain = 'in' THEN 1 ELSE 0 END) AS INTEGER) AS sample_size, {_dm('')}
         FROM zch GROUP BY model_name)"""
 
-_MEASURED = ("model_name", "sample_size", "eval_in_loss", "eval_in_accuracy", "eval_out_loss", "eval_out_accuracy")
-_LOG = ", ".join(f.name if f.name in _MEASURED else f"CAST(NULL AS DOUBLE) AS {f.name}" for f in TRAINING_METRICS.fields)
+
+
+def _log(measured: tuple[str, ...]) -> str:
+    return ", ".join(f"CAST({f.name} AS DOUBLE) AS {f.name}" if f.name in measured and f.name.startswith(("train", "epoch", "eval")) else
+                     f.name if f.name in measured else f"CAST(NULL AS DOUBLE) AS {f.name}" for f in TRAINING_METRICS.fields)
+
+
+_SCORES = ("model_name", "sample_size", "eval_in_loss", "eval_in_accuracy", "eval_out_loss", "eval_out_accuracy")
+
+
+def _grid_sql() -> str:
+    parts = [f"SELECT {_log(_SCORES)}, '{m}' AS finetuning_method FROM ({V.with_views('quality_pairs')}, {_SCORER}, {_ZSM}, {_ICL} SELECT * FROM {t})"
+             for m, t in (("zeroshot", "zsm"), ("icl", "icl"))]
+    for m, q in (("fewshot", "fewshot_fit"), ("fewshot_lora", "lora_fit"), ("context_distillation", "context_distill"),
+                 ("recursive_context_distillation", "recursive_distill")):
+        parts.append(f"SELECT {_log((*_SCORES, 'train_loss', 'epoch') if 'fewshot' in m else _SCORES)}, '{m}' AS finetuning_method FROM ({q_descent.SQL[q]})")
+    return " UNION ALL ".join(parts)
+
 
 SQL = {
     "answer_choices": f"WITH {_VOCAB} SELECT token, token_id FROM v WHERE token IN ('yes', 'no')",
     "build_vocab": f"WITH {_VOCAB} SELECT token, token_id, n FROM v",
+    "subword_roundtrip": "SELECT doc_id AS id, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS text_md5 FROM documents",
     "encode_tokens": f"WITH {_VOCAB}, {_DOCS}, {_encode('docs', 'text', 'enc')} "
                      "SELECT id, CAST(len(ids) AS INTEGER) AS n_tokens, array_to_string(ids, ' ') AS ids FROM enc",
     "pad_truncate": V.with_views("nli_pairs") + f", {_VOCAB}, {_PROMPTS}, {_encode('prompts', 'text', 'enc')} "
@@ -222,7 +248,5 @@ SQL = {
                      "generated, CAST(predicted AS INTEGER) AS predicted FROM ch",
     "zero_shot": V.with_views("quality_pairs") + f", {_SCORER}, {_ZSM} SELECT * FROM zsm",
     "icl_eval": V.with_views("quality_pairs") + f", {_SCORER}, {_ICL} SELECT * FROM icl",
-    "experiment_grid": V.with_views("quality_pairs") + f", {_SCORER}, {_ZSM}, {_ICL} "
-                       f"SELECT {_LOG}, 'zeroshot' AS finetuning_method FROM zsm UNION ALL "
-                       f"SELECT {_LOG}, 'icl' AS finetuning_method FROM icl",
+    "experiment_grid": _grid_sql(),
 }

@@ -17,7 +17,6 @@ from shotgrid.schemas import (EVAL_SIZE, LARGE_SAMPLE_SIZE, MODEL_NAMES, NUM_TRI
 from shotgrid.sources import datasets as D
 from shotgrid.sources.views import as_pairs, nli_pairs, nli_rows, sql_text, with_views
 
-LARGE_SAMPLE = 256      # what the queries pass as large_sample_size: the test tables hold fewer rows than 4096
 N_DRAWS = 100           # positions drawn with replacement
 CELLS = [(s, t) for s in SAMPLE_SIZES for t in range(NUM_TRIALS)]
 
@@ -138,8 +137,10 @@ def q_sample_per_label(spark, sf):
 
 
 def distill_sets(spark, sf, large_sample_size: int = LARGE_SAMPLE_SIZE) -> DataFrame:
-    """The first 16-shot trial and a fresh large sample, as (sample_size, rn, id)."""
+    """The first 16-shot trial and a fresh large sample, as (sample_size, rn, id).  Where the pool has
+    fewer than ``large_sample_size`` rows, all of them are the large sample."""
     train, _ = D.in_domain_rows(spark, sf)
+    large_sample_size = min(large_sample_size, train.count())
     small = trials(spark, sf).filter((F.col("sample_size") == 16) & (F.col("trial") == 0)) \
         .select("sample_size", "rn", "id")
     big = S.sample_n(train.select("id"), large_sample_size, SEED, "large") \
@@ -150,14 +151,21 @@ def distill_sets(spark, sf, large_sample_size: int = LARGE_SAMPLE_SIZE) -> DataF
 
 
 def q_distill_sets(spark, sf):
-    return distill_sets(spark, sf, LARGE_SAMPLE)
+    return distill_sets(spark, sf)
 
 
 def q_validation_subset(spark, sf):
+    """Few-shot fits are validated on rows of the in-domain evaluation sample."""
     ein, _ = eval_sets(spark, sf)
     return S.validation_subset(ein, SEED, "val").select("id", "label")
 
 
+def q_validation_subset_out(spark, sf):
+    """Low-rank fits are validated on rows of the out-of-domain evaluation sample."""
+    _, eout = eval_sets(spark, sf)
+    return S.validation_subset(eout, SEED, "val").select("id", "label")
+
+
 def q_sample_with_replacement(spark, sf):
     _, val = _clean(spark, sf)
     out = D.out_domain(spark, sf)
@@ -202,7 +210,7 @@ def distill_batches(spark, sf, large_sample_size: int = LARGE_SAMPLE_SIZE) -> Da
 
 def q_teacher_context(spark, sf):
     train, _ = D.in_domain_rows(spark, sf)
-    return P.teacher_contexts(distill_batches(spark, sf, LARGE_SAMPLE), train, SEED, batch_col="batch_key")
+    return P.teacher_contexts(distill_batches(spark, sf), train, SEED, batch_col="batch_key")
 
 
 def q_icl_prompts(spark, sf):
@@ -220,7 +228,7 @@ def training_schedule(spark, sf) -> DataFrame:
         .select(F.lit("fewshot").alias("method"), models, "sample_size", "trial", "n") \
         .withColumn("batch_size", batch_size_rule("model_name", "sample_size")) \
         .withColumn("epochs", F.lit(40)).withColumn("warmup_ratio", F.lit(0.1)).withColumn("base_lr", F.lit(1e-5))
-    dst = distill_sets(spark, sf, LARGE_SAMPLE).groupBy("sample_size").agg(F.count(F.lit(1)).alias("n")) \
+    dst = distill_sets(spark, sf).groupBy("sample_size").agg(F.count(F.lit(1)).alias("n")) \
         .select(F.lit("context_distillation").alias("method"), models, "sample_size", F.lit(0).alias("trial"), "n") \
         .withColumn("batch_size", distill_batch_size("model_name")) \
         .withColumn("epochs", F.lit(1)).withColumn("warmup_ratio", F.lit(0.0)).withColumn("base_lr", F.lit(5e-5))
@@ -252,6 +260,7 @@ QUERIES = {
     "sample_per_label": q_sample_per_label,
     "distill_sets": q_distill_sets,
     "validation_subset": q_validation_subset,
+    "validation_subset_out": q_validation_subset_out,
     "sample_with_replacement": q_sample_with_replacement,
     "head_n": q_head_n,
     "micro_batches": q_micro_batches,
@@ -267,9 +276,9 @@ _CTX = f"""contexts AS (
          string_agg({_DEMO}, '' ORDER BY t.rn) AS context
   FROM trials t JOIN clean_train c ON t.id = c.id GROUP BY t.sample_size, t.trial)"""
 _DISTILL = f"""big AS (SELECT id, CAST(row_number() OVER (ORDER BY {_md5(f"'{SEED}'", "'large'", 'id')}, id) AS INTEGER) AS rn
-               FROM clean_train ORDER BY {_md5(f"'{SEED}'", "'large'", 'id')}, id LIMIT {LARGE_SAMPLE}),
+               FROM clean_train ORDER BY {_md5(f"'{SEED}'", "'large'", 'id')}, id LIMIT {LARGE_SAMPLE_SIZE}),
 distill AS (SELECT sample_size, rn, id FROM trials WHERE sample_size = 16 AND trial = 0
-            UNION ALL SELECT {LARGE_SAMPLE} AS sample_size, rn, id FROM big)"""
+            UNION ALL SELECT CAST((SELECT least({LARGE_SAMPLE_SIZE}, count(*)) FROM clean_train) AS INTEGER) AS sample_size, rn, id FROM big)"""
 
 _TEACHER = " || ".join([
     sql_text(TEACHER_QUESTION), sql_text(TEACHER_EXAMPLE_INPUT), "cp", "' '", "ch", sql_text("?\n"),
@@ -320,9 +329,9 @@ SQL = {
         SELECT label, id, row_number() OVER (PARTITION BY label
                ORDER BY {_md5(f"'{SEED}'", "'per_label'", 'label', 'id')}, id) AS rn FROM clean_train) WHERE rn <= 3""",
     "distill_sets": _pre(_TRIALS, _DISTILL) + "SELECT sample_size, rn, id FROM distill",
-    "validation_subset": _pre(_EVAL) +
-        f"SELECT id, label FROM eval_in ORDER BY {_md5(f"'{SEED}'", "'val'", 'id')}, id LIMIT "
-        f"(SELECT CASE WHEN count(*) >= 50 THEN 10 ELSE count(*) END FROM eval_in)",
+    **{name: _pre(_EVAL) + f"SELECT id, label FROM {rows} ORDER BY {_md5(repr(str(SEED)), repr('val'), 'id')}, id LIMIT "
+       f"(SELECT CASE WHEN count(*) >= 50 THEN 10 ELSE count(*) END FROM {rows})"
+       for name, rows in (("validation_subset", "eval_in"), ("validation_subset_out", "eval_out"))},
     "sample_with_replacement": _pre(
         "vi AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM clean_val)",
         "vo AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM out_lo)",

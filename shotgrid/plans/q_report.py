@@ -70,7 +70,9 @@ def q_vs_baseline(spark, sf):
 
 
 def q_distinct_keys(spark, sf):
-    return R.distinct_keys(trial_metrics(spark, sf), R.CONFIG_KEYS, "trial")
+    """Keys of a written log in the order of its lines, which are those of the trials."""
+    path = sinks.write_combined(trial_metrics(spark, sf), fresh_path(spark, "combined"), order_by=("trial", "sample_size"))
+    return R.distinct_keys(sinks.with_position(sinks.read_combined(spark, path)), R.CONFIG_KEYS, "position")
 
 
 def q_axis_bounds(spark, sf):
@@ -82,7 +84,9 @@ def q_report_labels(spark, sf):
 
 
 def q_report_rows(spark, sf):
-    return R.report_rows(R.pivot_means(combined(spark, sf)))
+    """The pivot of all logs, written as the report and read back."""
+    rows = R.report_rows(R.pivot_means(R.combine_logs(_logs(spark, sf))))
+    return sinks.read_report(spark, sinks.write_report(rows, fresh_path(spark, "report")))
 
 
 def q_group_report(spark, sf):
@@ -165,11 +169,11 @@ SQL = {
     "vs_baseline": _V + f", s AS (SELECT {_CFG}, {_avg_cols()}, {_SUMS} FROM trial_metrics_x GROUP BY ALL) "
                         f"SELECT {_CFG}, " + ", ".join(f"avg_{d}_{m}" for m in REPORT_METRICS for d in ("in", "out"))
                         + f", {_BASE} FROM s",
-    "distinct_keys": _V + """, k AS (
-        SELECT 'model_name' AS key, CAST(model_name AS VARCHAR) AS value, min(trial) AS first_seen FROM trial_metrics_x GROUP BY 2
-        UNION ALL SELECT 'sample_size', CAST(sample_size AS VARCHAR), min(trial) FROM trial_metrics_x GROUP BY 2
-        UNION ALL SELECT 'finetuning_method', finetuning_method, min(trial) FROM trial_metrics_x GROUP BY 2)
-        SELECT key, value, first_seen, CAST(row_number() OVER (PARTITION BY key ORDER BY first_seen, value) AS INTEGER) AS ordinal FROM k""",
+    "distinct_keys": _V + """, o AS (SELECT *, row_number() OVER (ORDER BY trial, sample_size) AS place FROM trial_metrics_x), k AS (
+        SELECT 'model_name' AS key, CAST(model_name AS VARCHAR) AS value, min(place) AS place FROM o GROUP BY 2
+        UNION ALL SELECT 'sample_size', CAST(sample_size AS VARCHAR), min(place) FROM o GROUP BY 2
+        UNION ALL SELECT 'finetuning_method', finetuning_method, min(place) FROM o GROUP BY 2)
+        SELECT key, value, CAST(row_number() OVER (PARTITION BY key ORDER BY place) AS INTEGER) AS ordinal FROM k""",
     "axis_bounds": _V + f", {_MEANS}, p AS (" + " UNION ALL ".join(
         f"SELECT model_name, '{m}' AS metric, avg_in_{m} AS x, avg_out_{m} AS y FROM means" for m in REPORT_METRICS)
         + ") SELECT model_name, metric, round(least(min(x), min(y)), 6) AS axis_min, "

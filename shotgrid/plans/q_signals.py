@@ -11,9 +11,10 @@ from shotgrid.operators import history as H
 from shotgrid.operators import metrics as M
 from shotgrid.operators import telemetry as TL
 from shotgrid.operators.sampling import micro_batches
-from shotgrid.operators.scorers import score_with
+from shotgrid.operators.scorers import Scorer, load_scorer, register, score_with
+from shotgrid.plans.q_learn import HEAD_MODELS, params_table, trial_heads
 from shotgrid.plans.q_report import round_doubles
-from shotgrid.schemas import MODEL_NAMES
+from shotgrid.schemas import MODEL_NAMES, SEED
 from shotgrid.session import fresh_path
 from shotgrid.sources import sinks
 from shotgrid.sources import views as V
@@ -95,17 +96,48 @@ def q_accuracy_from_logits(spark, sf):
     return round_doubles(M.accuracy_from_logits(lg, {"teacher_accuracy": "teacher", "student_accuracy": "student"}))
 
 
-def q_model_plugin(spark, sf):
-    """A per-batch Python model behind the scorer interface (loaded once per task)."""
-    def make_scorer():
-        import numpy as np
-        import pandas as pd
+def _head_scorer(model: str):
+    """Loader of a saved classification head (A10) by its label."""
+    def load(spark, path: str, sample_size: int, trial: int) -> Scorer:
+        rows = sinks.load_params(spark, path, model, sample_size, trial).select("layer", "i", "j", "value").collect()     # classes x features
+        if not rows:
+            raise ValueError(f"no parameters of {model}, {sample_size} shots, trial {trial} below {path}")
+
+        def prepare(values):
+            import numpy as np
+
+            w = np.zeros((1 + max(i for _, i, _, _ in values), 1 + max(j for _, _, j, _ in values)))
+            b = np.zeros(len(w))
+            for layer, i, j, value in values:
+                if layer == "W":
+                    w[i, j] = value
+                else:
+                    b[i] = value
+            return w, b
+
+        def score(head, batch):
+            import numpy as np
+            import pandas as pd
+
+            w, b = head
+            z = np.stack(batch["features"].to_list()) @ w.T + b if len(batch) else np.zeros((0, len(b)))
+            return pd.DataFrame({"id": batch["id"], "predicted": z.argmax(axis=1).astype("int32"), "score0": z[:, 0], "score1": z[:, 1]})
 
-        def score(batch):
-            return pd.DataFrame({"id": batch["id"], "predicted": [int(np.argmax(v)) for v in batch["teacher"]]})
-        return score
+        return Scorer([tuple(r) for r in rows], prepare, score, "id long, predicted int, score0 double, score1 double")
 
-    return score_with(V.logits(spark, sf).select("id", "teacher"), make_scorer, "id long, predicted int")
+    return load
+
+
+for _name in HEAD_MODELS:
+    register(_name, "classification")(_head_scorer(_name))
+
+
+def q_model_plugin(spark, sf):
+    """A saved head, loaded by name and type, scores every evaluation vector."""
+    path = sinks.save_params(params_table(trial_heads(spark, sf)), fresh_path(spark, "models"))
+    scorer = load_scorer(spark, HEAD_MODELS[0], "classification", path=path, sample_size=16, trial=0)
+    rows = V.vec_points(spark, sf).where(F.col("split") == "validation").select("id", "features")
+    return round_doubles(score_with(rows, scorer))
 
 
 def q_distill_loss(spark, sf):
@@ -222,7 +254,16 @@ SELECT run, event_id, log_no, phase, peak_memory FROM p5 WHERE qualifying AND ph
         count(*) AS n,
         round(avg(CAST(list_position(student, list_max(student)) - 1 = label AS DOUBLE)), 6) AS student_accuracy
         FROM logits""",
-    "model_plugin": V.with_views("logits") + "SELECT id, CAST(list_position(teacher, list_max(teacher)) - 1 AS INTEGER) AS predicted FROM logits",
+    "model_plugin": V.with_views("vec_points") + f""",
+t16 AS (SELECT id, features, y, row_number() OVER (ORDER BY md5(concat_ws('|', '{SEED}', 16, 0, id)), id) AS rn
+        FROM vec_points WHERE split = 'train' AND domain = 'in' QUALIFY rn <= 16),
+c AS (SELECT y, j, avg(x) AS w FROM (SELECT y, unnest(features) AS x, unnest(range(len(features))) AS j FROM t16) GROUP BY ALL),
+b AS (SELECT y, -0.5 * sum(w * w) AS b FROM c GROUP BY y),
+z AS (SELECT e.id, c.y, sum(e.x * c.w) + any_value(b.b) AS z
+      FROM (SELECT id, unnest(features) AS x, unnest(range(len(features))) AS j FROM vec_points WHERE split = 'validation') e
+      JOIN c ON c.j = e.j JOIN b ON b.y = c.y GROUP BY ALL),
+s AS (SELECT id, max(CASE WHEN y = 0 THEN z END) AS s0, max(CASE WHEN y = 1 THEN z END) AS s1 FROM z GROUP BY id)
+SELECT id, CAST(CASE WHEN s1 > s0 THEN 1 ELSE 0 END AS INTEGER) AS predicted, round(s0, 6) AS score0, round(s1, 6) AS score1 FROM s""",
     "distill_loss": V.with_views("logits") + f""", {_ROWS},
         r AS (SELECT id, sum(exp(t - lt) * ((t - lt) - (s - ls))) AS kl FROM el GROUP BY id),
         nr AS (SELECT CAST(floor((row_number() OVER (ORDER BY id) - 1) / 4) AS BIGINT) AS batch_id, kl FROM r)

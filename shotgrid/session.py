@@ -92,7 +92,11 @@ def input_state(df: DataFrame) -> list[str]:
     return out
 
 
+def path_exists(spark: SparkSession, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+
+
 def is_complete(spark: SparkSession, folder: str) -> bool:
     """Whether a written table is there in full: its writer's last step was ``_SUCCESS``."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+    return path_exists(spark, f"{folder}/_SUCCESS")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotgrid.schemas import HISTORY, METHOD_NAMES, TRAINED_METHODS, TRAINING_METRICS, metrics_schema
+from shotgrid.schemas import HISTORY, METHOD_NAMES, PIVOT_METRICS, TRAINED_METHODS, TRAINING_METRICS, metrics_schema
+from shotgrid.session import path_exists
 
 
 def log_name(method: str, kind: str = "metrics", exp_label: str | None = None) -> str:
@@ -44,14 +46,9 @@ def write_logs(df: DataFrame, folder: str, exp_label: str | None = None) -> dict
 
 
 def read_logs(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
-    """File name -> the log's rows, in its own schema.  A method without rows has no log."""
-    out = {}
-    for method, path in paths.items():
-        try:
-            out[path.rpartition("log=")[2]] = read_metrics(spark, path, method)
-        except AnalysisException:
-            continue
-    return out
+    """File name -> the log's rows, in its own schema.  A method without rows has no log; a log that is there and
+    can't be read is an error."""
+    return {path.rpartition("log=")[2]: read_metrics(spark, path, method) for method, path in paths.items() if path_exists(spark, path)}
 
 
 def read_metrics(spark: SparkSession, path: str, method: str) -> DataFrame:
@@ -91,10 +88,12 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 COMBINED = T.StructType(TRAINING_METRICS.fields + [T.StructField("finetuning_method", T.StringType())])
 
 
-def write_combined(df: DataFrame, folder: str, name: str = "combined_metrics") -> str:
+def write_combined(df: DataFrame, folder: str, name: str = "combined_metrics", order_by: Sequence[str] = ()) -> str:
     """The combined log (union of all method logs) in the fixed combined column order; a
-    column that none of the logs has is null."""
+    column that none of the logs has is null.  ``order_by``: the order of its lines (part file after part file)."""
     path = f"{folder}/{name}.csv"
+    if order_by:
+        df = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                 for f in COMBINED.fields]) \
       .write.mode("overwrite").option("header", True).csv(path)
@@ -105,6 +104,29 @@ def read_combined(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(COMBINED).option("header", True).option("enforceSchema", False).csv(path)
 
 
+def with_position(log: DataFrame, name: str = "position") -> DataFrame:
+    """A log with the place of each line: file, the block of the file, and the line's turn in the block.  A block's
+    lines are read in order by one task, so the place doesn't depend on how files are dealt to tasks."""
+    return log.select("*", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                    F.monotonically_increasing_id().alias("turn")).alias(name))
+
+
+REPORT = T.StructType([T.StructField("model_name", T.StringType()), T.StructField("finetuning_method", T.StringType()),
+                       T.StructField("sample_size", T.IntegerType()), *[T.StructField(m, T.StringType()) for m in PIVOT_METRICS]])
+
+
+def write_report(df: DataFrame, folder: str, name: str = "report") -> str:
+    """The report's rows in key order as one CSV file (a row per configuration of the experiment)."""
+    path = f"{folder}/{name}.csv"
+    df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in REPORT.fields]) \
+      .coalesce(1).sortWithinPartitions("model_name", "finetuning_method", "sample_size").write.mode("overwrite").option("header", True).csv(path)
+    return path
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(REPORT).option("header", True).option("enforceSchema", False).csv(path)
+
+
 PARAMS = T.StructType([
     T.StructField("model", T.StringType()), T.StructField("sample_size", T.IntegerType()),
     T.StructField("trial", T.IntegerType()), T.StructField("layer", T.StringType()),

@@ -1,7 +1,6 @@
-"""Heads and distillation as aggregates against plain numpy."""
+"""Heads as aggregates against plain numpy."""
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from shotgrid.operators import learn as L
@@ -9,33 +8,18 @@ from shotgrid.operators import learn as L
 SF01 = "/root/testdata/sf0.01"
 
 
-def soft_rows(spark, groups=("a", "b"), n=60):
+def labelled_rows(spark, n=60):
     rng = np.random.default_rng(9)
-    rows = []
-    for g in groups:
-        x = rng.normal(size=(n, 3))
-        q = 1 / (1 + np.exp(-(x @ np.array([0.5, -1.0, 2.0]))))
-        rows += [(g, 7, x[i].tolist(), [float(1 - q[i]), float(q[i])]) for i in range(n)]
-    return rows, spark.createDataFrame(rows, "model_name string, sample_size int, features array<double>, q array<double>")
-
-
-@pytest.mark.parametrize("parts", [1, 5])
-def test_soft_students_are_weighted_means(spark, parts):
-    rows, df = soft_rows(spark)
-    got = {r.model_name: r for r in L.soft_students(df.repartition(parts), ["model_name", "sample_size"]).collect()}
-    for g in ("a", "b"):
-        x = np.array([r[2] for r in rows if r[0] == g])
-        q = np.array([r[3] for r in rows if r[0] == g])
-        w = (q.T @ x) / q.sum(0)[:, None]
-        assert np.allclose(got[g].w, w) and np.allclose(got[g].b, -0.5 * (w * w).sum(1))
+    x = rng.normal(size=(n, 3))
+    y = (x @ np.array([0.5, -1.0, 2.0]) > 0).astype(int)
+    rows = [("a", x[i].tolist(), int(y[i])) for i in range(n)]
+    return x, y, spark.createDataFrame(rows, "model_name string, features array<double>, y int")
 
 
 def test_centroid_heads_and_logits(spark):
-    rows, df = soft_rows(spark, ("a",))
-    df = df.withColumn("y", (F.element_at("q", 2) > 0.5).cast("int"))
+    x, y, df = labelled_rows(spark)
     head = L.centroid_heads(df, ["model_name"]).first()
-    x, y = np.array([r[2] for r in rows]), np.array([r[3][1] > 0.5 for r in rows])
-    w = np.stack([x[~y].mean(0), x[y].mean(0)])
+    w = np.stack([x[y == 0].mean(0), x[y == 1].mean(0)])
     assert np.allclose(head.w, w)
     lg = df.crossJoin(F.broadcast(L.centroid_heads(df, ["model_name"]).drop("model_name"))).select(
         L.head_logits(F.col("features"), F.col("w"), F.col("b")).alias("l")).collect()
@@ -47,19 +31,6 @@ def test_context_logits(spark):
     assert df.select(L.context_logits(F.col("x"), F.col("a"), F.col("b"), 0.5).alias("l")).first().l == [-8.0, -2.0]
 
 
-def test_recursive_rounds_change_the_student(spark):
-    from shotgrid.plans.q_learn import context_distill
-    got = context_distill(spark, SF01, True, 64).collect()
-    assert len(got) == 12 and {r.sample_size for r in got} == {16, 64}
-    for r in got:
-        assert r.kl >= 0 and 0 <= r.eval_in_accuracy <= 1
-    first = {(r.model_name, r.sample_size): r.kl for r in got if r.round == 1}
-    last = {(r.model_name, r.sample_size): r.kl for r in got if r.round == 3}
-    assert first != last
-    with pytest.raises(ValueError, match="cannot take a sample"):
-        context_distill(spark, SF01)                     # 4096 rows by default: the table has fewer
-
-
 def test_saved_parameters_are_read_by_label(spark, tmp_path):
     from shotgrid.plans.q_learn import params_table, trial_heads
     from shotgrid.sources import sinks
