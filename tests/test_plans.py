@@ -22,7 +22,10 @@ def plan_of(df) -> str:
 # queries that fit models or write logs while being built: their final plans are reads of
 # what was written (checked by their own tests), and building them here is slow
 EAGER = {"context_distill", "recursive_distill", "params_roundtrip", "metrics_roundtrip", "combined_metrics", "report_rows",
-         "history_long", "learning_curves", "materialize_dataset", "experiment_grid"}
+         "history_long", "learning_curves", "materialize_dataset", "experiment_grid", "gradient_steps", "gradient_params", "fewshot_fit",
+         "lora_fit", "lora_params", "fit_history", "fit_curves", "distinct_keys", "model_plugin"}
+#: Most reads of a table or of a written intermediate in one plan.
+MOST_SCANS = {"icl_eval": 24, "choice_decode": 16, "zero_shot": 16, "icl_prompts": 16, "teacher_context": 16, "training_schedule": 16}
 
 
 @pytest.fixture(scope="module")
@@ -61,5 +64,21 @@ def test_encoding_is_map_only(plans):
 
 
 def test_one_scan_where_one_will_do(plans):
-    for n in ("distinct_keys", "decode_tokens", "pad_truncate"):
+    for n in ("decode_tokens", "pad_truncate"):
         assert plans[n].count("Scan parquet") // 2 == 1, n      # the tree and its details
+
+
+def scans(plan: str) -> int:
+    tree = plan.split("\n\n")[0]
+    return tree.count("Scan ")
+
+
+def test_plans_stay_small(plans):
+    """A plan that uses its input twice per step doubles with every step."""
+    large = {n: scans(p) for n, p in plans.items() if scans(p) > MOST_SCANS.get(n, 8)}
+    assert large == {}
+
+
+def test_telemetry_is_a_pass_in_and_a_pass_out(plans):
+    for n in ("phase_tags", "phase_peaks"):
+        assert scans(plans[n]) <= 3, n
