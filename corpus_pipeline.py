@@ -11,6 +11,12 @@ the shared folder and read again, so a lost executor costs tasks of one stage on
    sequence_id, offset, input_ids).
 
 All stages but the last return the columns of documents.
+
+Defined cases: rows with null or empty texts pass the first four stages (as the classifier scores them) and are packed
+as their end; rows with null ids are never named, so they stay; rows that share an id are judged one by one in the
+first two stages and in the fourth, and together in the third (a benchmark item in one of them removes the id); very
+long texts are worked on whole; an empty table gives no rows; more columns, whatever their names, are kept up to
+packing.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shotgrid.llm import cotrain, decontaminate, packing, secrets, simjoin
-from shotgrid.llm.common import documents, stored
+from shotgrid.llm.common import documents, give_back, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,4 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        give_back()                     # what the stage's fitting left on the driver
     return docs

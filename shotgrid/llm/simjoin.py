@@ -40,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from shotgrid.llm import text as T
 from shotgrid.llm.common import documents, freeing, freeing_group, over_batches, pack, stored, unpack, without_ids
@@ -293,8 +294,8 @@ def links(candidates: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.groupBy("task", "i", "j").applyInArrow(freeing_group(_join_block), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``."""
+def class_components(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(sets: doc_id, class, n of every row; least: class, root (component), least (smallest doc_id of the class))."""
     sets = stored(set_sizes(docs), "sets")
     total = sets.agg(F.sum("n")).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -305,26 +306,57 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     found = stored(components(links(candidates, block)), "components")
     least = sets.where(F.col("n") > 0).groupBy("class").agg(F.min("doc_id").alias("least"))
     least = stored(least.join(found, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")), "least")
+    return sets.drop("frequent"), least.select("class", "root", "least")
+
+
+def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs``."""
+    sets, least = class_components(docs, block)
     # written before it is joined: a component with most classes is then a skewed join that can be split
     ids = stored(least.groupBy("root").agg(F.min("least").alias("component_id")), "component_ids")
     ids = least.join(ids, "root").select(F.col("class").alias("c"), "component_id")
-    out = sets.drop("frequent").join(ids, (F.col("class") == F.col("c")) & (F.col("n") > 0), "left")
+    out = sets.join(ids, (F.col("class") == F.col("c")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id"))
                       .otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def with_class(docs: DataFrame) -> DataFrame:
+    """``docs`` with the class (``_class``) and set size (``_n``) of each row."""
+    schema = T_.StructType([*docs.schema.fields, T_.StructField("_class", T_.LongType()), T_.StructField("_n", T_.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            cls, n = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for lo, hi, sets, found in shingle_sets(batch.column("text")):
+                cls[lo:hi], n[lo:hi] = found.astype(np.int64), [len(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cls), pa.array(n)], names=[*batch.schema.names, "_class", "_n"])
+
+    return docs.mapInArrow(freeing(run), schema)
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id.  Of rows that
-    repeat its id one stays; rows with null ids can't be named and stay."""
-    rows = near_duplicates(docs).where(F.col("n_shingles") > 0).groupBy("doc_id").agg(
-        F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count(F.lit(1)).alias("rows"))
-    rows = stored(rows.where(F.col("doc_id").isNotNull()), "decisions")
-    out = without_ids(docs, rows.where(~F.col("first")))
-    repeated = rows.where(F.col("first") & (F.col("rows") > 1)).select("doc_id")
-    if repeated.isEmpty():
+    """``docs`` with one row of each component: that of the smallest id and, where rows of different texts share this
+    id, of the smallest class.  Of rows that repeat id and class the one with the smallest hash of all columns stays.
+    Rows without words, and rows with null ids (they can't be named), stay."""
+    sets, least = class_components(docs)
+    first = stored(least.where(F.col("least").isNotNull()).groupBy("root").agg(F.min(F.struct("least", "class")).alias("first")), "first")
+    chosen = least.join(first, "root").where((F.col("first.least") == F.col("least")) & (F.col("first.class") == F.col("class")))
+    chosen = chosen.select(F.col("least").alias("k_id"), F.col("class").alias("k_class"))
+    rows = sets.where(F.col("doc_id").isNotNull()).select("doc_id", F.when(F.col("n") > 0, F.col("class")).alias("class"))
+    rows = rows.join(chosen, (F.col("doc_id") == F.col("k_id")) & (F.col("class") == F.col("k_class")), "left")
+    kept = F.col("class").isNull() | F.col("k_class").isNotNull()
+    each = rows.groupBy("doc_id").agg(F.max(kept).alias("some"), F.min(kept).alias("all"), F.count("class").alias("sets"))
+    each = stored(each, "decisions")
+    out = without_ids(docs, each.where(~F.col("some")))
+    # ids of several rows that don't all stay are decided row by row
+    mixed = stored(each.where(F.col("some") & (~F.col("all") | (F.col("sets") > 1))).select(F.col("doc_id").alias("_mixed")), "mixed")
+    if mixed.isEmpty():
         return out
-    once = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return without_ids(out, repeated).unionByName(once)
+    some = with_class(docs.join(mixed, docs["doc_id"] == F.col("_mixed"), "left_semi"))
+    here = some.join(chosen, (F.col("doc_id") == F.col("k_id")) & (F.col("_class") == F.col("k_class")) & (F.col("_n") > 0), "left")
+    words = here.where((F.col("_n") > 0) & F.col("k_class").isNotNull()).groupBy("doc_id", "_class").agg(
+        F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
+    return without_ids(out, mixed).unionByName(words).unionByName(here.where(F.col("_n") == 0).select(*docs.columns))
 
 
 def op6_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
