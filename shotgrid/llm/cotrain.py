@@ -2,14 +2,18 @@
 
 Two views of a document: its text (presence of words that go with rejection, and the shape of
 its words and lines) and the page's metadata (language, source, stated length).  Each view has
-a logistic classifier.  Over ROUNDS rounds each view labels the pool rows that it is sure of
-(calibrated on labelled rows it wasn't trained on) for the other view; at the end both views are
+a logistic classifier.  Over ROUNDS rounds each view labels the unlabelled documents that it is sure
+of (calibrated on labelled rows it wasn't trained on) for the other view; at the end both views are
 calibrated again and combined by a logistic model of their two log odds, which scores every
 document.  A document is rejected where a label would be quality 0 or toxic 1.
 
-The models are fitted on bounded samples: the first LABELLED labelled and the first POOL other
-documents by hash of the id, as features (not texts).  Lexicon and words: runs of letters,
-A-Z as a-z.  Scoring reads all rows, map-only.
+The labelled rows are a bounded sample, the first LABELLED by hash of the id: their words are counted
+in Spark for the lexicon, and what the driver gets of them is one bit per feature.  The unlabelled rows
+are all others: one scan writes the features of every document as bits, and in each round a pass over
+these adds up, per task, gradient and curvature of the documents that the teaching view is sure of, for
+both views at once; sums of fixed size reach the driver, which makes the Newton step.  The pseudo-labelled
+rows together weigh at most PSEUDO times the labelled ones, so the balance is the same at every size.
+Lexicon and words: runs of letters, A-Z as a-z.  Scoring reads all rows, map-only.
 
 Defined cases: a null or empty text has no words and is scored by its shape and metadata; a null
 quality counts as 1 and a null toxic as 0, a row with both null isn't a label; a document labelled
@@ -25,17 +29,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotgrid.llm import rules
 from shotgrid.llm import text as T
-from shotgrid.llm.common import documents, first_by_hash, freeing, over_batches
+from shotgrid.llm.common import documents, first_by_hash, freeing, over_batches, stored
 
-LABELLED, POOL = 10_000, 5_000
+LABELLED = 10_000
+PSEUDO = 0.5                 # weight of all pseudo-labelled rows beside that of the labelled ones, at most
 LEXICON = 512
 LEAST_DOCS = 3               # documents of the sample that a lexicon word occurs in at least
-ROUNDS = 3
+ROUNDS, STEPS = 3, 2         # a round makes STEPS Newton steps from where the last one ended
 SURE = 0.98
 RIDGE = 1.0
 META_BINS = 256
@@ -83,52 +90,14 @@ def _meta(langs: list, sources: list, lengths: list) -> np.ndarray:
 
 
 def features(rows: DataFrame) -> DataFrame:
-    """doc_id, y, shape, words (distinct hashes), meta of a bounded sample."""
+    """y, fold, shape and words (distinct hashes) of a bounded sample."""
     def run(batch: pa.RecordBatch):
-        meta = _meta(*[batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")])
         for lo, hi, shape, hashes, counts in _text_parts(batch.column("text")):
             at = np.cumsum(counts)
-            yield {"doc_id": batch.column("doc_id")[lo:hi], "y": batch.column("y")[lo:hi], "shape": list(shape),
-                   "words": [np.unique(hashes[e - n:e]).astype(np.int64) for e, n in zip(at, counts, strict=True)],
-                   "meta": list(meta[lo:hi])}
+            yield {"y": batch.column("y")[lo:hi], "fold": batch.column("fold")[lo:hi], "shape": list(shape),
+                   "words": [np.unique(hashes[e - n:e].astype(np.int64)) for e, n in zip(at, counts, strict=True)]}
 
-    return over_batches(rows, run, "doc_id long, y int, shape array<double>, words array<long>, meta array<long>")
-
-
-@dataclass
-class Sample:
-    """Features of a bounded number of rows, as flat arrays (words: all rows' hashes, one after
-    another; sizes: how many each row has)."""
-    ids: np.ndarray
-    y: np.ndarray
-    shape: np.ndarray
-    words: np.ndarray
-    sizes: np.ndarray
-    meta: np.ndarray
-
-    @classmethod
-    def of(cls, table: pa.Table) -> Sample:
-        t = table.combine_chunks()
-        lists = {c: t[c].combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.int64())) for c in ("shape", "words", "meta")}
-        flat = {c: v.flatten().to_numpy(zero_copy_only=False) for c, v in lists.items()}
-        sizes = np.array(lists["words"].value_lengths().to_numpy(zero_copy_only=False), np.int64)
-        return cls(t["doc_id"].to_numpy(), np.nan_to_num(t["y"].to_numpy().astype(float)), flat["shape"].astype(float).reshape(-1, SHAPES),
-                   flat["words"].astype(np.int64), sizes, flat["meta"].astype(np.int64).reshape(-1, 3))
-
-    def take(self, rows: np.ndarray) -> Sample:
-        """The rows at the given positions, in that order."""
-        ends = np.cumsum(self.sizes)
-        words = [self.words[ends[i] - self.sizes[i]:ends[i]] for i in rows]
-        return Sample(self.ids[rows], self.y[rows], self.shape[rows], np.concatenate([np.zeros(0, np.int64), *words]),
-                      self.sizes[rows], self.meta[rows])
-
-    def once(self) -> Sample:
-        """In order of ids; rows equal in words, shape and label once."""
-        ends, seen = np.cumsum(self.sizes), {}
-        for i in np.argsort(self.ids, kind="stable"):
-            words = int(self.words[ends[i] - self.sizes[i]:ends[i]].sum())
-            seen.setdefault((int(self.sizes[i]), words, self.shape[i].tobytes(), float(self.y[i])), int(i))
-        return self.take(np.array(list(seen.values()), np.int64))
+    return over_batches(rows, run, "y int, fold boolean, shape array<double>, words array<long>")
 
 
 # ------------------------------------------------------------------------------ learning
@@ -166,19 +135,23 @@ def _chance(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def lexicon(sample: Sample) -> np.ndarray:
-    """The LEXICON words with the largest likelihood ratio statistic among those that go with
-    rejection; sorted hashes."""
-    keys, inverse = np.unique(sample.words, return_inverse=True)
-    bad = np.bincount(inverse, weights=np.repeat(sample.y, sample.sizes), minlength=len(keys))
-    n = np.bincount(inverse, minlength=len(keys)).astype(float)
-    base = sample.y.mean()
-    rate = bad / np.maximum(n, 1)
-    part = lambda k, p, q: np.where(k > 0, k * np.log(np.maximum(p, 1e-12) / q), 0.0)
-    score = part(bad, rate, base) + part(n - bad, 1 - rate, 1 - base)
-    score[(n < LEAST_DOCS) | (rate <= base) | (score < 3.0)] = -1
-    top = np.argsort(-score, kind="stable")[:LEXICON]
-    return np.sort(keys[top[score[top] > 0]])
+def lexicon(train: DataFrame) -> np.ndarray:
+    """The LEXICON words with the largest likelihood ratio statistic among those that go with rejection, of rows
+    (y, words); sorted hashes."""
+    total = train.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("bad")).first()
+    if not total["n"] or not 0 < total["bad"] < total["n"]:
+        return np.zeros(0, np.int64)
+    base = total["bad"] / total["n"]
+    n, bad = F.col("n").cast("double"), F.col("bad").cast("double")
+    rate = bad / n
+
+    def part(k, p, q):
+        return F.when(k > 0, k * F.log(p / F.lit(q))).otherwise(0.0)
+
+    words = train.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("bad"))
+    words = words.where((n >= LEAST_DOCS) & (rate > base)).withColumn("score", part(bad, rate, base) + part(n - bad, 1 - rate, 1 - base))
+    top = words.where(F.col("score") >= 3.0).orderBy(F.desc("score"), "word").limit(LEXICON)
+    return np.sort(np.array([r["word"] for r in top.select("word").collect()], np.int64))
 
 
 @dataclass
@@ -212,57 +185,135 @@ class Model:
         return _chance(self.calibrate[0] * z_text + self.calibrate[1] * z_meta + self.calibrate[2])
 
 
-def _one_hot(bins: np.ndarray, n: int) -> np.ndarray:
+def one_hot(bins: np.ndarray, n: int = META_BINS) -> np.ndarray:
     out = np.zeros((len(bins), n), bool)
-    np.put_along_axis(out, bins, True, 1)
+    np.put_along_axis(out, bins.astype(np.int64), True, 1)
     return out
 
 
-def _present(sample: Sample, words: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(sample.ids), len(words)), bool)
-    if len(words):
-        at = np.minimum(np.searchsorted(words, sample.words), len(words) - 1)
-        hit = words[at] == sample.words
-        out[np.repeat(np.arange(len(sample.ids)), sample.sizes)[hit], at[hit]] = True
+def bits(model: Model, shape: np.ndarray, doc: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The text view's features, one row per text, as booleans: words of the lexicon, then bins of the shape."""
+    k = len(model.words)
+    present = np.zeros((len(shape), k), bool)
+    if k and len(hashes):
+        at = np.minimum(np.searchsorted(model.words, hashes), k - 1)
+        hit = model.words[at] == hashes
+        present[doc[hit], at[hit]] = True
+    return np.concatenate([present, model.shape_columns(shape)], 1)
+
+
+def views(docs: DataFrame, sample: DataFrame, model: Model) -> DataFrame:
+    """text (packed bits), meta (bins), y (null: not in ``sample``), fold of every document, equal rows once.
+    ``sample`` (l_id, y, fold) has at most LABELLED rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch):
+        meta = _meta(*[batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")]).astype(np.int16)
+        for lo, hi, shape, hashes, counts in _text_parts(batch.column("text")):
+            x = np.packbits(bits(shared.value, shape, np.repeat(np.arange(hi - lo), counts), hashes.astype(np.int64)), axis=1)
+            yield {"text": [r.tobytes() for r in x], "meta": [r.tobytes() for r in meta[lo:hi]], "y": batch.column("y")[lo:hi],
+                   "fold": batch.column("fold")[lo:hi]}
+
+    rows = _columns(docs, F.lit(None).cast("int")).drop("y").join(F.broadcast(sample), F.col("doc_id") == F.col("l_id"), "left")
+    rows = over_batches(rows, run, "text binary, meta binary, y int, fold boolean")
+    return stored(rows.groupBy("text", "meta", "y", "fold").count().drop("count"), "views")
+
+
+def _matrices(text: list, meta: list, width: int) -> dict[str, np.ndarray]:
+    """Features of both views from the columns of ``views``."""
+    x = np.frombuffer(b"".join(text), np.uint8).reshape(len(text), -1)
+    return {"text": np.unpackbits(x, axis=1, count=width).astype(bool),
+            "meta": one_hot(np.frombuffer(b"".join(meta), np.int16).reshape(-1, 3))}
+
+
+@dataclass
+class Student:
+    """A view's weights, and how its log odds become chances (slope, intercept)."""
+    weights: np.ndarray
+    scale: np.ndarray
+
+    def sure(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which rows it is sure of, its labels)."""
+        p = _chance(_apply(self.scale, _apply(self.weights, x)[:, None]))
+        return (p >= SURE) | (p <= 1 - SURE), (p >= 0.5).astype(float)
+
+
+OTHER = {"text": "meta", "meta": "text"}
+
+
+def slopes(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(gradient, Hessian) of the summed logistic loss, without the ridge."""
+    slope, hessian = np.zeros(len(w)), np.zeros((len(w), len(w)))
+    for rows, part in _floats(x):
+        p = _chance(part @ w)
+        slope += part.T @ (p - y[rows])
+        hessian += (part * (p * (1 - p))[:, None]).T @ part
+    return slope, hessian
+
+
+def pseudo_sums(unlabelled: DataFrame, students: dict[str, Student], current: dict[str, np.ndarray], width: int) -> dict:
+    """view -> (rows, gradient, Hessian) over the unlabelled rows that the other view is sure of, at the weights ``current``."""
+    shared = unlabelled.sparkSession.sparkContext.broadcast((students, current))
+
+    def run(batches):
+        teachers, w = shared.value
+        sums = {v: [0, np.zeros(len(w[v])), np.zeros((len(w[v]), len(w[v])))] for v in w}
+        for batch in batches:
+            if batch.num_rows:
+                x = _matrices(batch.column(0).to_pylist(), batch.column(1).to_pylist(), width)
+                for v, other in OTHER.items():
+                    sure, y = teachers[other].sure(x[other])
+                    slope, hessian = slopes(x[v][sure], y[sure], w[v])
+                    sums[v][0] += int(sure.sum())
+                    sums[v][1] += slope
+                    sums[v][2] += hessian
+        for v, (n, slope, hessian) in sums.items():
+            # row i of the matrix from its diagonal on, then the gradient; the row count is the gradient's last entry
+            rows = [np.where(np.arange(len(slope)) >= i, hessian[i], 0.0)[i:] for i in range(len(slope))] + [np.append(slope, n)]
+            yield pa.RecordBatch.from_arrays([pa.array([v] * len(rows)), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.float64()))],
+                                             names=["view", "i", "row"])
+
+    rows = unlabelled.select("text", "meta").mapInArrow(freeing(run), "view string, i int, row array<double>")
+    added = rows.groupBy("view", "i").agg(Summarizer.sum(array_to_vector("row")).alias("s")).select("view", "i", vector_to_array("s").alias("s"))
+    got: dict[str, dict[int, list]] = {v: {} for v in OTHER}
+    for r in added.collect():                              # as many rows as features
+        got[r["view"]][r["i"]] = r["s"]
+    out = {}
+    for v, by in got.items():
+        k = len(current[v])
+        if not by:
+            out[v] = 0, np.zeros(k), np.zeros((k, k))
+            continue
+        hessian = np.zeros((k, k))
+        for i in range(k):
+            hessian[i, i:] = by[i]
+        out[v] = int(by[k][-1]), np.array(by[k][:-1]), hessian + np.triu(hessian, 1).T
     return out
 
 
-def cotrain(labelled: Sample, pool: Sample) -> Model | None:
-    """Fits both views on features of labelled rows (y 0 or 1) and of pool rows."""
-    y = labelled.y
-    if len(y) < 4 or y.min() == y.max():
-        return None
-    n, m = len(y), len(pool.ids)
-    folds = np.array([zlib.crc32(str(i).encode()) % 3 for i in labelled.ids.tolist()])
-    fold = folds == 0                                   # kept from training, for calibration
-    if len(set(y[fold])) < 2 or len(set(y[~fold])) < 2:
-        fold = np.zeros(n, bool)
-    train = np.flatnonzero(~fold)
-    chosen = lexicon(labelled.take(train))
-    edges = np.quantile(labelled.shape[train], np.linspace(0.05, 0.95, 10), axis=0).T
-    edges = np.column_stack([edges, np.quantile(labelled.shape[train], [0.98, 0.995], axis=0).T])
-    model = Model(chosen, edges, np.zeros(0), np.zeros(0), np.array([1.0, 0.0, 0.0]))
-    both = lambda f: np.concatenate([f(labelled), f(pool)]) if m else f(labelled)
-    xs = {"text": both(lambda s: np.concatenate([_present(s, chosen), model.shape_columns(s.shape)], 1)),
-          "meta": both(lambda s: _one_hot(s.meta, META_BINS))}
-    extra: dict[str, dict[int, float]] = {"text": {}, "meta": {}}       # pool row -> label from the other view
-    check = np.flatnonzero(fold) if fold.any() else train
-    weights, scale = {}, {}
-    for step in range(ROUNDS + 1):
-        for view, x in xs.items():
-            rows = np.concatenate([train, np.array(sorted(extra[view]), np.int64)])
-            labels = np.concatenate([y[train], [extra[view][i] for i in sorted(extra[view])]])
-            weights[view] = logistic(x[rows], labels)
-            scale[view] = logistic(_apply(weights[view], x[check])[:, None], y[check], ridge=0.01)
-        if step == ROUNDS:
-            break
-        for view, other in (("text", "meta"), ("meta", "text")):
-            z = _apply(weights[view], xs[view][n:])
-            p = _chance(_apply(scale[view], z[:, None]))
-            for i in np.flatnonzero((p >= SURE) | (p <= 1 - SURE)):
-                extra[other].setdefault(n + int(i), float(p[i] >= 0.5))
-    model.text, model.meta = weights["text"], weights["meta"]
-    odds = np.column_stack([_apply(weights["text"], xs["text"][check]), _apply(weights["meta"], xs["meta"][check])])
+def cotrain(model: Model, labelled: dict[str, np.ndarray], y: np.ndarray, fold: np.ndarray, sums) -> Model:
+    """Trains both views.  ``labelled``: features of the labelled rows by view, y their labels, ``fold`` those kept
+    from training for calibration; ``sums(students, current)`` gives what ``pseudo_sums`` does."""
+    train, check = np.flatnonzero(~fold), np.flatnonzero(fold) if fold.any() else np.flatnonzero(~fold)
+    current = {v: logistic(x[train], y[train]) for v, x in labelled.items()}
+
+    def student(v: str) -> Student:
+        odds = _apply(current[v], labelled[v][check])
+        return Student(current[v], logistic(odds[:, None], y[check], ridge=0.01))
+
+    for _ in range(ROUNDS):
+        students = {v: student(v) for v in labelled}
+        for _ in range(STEPS):
+            found = sums(students, current)
+            for v, (n, slope, hessian) in found.items():
+                weight = min(1.0, PSEUDO * len(train) / n) if n else 0.0
+                price = np.full(len(current[v]), RIDGE)
+                price[-1] = 1e-6
+                own_slope, own_hessian = slopes(labelled[v][train], y[train], current[v])
+                curve = own_hessian + weight * hessian + np.diag(price + 1e-9)
+                current[v] = current[v] - np.linalg.solve(curve, own_slope + weight * slope + price * current[v])
+    model.text, model.meta = current["text"], current["meta"]
+    odds = np.column_stack([_apply(current[v], labelled[v][check]) for v in ("text", "meta")])
     model.calibrate = logistic(odds, y[check], ridge=0.01)
     return model
 
@@ -277,14 +328,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
     known = labels.where((F.col("quality").isNotNull() | F.col("toxic").isNotNull()) & F.col("doc_id").isNotNull()) \
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(bad.cast("int")).alias("y"))
-    sample = first_by_hash(known, "doc_id", LABELLED, 5).withColumnRenamed("doc_id", "l_id")
-    rows = _columns(docs, F.lit(None).cast("int")).drop("y").join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).drop("l_id")
-    labelled = Sample.of(features(rows).toArrow())            # at most LABELLED ids
-    rest = docs.select(F.col("doc_id").cast("long").alias("p_id")).where(F.col("p_id").isNotNull())
-    rest = first_by_hash(rest, "p_id", POOL, 6).distinct()
-    pool = features(_columns(docs, F.lit(None).cast("int")).join(F.broadcast(rest), F.col("doc_id") == F.col("p_id")).drop("p_id"))
-    pool = Sample.of(pool.toArrow())
-    return cotrain(labelled.once(), pool.take(np.flatnonzero(~np.isin(pool.ids, labelled.ids))).once())
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    sample = stored(first_by_hash(known, "doc_id", LABELLED, 5).select(F.col("doc_id").alias("l_id"), "y", fold.alias("fold")), "labelled_ids")
+    rows = _columns(docs, F.lit(None).cast("int")).drop("y").join(F.broadcast(sample), F.col("doc_id") == F.col("l_id"))
+    rows = features(rows.drop("l_id"))
+    # rows equal in words, shape and label once, however often an id or a text is repeated
+    rows = stored(rows.groupBy("y", "fold", "shape", F.xxhash64("words").alias("h"), F.size("words").alias("k")).agg(F.first("words").alias("words"))
+                  .drop("h", "k"), "labelled")
+    sides = {(r["fold"], r["y"]): r["n"] for r in rows.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(sides.values()) < 4 or len({y for _, y in sides}) < 2:
+        return None
+    whole = len(sides) == 4                                    # both classes on both sides; else all rows train and calibrate
+    train = rows.where(~F.col("fold")) if whole else rows
+    shape = np.array([r["shape"] for r in train.select("shape").sort("shape").collect()])
+    edges = np.quantile(shape, [*np.linspace(0.05, 0.95, 10), 0.98, 0.995], axis=0).T
+    model = Model(lexicon(train), edges, np.zeros(0), np.zeros(0), np.array([1.0, 0.0, 0.0]))
+    every = views(docs, sample, model)
+    own = every.where(F.col("y").isNotNull()).orderBy("text", "meta", "y", "fold").toArrow()        # at most LABELLED distinct rows and copies of their ids
+    width = len(model.words) + edges.size
+    labelled = _matrices(own["text"].to_pylist(), own["meta"].to_pylist(), width)
+    folds = own["fold"].to_numpy(zero_copy_only=False).astype(bool) if whole else np.zeros(own.num_rows, bool)
+    unlabelled = every.where(F.col("y").isNull())
+    return cotrain(model, labelled, own["y"].to_numpy().astype(float), folds,
+                   lambda students, current: pseudo_sums(unlabelled, students, current, width))
 
 
 def _scores(model: Model | None, texts: pa.Array, langs: list, sources: list, lengths: list):
