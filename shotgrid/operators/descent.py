@@ -257,11 +257,9 @@ def descend(rows: DataFrame, models: DataFrame, head: SoftmaxHead, loss, opt: Op
         now = rows.where((F.col("slot") == F.lit(step) % F.col("spe")) & (F.lit(step) < F.col("total")))
         updated(state, gradient_sums(now, state, head, loss, count), step, opt, head.trainable.tolist()) \
             .write.mode("overwrite").parquet(state_path(folder, step + 1))
-    states = [state_of(k).withColumn("step", F.lit(k)) for k in range(steps + 1)]
-    out = states[0]
-    for s in states[1:]:
-        out = out.unionByName(s)
-    return out
+    # one scan with the step as partition column
+    whole = T.StructType([*STATE.fields, T.StructField("step", T.IntegerType())])
+    return spark.read.schema(whole).parquet(folder).where(F.col("step") <= steps)
 
 
 def last_states(states: DataFrame) -> DataFrame:
