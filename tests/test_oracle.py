@@ -14,7 +14,7 @@ FAST = ["remove_neutral", "trial_grid", "icl_context", "teacher_context", "parse
         "score_head", "param_counts", "method_from_file", "context_distill", "recursive_distill", "params_roundtrip",
         "answer_choices", "decode_tokens", "experiment_grid", "metrics_roundtrip", "combined_metrics", "learning_curves",
         "materialize_dataset", "rename_domain", "distinct_keys", "group_report", "filter_keys", "model_plugin",
-        "gradient_steps", "gradient_params", "fewshot_fit", "lora_fit", "lora_params", "fit_history", "fit_curves", "validation_subset_out",
+        "gradient_steps", "gradient_params", "fit_history", "validation_subset_out",
         "subword_roundtrip", "choice_decode", "icl_eval", "encode_tokens", "distill_sets", "training_schedule"]
 
 
