@@ -11,10 +11,10 @@ A document's set is its distinct five-word shingles (64-bit hashes); two documen
    the threshold miss each other in all bands with probability (1 - 0.85^5)^32 = 7e-9.  A task first
    puts its own classes of a bucket under its smallest one, so what moves for a bucket that holds a
    third of all classes is a row per task and not a row per class.
-3. Each class is held against one partner, the bucket head that it meets in most bands: tasks of
-   bounded size estimate the similarity from the registers by maximum likelihood, leave out pairs
-   whose likelihood ratio against the threshold is below exp(-SURE), and verify the others on full sets.
-   A group of g near copies costs g comparisons here and not g * g.
+3. Each class is held against one partner, the bucket head that it meets in most bands: their similarity
+   is estimated from the registers by maximum likelihood, pairs whose likelihood at the threshold is below
+   exp(-SURE) of the greatest are left out, and the others are verified on full sets, a head's classes
+   in parts of bounded size.  A group of g near copies costs g comparisons here and not g * g.
 4. Components of these links.  A bucket whose classes are in one component is done: no further
    link could change a component.  Of the other buckets (equal ones once) all pairs of classes of
    different components are estimated from the registers, in blocks; where any pair passes, its
