@@ -1,8 +1,8 @@
 r"""Operator 9: secret scans with inferred credential grammars.
 
 1. Base rules find labelled credentials (fixed patterns below, leftmost, not overlapping).
-2. Grammar inference: from a bounded sample of distinct credentials of each kind
-   (``SAMPLE`` strings, the first by hash) a prefix tree over character classes is built and
+2. Grammar inference: from a bounded sample of distinct credentials of each kind of any length
+   (the first by hash, up to ``SAMPLE`` strings and ``TREE`` characters) a prefix tree over character classes is built and
    statistically compatible states are merged (ALERGIA with the Hoeffding test), red states
    first, which gives one probabilistic automaton per kind.  A character-bigram model of all
    other candidate strings (as often as they occur) is the background.
@@ -11,11 +11,11 @@ r"""Operator 9: secret scans with inferred credential grammars.
    lie inside a base span (it may contain some) is added (kind ``grammar``) when that ratio is at least ``MARGIN`` and, per
    character, at least the ``QUANTILE`` of the kind's own labelled credentials.
 
-What is learned is bounded by ``SAMPLE`` and the number of bigrams whatever the corpus; scanning is map-only.
+What is learned is bounded by ``SAMPLE``, ``TREE`` and the number of bigrams whatever the corpus; scanning is map-only.
 
 Spans are whole matches in code points, end exclusive.  Defined cases: a null or empty text has
-no spans; without labelled credentials only the base rules work; credentials longer than
-``LONGEST`` are found but not learned from; spans that start together are in the order of
+no spans; without labelled credentials only the base rules work; a credential above ``TREE``
+characters is found but not learned from; spans that start together are in the order of
 ``KINDS``; repeated rows are scanned each; an empty table gives no rows; other columns are
 ignored.
 """
@@ -43,7 +43,7 @@ KINDS = ("assign", "access", "hex", "grammar")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-SAMPLE, LONGEST = 2000, 128                  # strings per kind, characters
+SAMPLE, TREE = 2000, 256_000                 # strings per kind, and their characters together (the states of its prefix tree)
 CHUNK = 1_000_000                           # characters counted at a time for the background
 ALPHA = 0.05
 MARGIN, QUANTILE = 15.0, 0.01
@@ -231,11 +231,24 @@ def _key(s: str) -> int:
     return int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "big", signed=True)
 
 
+def first_of(values: dict[str, int]) -> dict[str, int]:
+    """The first of distinct strings by (hash, string): SAMPLE of them and TREE characters at most.  What is among the
+    first of all strings is among the first of any part of them, so parts can be cut before they are merged."""
+    out, size = {}, 0
+    for v, h in sorted(values.items(), key=lambda x: (x[1], x[0]))[:SAMPLE]:
+        size += len(v)
+        if size > TREE:
+            break
+        out[v] = h
+    return out
+
+
 def labelled_sample(docs: DataFrame) -> DataFrame:
-    """(kind, value, n): of the distinct credentials of each kind the first SAMPLE by hash, of which
+    """(kind, value, n): of the distinct credentials of each kind the first by hash (see ``first_of``), of which
     each task keeps as many, and (kind ``other``) the bigrams of all other candidates with their counts."""
     def run(batches):
         kept: dict[str, dict[str, int]] = defaultdict(dict)
+        held: dict[str, int] = defaultdict(int)                    # characters kept
         others, length, counts = [], 0, bigram_counts([])
         for batch in batches:
             for text in batch.column("text"):
@@ -251,13 +264,15 @@ def labelled_sample(docs: DataFrame) -> DataFrame:
                     counts += bigram_counts(others)
                     others, length = [], 0
                 for _, _, kind, value in spans:
-                    if len(value) <= LONGEST and value not in kept[kind]:
+                    if len(value) <= TREE and value not in kept[kind]:
                         kept[kind][value] = _key(value)
+                        held[kind] += len(value)
                 for kind, values in kept.items():
-                    if len(values) > 4 * SAMPLE:
-                        kept[kind] = dict(sorted(values.items(), key=lambda x: x[1])[:SAMPLE])
+                    if len(values) > 4 * SAMPLE or held[kind] > 4 * TREE:
+                        kept[kind] = first_of(values)
+                        held[kind] = sum(map(len, kept[kind]))
         counts += bigram_counts(others)
-        rows = [(kind, v, h, 0) for kind, values in kept.items() for v, h in sorted(values.items(), key=lambda x: x[1])[:SAMPLE]]
+        rows = [(kind, v, h, 0) for kind, values in kept.items() for v, h in first_of(values).items()]
         rows += [("other", pair, 0, n) for pair, n in bigrams(counts).items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (
@@ -267,13 +282,15 @@ def labelled_sample(docs: DataFrame) -> DataFrame:
     rows = rows.groupBy("kind", "value", "h").agg(F.sum("n").alias("n"))
     for keys in (["kind", (F.col("h") % 64)], ["kind"]):
         w = Window.partitionBy(*keys).orderBy("h", "value")
-        rows = rows.withColumn("r", F.row_number().over(w)).where((F.col("r") <= SAMPLE) | (F.col("kind") == "other")).drop("r")
+        upto = F.sum(F.length("value")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        rows = rows.withColumn("r", F.row_number().over(w)).withColumn("c", upto) \
+            .where(((F.col("r") <= SAMPLE) & (F.col("c") <= TREE)) | (F.col("kind") == "other")).drop("r", "c")
     return rows.select("kind", "value", "n")
 
 
 def infer(docs: DataFrame) -> Grammars:
     groups, others = defaultdict(list), {}
-    for r in labelled_sample(docs).collect():           # at most SAMPLE strings of LONGEST per kind, and the bigrams
+    for r in labelled_sample(docs).collect():           # at most SAMPLE strings and TREE characters per kind, and the bigrams
         if r.kind == "other":
             others[r.value] = r.n
         else:
