@@ -6,8 +6,10 @@
    before the shuffle and a sketch has at most about 1,100 rows per metric, so a source that
    holds a third of all documents costs no more than any other.
 3. Cutoffs per (lang, source), from the median and the spread of the lower half, which junk on
-   the high side can't move until it is half of the source.  A source with fewer than
-   ``MIN_GROUP`` documents of a language uses the merged sketch of the language.
+   the high side can't move until it is half of the source.  The merged sketch of the language counts
+   as ``PRIOR`` further documents of every source: a cutoff is the mean of the source's and the
+   language's, weighed by the source's documents and ``PRIOR``, so small sources lean on their
+   language and large ones on themselves, without a border between them.
 4. A join back by (lang, source); a document stays if it passes the base rules and no metric
    lies beyond its group's cutoff.
 
@@ -32,7 +34,7 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 GAMMA, LEAST = 1.02, 1e-6           # relative error of a quantile: about 1 %
-MIN_GROUP = 50
+PRIOR = 50                          # documents that the language's sketch counts for in each source
 SPREADS = 4.0                       # lower-half spreads (median - 5 % quantile) above the median
 #: metric -> (value that always passes, share of the median that counts as spread at least)
 METRICS = {"word_length": (0.0, 0.1), "symbols": (0.05, 0.25), "dup_lines": (0.3, 0.25),
@@ -188,7 +190,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     wide = by_lang.select(F.col("lang").alias("l"), *[F.col(c).alias(f"l_{c}") for c in names])
     cut = by_source.join(wide, by_source.lang.eqNullSafe(wide.l))
     cut = cut.select(F.col("lang").alias("c_lang"), F.col("source").alias("c_source"),
-                     *[F.when(F.col("docs") >= MIN_GROUP, F.col(c)).otherwise(F.col(f"l_{c}")).alias(c) for c in names])
+                     *[((F.col("docs") * F.col(c) + PRIOR * F.col(f"l_{c}")) / (F.col("docs") + PRIOR)).alias(c) for c in names])
     out = stats.join(cut, stats.lang.eqNullSafe(cut.c_lang) & stats.source.eqNullSafe(cut.c_source), "left")
     m = metrics(stats)
     broken = [F.when(v > F.col(f"{k}_max"), F.lit(k)) for k, v in m.items()]

@@ -205,6 +205,21 @@ def test_join_keeps_one_of_each(spark):
     assert simjoin.near_duplicates(empty(spark)).count() == 0
 
 
+def test_join_decides_rows_that_share_an_id_one_by_one(spark):
+    a, b, c = sentence(501), sentence(502), sentence(503)
+    rows = [(9, a, "en", "a", 1), (9, b, "en", "a", 1), (9, "", "en", "a", 0), (9, None, "en", "a", 0),     # two texts, none a copy
+            (5, c, "en", "a", 1), (7, c + " more", "en", "a", 1), (7, sentence(504), "en", "a", 1),          # one text of 7 is a copy
+            (3, a + " tail", "en", "b", 1), (4, sentence(505), "en", "x", 1), (4, sentence(505), "en", "y", 1), (4, sentence(505), "en", "y", 1),
+            (None, a, "en", "a", 1)]
+    kept = {}
+    for parts in (1, 4):
+        got = simjoin.one_of_each(table(spark, rows, extra=True).repartition(parts))
+        kept[parts] = sorted(((r.doc_id, r.text, r.source) for r in got.collect()), key=repr)
+    assert kept[1] == kept[4]
+    ids = collections.Counter((r[0], r[1]) for r in kept[1])
+    assert ids == {(9, b): 1, (9, ""): 1, (9, None): 1, (5, c): 1, (7, sentence(504)): 1, (3, a + " tail"): 1, (4, sentence(505)): 1, (None, a): 1}
+
+
 def test_components_of_paths_stars_and_circles(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(200, 201), (201, 202), (202, 200), (7, 7)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
@@ -378,6 +393,78 @@ def test_op9_digest(spark):
         assert set(text.split(",")) - {""} <= set(x.spans.split(","))
 
 
+def straight_digest(text):
+    """Base spans by a loop over characters, no regular expressions."""
+    out, n = [], len(text)
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def run(at, allowed):
+        end = at
+        while end < n and text[end] in allowed:
+            end += 1
+        return end
+
+    def skip(at, chars, most=None):
+        end = at
+        while end < n and text[end] in chars and (most is None or end - at < most):
+            end += 1
+        return end
+
+    at = 0
+    while at < n:
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text[at:at + len(word)]) == word:
+                p = skip(skip(at + len(word), "\"'", 1), " ")
+                if p < n and text[p] in ":=":
+                    p = skip(skip(p + 1, " "), "\"'", 1)
+                    end = run(p, value)
+                    if end > p:
+                        if end - p >= 12:
+                            out.append((at, end, 0))
+                        at = end - 1
+                        break
+        at += 1
+    for kind, head, allowed, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 18), (2, "", set("0123456789abcdef"), 16)):
+        at = 0
+        while at < n:
+            end = run(at + len(head), allowed) if text.startswith(head, at) else at
+            if end > at + len(head):
+                if end - at >= least:
+                    out.append((at, end, kind))
+                at = end
+            else:
+                at += 1
+    return [(a, b, ("assign", "access", "hex")[k]) for a, b, k in sorted(out, key=lambda s: (s[0], s[2]))]
+
+
+def test_base_spans_against_a_loop(spark):
+    rng = random.Random(7)
+    bits = ["password", "Token", "api_key", "APIKEY", "secret", "'", '"', " ", ":", "=", "AKIA", "0123456789abcdef", "deadbeef", "ABCDEFGHIJ0123", "x", ".", "-",
+            "passwdtoken", "é", "\n", "zzzzzzzzzzzz", "KIA", "=="]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    texts += [r.text for r in spark.read.parquet(f"{SF01}/documents.parquet").select("text").collect() if r.text and len(r.text) < 20_000][:300]
+    for t in texts:
+        assert [s[:3] for s in secrets.base_spans(t)] == straight_digest(t), t
+
+
+def test_long_credentials_are_learned(spark, monkeypatch):
+    rng = random.Random(3)
+
+    def token(k):
+        return f"zq{k % 10}-" + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(156))
+
+    prose = " ".join(f"word{i % 50} ordinary-identifier-{i % 30} some_path/to/file_{i % 20}.txt" for i in range(300))
+    rows = [(i, f"token = {token(i)} and {prose}", "en", "a", 1) for i in range(50)]
+    docs = table(spark, rows)
+    more = table(spark, [(100 + k, f"see {token(k)} here", "en", "a", 1) for k in range(20)] + [(200, prose, "en", "a", 1)])
+    found = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scan(more, secrets.infer(docs)).collect()}
+    assert sum(found[100 + k] == ["grammar"] for k in range(20)) >= 16 and found[200] == []
+    monkeypatch.setattr(secrets, "TREE", 1000)                           # six tokens' worth
+    sample = [r.value for r in secrets.labelled_sample(docs.repartition(7)).collect() if r.kind == "assign"]
+    every = {v: secrets._key(v) for _, t, *_ in rows for _, _, k, v in secrets.base_spans(t) if k == "assign"}
+    assert sorted(sample) == sorted(secrets.first_of(every)) and len(sample) == 6
+
+
 # ---------------------------------------------------------------------------------- langid
 def test_language_mixture_on_odd_rows(spark):
     rows = odd_rows()
@@ -429,6 +516,55 @@ def test_sketch_quantiles_are_within_their_error(spark):
     assert abs(q.a / values[249] - 1) < 0.021 and abs(q.b / values[2499] - 1) < 0.021
 
 
+def straight_verdicts(stats):
+    """kept and reasons of each row from sorted lists of the groups' values."""
+    def failed(r):
+        return r.n_words < rules.MIN_WORDS or 100 * r.n_repeat_words > rules.MAX_REPEAT_PERCENT * r.n_words
+
+    def values(r):
+        words, chars, lines = max(r.n_words, 1), max(r.word_chars, 1), max(r.n_lines, 1)
+        return {"word_length": r.word_chars / words, "symbols": r.n_symbols / chars, "dup_lines": r.n_dup_lines / lines,
+                "repeats": r.n_repeat_words / words, "capitals": r.n_upper / chars}
+
+    def rounded(x):
+        return 0.0 if x <= rules.LEAST else rules.LEAST * rules.GAMMA ** (math.ceil(math.log(x / rules.LEAST) / math.log(rules.GAMMA)) - 0.5)
+
+    def cutoffs(rows):
+        out = {}
+        for k, (floor, share) in rules.METRICS.items():
+            v = sorted(values(r)[k] for r in rows)
+            low, mid = (rounded(v[max(0, math.ceil(len(v) * p) - 1)]) for p in (0.05, 0.5))
+            out[f"{k}_max"] = max(mid + rules.SPREADS * max(mid - low, mid * share), floor)
+            if k == "word_length":
+                out["word_length_min"] = mid - rules.SPREADS * max(mid - low, mid * 0.1)
+        return out
+
+    fine = [r for r in stats if not failed(r)]
+    by_lang, by_source, out = collections.defaultdict(list), collections.defaultdict(list), []
+    for r in fine:
+        by_lang[r.lang].append(r)
+        by_source[r.lang, r.source].append(r)
+    lang = {k: cutoffs(v) for k, v in by_lang.items()}
+    own = {k: cutoffs(v) for k, v in by_source.items()}
+    for r in stats:
+        if failed(r):
+            out.append((r.doc_id, True, False, "base"))
+            continue
+        n, a, b = len(by_source[r.lang, r.source]), own[r.lang, r.source], lang[r.lang]
+        cut = {c: (n * a[c] + rules.PRIOR * b[c]) / (n + rules.PRIOR) for c in a}
+        broken = [k for k, v in values(r).items() if v > cut[f"{k}_max"]] + (["word_length_low"] if values(r)["word_length"] < cut["word_length_min"] else [])
+        out.append((r.doc_id, False, not broken, ",".join(broken)))
+    return sorted(out, key=repr)
+
+
+def test_verdicts_against_sorted_lists(spark):
+    for docs in (spark.read.parquet(f"{SF01}/documents.parquet"), table(spark, odd_rows(), extra=True)):
+        want = straight_verdicts(rules.text_stats(docs).collect())
+        got = rules.quality_rules(docs).select("doc_id", "base_failed", "kept", "reasons")
+        assert rows_of(got) == want
+    assert any(r[3] not in ("", "base") for r in want) or len(want) < 100
+
+
 def test_rules_reject_junk_and_keep_clean(spark):
     labels = spark.read.parquet(f"{SF01}/labels.parquet")
     got = rules.op8_quality_rules(spark, SF01).join(labels, "doc_id")
@@ -460,20 +596,67 @@ def test_classifier_odd_rows(spark):
     assert cotrain.classify(empty(spark), model).count() == 0 and cotrain.fit(empty(spark), labels) is None
 
 
-def test_views_teach_each_other():
+def teaching_views():
+    """40 labelled rows whose text tells their class, and 300 unlabelled ones whose metadata do so too."""
     rng = np.random.default_rng(0)
 
-    def sample(ids, y, words, sources):
-        return cotrain.Sample(np.array(ids), np.array(y, float), rng.normal(size=(len(ids), 9)), np.concatenate(words).astype(np.int64),
-                              np.array([len(w) for w in words]), np.array([[1, 2 + s, 5] for s in sources]))
-
-    labelled = sample(range(60), [i % 2 for i in range(60)], [[100 + i % 2, 7 + i] for i in range(60)], [i % 2 for i in range(60)])
-    pool = sample(range(1000, 1300), [0] * 300, [[100 + i % 2, 200 + i % 2] for i in range(300)], [i % 2 for i in range(300)])
-    model = cotrain.cotrain(labelled.once(), pool.once())
-    odds = model.meta_odds(np.array([[1, 2, 5], [1, 3, 5]]))
-    assert odds[0] < 0 < odds[1]
-    twice = labelled.take(np.array([3, 3, 1]))
-    assert twice.once().ids.tolist() == [1, 3] and twice.once().words.tolist() == [101, 8, 101, 10]
+    def rows(n, noise):
+        y = np.arange(n) % 2
+        text, meta = rng.random((n, 6)) < 0.3, np.zeros((n, 16), bool)
+        text[:, 0] = y == 1
+        meta[np.arange(n), 2 + np.where(rng.random(n) < noise, 1 - y, y)] = True
+        meta[:, 5] = True
+        return {"text": text, "meta": meta}, y.astype(float)
+
+    return rows(40, 0.4), rows(300, 0.02)
+
+
+def straight_cotraining(labelled, y, fold, pool):
+    """The same rounds with a plain loop over rows."""
+    def odds(w, x):
+        return [sum(a for a, b in zip(w, r, strict=False) if b) + w[-1] for r in x]
+
+    train, check = [i for i in range(len(y)) if not fold[i]], [i for i in range(len(y)) if fold[i]]
+    current = {v: cotrain.logistic(x[train], y[train]) for v, x in labelled.items()}
+    for _ in range(cotrain.ROUNDS):
+        teach = {}
+        for v in labelled:
+            slope, shift = cotrain.logistic(np.array(odds(current[v], labelled[v][check]))[:, None], y[check], ridge=0.01)
+            p = [1 / (1 + math.exp(-max(-30, min(30, slope * z + shift)))) for z in odds(current[v], pool[v])]
+            teach[v] = {i: float(c >= 0.5) for i, c in enumerate(p) if c >= cotrain.SURE or c <= 1 - cotrain.SURE}
+        for _ in range(cotrain.STEPS):
+            new = {}
+            for v, other in (("text", "meta"), ("meta", "text")):
+                given = teach[other]
+                weight = min(1.0, cotrain.PSEUDO * len(train) / len(given)) if given else 0.0
+                k = labelled[v].shape[1] + 1
+                slope, curve = np.zeros(k), np.zeros((k, k))
+                rows = [(labelled[v][i], y[i], 1.0) for i in train] + [(pool[v][i], c, weight) for i, c in given.items()]
+                for r, c, at in rows:
+                    x = np.append(r.astype(float), 1.0)
+                    p = 1 / (1 + math.exp(-max(-30, min(30, float(x @ current[v])))))
+                    slope += at * (p - c) * x
+                    curve += at * p * (1 - p) * np.outer(x, x)
+                price = np.array([cotrain.RIDGE] * (k - 1) + [1e-6])
+                new[v] = current[v] - np.linalg.solve(curve + np.diag(price + 1e-9), slope + price * current[v])
+            current = new
+    return current
+
+
+def test_cotraining_against_a_straight_version(spark):
+    (labelled, y), (pool, _) = teaching_views()
+    fold = np.arange(40) % 3 == 0
+    want = straight_cotraining(labelled, y, fold, pool)
+    rows = [(np.packbits(t).tobytes(), np.flatnonzero(m)[[0, 1, 1]].astype(np.int16).tobytes()) for t, m in zip(pool["text"], pool["meta"], strict=True)]
+    df = spark.createDataFrame(rows, "text binary, meta binary").repartition(3)
+    wide = lambda x: np.concatenate([x, np.zeros((len(x), cotrain.META_BINS - 16), bool)], 1)
+    model = cotrain.Model(np.zeros(6, np.int64), np.zeros((0, 0)), np.zeros(0), np.zeros(0), np.zeros(3))
+    got = cotrain.cotrain(model, {"text": labelled["text"], "meta": wide(labelled["meta"])}, y, fold,
+                          lambda students, current: cotrain.pseudo_sums(df, students, current, 6))
+    assert np.allclose(got.text, want["text"], atol=1e-8)
+    assert np.allclose(np.append(got.meta[:16], got.meta[-1]), want["meta"], atol=1e-6)
+    alone = cotrain.logistic(labelled["meta"][~fold], y[~fold])
+    assert want["meta"][3] - want["meta"][2] > 1.3 * (alone[3] - alone[2]) > 0             # the text taught the metadata
 
 
 # -------------------------------------------------------------------------------------- lm
