@@ -18,16 +18,6 @@ def log_name(method: str, kind: str = "metrics", exp_label: str | None = None) -
     return f"{method}_{kind}{suffix}.csv"
 
 
-def write_metrics(df: DataFrame, folder: str, method: str, exp_label: str | None = None) -> str:
-    """A4: metrics rows to a CSV log with a header; columns are aligned by name to the
-    method's fixed schema (never positionally), overwrite."""
-    schema = metrics_schema(method)
-    out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-    path = f"{folder}/{log_name(method, 'metrics', exp_label)}"
-    out.write.mode("overwrite").option("header", True).csv(path)
-    return path
-
-
 def write_logs(df: DataFrame, folder: str, exp_label: str | None = None) -> dict[str, str]:
     """A4 for rows of any methods (column ``finetuning_method``): one log per method, each in
     its method's schema, as one partitioned write per schema.  Returns method -> path."""
@@ -57,14 +47,6 @@ def read_metrics(spark: SparkSession, path: str, method: str) -> DataFrame:
         .option("enforceSchema", False).csv(path)
 
 
-def write_history(df: DataFrame, folder: str, method: str, exp_label: str | None = None) -> str:
-    """A5: training history in its fixed column order."""
-    out = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in HISTORY.fields])
-    path = f"{folder}/{log_name(method, 'training_history', exp_label)}"
-    out.write.mode("overwrite").option("header", True).csv(path)
-    return path
-
-
 def write_histories(df: DataFrame, folder: str, exp_label: str | None = None) -> str:
     """A5 for the histories of several methods (column ``finetuning_method``) in one
     partitioned write: a folder with one log per method."""
@@ -81,10 +63,6 @@ def read_histories(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(HISTORY).option("header", True).option("enforceSchema", False).csv(path)
-
-
 COMBINED = T.StructType(TRAINING_METRICS.fields + [T.StructField("finetuning_method", T.StringType())])
 
 
