@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,6 +97,24 @@ def test_subwords_keep_every_character(spark):
     assert all(50256 not in r.ids for r in back)
 
 
+def test_subwords_by_ranks_are_those_of_the_tokenizer(spark):
+    texts = [*TEXTS, "x" * 9000, " \n" * 5000, "  two  spaces ", "it's <|endoftext|>\u00a0漢"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    file, ranks = SW.default_file(), SW.default_ranks()
+    slow, fast = ({r.id: list(r.ids) for r in SW.encode(df, file, "text", "ids", *more).collect()} for more in ((), (ranks,)))
+    assert fast == slow and fast[7] == [] and all(fast[i] for i, t in enumerate(texts) if t)
+    gave_up = " " * 1_500_000 + "x"                       # more than the regular expression engine takes
+    assert SW._encoder(file, ranks)(gave_up).tolist() == SW.tokenizer(file).encode(gave_up, add_special_tokens=False).ids
+    whole = [*fast.values(), None]
+    for lists in (whole, [*whole, fast[2][:-1], fast[4][:1]], [*whole, [50256, *fast[0]]], [None, []], []):
+        rows = spark.createDataFrame(list(enumerate(lists)), "id long, ids array<int>").coalesce(1)
+        slow_, fast_ = ({r.id: r.back for r in SW.decode(rows, file, "ids", "back", *more).collect()} for more in ((), (ranks,)))
+        assert fast_ == slow_ and len(fast_) == len(lists)
+    pieces = SW._ranked(ranks)[1]
+    assert SW._looked_up(pa.array(whole, pa.list_(pa.int32())), pieces).to_pylist() == [*[t or "" for t in texts], ""]
+    assert SW._looked_up(pa.array([fast[2], fast[4][:1]], pa.list_(pa.int32())), pieces) is None       # cut inside a character
+
+
 def test_words_of_all_scripts(spark):
     df = spark.createDataFrame([(1, "Ärger, été 漢字! Привет x2y _z")], "id long, text string")
     assert df.select(TK.tokens("text").alias("t")).first().t == ["ärger", "été", "漢字", "привет", "x", "y", "z"]
