@@ -165,3 +165,31 @@ def test_fits_learn_and_logs_are_complete(spark, monkeypatch):
     first = fits.steps().where("step = 1").agg(F.avg("loss")).first()[0]
     last = fits.steps().join(fits.grid.select("gid", "total"), "gid").where("step = total").agg(F.avg("loss")).first()[0]
     assert last < first
+
+
+def test_steps_have_tasks_by_their_rows_and_not_by_the_plan(spark, tmp_path, monkeypatch):
+    """A step's tasks follow the rows and the state, whatever the number of shuffle partitions and input files."""
+    from shotgrid.plans import q_descent as QD
+    rng = np.random.default_rng(8)
+    vectors = [(i, rng.normal(size=4).tolist(), int(rng.integers(0, 10))) for i in range(600)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label long").repartition(6).write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen, descend = [], G.descend
+
+    def watched(rows, models, head, loss, opt, steps, folder):
+        states = descend(rows, models, head, loss, opt, 1, folder)
+        seen.append((rows.count(), rows.rdd.getNumPartitions(), [spark.read.parquet(G.state_path(folder, k)).rdd.getNumPartitions() for k in (0, 1)]))
+        raise InterruptedError
+
+    monkeypatch.setattr(G, "descend", watched)
+    monkeypatch.setattr(G, "ROWS_PER_TASK", 300)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        for run in (lambda: QD.Fits(spark, str(tmp_path), folder=f"{tmp_path}/a"), lambda: QD.context_distill(spark, str(tmp_path), folder=f"{tmp_path}/b"),
+                    lambda: QD.context_distill(spark, str(tmp_path), True, folder=f"{tmp_path}/c")):
+            with pytest.raises(InterruptedError):
+                run()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [n for n, _, _ in seen] == [600, 512, 512]          # 2 models x 300 draws, 2 models x (16 + 240 of the pool)
+    assert all(parts <= 2 and files == [1, 1] for _, parts, files in seen)
