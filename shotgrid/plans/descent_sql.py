@@ -33,7 +33,7 @@ def merged_sql(state: str, scale: float) -> str:
     UNION ALL SELECT gid, i, -1, p FROM {state} WHERE part = 'b'"""
 
 
-def descent_sql(steps: int, opt: Optimiser, self_taught: bool = False, low_rank_scale: float | None = None) -> str:
+def descent_sql(steps: int | str, opt: Optimiser, self_taught: bool = False, low_rank_scale: float | None = None) -> str:
     low = low_rank_scale is not None
     keys = "gid, part, i, j" if low else "gid, k, j"
     parts = []

@@ -193,3 +193,63 @@ def test_steps_have_tasks_by_their_rows_and_not_by_the_plan(spark, tmp_path, mon
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert [n for n, _, _ in seen] == [600, 512, 512]          # 2 models x 300 draws, 2 models x (16 + 240 of the pool)
     assert all(parts <= 2 and files == [1, 1] for _, parts, files in seen)
+
+
+@pytest.mark.parametrize("head", HEADS)
+@pytest.mark.parametrize("opt", [G.Optimiser(0.05, decay=0.02), G.Optimiser(0.3, momentless=True)])
+def test_small_batches_in_blocks_equal_one_after_the_other(spark, tmp_path, monkeypatch, head, opt):
+    """Steps of small batches taken a block at a time are those of one batch after the other; a stopped run continues."""
+    data, start, rows, models = problem(spark, head, batch=2, epochs=1)             # 12, 10 and 8 steps
+    odd = [(0, 0, None, [1.0, 0.0, 0.0]), (1, 0, [1.0] * 4, None), (1, 3, [1.0] * 4, [None, 0.0, 0.0]), (2, 1, [1.0, None, 1.0, 1.0], [1.0, 0.0, 0.0]),
+           (77, 0, [1.0] * 4, [1.0, 0.0, 0.0]), (2, 9, [1.0] * 4, [1.0, 0.0, 0.0])]  # and rows of no model, or behind its steps
+    monkeypatch.setattr(G, "BLOCK_STEPS", 5)
+    blocks = G.in_blocks(rows.unionByName(spark.createDataFrame(odd, rows.schema)).repartition(4), len(data))
+    assert {r.block for r in blocks.select("block").distinct().collect()} == {0, 1, 2}
+    want = plain(data, start, head, G.soft_loss, opt)
+    for again in (False, True):
+        if again:
+            (tmp_path / "step=2" / "_SUCCESS").unlink()
+        states = G.descend_in_blocks(blocks, models, head, G.soft_loss, opt, str(tmp_path))
+        ends = {r.gid: r.p for r in G.last_states(states).collect()}
+        assert set(ends) == set(want) and all(np.allclose(ends[g], want[g][0], atol=1e-9) for g in want)
+    got = {(r.gid, r.step): r for r in states.collect()}
+    assert set(got) == {(0, 0), (0, 5), (0, 10), (0, 12), (1, 0), (1, 5), (1, 10), (2, 0), (2, 5), (2, 8)}
+    assert got[0, 12].n == 3 and got[2, 8].n == 5 and got[0, 0].n is None
+    assert got[1, 10].n == 9 and np.isclose(got[1, 10].loss, np.average(want[1][1][5:], weights=[2, 2, 2, 2, 1]))
+    assert G.gradient_sums(blocks, G.start(models), head, G.soft_loss).count() == 3
+
+
+def test_the_grid_distils_the_whole_pool(spark, tmp_path, monkeypatch):
+    """Both distillations of the grid take all rows of the pool, also of one above 4096 rows, and a step for every two or four."""
+    from shotgrid.plans import experiment as X
+    from shotgrid.plans import q_descent as QD
+    rng = np.random.default_rng(9)
+    words = np.array([f"w{i}" for i in range(30)])
+    documents = [(i, " ".join(rng.choice(words, 6)) + "\n" + " ".join(rng.choice(words, 6)), "en" if i % 3 else "fr", "s", 40) for i in range(480)]
+    spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(480)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    vectors = [(i, rng.normal(size=3).tolist(), int(rng.integers(0, 10))) for i in range(10_280)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label long").write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    class NoFits:
+        def __init__(self, *_):
+            pass
+
+        def metrics(self):
+            return spark.createDataFrame([], "model_name string, sample_size int, trial int")
+
+    seen, distill = [], QD.context_distill
+
+    def watched(*args, **kwargs):
+        out = distill(*args, **kwargs).cache()
+        seen.extend(out.collect())
+        return out
+
+    monkeypatch.setattr(QD, "Fits", NoFits)
+    monkeypatch.setattr(QD, "context_distill", watched)
+    log = X.experiment_grid(spark, str(tmp_path)).where("finetuning_method like '%context_distillation'").collect()
+    pool = 10_280 * 2 // 5
+    assert sorted((r.finetuning_method, r.model_name, r.sample_size) for r in log) == sorted(
+        (f"{kind}context_distillation", m, n) for kind in ("", "recursive_") for m in ("head-large", "head-small") for n in (16, pool))
+    assert all(r.n == r.sample_size and r.steps == r.sample_size // (2 if r.model_name == "head-large" else 4) for r in seen)
+    assert len(seen) == 8 and pool > 4096
